@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findloom.llm import chat_format, license_scan, mixing, simhash, url_filter
+from findloom.llm import audio, chat_format, decontam, license_scan, mixing, quality, simhash, url_filter
 from findloom.llm.common import table
 from findloom.llm.sql import op1_sql, op3_sql, op4_sql, op9_sql
 
@@ -29,6 +29,14 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.read_back(chat_format.format_chats(records))
 
 
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"), n=3, radius=3)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
@@ -38,7 +46,11 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_weights, op3_license_scan, op4_chat_format, op8_simhash, op9_url_filter)}
+def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audio.with_features(audio.store(table(spark, sf_dir, "documents")), keep_tensors=False)
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_weights, op3_license_scan, op4_chat_format, op5_decontaminate, op7_quality, op8_simhash, op9_url_filter, op10_audio)}
 ORACLE_SQL = {
     "op1_mix_weights": op1_sql(),
     "op3_license_scan": op3_sql(),
