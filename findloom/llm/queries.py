@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findloom.llm import audio, chat_format, decontam, license_scan, mixing, quality, simhash, url_filter
+from findloom.llm import audio, chat_format, decontam, license_scan, mixing, quality, simhash, url_filter, warc
 from findloom.llm.common import table
-from findloom.llm.sql import op1_sql, op3_sql, op4_sql, op9_sql
+from findloom.llm.sql import op1_sql, op3_sql, op4_sql, op6_sql, op9_sql
 
 
 def op1_mix_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,6 +33,12 @@ def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.find_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = warc.archive_folder(spark)
+    index = warc.write_archives(table(spark, sf_dir, "pages"), folder)
+    return warc.read_records(index, folder, keep_payload=False).drop("url")
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.importance(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,10 +56,11 @@ def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.with_features(audio.store(table(spark, sf_dir, "documents")), keep_tensors=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_weights, op3_license_scan, op4_chat_format, op5_decontaminate, op7_quality, op8_simhash, op9_url_filter, op10_audio)}
+QUERIES = {f.__name__: f for f in (op1_mix_weights, op3_license_scan, op4_chat_format, op5_decontaminate, op6_warc, op7_quality, op8_simhash, op9_url_filter, op10_audio)}
 ORACLE_SQL = {
     "op1_mix_weights": op1_sql(),
     "op3_license_scan": op3_sql(),
     "op4_chat_format": op4_sql(),
+    "op6_warc": op6_sql(),
     "op9_url_filter": op9_sql(),
 }

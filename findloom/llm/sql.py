@@ -93,6 +93,15 @@ def op4_sql() -> str:
     """
 
 
+def op6_sql() -> str:
+    return """
+    WITH p AS (SELECT page_id, strlen(coalesce(html, ''))::BIGINT AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest FROM pages),
+    g AS (SELECT *, CASE WHEN payload_bytes >= 1000 THEN max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) END AS largest FROM p)
+    SELECT page_id, payload_bytes, payload_digest, CASE WHEN page_id < largest THEN 'revisit' ELSE 'response' END AS record_type,
+      CASE WHEN page_id < largest THEN largest END AS refers_to FROM g
+    """
+
+
 def op9_sql() -> str:
     rules = []
     for host, path, verdict in sorted(url_filter.RULES, key=lambda r: -len(r[0] + r[1])):
