@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findloom.llm import audio, chat_format, decontam, license_scan, mixing, quality, simhash, url_filter, warc
+from findloom.llm import audio, chat_format, decontam, html_extract, license_scan, mixing, quality, simhash, url_filter, warc
 from findloom.llm.common import table
 from findloom.llm.sql import op1_sql, op3_sql, op4_sql, op6_sql, op9_sql
 
@@ -15,6 +15,10 @@ def op1_mix_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 6).alias("position"))
 
 
+def op2_extract_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(license_scan.scan(table(spark, sf_dir, "documents")))
 
@@ -56,7 +60,7 @@ def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.with_features(audio.store(table(spark, sf_dir, "documents")), keep_tensors=False)
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_weights, op3_license_scan, op4_chat_format, op5_decontaminate, op6_warc, op7_quality, op8_simhash, op9_url_filter, op10_audio)}
+QUERIES = {f.__name__: f for f in (op1_mix_weights, op2_extract_html, op3_license_scan, op4_chat_format, op5_decontaminate, op6_warc, op7_quality, op8_simhash, op9_url_filter, op10_audio)}
 ORACLE_SQL = {
     "op1_mix_weights": op1_sql(),
     "op3_license_scan": op3_sql(),
