@@ -14,9 +14,10 @@ its component there), never pairs; distributed components join shards.
 
 Two forms:
   exact        64 bits, XXH64 of shingles, links at `radius` or fewer bits, nothing missed;
-  similarity   512 bits over five-word shingle sets; links where the bits that differ are what a Jaccard
-               similarity of 0.8 gives. 32 bands of 14 bits find a pair of similarity 0.8 with probability 0.96,
-               of 0.85 with 0.99, of 0.9 with 0.9996.
+  similarity   512 bits over five-word shingle sets. 32 bands of 14 bits put a pair of Jaccard similarity 0.8 into
+               a common shard with probability 0.96, of 0.85 with 0.99, of 0.9 with 0.9996. Pairs whose bits differ
+               so little that their similarity is above the threshold beyond doubt are links; pairs around the
+               threshold are verified on the shingle sets themselves, the rest are none.
 
 Defined cases: texts without words have fingerprint zero and are linked like any other; null is the empty text;
 rows that repeat a doc_id are linked by their own texts; a null doc_id is passed over in naming a component; an
@@ -109,8 +110,9 @@ def fingerprints(docs: DataFrame, n: int, exact: bool) -> DataFrame:
 class BKTree:
     """Fingerprints (ints) in a tree keyed by Hamming distance, with the components of all nodes within the radius."""
 
-    def __init__(self, radius: int):
-        self.radius = radius
+    def __init__(self, radius: int, sure: int | None = None):
+        self.radius, self.sure = radius, radius if sure is None else sure
+        self.doubtful: list[tuple[int, int]] = []  # within the radius, but beyond what is sure
         self.values: list[int] = []
         self.children: list[dict[int, int]] = []
         self.uniform: list[bool] = []  # all of the node's subtree is in one component
@@ -133,16 +135,20 @@ class BKTree:
         values, children, radius = self.values, self.children, self.radius
         me = len(values)
         if me:
-            stack, own = [0], self.root(x)
+            stack, own, asked = [0], self.root(x), set()
             while stack:
                 node = stack.pop()
                 y = values[node]
                 if self.uniform[node] and self.root(y) == own:
                     continue
                 d = (x ^ y).bit_count()
-                if d <= radius:
+                if d <= self.sure:
                     self.join(x, y)
                     own = self.root(x)
+                elif d <= radius and (other := self.root(y)) != own and other not in asked:
+                    # One doubtful pair with each component is enough to ask about.
+                    asked.add(other)
+                    self.doubtful.append((x, y))
                 below = children[node]
                 if len(below) > 2 * radius:
                     stack += [below[k] for k in range(d - radius, d + radius + 1) if k in below]
@@ -163,9 +169,9 @@ class BKTree:
         self.root(x)
 
 
-def linked(values: list[int], radius: int, bits: int) -> list[tuple[int, int]]:
-    """(node, least node of its component) of the nodes of a shard that have a link there; values are distinct."""
-    tree = BKTree(radius)
+def linked(values: list[int], radius: int, bits: int, sure: int | None = None) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
+    """(links, doubtful pairs) of a shard of distinct nodes; a link is a node and the least node of its component."""
+    tree = BKTree(radius, sure)
     if len(values) > 4 * bits:
         present = set(values)
         for x in values:
@@ -176,12 +182,13 @@ def linked(values: list[int], radius: int, bits: int) -> list[tuple[int, int]]:
     for x in values:
         tree.add(x)
     roots = [(x, tree.root(x)) for x in values]
-    return [(x, r) for x, r in roots if x != r]
+    return [(x, r) for x, r in roots if x != r], [(x, y) for x, y in tree.doubtful if tree.root(x) != tree.root(y)]
 
 
-def shard_links(sharded: DataFrame, keys: list[str], radius: int, bits: int) -> DataFrame:
-    """sharded(keys, fp), a shard's rows together -> (u, v) links; one shard is in memory at a time."""
+def shard_links(sharded: DataFrame, keys: list[str], radius: int, bits: int, sure: int | None = None) -> DataFrame:
+    """sharded(keys, fp) -> (u, v, sure) links; a shard's rows come together, and one shard is in memory at a time."""
     kind = sharded.schema["fp"].dataType.simpleString()
+    arrow = pa.int64() if kind == "bigint" else pa.binary()
     as_int = (lambda v: v & 0xFFFFFFFFFFFFFFFF) if kind == "bigint" else (lambda v: int.from_bytes(v, "big"))
     as_fp = (lambda x: x - (1 << 64) if x >> 63 else x) if kind == "bigint" else (lambda x: x.to_bytes(bits // 8, "big"))
 
@@ -201,20 +208,22 @@ def shard_links(sharded: DataFrame, keys: list[str], radius: int, bits: int) ->
         if len(held) > 1:
             yield held
 
+    def as_batch(rows: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array([as_fp(r[0]) for r in rows], arrow), pa.array([as_fp(r[1]) for r in rows], arrow), pa.array([r[2] for r in rows], pa.bool_())]
+        return pa.RecordBatch.from_arrays(columns, ["u", "v", "sure"])
+
     def run(batches):
-        u, v = [], []
-        schema = pa.schema([("u", pa.int64() if kind == "bigint" else pa.binary())] * 1 + [("v", pa.int64() if kind == "bigint" else pa.binary())])
+        rows: list[tuple] = []
         for shard in shards(batches):
-            for x, least in linked([as_int(f) for f in shard], radius, bits):
-                u.append(as_fp(x))
-                v.append(as_fp(least))
-            if len(u) > 10_000:
-                yield pa.RecordBatch.from_arrays([pa.array(u, schema.field(0).type), pa.array(v, schema.field(1).type)], schema=schema)
-                u, v = [], []
-        yield pa.RecordBatch.from_arrays([pa.array(u, schema.field(0).type), pa.array(v, schema.field(1).type)], schema=schema)
+            links, doubtful = linked([as_int(f) for f in shard], radius, bits, sure)
+            rows += [(*x, True) for x in links] + [(*x, False) for x in doubtful]
+            if len(rows) > 10_000:
+                yield as_batch(rows)
+                rows = []
+        yield as_batch(rows)
 
     together = sharded.select(*keys, "fp").repartition(*keys).sortWithinPartitions(*keys)
-    return together.mapInArrow(run, f"u {kind}, v {kind}")
+    return together.mapInArrow(run, f"u {kind}, v {kind}, sure boolean")
 
 
 def _exact_bands(fp: Column, radius: int) -> Column:
@@ -256,8 +265,8 @@ def _slices(fp: Column, band: Column, radius: int) -> Column:
     return F.array(*cuts)
 
 
-def similar_links(nodes: DataFrame, radius: int) -> DataFrame:
-    """nodes(fp 64 bytes), distinct -> links within the radius found by the bands."""
+def similar_links(nodes: DataFrame, similarity: float) -> DataFrame:
+    """nodes(fp 64 bytes), distinct -> sure links and doubtful pairs that the bands bring together."""
     value = lambda k: F.conv(F.hex(F.substring("fp", 2 * k + 1, 2)), 16, 10).cast("int").bitwiseAND((1 << BAND_BITS) - 1)
     bands = F.array(*(F.struct(F.lit(k).alias("band"), value(k).alias("value"), value((k + 1) % BANDS).alias("next")) for k in range(BANDS)))
     rows = nodes.select("fp", F.explode(bands).alias("b")).select("fp", "b.*")
@@ -265,27 +274,68 @@ def similar_links(nodes: DataFrame, radius: int) -> DataFrame:
     rows = rows.join(sizes, ["band", "value"])
     # A large shard is cut by the next band as well.
     part = F.when(F.col("count") > SHARD_ROWS, F.col("next")).otherwise(-1)
-    return shard_links(rows.select("fp", "band", "value", part.alias("part")), ["band", "value", "part"], radius, 64 * LONG_WORDS)
+    sure, radius = similarity_radii(similarity)
+    return shard_links(rows.select("fp", "band", "value", part.alias("part")), ["band", "value", "part"], radius, 64 * LONG_WORDS, sure)
 
 
-def similarity_radius(similarity: float) -> int:
-    """Differing bits expected of two equally large sets of that Jaccard similarity, and half a standard deviation."""
+def similarity_radii(similarity: float) -> tuple[int, int]:
+    """Differing bits below which a pair is surely that similar, and above which it surely is not (2.5 standard deviations)."""
     bits = 64 * LONG_WORDS
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    return math.floor(bits * p + 0.5 * math.sqrt(bits * p * (1 - p)))
+    spread = 2.5 * math.sqrt(bits * p * (1 - p))
+    return math.floor(bits * p - spread), math.ceil(bits * p + spread)
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, similarity: float) -> DataFrame:
+    """The (u, v) of pairs whose shingle sets have at least that Jaccard similarity. Only texts of nodes in pairs move."""
+    ends = pairs.select(F.col("u").alias("fp")).unionByName(pairs.select(F.col("v").alias("fp"))).distinct()
+    asked = nodes.join(ends, "fp").select("fp", F.col("least").alias("id"))
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column(1)
+            fps, rows = long_fingerprints(texts, n), []
+            for _, data, offsets in W.chunks(texts):
+                hashes, bounds = W.unique_in_rows(*W.shingle_hashes(*W.word_hashes(data, offsets), n))
+                rows += [hashes[a:b].view(np.int64) for a, b in zip(bounds[:-1], bounds[1:])]
+            # A doc_id may stand for several texts; the node's own is the one with its fingerprint.
+            own = [k for k, fp in enumerate(batch.column(0).to_pylist()) if fp == fps[k]]
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own, pa.int64())), pa.array([rows[k] for k in own], pa.list_(pa.int64()))], ["fp", "shingles"])
+
+    texts = docs.select("doc_id", "text").join(asked, F.col("doc_id") == F.col("id")).select("fp", F.coalesce("text", F.lit("")).alias("text"))
+    sets = written(texts.mapInArrow(run, "fp binary, shingles array<long>").dropDuplicates(["fp"]), "shingles")
+    left = pairs.join(sets.select(F.col("fp").alias("u"), F.col("shingles").alias("a")), "u")
+    both = left.join(sets.select(F.col("fp").alias("v"), F.col("shingles").alias("b")), "v")
+    common = F.size(F.array_intersect("a", "b"))
+    return both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v")
+
+
+def similar_classes(nodes: DataFrame, docs: DataFrame, n: int, similarity: float) -> DataFrame:
+    """(node, component) by verified similarity."""
+    links = written(similar_links(nodes.select("fp"), similarity), "links")
+    sure = written(connected_components(links.where("sure").select("u", "v")), "sure")
+    doubtful = links.where("not sure").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+    for end in "uv":
+        named = sure.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+        doubtful = doubtful.join(named, end, "left").withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
+    open_pairs = written(doubtful.where("of_u <> of_v").select("u", "v"), "pairs")
+    more = verified(open_pairs, nodes, docs, n, similarity)
+    return connected_components(sure.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
 
 
 def near_duplicates(docs: DataFrame, n: int = 3, radius: int = 3, similarity: float | None = None) -> DataFrame:
     """docs(doc_id, text) -> doc_id, fp, component_id (least doc_id of the component), one row for each row of docs.
 
-    With `similarity` the long form is used with shingles of n words, and radius is derived; else the exact form.
+    With `similarity` the long form is used on sets of n-word shingles; else the exact form with `radius`.
     """
     if similarity is None and 64 % (radius + 1):
         raise ValueError("the exact form needs a radius with radius + 1 a divisor of 64")
     marked = written(fingerprints(docs, n, similarity is None), "fingerprints")
     nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
-    links = exact_links(nodes.select("fp"), radius) if similarity is None else similar_links(nodes.select("fp"), similarity_radius(similarity))
-    classes = connected_components(links)
+    if similarity is None:
+        classes = connected_components(exact_links(nodes.select("fp"), radius).select("u", "v"))
+    else:
+        classes = similar_classes(nodes, docs, n, similarity)
     named = nodes.join(classes, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
     ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
     by_fp = named.join(ids, "component").select("fp", "component_id")
