@@ -110,9 +110,11 @@ def fingerprints(docs: DataFrame, n: int, exact: bool) -> DataFrame:
 class BKTree:
     """Fingerprints (ints) in a tree keyed by Hamming distance, with the components of all nodes within the radius."""
 
-    def __init__(self, radius: int, sure: int | None = None):
-        self.radius, self.sure = radius, radius if sure is None else sure
-        self.doubtful: list[tuple[int, int]] = []  # within the radius, but beyond what is sure
+    def __init__(self, radius: int, sure: int | None = None, every: bool = False):
+        self.radius, self.sure, self.every = radius, radius if sure is None else sure, every
+        #: Pairs within the radius, but beyond what is sure: the nearest of each node, or with `every` one for each component near it.
+        self.doubtful: list[tuple[int, int]] = []
+        self.left_out: list[tuple[int, int]] = []
         self.values: list[int] = []
         self.children: list[dict[int, int]] = []
         self.uniform: list[bool] = []  # all of the node's subtree is in one component
@@ -135,7 +137,7 @@ class BKTree:
         values, children, radius = self.values, self.children, self.radius
         me = len(values)
         if me:
-            stack, own, asked = [0], self.root(x), set()
+            stack, own, doubts = [0], self.root(x), {}
             while stack:
                 node = stack.pop()
                 y = values[node]
@@ -145,15 +147,19 @@ class BKTree:
                 if d <= self.sure:
                     self.join(x, y)
                     own = self.root(x)
-                elif d <= radius and (other := self.root(y)) != own and other not in asked:
-                    # One doubtful pair with each component is enough to ask about.
-                    asked.add(other)
-                    self.doubtful.append((x, y))
+                elif d <= radius and (other := self.root(y)) != own and d < doubts.get(other, (radius + 1, 0))[0]:
+                    # The nearest node of a component is enough to ask about.
+                    doubts[other] = d, y
                 below = children[node]
                 if len(below) > 2 * radius:
                     stack += [below[k] for k in range(d - radius, d + radius + 1) if k in below]
                 else:
                     stack += [c for k, c in below.items() if d - radius <= k <= d + radius]
+            if doubts:
+                near = sorted(doubts.values())
+                kept = len(near) if self.every else 1
+                self.doubtful += [(x, y) for _, y in near[:kept]]
+                self.left_out += [(x, y) for _, y in near[kept:]]
             node = 0
             while True:
                 if self.uniform[node] and self.root(values[node]) != own:
@@ -169,9 +175,18 @@ class BKTree:
         self.root(x)
 
 
-def linked(values: list[int], radius: int, bits: int, sure: int | None = None) -> tuple[list[tuple[int, int]], list[tuple[int, int]]]:
-    """(links, doubtful pairs) of a shard of distinct nodes; a link is a node and the least node of its component."""
-    tree = BKTree(radius, sure)
+def linked(values: list[int], radius: int, bits: int, sure: int | None = None, labels: list | None = None) -> tuple[list[tuple[int, int]], list[tuple[int, int]], bool]:
+    """(links, doubtful pairs, whether more were left out) of a shard of distinct nodes.
+
+    A link is a node and the least node of its component. With labels, nodes of one label are in one component from
+    the start and every doubtful pair of components is given; without, the nearest of each node.
+    """
+    tree = BKTree(radius, sure, labels is not None)
+    if labels is not None:
+        heads: dict = {}
+        for x, label in zip(values, labels):
+            if label is not None:
+                tree.join(x, heads.setdefault(label, x))
     if len(values) > 4 * bits:
         present = set(values)
         for x in values:
@@ -181,49 +196,61 @@ def linked(values: list[int], radius: int, bits: int, sure: int | None = None) -
                     tree.join(x, y)
     for x in values:
         tree.add(x)
+    apart = lambda pairs: [(x, y) for x, y in pairs if tree.root(x) != tree.root(y)]
     roots = [(x, tree.root(x)) for x in values]
-    return [(x, r) for x, r in roots if x != r], [(x, y) for x, y in tree.doubtful if tree.root(x) != tree.root(y)]
+    return [(x, r) for x, r in roots if x != r], apart(tree.doubtful), bool(apart(tree.left_out))
+
+
+LINK, DOUBT, MORE = 0, 1, 2
 
 
 def shard_links(sharded: DataFrame, keys: list[str], radius: int, bits: int, sure: int | None = None) -> DataFrame:
-    """sharded(keys, fp) -> (u, v, sure) links; a shard's rows come together, and one shard is in memory at a time."""
+    """sharded(keys, fp, perhaps label) -> (keys, u, v, kind); a shard's rows come together, and one shard is in memory at a time.
+
+    Kinds: LINK and DOUBT are pairs, MORE says that the shard has doubtful pairs left out (u and v are null).
+    """
     kind = sharded.schema["fp"].dataType.simpleString()
     arrow = pa.int64() if kind == "bigint" else pa.binary()
     as_int = (lambda v: v & 0xFFFFFFFFFFFFFFFF) if kind == "bigint" else (lambda v: int.from_bytes(v, "big"))
     as_fp = (lambda x: x - (1 << 64) if x >> 63 else x) if kind == "bigint" else (lambda x: x.to_bytes(bits // 8, "big"))
+    labelled = "label" in sharded.columns
+    key_ddl = ", ".join(f"{k} {sharded.schema[k].dataType.simpleString()}" for k in keys)
+    key_types = [{"int": pa.int32(), "bigint": pa.int64()}[sharded.schema[k].dataType.simpleString()] for k in keys]
 
-    def shards(batches) -> Iterator[list]:
+    def shards(batches) -> Iterator[tuple[tuple, list]]:
         held, last = [], None
         for batch in batches:
-            key = list(zip(*(batch.column(k).to_pylist() for k in range(len(keys)))))
+            columns = [c.to_pylist() for c in batch.columns]
+            key, rows = list(zip(*columns[: len(keys)])), list(zip(*columns[len(keys) :]))
             cuts = [i for i in range(1, len(key)) if key[i] != key[i - 1]]
-            fps = batch.column(len(keys)).to_pylist()
             for a, b in zip([0, *cuts], [*cuts, len(key)]):
                 if a < b:
                     if key[a] != last:
                         if len(held) > 1:
-                            yield held
+                            yield last, held
                         held, last = [], key[a]
-                    held += fps[a:b]
+                    held += rows[a:b]
         if len(held) > 1:
-            yield held
+            yield last, held
 
     def as_batch(rows: list[tuple]) -> pa.RecordBatch:
-        columns = [pa.array([as_fp(r[0]) for r in rows], arrow), pa.array([as_fp(r[1]) for r in rows], arrow), pa.array([r[2] for r in rows], pa.bool_())]
-        return pa.RecordBatch.from_arrays(columns, ["u", "v", "sure"])
+        n = len(keys)
+        columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate(key_types)]
+        columns += [pa.array([None if r[n + k] is None else as_fp(r[n + k]) for r in rows], arrow) for k in (0, 1)]
+        return pa.RecordBatch.from_arrays([*columns, pa.array([r[n + 2] for r in rows], pa.int32())], [*keys, "u", "v", "kind"])
 
     def run(batches):
         rows: list[tuple] = []
-        for shard in shards(batches):
-            links, doubtful = linked([as_int(f) for f in shard], radius, bits, sure)
-            rows += [(*x, True) for x in links] + [(*x, False) for x in doubtful]
+        for key, shard in shards(batches):
+            links, doubtful, more = linked([as_int(r[0]) for r in shard], radius, bits, sure, [r[1] for r in shard] if labelled else None)
+            rows += [(*key, *x, LINK) for x in links] + [(*key, *x, DOUBT) for x in doubtful] + [(*key, None, None, MORE)] * more
             if len(rows) > 10_000:
                 yield as_batch(rows)
                 rows = []
         yield as_batch(rows)
 
-    together = sharded.select(*keys, "fp").repartition(*keys).sortWithinPartitions(*keys)
-    return together.mapInArrow(run, f"u {kind}, v {kind}, sure boolean")
+    together = sharded.select(*keys, "fp", *["label"] * labelled).repartition(*keys).sortWithinPartitions(*keys)
+    return together.mapInArrow(run, f"{key_ddl}, u {kind}, v {kind}, kind int")
 
 
 def _exact_bands(fp: Column, radius: int) -> Column:
@@ -265,17 +292,18 @@ def _slices(fp: Column, band: Column, radius: int) -> Column:
     return F.array(*cuts)
 
 
-def similar_links(nodes: DataFrame, similarity: float) -> DataFrame:
-    """nodes(fp 64 bytes), distinct -> sure links and doubtful pairs that the bands bring together."""
+SHARD_KEYS = ["band", "value", "part"]
+
+
+def banded(nodes: DataFrame) -> DataFrame:
+    """nodes(fp 64 bytes) -> fp with each shard that it is in."""
     value = lambda k: F.conv(F.hex(F.substring("fp", 2 * k + 1, 2)), 16, 10).cast("int").bitwiseAND((1 << BAND_BITS) - 1)
     bands = F.array(*(F.struct(F.lit(k).alias("band"), value(k).alias("value"), value((k + 1) % BANDS).alias("next")) for k in range(BANDS)))
     rows = nodes.select("fp", F.explode(bands).alias("b")).select("fp", "b.*")
     sizes = rows.groupBy("band", "value").count().where(F.col("count") > 1)
-    rows = rows.join(sizes, ["band", "value"])
     # A large shard is cut by the next band as well.
     part = F.when(F.col("count") > SHARD_ROWS, F.col("next")).otherwise(-1)
-    sure, radius = similarity_radii(similarity)
-    return shard_links(rows.select("fp", "band", "value", part.alias("part")), ["band", "value", "part"], radius, 64 * LONG_WORDS, sure)
+    return rows.join(sizes, ["band", "value"]).select("fp", "band", "value", part.alias("part"))
 
 
 def similarity_radii(similarity: float) -> tuple[int, int]:
@@ -310,17 +338,40 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, simila
     return both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v")
 
 
-def similar_classes(nodes: DataFrame, docs: DataFrame, n: int, similarity: float) -> DataFrame:
-    """(node, component) by verified similarity."""
-    links = written(similar_links(nodes.select("fp"), similarity), "links")
-    sure = written(connected_components(links.where("sure").select("u", "v")), "sure")
-    doubtful = links.where("not sure").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+def _named(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """Distinct pairs whose ends are in different classes; a node without one is its own."""
+    pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
     for end in "uv":
-        named = sure.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
-        doubtful = doubtful.join(named, end, "left").withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
-    open_pairs = written(doubtful.where("of_u <> of_v").select("u", "v"), "pairs")
-    more = verified(open_pairs, nodes, docs, n, similarity)
-    return connected_components(sure.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
+        own = classes.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
+        pairs = pairs.join(own, end, "left").withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
+    return pairs.where("of_u <> of_v").select("u", "v")
+
+
+def _joined(classes: DataFrame, more: DataFrame) -> DataFrame:
+    return written(connected_components(classes.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)), "classes")
+
+
+def similar_classes(nodes: DataFrame, docs: DataFrame, n: int, similarity: float) -> DataFrame:
+    """(node, component) by verified similarity.
+
+    First the sure links and the nearest doubtful pair of each node, which are as many as the nodes: a group of copies
+    falls together on them. Then, in shards that have more doubtful pairs, those between what is still apart.
+    """
+    sure, radius = similarity_radii(similarity)
+    bits = 64 * LONG_WORDS
+    shards = banded(nodes.select("fp"))
+    found = written(shard_links(shards, SHARD_KEYS, radius, bits, sure), "links")
+    classes = written(connected_components(found.where(F.col("kind") == LINK).select("u", "v")), "classes")
+    pairs = written(_named(found.where(F.col("kind") == DOUBT), classes), "pairs")
+    classes = _joined(classes, verified(pairs, nodes, docs, n, similarity))
+    open_shards = found.where(F.col("kind") == MORE).select(*SHARD_KEYS)
+    if open_shards.isEmpty():
+        return classes
+    again = shards.join(open_shards, SHARD_KEYS, "left_semi")
+    again = again.join(classes.select(F.col("node").alias("fp"), F.col("component").alias("label")), "fp", "left")
+    rest = shard_links(again, SHARD_KEYS, radius, bits, sure).where(F.col("kind") == DOUBT)
+    rest = written(_named(rest, classes).join(pairs, ["u", "v"], "left_anti"), "pairs")
+    return _joined(classes, verified(rest, nodes, docs, n, similarity))
 
 
 def near_duplicates(docs: DataFrame, n: int = 3, radius: int = 3, similarity: float | None = None) -> DataFrame:
