@@ -1,8 +1,8 @@
 """Quality classifier by importance resampling.
 
 Target text is what labelled good rows (quality 1, toxic 0) look like, raw text is the whole corpus. Both are modelled
-by hashed n-grams: words without punctuation, and byte trigrams (which see case and symbols), each counted once a
-document. The importance weight of a document is the ratio target : raw over its least likely features: the sum of
+by hashed n-grams: words without punctuation, byte trigrams (which see case and symbols), and bigrams of a word with
+itself by their share of all words, each counted once a document. The importance weight of a document is the ratio target : raw over its least likely features: the sum of
 the log ratios below -DELTA. A feature that the labelled rejects do not over-use either counts no further than it does
 among them, so a text that merely has many copies in the corpus is not taken for junk.
 
@@ -27,7 +27,9 @@ from findloom.llm import words as W
 from findloom.llm.common import written
 
 WORD_BITS, GRAM_BITS = 18, 16
-FEATURES = (1 << WORD_BITS) + (1 << GRAM_BITS)
+#: A text has repeat feature n if 2**-(n+1) or more of its words are the word before them again.
+REPEATS = 6
+FEATURES = (1 << WORD_BITS) + (1 << GRAM_BITS) + REPEATS
 FIT_ROWS = 8000
 SMOOTHING, DELTA, TEMPERATURE, SEED = 2.0, 1.0, 0.1, 7
 _PUNCTUATION = np.ones(256, bool)
@@ -47,17 +49,20 @@ def features(texts: pa.Array):
         for k in range(len(offsets) - 1):
             # The first and last byte's trigrams reach over a row's edge and would depend on its neighbours.
             inner = grams[offsets[k] + 1 : max(offsets[k] + 1, offsets[k + 1] - 1)]
-            yield np.unique(np.concatenate((slots[bounds[k] : bounds[k + 1]], inner)))
+            own = hashes[bounds[k] : bounds[k + 1]]
+            again = np.count_nonzero(own[1:] == own[:-1]) if len(own) > 1 else 0
+            levels = [FEATURES - REPEATS + n for n in range(REPEATS) if again and again << n + 1 >= len(own)]
+            yield np.unique(np.concatenate((slots[bounds[k] : bounds[k + 1]], inner, np.array(levels, np.int64))))
 
 
 def labelled_sample(labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
-    """At most `rows` labelled documents, half of them good as far as there are: doc_id, good, held_out."""
+    """At most `rows` labelled documents, half of them good as far as there are: doc_id, good, held_out (a quarter)."""
     one = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(
         ((F.min("quality") == 1) & (F.max(F.coalesce("toxic", F.lit(0))) == 0)).alias("good")
     )
     order = F.xxhash64("doc_id", F.lit(SEED))
     good, bad = (one.where(F.col("good") == kind).orderBy(order, "doc_id").limit(rows // 2) for kind in (True, False))
-    return good.unionByName(bad).withColumn("held_out", F.xxhash64("doc_id", F.lit(SEED + 1)).bitwiseAND(1) == 1)
+    return good.unionByName(bad).withColumn("held_out", F.xxhash64("doc_id", F.lit(SEED + 1)).bitwiseAND(3) == 0)
 
 
 def _counts(docs: DataFrame) -> np.ndarray:
@@ -88,8 +93,11 @@ def log_ratios(counts: np.ndarray) -> np.ndarray:
     n_raw, n_good, n_bad = np.maximum(counts[:, -1], 1)
     if not counts[1, -1] or not counts[2, -1]:
         return np.zeros(FEATURES, np.float32)
-    against_raw = np.log((good + SMOOTHING) / (raw * n_good / n_raw + SMOOTHING))
-    against_bad = np.log((good + SMOOTHING) / (bad * n_good / n_bad + SMOOTHING))
+    # Words and trigrams are many, so chance makes some of them rare among good rows; the few repeat features need less caution.
+    smooth = np.full(FEATURES, float(SMOOTHING))
+    smooth[-REPEATS:] = SMOOTHING / 4
+    against_raw = np.log((good + smooth) / (raw * n_good / n_raw + smooth))
+    against_bad = np.log((good + smooth) / (bad * n_good / n_bad + smooth))
     ratio = np.maximum(against_raw, against_bad)
     return np.where(ratio < -DELTA, ratio, 0).astype(np.float32)
 
