@@ -9,7 +9,7 @@ from findloom.functions import text as X
 from findloom.functions import vectors as V
 from findloom.model import DESCRIPTION_BASE, FIXED_DELIMITER, IMAGE_BASE, TEXT_BASE, SearchRequest
 from findloom.operators import chunking, evaluation, images, knn, mutation, neighbours, ranking, search
-from findloom.sources import conversion, markup, views
+from findloom.sources import conversion, markup, office, samples, views
 from findloom.sources.views import table
 
 QUERY_IDS = [7, 77, 177, 277]
@@ -383,6 +383,25 @@ def recursive_split(spark: SparkSession, d: str) -> DataFrame:
     return chunking.annotated(docs).select("doc_id", "chunk_id", "chunk_offset", "chunk_length", "chunk_data")
 
 
+def _blocks(kind: str):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        return office.evidence_lines(samples.office_files(table(spark, d, "documents"), kind)).select("path", F.col("pos").cast("long").alias("pos"), "line")
+
+    return run
+
+
+def _xml(merge: bool):
+    def run(spark: SparkSession, d: str) -> DataFrame:
+        text = F.concat(
+            F.lit("<r><s><h>"), F.col("lang"), F.lit("</h><p>A"), F.col("doc_id").cast("string"), F.lit("</p><p>B</p><h>"), F.col("source"), F.lit("</h><p>C</p></s></r>"),
+        )
+        rules = conversion.XmlRules(main="p", prefix="h", merge=merge)
+        rows = table(spark, d, "documents").select("doc_id", F.posexplode(conversion.xml_lines(text, rules)).alias("pos", "line"))
+        return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), "line")
+
+    return run
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -395,3 +414,4 @@ QUERIES = {
         pending_vectors, vector_update, metadata_parse, jsonl_sink_format, json_array_lines, snowflake_id, hashed_ids, preview_text, prompt_render, download_sheet, recursive_split,
     )
 } | {"knn_cosine": _knn("cosine"), "knn_euclidean": _knn("euclidean"), "knn_dot": _knn("dot")}
+QUERIES |= {"excel_blocks": _blocks("xlsx"), "word_blocks": _blocks("docx"), "csv_blocks": _blocks("csv"), "xml_to_blocks": _xml(False), "xml_to_blocks_merged": _xml(True)}

@@ -72,6 +72,13 @@ def _valid_terms() -> str:
 
 _ONCE = "list_transform(list_filter(list_transform(toks, lambda t, i: {'t': t, 'i': i, 'n': length(t), 'first': list_position(toks, t) = i}), lambda s: s.first), lambda s: {'n': s.n, 'i': s.i, 't': s.t})"
 
+def _office(kind: str, suffix: str = "", sheet: str = "") -> str:
+    suffix = suffix or kind
+    named = f"'{sheet}'" if sheet else "'doc_' || doc_id"
+    return f"""SELECT '/files/doc_' || doc_id || '.{suffix}' AS path, 0::BIGINT AS pos, '{{"source_file":"doc_' || doc_id || '.{suffix}","source_type":"{kind}","block_type":"table_row","sheet":"' || {named} ||
+        '","row_start":2,"row_end":2,"fields":{{"lang":"' || lang || '","source":"' || source || '","id":' || doc_id || '}}}} {FIXED_DELIMITER}' AS line FROM documents"""
+
+
 ORACLE_SQL = {
     "doc_list": with_views("collection", f"SELECT {_lang('file_name')} AS name, id FROM collection"),
     "server_path_lookup": with_views("collection", f"SELECT id, {_lang('server_path')} AS server_path FROM collection WHERE id = 'doc_7'"),
@@ -228,4 +235,14 @@ ORACLE_SQL = {
     "preview_text": "SELECT doc_id, md5(CASE WHEN length(text) > 1000 THEN substring(text, 1, 1000) || ' ...' ELSE text END) AS preview_md5 FROM documents",
     "prompt_render": with_views("qa_result", "SELECT query_id, 'Context: ' || standard_answer || chr(10) || 'Question: ' || query AS prompt FROM qa_result"),
     "download_sheet": with_views("qa_feedback", f"SELECT llm_name, md5({STRIP.format('llm_answer')}) AS answer_md5, 'cited' AS citation, 'v' AS vlm_answer, '8' AS ragas_evaluation_result FROM qa_feedback"),
+    "csv_blocks": _office("csv"),
+    "excel_blocks": _office("excel", "xlsx", "Data"),
+    "word_blocks": f"""SELECT '/files/doc_' || doc_id || '.docx' AS path, 0::BIGINT AS pos, '{{"source_file":"doc_' || doc_id ||
+        '.docx","source_type":"word","block_type":"word_section","section_path":["' || source || '"],"row_start":3,"row_end":4,"content":"written in ' || lang || '\\n- number ' || doc_id || '"}} {FIXED_DELIMITER}' AS line
+        FROM documents UNION ALL SELECT '/files/doc_' || doc_id || '.docx', 1, '{{"source_file":"doc_' || doc_id || '.docx","source_type":"word","block_type":"word_table_row","section_path":["' || source ||
+        '"],"table_index":1,"row_start":2,"row_end":2,"body_index":4,"fields":{{"lang":"' || lang || '","id":"' || doc_id || '"}}}} {FIXED_DELIMITER}' FROM documents""",
+    "xml_to_blocks": f"""SELECT doc_id, k::BIGINT AS pos, CASE k WHEN 0 THEN '{{"id": "1", "h": "' || lang || '", "p": "A' || doc_id || '"}} {FIXED_DELIMITER}'
+        WHEN 1 THEN '{{"id": "2", "p": "B"}} {FIXED_DELIMITER}' ELSE '{{"id": "3", "h": "' || source || '", "p": "C"}} {FIXED_DELIMITER}' END AS line FROM documents, range(3) r(k)""",
+    "xml_to_blocks_merged": f"""SELECT doc_id, k::BIGINT AS pos, CASE k WHEN 0 THEN '{{"id": "1", "h": "' || lang || '", "p": "A' || doc_id || '\\nB"}} {FIXED_DELIMITER}'
+        ELSE '{{"id": "2", "h": "' || source || '", "p": "C"}} {FIXED_DELIMITER}' END AS line FROM documents, range(2) r(k)""",
 }
