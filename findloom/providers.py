@@ -10,6 +10,7 @@ import hashlib
 import re
 import time
 from collections.abc import Callable, Iterator
+from functools import reduce
 from typing import Protocol
 
 import numpy as np
@@ -143,20 +144,20 @@ def reranked_scores(query: Column, text: Column, make: Callable[[], Reranker], b
     return F.arrow_udf(run, "double")(query, text)
 
 
+def _answers(prompt: Column, make: Callable[[], ChatModel]) -> Column:
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = make()
+        for part in parts:
+            yield pa.array([None if p is None else model.answer(p) for p in part.to_pylist()], pa.string())
+
+    run.__annotations__ = {"parts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "string")(prompt)
+
+
 def answered(prompts: DataFrame, models: dict[str, Callable[[], ChatModel]]) -> DataFrame:
     """prompts(query_id, prompt) x models -> query_id, llm_name, llm_answer; each model's answers are tasks of their own."""
-    out = None
-    for name, make in models.items():
-
-        def run(parts: Iterator[pa.Array], make=make) -> Iterator[pa.Array]:
-            model = make()
-            for part in parts:
-                yield pa.array([None if p is None else model.answer(p) for p in part.to_pylist()], pa.string())
-
-        run.__annotations__ = {"parts": Iterator[pa.Array], "return": Iterator[pa.Array]}
-        one = prompts.select("query_id", F.lit(name).alias("llm_name"), F.arrow_udf(run, "string")("prompt").alias("llm_answer"))
-        out = one if out is None else out.unionByName(one)
-    return out
+    parts = [prompts.select("query_id", F.lit(name).alias("llm_name"), _answers(F.col("prompt"), make).alias("llm_answer")) for name, make in models.items()]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def sub_queries(answer: str, limit: int = 3) -> list[str]:
