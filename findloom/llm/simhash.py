@@ -26,6 +26,7 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import heapq
 import math
 from collections.abc import Iterator
 
@@ -40,6 +41,8 @@ from findloom.llm.common import written
 from findloom.llm.components import connected_components
 
 SHARD_ROWS = 2000
+#: In the second pass a node is compared in full with so many nodes of each component near it, in each of its shards.
+ASKED = 8
 BANDS, BAND_BITS, LONG_WORDS = 32, 14, 8
 _LANES = np.uint64(0x0101010101010101)
 
@@ -112,7 +115,7 @@ class BKTree:
 
     def __init__(self, radius: int, sure: int | None = None, every: bool = False):
         self.radius, self.sure, self.every = radius, radius if sure is None else sure, every
-        #: Pairs within the radius, but beyond what is sure: the nearest of each node, or with `every` one for each component near it.
+        #: Pairs within the radius, but beyond what is sure: the nearest of each node, or with `every` the ASKED nearest of each component near it.
         self.doubtful: list[tuple[int, int]] = []
         self.left_out: list[tuple[int, int]] = []
         self.values: list[int] = []
@@ -147,16 +150,15 @@ class BKTree:
                 if d <= self.sure:
                     self.join(x, y)
                     own = self.root(x)
-                elif d <= radius and (other := self.root(y)) != own and d < doubts.get(other, (radius + 1, 0))[0]:
-                    # The nearest node of a component is enough to ask about.
-                    doubts[other] = d, y
+                elif d <= radius and (other := self.root(y)) != own:
+                    doubts.setdefault(other, []).append((d, y))
                 below = children[node]
                 if len(below) > 2 * radius:
                     stack += [below[k] for k in range(d - radius, d + radius + 1) if k in below]
                 else:
                     stack += [c for k, c in below.items() if d - radius <= k <= d + radius]
             if doubts:
-                near = sorted(doubts.values())
+                near = sorted(pair for own_doubts in doubts.values() for pair in heapq.nsmallest(ASKED, own_doubts))
                 kept = len(near) if self.every else 1
                 self.doubtful += [(x, y) for _, y in near[:kept]]
                 self.left_out += [(x, y) for _, y in near[kept:]]
@@ -307,11 +309,11 @@ def banded(nodes: DataFrame) -> DataFrame:
 
 
 def similarity_radii(similarity: float) -> tuple[int, int]:
-    """Differing bits below which a pair is surely that similar, and above which it surely is not (2.5 standard deviations)."""
+    """Differing bits below which a pair is surely that similar (4 standard deviations, as a group has many pairs), and above which it surely is not (2.5)."""
     bits = 64 * LONG_WORDS
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    spread = 2.5 * math.sqrt(bits * p * (1 - p))
-    return math.floor(bits * p - spread), math.ceil(bits * p + spread)
+    spread = math.sqrt(bits * p * (1 - p))
+    return math.floor(bits * p - 4 * spread), math.ceil(bits * p + 2.5 * spread)
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, similarity: float) -> DataFrame:
@@ -355,7 +357,7 @@ def similar_classes(nodes: DataFrame, docs: DataFrame, n: int, similarity: float
     """(node, component) by verified similarity.
 
     First the sure links and the nearest doubtful pair of each node, which are as many as the nodes: a group of copies
-    falls together on them. Then, in shards that have more doubtful pairs, those between what is still apart.
+    falls together on them. Then, in shards that have more doubtful pairs, those between what is still apart, ASKED a component.
     """
     sure, radius = similarity_radii(similarity)
     bits = 64 * LONG_WORDS
