@@ -1,8 +1,9 @@
 """Distributed connected components: alternating large-star and small-star rounds over an edge table.
 
 Every round is two aggregations and two joins on narrow rows; nothing is gathered on the driver but a
-count and a checksum of the edges. Hub nodes are pre-aggregated by min() before the join, and the join
-itself is a plain equi-join whose skewed side adaptive execution can split.
+count and a checksum of the edges. Hub nodes are pre-aggregated by min() before the join. From SPLIT_ROWS
+edges on, the minima are written first: both sides of the join are then plain shuffles, whose skewed
+partitions (a hub with a third of all edges) adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -13,14 +14,18 @@ from pyspark.sql import functions as F
 from findloom.llm.common import discard, written
 
 
+SPLIT_ROWS = 1_000_000
+
+
 def _signature(edges: DataFrame) -> tuple:
     row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     return tuple(row)
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, split: bool) -> DataFrame:
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    least = written(least, "least") if split else least
     return (
         both.join(least, "u")
         .where(F.col("v") > F.col("u"))
@@ -30,9 +35,10 @@ def _large_star(edges: DataFrame) -> DataFrame:
     )
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, split: bool) -> DataFrame:
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
     least = down.groupBy("u").agg(F.min("v").alias("m"))
+    least = written(least, "least") if split else least
     moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
     return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
@@ -49,7 +55,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     )
     signature = _signature(current)
     for _ in range(max_rounds if signature[0] else 0):
-        following = written(_small_star(_large_star(current)), "cc")
+        split = signature[0] >= SPLIT_ROWS
+        following = written(_small_star(_large_star(current, split), split), "cc")
         discard(current)
         current, previous = following, signature
         signature = _signature(current)

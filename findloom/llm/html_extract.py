@@ -102,7 +102,7 @@ def blocks_of(page: str) -> list[tuple[tuple, str, float]]:
             at = n if end < 0 else end + 1
             continue
         name, attrs, closing = (m["name"] or m["name2"]).lower(), m["attrs"] or m["attrs2"] or "", bool(m["end"] or m["end2"])
-        block = name not in INLINE
+        block = name not in INLINE and name not in RAW
         if block:
             current = None
         elif name == "br":

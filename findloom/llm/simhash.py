@@ -390,7 +390,9 @@ def near_duplicates(docs: DataFrame, n: int = 3, radius: int = 3, similarity: fl
     else:
         classes = similar_classes(nodes, docs, n, similarity)
     named = nodes.join(classes, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("component", "fp").alias("component"))
-    ids = named.groupBy("component").agg(F.min("least").alias("component_id"))
+    # Written, so that the join has plain shuffles on both sides and a component of very many nodes can be split.
+    named = written(named, "named")
+    ids = written(named.groupBy("component").agg(F.min("least").alias("component_id")), "ids")
     by_fp = named.join(ids, "component").select("fp", "component_id")
     return marked.join(by_fp, "fp").select("doc_id", "fp", "component_id")
 

@@ -84,6 +84,8 @@ def revisits(pages: DataFrame) -> DataFrame:
     payload = F.coalesce("html", F.lit(""))
     narrow = pages.select("page_id", F.sha1(payload.cast("binary")).alias("digest"), F.octet_length(payload).alias("n")).where(F.col("n") >= REVISIT_BYTES)
     first = narrow.groupBy("digest", "n").agg(F.max("page_id").alias("refers_to"), F.count("*").alias("copies")).where("copies > 1")
+    # Written, so that the join has plain shuffles on both sides and a payload with very many copies can be split.
+    first = written(first, "firsts")
     return narrow.join(first, ["digest", "n"]).where("page_id < refers_to").select("page_id", "digest", "refers_to").distinct()
 
 
