@@ -33,6 +33,7 @@ INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style template noscript iframe object svg canvas math textarea select".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section table ul".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 _TAG = re.compile(r"""<(?:(?P<comment>!--)|(?P<other>[!?])|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>|(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>)""")
@@ -109,7 +110,7 @@ def blocks_of(page: str) -> list[tuple[tuple, str, float]]:
             text(" ")
         if closing:
             for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
+                if stack[k][0] == name or (name in HEADINGS and stack[k][0] in HEADINGS):
                     pop_to(k)
                     break
                 if not block and stack[k][0] not in INLINE:
@@ -384,8 +385,16 @@ def synthetic_page(r: random.Random) -> str:
             body = [f"<header>{body[0]}</header>"]
         for _ in range(r.randint(1, 14)):
             k = r.random()
-            if k < 0.78:
+            if k < 0.7:
                 body.append(paragraph())
+            elif k < 0.73:
+                body.append(f"<div{_attrs(r, [_word(r) for _ in range(4)], 0.5)}>{paragraph()}{paragraph()}</div>")
+            elif k < 0.75:
+                body.append(f"<section{_attrs(r, MAIN_NAMES, 0.2)}><h2>\x02{_words(r, 1, 8)}</h2>{paragraph()}</section>")
+            elif k < 0.77:
+                body.append(f'<figure><img src="x.png"><figcaption>\x02{_sentence(r, 2, 20)}</figcaption></figure>')
+            elif k < 0.78:
+                body.append(f"<div>\x02{_sentence(r, 4, 60)}</div>")
             elif k < 0.86:
                 body.append(f"<h{r.randint(2, 4)}>\x02{_words(r, 1, 8)}</h3>")
             elif k < 0.9:
