@@ -26,9 +26,8 @@ empty table gives no rows.
 
 from __future__ import annotations
 
-import heapq
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -41,8 +40,6 @@ from findloom.llm.common import written
 from findloom.llm.components import connected_components
 
 SHARD_ROWS = 2000
-#: In the second pass a node is compared in full with so many nodes of each component near it, in each of its shards.
-ASKED = 8
 BANDS, BAND_BITS, LONG_WORDS = 32, 14, 8
 _LANES = np.uint64(0x0101010101010101)
 
@@ -113,9 +110,9 @@ def fingerprints(docs: DataFrame, n: int, exact: bool) -> DataFrame:
 class BKTree:
     """Fingerprints (ints) in a tree keyed by Hamming distance, with the components of all nodes within the radius."""
 
-    def __init__(self, radius: int, sure: int | None = None, every: bool = False):
-        self.radius, self.sure, self.every = radius, radius if sure is None else sure, every
-        #: Pairs within the radius, but beyond what is sure: the nearest of each node, or with `every` the ASKED nearest of each component near it.
+    def __init__(self, radius: int, sure: int | None = None, similar: Callable[[int, int], bool] | None = None):
+        self.radius, self.sure, self.similar = radius, radius if sure is None else sure, similar
+        #: Pairs within the radius, but beyond what is sure: the nearest of each node, and all others. With `similar` they are decided at once.
         self.doubtful: list[tuple[int, int]] = []
         self.left_out: list[tuple[int, int]] = []
         self.values: list[int] = []
@@ -140,7 +137,7 @@ class BKTree:
         values, children, radius = self.values, self.children, self.radius
         me = len(values)
         if me:
-            stack, own, doubts = [0], self.root(x), {}
+            stack, own, doubts = [0], self.root(x), []
             while stack:
                 node = stack.pop()
                 y = values[node]
@@ -150,18 +147,23 @@ class BKTree:
                 if d <= self.sure:
                     self.join(x, y)
                     own = self.root(x)
-                elif d <= radius and (other := self.root(y)) != own:
-                    doubts.setdefault(other, []).append((d, y))
+                elif d <= radius and self.root(y) != own:
+                    doubts.append((d, y))
                 below = children[node]
                 if len(below) > 2 * radius:
                     stack += [below[k] for k in range(d - radius, d + radius + 1) if k in below]
                 else:
                     stack += [c for k, c in below.items() if d - radius <= k <= d + radius]
-            if doubts:
-                near = sorted(pair for own_doubts in doubts.values() for pair in heapq.nsmallest(ASKED, own_doubts))
-                kept = len(near) if self.every else 1
-                self.doubtful += [(x, y) for _, y in near[:kept]]
-                self.left_out += [(x, y) for _, y in near[kept:]]
+            doubts.sort()
+            if self.similar:
+                for _, y in doubts:
+                    if self.root(x) != self.root(y) and self.similar(x, y):
+                        self.join(x, y)
+                own = self.root(x)
+            else:
+                pairs = [(x, y) for _, y in doubts if self.root(y) != own]
+                self.doubtful += pairs[:1]
+                self.left_out += pairs[1:]
             node = 0
             while True:
                 if self.uniform[node] and self.root(values[node]) != own:
@@ -177,13 +179,18 @@ class BKTree:
         self.root(x)
 
 
-def linked(values: list[int], radius: int, bits: int, sure: int | None = None, labels: list | None = None) -> tuple[list[tuple[int, int]], list[tuple[int, int]], bool]:
-    """(links, doubtful pairs, whether more were left out) of a shard of distinct nodes.
+def linked(values: list[int], radius: int, bits: int, sure: int | None = None, labels: list | None = None, sets: dict | None = None, similarity: float = 1.0):
+    """(links, doubtful pairs, nodes of doubtful pairs left out) of a shard of distinct nodes.
 
     A link is a node and the least node of its component. With labels, nodes of one label are in one component from
-    the start and every doubtful pair of components is given; without, the nearest of each node.
+    the start; with sets, every doubtful pair of components is decided by the Jaccard similarity of its sets.
     """
-    tree = BKTree(radius, sure, labels is not None)
+
+    def similar(x: int, y: int) -> bool:
+        common = len(sets[x] & sets[y])
+        return common >= similarity * (len(sets[x]) + len(sets[y]) - common)
+
+    tree = BKTree(radius, sure, similar if sets else None)
     if labels is not None:
         heads: dict = {}
         for x, label in zip(values, labels):
@@ -200,29 +207,29 @@ def linked(values: list[int], radius: int, bits: int, sure: int | None = None, l
         tree.add(x)
     apart = lambda pairs: [(x, y) for x, y in pairs if tree.root(x) != tree.root(y)]
     roots = [(x, tree.root(x)) for x in values]
-    return [(x, r) for x, r in roots if x != r], apart(tree.doubtful), bool(apart(tree.left_out))
+    return [(x, r) for x, r in roots if x != r], apart(tree.doubtful), sorted({x for pair in apart(tree.left_out) for x in pair})
 
 
 LINK, DOUBT, MORE = 0, 1, 2
 
 
-def shard_links(sharded: DataFrame, keys: list[str], radius: int, bits: int, sure: int | None = None) -> DataFrame:
-    """sharded(keys, fp, perhaps label) -> (keys, u, v, kind); a shard's rows come together, and one shard is in memory at a time.
+def shard_links(sharded: DataFrame, keys: list[str], radius: int, bits: int, sure: int | None = None, similarity: float | None = None) -> DataFrame:
+    """sharded(keys, fp, with similarity also label and shingles) -> (keys, u, v, kind); one shard is in memory at a time.
 
-    Kinds: LINK and DOUBT are pairs, MORE says that the shard has doubtful pairs left out (u and v are null).
+    Kinds: LINK and DOUBT are pairs, MORE names a node u that has doubtful pairs left out (v is null).
     """
     kind = sharded.schema["fp"].dataType.simpleString()
     arrow = pa.int64() if kind == "bigint" else pa.binary()
     as_int = (lambda v: v & 0xFFFFFFFFFFFFFFFF) if kind == "bigint" else (lambda v: int.from_bytes(v, "big"))
     as_fp = (lambda x: x - (1 << 64) if x >> 63 else x) if kind == "bigint" else (lambda x: x.to_bytes(bits // 8, "big"))
-    labelled = "label" in sharded.columns
+    more_columns = ["label", "shingles"] if similarity is not None else []
     key_ddl = ", ".join(f"{k} {sharded.schema[k].dataType.simpleString()}" for k in keys)
     key_types = [{"int": pa.int32(), "bigint": pa.int64()}[sharded.schema[k].dataType.simpleString()] for k in keys]
 
     def shards(batches) -> Iterator[tuple[tuple, list]]:
         held, last = [], None
         for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
+            columns = [c.to_pylist() if not pa.types.is_list(c.type) else [frozenset(x.values.to_numpy().tolist()) for x in c] for c in batch.columns]
             key, rows = list(zip(*columns[: len(keys)])), list(zip(*columns[len(keys) :]))
             cuts = [i for i in range(1, len(key)) if key[i] != key[i - 1]]
             for a, b in zip([0, *cuts], [*cuts, len(key)]):
@@ -244,14 +251,18 @@ def shard_links(sharded: DataFrame, keys: list[str], radius: int, bits: int, sur
     def run(batches):
         rows: list[tuple] = []
         for key, shard in shards(batches):
-            links, doubtful, more = linked([as_int(r[0]) for r in shard], radius, bits, sure, [r[1] for r in shard] if labelled else None)
-            rows += [(*key, *x, LINK) for x in links] + [(*key, *x, DOUBT) for x in doubtful] + [(*key, None, None, MORE)] * more
+            values = [as_int(r[0]) for r in shard]
+            if similarity is None:
+                links, doubtful, more = linked(values, radius, bits, sure)
+            else:
+                links, doubtful, more = linked(values, radius, bits, sure, [r[1] for r in shard], dict(zip(values, (r[2] for r in shard))), similarity)
+            rows += [(*key, *x, LINK) for x in links] + [(*key, *x, DOUBT) for x in doubtful] + [(*key, x, None, MORE) for x in more]
             if len(rows) > 10_000:
                 yield as_batch(rows)
                 rows = []
         yield as_batch(rows)
 
-    together = sharded.select(*keys, "fp", *["label"] * labelled).repartition(*keys).sortWithinPartitions(*keys)
+    together = sharded.select(*keys, "fp", *more_columns).repartition(*keys).sortWithinPartitions(*keys)
     return together.mapInArrow(run, f"{key_ddl}, u {kind}, v {kind}, kind int")
 
 
@@ -316,10 +327,9 @@ def similarity_radii(similarity: float) -> tuple[int, int]:
     return math.floor(bits * p - 4 * spread), math.ceil(bits * p + 2.5 * spread)
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, similarity: float) -> DataFrame:
-    """The (u, v) of pairs whose shingle sets have at least that Jaccard similarity. Only texts of nodes in pairs move."""
-    ends = pairs.select(F.col("u").alias("fp")).unionByName(pairs.select(F.col("v").alias("fp"))).distinct()
-    asked = nodes.join(ends, "fp").select("fp", F.col("least").alias("id"))
+def shingle_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """(fp, shingles) of the nodes wanted(fp), as a written table. Only their texts move."""
+    asked = nodes.join(wanted.distinct(), "fp").select("fp", F.col("least").alias("id"))
 
     def run(batches):
         for batch in batches:
@@ -333,7 +343,11 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, simila
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(own, pa.int64())), pa.array([rows[k] for k in own], pa.list_(pa.int64()))], ["fp", "shingles"])
 
     texts = docs.select("doc_id", "text").join(asked, F.col("doc_id") == F.col("id")).select("fp", F.coalesce("text", F.lit("")).alias("text"))
-    sets = written(texts.mapInArrow(run, "fp binary, shingles array<long>").dropDuplicates(["fp"]), "shingles")
+    return written(texts.mapInArrow(run, "fp binary, shingles array<long>").dropDuplicates(["fp"]), "shingles")
+
+
+def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The (u, v) of pairs whose shingle sets have at least that Jaccard similarity."""
     left = pairs.join(sets.select(F.col("fp").alias("u"), F.col("shingles").alias("a")), "u")
     both = left.join(sets.select(F.col("fp").alias("v"), F.col("shingles").alias("b")), "v")
     common = F.size(F.array_intersect("a", "b"))
@@ -357,23 +371,22 @@ def similar_classes(nodes: DataFrame, docs: DataFrame, n: int, similarity: float
     """(node, component) by verified similarity.
 
     First the sure links and the nearest doubtful pair of each node, which are as many as the nodes: a group of copies
-    falls together on them. Then, in shards that have more doubtful pairs, those between what is still apart, ASKED a component.
+    falls together on them. Then the nodes that have more doubtful pairs meet in their shards again, with their shingle
+    sets, and every pair of what is still apart is decided there.
     """
     sure, radius = similarity_radii(similarity)
     bits = 64 * LONG_WORDS
-    shards = banded(nodes.select("fp"))
-    found = written(shard_links(shards, SHARD_KEYS, radius, bits, sure), "links")
+    found = written(shard_links(banded(nodes.select("fp")), SHARD_KEYS, radius, bits, sure), "links")
     classes = written(connected_components(found.where(F.col("kind") == LINK).select("u", "v")), "classes")
     pairs = written(_named(found.where(F.col("kind") == DOUBT), classes), "pairs")
-    classes = _joined(classes, verified(pairs, nodes, docs, n, similarity))
-    open_shards = found.where(F.col("kind") == MORE).select(*SHARD_KEYS)
-    if open_shards.isEmpty():
+    open_nodes = found.where(F.col("kind") == MORE).select(*SHARD_KEYS, F.col("u").alias("fp"))
+    wanted = pairs.select(F.col("u").alias("fp")).unionByName(pairs.select(F.col("v").alias("fp"))).unionByName(open_nodes.select("fp"))
+    sets = shingle_sets(wanted, nodes, docs, n)
+    classes = _joined(classes, verified(pairs, sets, similarity))
+    if open_nodes.isEmpty():
         return classes
-    again = shards.join(open_shards, SHARD_KEYS, "left_semi")
-    again = again.join(classes.select(F.col("node").alias("fp"), F.col("component").alias("label")), "fp", "left")
-    rest = shard_links(again, SHARD_KEYS, radius, bits, sure).where(F.col("kind") == DOUBT)
-    rest = written(_named(rest, classes).join(pairs, ["u", "v"], "left_anti"), "pairs")
-    return _joined(classes, verified(rest, nodes, docs, n, similarity))
+    again = open_nodes.join(classes.select(F.col("node").alias("fp"), F.col("component").alias("label")), "fp", "left").join(sets, "fp")
+    return _joined(classes, shard_links(again, SHARD_KEYS, radius, bits, sure, similarity).where(F.col("kind") == LINK).select("u", "v"))
 
 
 def near_duplicates(docs: DataFrame, n: int = 3, radius: int = 3, similarity: float | None = None) -> DataFrame:
