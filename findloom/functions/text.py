@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -121,11 +123,9 @@ def hashed_id(text: Column) -> Column:
 
 
 def rendered(template: str, **values: Column) -> Column:
-    """The template with each {name} replaced."""
-    out = F.lit(template)
-    for name, value in values.items():
-        out = F.replace(out, F.lit(f"{{{name}}}"), value)
-    return out
+    """The template with each {name} of values replaced; braces inside values, and other names, stay as they are."""
+    parts = re.split(rf"\{{({'|'.join(values)})\}}", template)
+    return F.concat(*(values[p] if k % 2 else F.lit(p) for k, p in enumerate(parts)))
 
 
 def jsonl_line(json: Column, delimiter: str) -> Column:

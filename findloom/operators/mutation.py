@@ -27,6 +27,20 @@ def updated_vectors(rows: DataFrame, new: DataFrame) -> DataFrame:
     return rows.join(own, ["doc_id", "embed_id"], "left").withColumn("embed_vector", F.coalesce("__new", "embed_vector")).drop("__new")
 
 
+def edited_chunks(rows: DataFrame, edits: DataFrame) -> DataFrame:
+    """rows with the trimmed texts and the vectors of edits(doc_id, embed_id, embed_data, embed_vector)."""
+    own = edits.select("doc_id", "embed_id", F.trim("embed_data").alias("__text"), F.col("embed_vector").alias("__vector"))
+    both = rows.join(own, ["doc_id", "embed_id"], "left")
+    new = {"embed_data": F.coalesce("__text", "embed_data"), "embed_vector": F.when(F.col("__text").isNotNull(), F.col("__vector")).otherwise(F.col("embed_vector"))}
+    return both.withColumns(new).select(rows.columns)
+
+
+def replaced_images(images: DataFrame, chunks: DataFrame, new_images: DataFrame, new_chunks: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The images of the documents in `new_images`, and their chunks, give way to the new ones."""
+    gone = new_images.select("doc_id").distinct()
+    return without_documents(images, gone).unionByName(new_images), without_documents(chunks, gone).unionByName(new_chunks)
+
+
 def pending(rows: DataFrame) -> DataFrame:
     """Chunks that have no vector yet."""
     return rows.where("embed_vector is null")
