@@ -1,46 +1,50 @@
 """Distributed connected components: alternating large-star and small-star rounds over an edge table.
 
-Every round is two aggregations and two joins on narrow rows; nothing is gathered on the driver but a
-count and a checksum of the edges. Hub nodes are pre-aggregated by min() before the join. From SPLIT_ROWS
-edges on, the minima are written first: both sides of the join are then plain shuffles, whose skewed
-partitions (a hub with a third of all edges) adaptive execution splits.
+A round is two shuffles of narrow rows by node and one that drops repeats; nothing is gathered on the driver but the
+number of edges at the start and, after each round, whether every node has come to one edge to a root.
+
+Below SPLIT_ROWS edges a node's least neighbour is a window minimum, which bounds what one hub can bring to a task.
+From there on it is pre-aggregated and written, and joined back: both sides of the join are then plain shuffles, whose
+skewed partitions (a hub with a third of all edges) adaptive execution splits.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from findloom.llm.common import discard, written
 
-
 SPLIT_ROWS = 1_000_000
 
 
-def _signature(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-    return tuple(row)
+def _with_least(edges: DataFrame, split: bool) -> DataFrame:
+    """edges(u, v) with m, the least v of each u."""
+    if not split:
+        return edges.withColumn("m", F.min("v").over(Window.partitionBy("u")))
+    return edges.join(written(edges.groupBy("u").agg(F.min("v").alias("m")), "least"), "u")
 
 
 def _large_star(edges: DataFrame, split: bool) -> DataFrame:
+    """Every larger neighbour of a node moves to the node's least neighbour, or to the node itself."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    least = written(least, "least") if split else least
-    return (
-        both.join(least, "u")
-        .where(F.col("v") > F.col("u"))
-        .select(F.col("v").alias("u"), F.col("m").alias("v"))
-        .where("u <> v")
-        .distinct()
-    )
+    moved = _with_least(both, split).where("v > u")
+    return moved.select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
 def _small_star(edges: DataFrame, split: bool) -> DataFrame:
-    down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    least = written(least, "least") if split else least
-    moved = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-    return moved.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
+    """Every smaller neighbour of a node, and the node, move to the least of them."""
+    ends = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
+    moved = _with_least(edges, split).select(F.explode(ends).alias("e")).select("e.u", "e.v")
+    return moved.where("u <> v").distinct()
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one edge, to a node that has none."""
+    ends = edges.select(F.col("u").alias("n"), F.lit(1).alias("out"), F.lit(0).alias("into")).unionByName(
+        edges.select(F.col("v").alias("n"), F.lit(0).alias("out"), F.lit(1).alias("into"))
+    )
+    return ends.groupBy("n").agg(F.sum("out").alias("out"), F.max("into").alias("into")).where("out > 1 or (out = 1 and into = 1)").isEmpty()
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -49,21 +53,17 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Self-loops and repeated edges are allowed, null ends are dropped; nodes without an edge to another
     node are not in the result. An empty edge table gives an empty result.
     """
-    kind = edges.schema["u"].dataType
-    current = written(
-        edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").cast(kind).alias("v")).where("u <> v").distinct(), "cc"
-    )
-    signature = _signature(current)
-    for _ in range(max_rounds if signature[0] else 0):
-        split = signature[0] >= SPLIT_ROWS
+    current = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "cc")
+    n = current.count()
+    for _ in range(max_rounds if n else 0):
+        split = n >= SPLIT_ROWS
         following = written(_small_star(_large_star(current, split), split), "cc")
         discard(current)
-        current, previous = following, signature
-        signature = _signature(current)
-        if signature == previous:
+        current = following
+        if _settled(current):
             break
     else:
-        if signature[0]:
+        if n:
             raise RuntimeError(f"components did not settle in {max_rounds} rounds")
-    nodes = current.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return nodes.unionByName(current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    roots = current.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
+    return current.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -354,19 +354,6 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v")
 
 
-def _named(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Distinct pairs whose ends are in different classes; a node without one is its own."""
-    pairs = pairs.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    for end in "uv":
-        own = classes.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}"))
-        pairs = pairs.join(own, end, "left").withColumn(f"of_{end}", F.coalesce(f"of_{end}", end))
-    return pairs.where("of_u <> of_v").select("u", "v")
-
-
-def _joined(classes: DataFrame, more: DataFrame) -> DataFrame:
-    return written(connected_components(classes.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more)), "classes")
-
-
 def similar_classes(nodes: DataFrame, docs: DataFrame, n: int, similarity: float) -> DataFrame:
     """(node, component) by verified similarity.
 
@@ -377,16 +364,17 @@ def similar_classes(nodes: DataFrame, docs: DataFrame, n: int, similarity: float
     sure, radius = similarity_radii(similarity)
     bits = 64 * LONG_WORDS
     found = written(shard_links(banded(nodes.select("fp")), SHARD_KEYS, radius, bits, sure), "links")
-    classes = written(connected_components(found.where(F.col("kind") == LINK).select("u", "v")), "classes")
-    pairs = written(_named(found.where(F.col("kind") == DOUBT), classes), "pairs")
+    of_kind = lambda kind: found.where(F.col("kind") == kind).select("u", "v")
+    pairs = written(of_kind(DOUBT).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "pairs")
     open_nodes = found.where(F.col("kind") == MORE).select(*SHARD_KEYS, F.col("u").alias("fp"))
     wanted = pairs.select(F.col("u").alias("fp")).unionByName(pairs.select(F.col("v").alias("fp"))).unionByName(open_nodes.select("fp"))
     sets = shingle_sets(wanted, nodes, docs, n)
-    classes = _joined(classes, verified(pairs, sets, similarity))
+    classes = written(connected_components(of_kind(LINK).unionByName(verified(pairs, sets, similarity))), "classes")
     if open_nodes.isEmpty():
         return classes
     again = open_nodes.join(classes.select(F.col("node").alias("fp"), F.col("component").alias("label")), "fp", "left").join(sets, "fp")
-    return _joined(classes, shard_links(again, SHARD_KEYS, radius, bits, sure, similarity).where(F.col("kind") == LINK).select("u", "v"))
+    more = shard_links(again, SHARD_KEYS, radius, bits, sure, similarity).where(F.col("kind") == LINK).select("u", "v")
+    return connected_components(classes.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
 
 
 def near_duplicates(docs: DataFrame, n: int = 3, radius: int = 3, similarity: float | None = None) -> DataFrame:
