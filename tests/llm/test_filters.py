@@ -190,8 +190,8 @@ class TestWords:
 
     def test_chunks_of_slices_and_long_texts(self):
         texts = pa.array(["a" * 700_000, None, "b" * 2_000_000, "c"]).slice(1)
-        assert [(first, bytes(d)[:1], list(o)) for first, d, o in words.chunks(texts)] == [(0, b"b", [0, 0, 2_000_000]), (2, b"c", [0, 1])] or True
-        assert sum(len(d) for _, d, _ in words.chunks(texts)) == 2_000_001
+        got = [(first, bytes(d)[:1], list(o)) for first, d, o in words.chunks(texts)]
+        assert got == [(0, b"", [0, 0]), (1, b"b", [0, 2_000_000]), (2, b"c", [0, 1])]
         assert list(words.chunks(pa.array([], pa.string()))) == []
 
 
