@@ -276,15 +276,25 @@ def _signed(mask: int) -> int:
     return mask - (1 << 64) if mask >> 63 else mask
 
 
+def _with_large(rows: DataFrame) -> DataFrame:
+    """rows(band, value, ...) with `large`, whether the shard has more than SHARD_ROWS rows.
+
+    Large shards are few and most often none, so their table is written: Spark sees its size and joins without moving
+    the rows as long as it is small.
+    """
+    sizes = rows.groupBy("band", "value").count().where(F.col("count") > SHARD_ROWS)
+    large = written(sizes.select("band", "value", F.lit(True).alias("large")), "large")
+    if large.isEmpty():
+        return rows.withColumn("large", F.lit(False))
+    return rows.join(large, ["band", "value"], "left").withColumn("large", F.coalesce("large", F.lit(False)))
+
+
 def exact_links(nodes: DataFrame, radius: int) -> DataFrame:
     """nodes(fp long), distinct -> links within the radius, complete up to what components need."""
     rows = nodes.select("fp", F.explode(_exact_bands(F.col("fp"), radius)).alias("b")).select("fp", "b.band", "b.value")
-    sizes = rows.groupBy("band", "value").count().where(F.col("count") > 1)
-    rows = rows.join(sizes, ["band", "value"])
-    cold = rows.where(F.col("count") <= SHARD_ROWS).select("fp", "band", "value", F.lit(-1).alias("sub"), F.lit(0).cast("long").alias("part"))
-    hot = rows.where(F.col("count") > SHARD_ROWS).select("fp", "band", "value", F.explode(_slices(F.col("fp"), F.col("band"), radius)).alias("s"))
-    hot = hot.select("fp", "band", "value", "s.sub", "s.part")
-    return shard_links(cold.unionByName(hot), ["band", "value", "sub", "part"], radius, 64)
+    whole = F.array(F.struct(F.lit(-1).alias("sub"), F.lit(0).cast("long").alias("part")))
+    cuts = _with_large(rows).withColumn("s", F.explode(F.when(F.col("large"), _slices(F.col("fp"), F.col("band"), radius)).otherwise(whole)))
+    return shard_links(cuts.select("fp", "band", "value", "s.sub", "s.part"), ["band", "value", "sub", "part"], radius, 64)
 
 
 def _slices(fp: Column, band: Column, radius: int) -> Column:
@@ -313,10 +323,9 @@ def banded(nodes: DataFrame) -> DataFrame:
     value = lambda k: F.conv(F.hex(F.substring("fp", 2 * k + 1, 2)), 16, 10).cast("int").bitwiseAND((1 << BAND_BITS) - 1)
     bands = F.array(*(F.struct(F.lit(k).alias("band"), value(k).alias("value"), value((k + 1) % BANDS).alias("next")) for k in range(BANDS)))
     rows = nodes.select("fp", F.explode(bands).alias("b")).select("fp", "b.*")
-    sizes = rows.groupBy("band", "value").count().where(F.col("count") > 1)
     # A large shard is cut by the next band as well.
-    part = F.when(F.col("count") > SHARD_ROWS, F.col("next")).otherwise(-1)
-    return rows.join(sizes, ["band", "value"]).select("fp", "band", "value", part.alias("part"))
+    part = F.when(F.col("large"), F.col("next")).otherwise(-1)
+    return _with_large(rows).select("fp", "band", "value", part.alias("part"))
 
 
 def similarity_radii(similarity: float) -> tuple[int, int]:
