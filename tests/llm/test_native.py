@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from findloom.llm import chat_format, license_scan, mixing, queries, sql, url_filter
+from findloom.llm import chat_format, components, license_scan, mixing, queries, sql, url_filter
 from findloom.llm.components import connected_components
 
 DOCS = "doc_id long, text string, source string, size string, target int"
@@ -193,9 +193,11 @@ class TestUrls:
 
 
 class TestComponents:
-    def test_against_union_find(self, spark):
+    @pytest.mark.parametrize("split_rows", [1_000_000, 0])
+    def test_against_union_find(self, spark, monkeypatch, split_rows):
         import random
 
+        monkeypatch.setattr(components, "SPLIT_ROWS", split_rows)
         r = random.Random(1)
         edges = [(r.randrange(400), r.randrange(400)) for _ in range(230)] + [(k, k + 1) for k in range(1000, 1060)] + [(2000, 2001 + k) for k in range(200)] + [(5, 5)]
         parent: dict = {}
