@@ -3,8 +3,8 @@
 Rules are (host, path prefix, verdict). A rule fits its host and every subdomain when the url's path starts
 with the rule's path; the longest fitting rule decides. Pages that a redirect (meta refresh) or a canonical
 link connects are aliases: their normalised urls are nodes, distributed connected components groups them, and
-a block found on one member reaches every member that no rule fits. A url that an explicit allow rule fits
-stays allowed, whatever its aliases are.
+a block found on one member, be it a page or only the target of a link, reaches every member that no rule fits.
+A url that an explicit allow rule fits stays allowed, whatever its aliases are.
 
 Defined cases: a null url, or one without "://", has empty host and path, no rule, and is its own class
 (verdict allow). A null html has no links. Repeated rows each get a verdict. An empty table gives no rows.
@@ -89,18 +89,21 @@ def resolved(target: Column, url: Column) -> Column:
 
 def filter_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     """pages(page_id, url, html) -> page_id, host, path, rule, verdict, alias_class (the component's least node)."""
+    blocks = lambda fit: F.coalesce(fit["verdict"] == "block", F.lit(False))
+    link = lambda url: F.struct(normalised(url).alias("node"), blocks(fitting_rule(host_of(url), path_of(url), rules)).alias("bad"))
     judged = pages.select("page_id", "url", "html").select(
         "page_id",
         host_of(F.col("url")).alias("host"),
         path_of(F.col("url")).alias("path"),
         normalised(F.col("url")).alias("node"),
-        F.transform(link_targets(F.col("html")), lambda t: normalised(resolved(t, F.col("url")))).alias("links"),
+        F.transform(F.transform(link_targets(F.col("html")), lambda t: resolved(t, F.col("url"))), link).alias("links"),
     )
     judged = written(judged.withColumn("fit", fitting_rule(F.col("host"), F.col("path"), rules)), "urls")
-    edges = judged.where(F.size("links") > 0).select(F.col("node").alias("u"), F.explode("links").alias("v")).dropna()
-    classes = connected_components(edges)
+    edges = judged.where(F.size("links") > 0).select(F.col("node").alias("u"), F.explode("links").alias("l")).select("u", F.col("l.node").alias("v"), "l.bad").dropna()
+    classes = connected_components(edges.select("u", "v"))
     # One row a node before the class is looked up: a url that a third of all rows share stays one row.
-    nodes = judged.where("node is not null").groupBy("node").agg(F.max(F.coalesce(F.col("fit.verdict") == "block", F.lit(False))).alias("bad"))
+    ends = judged.where("node is not null").select("node", blocks(F.col("fit")).alias("bad")).unionByName(edges.select(F.col("v").alias("node"), "bad"))
+    nodes = ends.groupBy("node").agg(F.max("bad").alias("bad"))
     nodes = nodes.join(classes, "node", "left").withColumn("alias_class", F.coalesce("component", "node"))
     blocked = nodes.where("bad").select("alias_class").distinct().withColumn("blocked", F.lit(True))
     marked = nodes.join(blocked, "alias_class", "left").select("node", "alias_class", F.coalesce("blocked", F.lit(False)).alias("blocked"))

@@ -186,6 +186,16 @@ class TestUrls:
         )
         assert [got[k][3] for k in range(9)] == ["block", "block", "block", "block", "block", "allow", "allow", "block", "block"]
 
+    def test_blocks_are_found_on_targets_that_are_no_pages(self, spark):
+        canonical = lambda u: f'<link rel="canonical" href="{u}">'
+        refresh = lambda u: f"<meta http-equiv='refresh' content='0; url={u}'>"
+        got = self.judge(
+            spark,
+            ("http://a.org/1", canonical("http://bad.net/es/1")), ("http://b.org/", refresh("http://a.org/1")), ("http://c.org/", canonical("http://bad.net/de/1")),
+            ("http://d.com/", canonical("http://bad.net/es/1/")), ("http://e.org/", refresh("http://f.org/x")), ("http://g.org/", canonical("http://f.org/x?ref=1")),
+        )
+        assert [got[k][3] for k in range(6)] == ["block", "block", "allow", "allow", "allow", "allow"]
+
     def test_empty_and_repeated(self, spark):
         assert self.judge(spark) == {}
         pages = spark.createDataFrame([(1, "http://x.org", "")] * 3, "page_id long, url string, html string")
