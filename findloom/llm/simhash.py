@@ -6,8 +6,10 @@ nodes with one value of one band, and a shard's nodes form a BK-tree: children a
 distance to the parent, and a search follows only edges within the radius of its own distance. Shards are
 dealt to tasks by a shuffle: the trees of a whole corpus have no size bound, so they are not broadcast.
 
-Large shards (a third of a corpus may be copies of one text): a shard above SHARD_ROWS nodes is cut again by bands
-of the remaining bits, which loses no link of the exact form. Inside a shard, nodes that differ by one bit are
+Large shards (a third of a corpus may be copies of one text): a shard above SHARD_ROWS nodes is cut again. The
+exact form cuts by bands of the remaining bits, which loses no link. The similarity form first cuts by the next band,
+which joins most of a group of copies, and then lets all blocks of the shard meet two by two, but for blocks that lie
+in one component already: every two nodes of a shard are compared or joined, whatever its size. Inside a shard, nodes that differ by one bit are
 joined first, and a search passes over subtrees that lie wholly in its own component, so that a dense ball of
 copies costs little more than a look at each node. A shard gives one row for each linked node (node, least node of
 its component there), never pairs; distributed components join shards.
@@ -32,7 +34,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from findloom.llm import words as W
@@ -214,15 +216,15 @@ LINK, DOUBT, MORE = 0, 1, 2
 
 
 def shard_links(sharded: DataFrame, keys: list[str], radius: int, bits: int, sure: int | None = None, similarity: float | None = None) -> DataFrame:
-    """sharded(keys, fp, with similarity also label and shingles) -> (keys, u, v, kind); one shard is in memory at a time.
+    """sharded(keys, fp, maybe label, with similarity also shingles) -> (keys, u, v, kind); one shard is in memory at a time.
 
-    Kinds: LINK and DOUBT are pairs, MORE names a node u that has doubtful pairs left out (v is null).
+    With labels, nodes of one label are in one component from the start. Kinds: LINK and DOUBT are pairs, MORE names a node u that has doubtful pairs left out (v is null).
     """
     kind = sharded.schema["fp"].dataType.simpleString()
     arrow = pa.int64() if kind == "bigint" else pa.binary()
     as_int = (lambda v: v & 0xFFFFFFFFFFFFFFFF) if kind == "bigint" else (lambda v: int.from_bytes(v, "big"))
     as_fp = (lambda x: x - (1 << 64) if x >> 63 else x) if kind == "bigint" else (lambda x: x.to_bytes(bits // 8, "big"))
-    more_columns = ["label", "shingles"] if similarity is not None else []
+    more_columns = [c for c in ("label", "shingles") if c in sharded.columns]
     key_ddl = ", ".join(f"{k} {sharded.schema[k].dataType.simpleString()}" for k in keys)
     key_types = [{"int": pa.int32(), "bigint": pa.int64()}[sharded.schema[k].dataType.simpleString()] for k in keys]
 
@@ -252,10 +254,11 @@ def shard_links(sharded: DataFrame, keys: list[str], radius: int, bits: int, sur
         rows: list[tuple] = []
         for key, shard in shards(batches):
             values = [as_int(r[0]) for r in shard]
+            labels = [r[1] for r in shard] if "label" in more_columns else None
             if similarity is None:
-                links, doubtful, more = linked(values, radius, bits, sure)
+                links, doubtful, more = linked(values, radius, bits, sure, labels)
             else:
-                links, doubtful, more = linked(values, radius, bits, sure, [r[1] for r in shard], dict(zip(values, (r[2] for r in shard))), similarity)
+                links, doubtful, more = linked(values, radius, bits, sure, labels, dict(zip(values, (r[2] for r in shard))), similarity)
             rows += [(*key, *x, LINK) for x in links] + [(*key, *x, DOUBT) for x in doubtful] + [(*key, x, None, MORE) for x in more]
             if len(rows) > 10_000:
                 yield as_batch(rows)
@@ -319,13 +322,32 @@ SHARD_KEYS = ["band", "value", "part"]
 
 
 def banded(nodes: DataFrame) -> DataFrame:
-    """nodes(fp 64 bytes) -> fp with each shard that it is in."""
+    """nodes(fp 64 bytes) -> fp with each shard that it is in, and `large`: whether the shard is cut."""
     value = lambda k: F.conv(F.hex(F.substring("fp", 2 * k + 1, 2)), 16, 10).cast("int").bitwiseAND((1 << BAND_BITS) - 1)
     bands = F.array(*(F.struct(F.lit(k).alias("band"), value(k).alias("value"), value((k + 1) % BANDS).alias("next")) for k in range(BANDS)))
     rows = nodes.select("fp", F.explode(bands).alias("b")).select("fp", "b.*")
-    # A large shard is cut by the next band as well.
-    part = F.when(F.col("large"), F.col("next")).otherwise(-1)
-    return _with_large(rows).select("fp", "band", "value", part.alias("part"))
+    # A large shard is cut by the next band at first; met_in_blocks() brings together what that keeps apart.
+    part = F.when(F.col("large"), F.col("next")).otherwise(-1).cast("long")
+    return _with_large(rows).select("fp", "band", "value", part.alias("part"), "large")
+
+
+def met_in_blocks(large: DataFrame, classes: DataFrame) -> DataFrame:
+    """large(fp, band, value), classes(node, component) -> (shard keys, fp, label), where all nodes of a large shard meet that are not in one component.
+
+    A shard's nodes, ordered by component, are cut into blocks of half of SHARD_ROWS, and every two blocks are a shard
+    of their own. Two blocks that lie wholly in the same component have nothing left to find and are passed over: a
+    group of copies is met only by the blocks that hold others.
+    """
+    shard = ["band", "value"]
+    named = large.join(classes.select(F.col("node").alias("fp"), F.col("component").alias("label")), "fp", "left")
+    at = F.row_number().over(Window.partitionBy(*shard).orderBy(F.coalesce("label", "fp"), "fp")) - 1
+    rows = written(named.select("fp", "label", *shard, F.floor(at / max(1, SHARD_ROWS // 2)).cast("long").alias("block")), "blocks")
+    whole = F.when((F.min("label") == F.max("label")) & (F.count("label") == F.count("*")), F.min("label"))
+    blocks = written(rows.groupBy(*shard, "block").agg(whole.alias("whole")), "block-labels")
+    side = lambda at, whole: blocks.select(*shard, F.col("block").alias(at), F.col("whole").alias(whole))
+    pairs = side("i", "a").join(side("j", "b"), shard).where("i < j and not coalesce(a = b, false)")
+    meet = pairs.select(*shard, (F.col("i") * (1 << 31) + F.col("j")).alias("part"), F.explode(F.array("i", "j")).alias("block"))
+    return rows.join(meet, [*shard, "block"]).select(*SHARD_KEYS, "fp", "label")
 
 
 def similarity_radii(similarity: float) -> tuple[int, int]:
@@ -363,8 +385,8 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v")
 
 
-def similar_classes(nodes: DataFrame, docs: DataFrame, n: int, similarity: float) -> DataFrame:
-    """(node, component) by verified similarity.
+def _joined(shards: DataFrame, classes: DataFrame | None, nodes: DataFrame, docs: DataFrame, n: int, similarity: float) -> DataFrame:
+    """(node, component) of what classes (node, component) join already and what shards (keys, fp, maybe label) join by verified similarity.
 
     First the sure links and the nearest doubtful pair of each node, which are as many as the nodes: a group of copies
     falls together on them. Then the nodes that have more doubtful pairs meet in their shards again, with their shingle
@@ -372,18 +394,31 @@ def similar_classes(nodes: DataFrame, docs: DataFrame, n: int, similarity: float
     """
     sure, radius = similarity_radii(similarity)
     bits = 64 * LONG_WORDS
-    found = written(shard_links(banded(nodes.select("fp")), SHARD_KEYS, radius, bits, sure), "links")
+    as_links = lambda named: named.select(F.col("node").alias("u"), F.col("component").alias("v"))
+    found = written(shard_links(shards, SHARD_KEYS, radius, bits, sure), "links")
     of_kind = lambda kind: found.where(F.col("kind") == kind).select("u", "v")
     pairs = written(of_kind(DOUBT).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "pairs")
     open_nodes = found.where(F.col("kind") == MORE).select(*SHARD_KEYS, F.col("u").alias("fp"))
     wanted = pairs.select(F.col("u").alias("fp")).unionByName(pairs.select(F.col("v").alias("fp"))).unionByName(open_nodes.select("fp"))
     sets = shingle_sets(wanted, nodes, docs, n)
-    classes = written(connected_components(of_kind(LINK).unionByName(verified(pairs, sets, similarity))), "classes")
+    links = of_kind(LINK).unionByName(verified(pairs, sets, similarity))
+    joined = written(connected_components(links if classes is None else links.unionByName(as_links(classes))), "classes")
     if open_nodes.isEmpty():
-        return classes
-    again = open_nodes.join(classes.select(F.col("node").alias("fp"), F.col("component").alias("label")), "fp", "left").join(sets, "fp")
+        return joined
+    again = open_nodes.join(joined.select(F.col("node").alias("fp"), F.col("component").alias("label")), "fp", "left").join(sets, "fp")
     more = shard_links(again, SHARD_KEYS, radius, bits, sure, similarity).where(F.col("kind") == LINK).select("u", "v")
-    return connected_components(classes.select(F.col("node").alias("u"), F.col("component").alias("v")).unionByName(more))
+    return connected_components(as_links(joined).unionByName(more))
+
+
+def similar_classes(nodes: DataFrame, docs: DataFrame, n: int, similarity: float) -> DataFrame:
+    """(node, component) by verified similarity: in the shards, and then in the blocks of those that were cut."""
+    shards = banded(nodes.select("fp"))
+    large = shards.where("large").select("fp", "band", "value")
+    classes = _joined(shards.drop("large"), None, nodes, docs, n, similarity)
+    if large.isEmpty():
+        return classes
+    classes = written(classes, "classes")
+    return _joined(met_in_blocks(large, classes), classes, nodes, docs, n, similarity)
 
 
 def near_duplicates(docs: DataFrame, n: int = 3, radius: int = 3, similarity: float | None = None) -> DataFrame:

@@ -308,6 +308,40 @@ class TestNearDuplicates:
         got = {r.doc_id: r.component_id for r in simhash.near_duplicates(rows, 5, similarity=0.8).collect()}
         assert all(want[got[k]] == want[k] for k in got) and sum(got[k] != want[k] for k in got) <= 4
 
+    def test_cut_shards_find_what_whole_ones_find(self, spark, monkeypatch):
+        """Pairs of similarity 0.82 that stand alone, with every shard of two nodes cut."""
+        r = random.Random(15)
+        texts = []
+        for _ in range(150):
+            own = prose(r, 104).split()
+            other = list(own)
+            for at in r.sample([12, 38, 64, 90], 2):
+                other[at] = "changed"
+            texts += [" ".join(own), " ".join(other)]
+        rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+        classes = lambda: {r.doc_id: r.component_id for r in simhash.near_duplicates(rows, 5, similarity=0.8).collect()}
+        whole = classes()
+        monkeypatch.setattr(simhash, "SHARD_ROWS", 1)
+        assert classes() == whole and all(c in (k, k - k % 2) for k, c in whole.items())
+        assert sum(whole[k] != k for k in whole) >= 135
+
+    def test_all_nodes_of_a_large_shard_meet(self, spark, monkeypatch):
+        monkeypatch.setattr(simhash, "SHARD_ROWS", 6)
+        fps = [bytes([k]) for k in range(60)]
+        large = spark.createDataFrame([(f, 0, v) for v in (1, 2) for f in fps], "fp binary, band int, value int")
+        label = {f: fps[1] if k % 3 else (fps[3] if k % 2 else None) for k, f in enumerate(fps)}
+        classes = spark.createDataFrame([(f, c) for f, c in label.items() if c], "node binary, component binary")
+        shards: dict = {}
+        for row in simhash.met_in_blocks(large, classes).collect():
+            assert (bytes(row.label) if row.label else None) == label[bytes(row.fp)]
+            shards.setdefault((row.value, row.part), set()).add(bytes(row.fp))
+        assert max(map(len, shards.values())) <= 6
+        for v in (1, 2):
+            met = {(a, b) for (value, _), own in shards.items() if value == v for a in own for b in own}
+            assert all((a, b) in met for a in fps for b in fps if a != b and (label[a] is None or label[a] != label[b]))
+        # Blocks of one component do not meet.
+        assert len(shards) < 2 * (20 * 19 // 2)
+
     def test_one_of_each_group_stays(self, spark):
         text = prose(random.Random(13), 50)
         rows = [(3, text, 1), (2, text, 1), (2, text, 1), (None, text, 1), (9, "", 1), (8, None, 1), (7, prose(random.Random(14), 50), 1)]
