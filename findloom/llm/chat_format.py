@@ -12,8 +12,8 @@ texts of assistant turns).
 
 Defined cases: null or empty texts and roles are empty strings; a record of no turns formats to the empty
 string; turns that tie on their number are ordered by role and text; a record whose fingerprint no mapping
-knows has null turns (it is kept, for a report); extra fields inside a record change its fingerprint, extra
-columns beside it are ignored.
+knows has null turns (it is kept, for a report); a text counts whole, whatever its length; extra fields inside a
+record change its fingerprint, extra columns beside it are ignored.
 """
 
 from __future__ import annotations
@@ -41,9 +41,20 @@ LAYOUTS = {
 ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
+#: try_parse_json takes strings of 20,000,000 characters and variants of 128 MiB at most; from_json can be told otherwise.
+LONG_RECORD = 10_000_000
+UNBOUNDED = {"maxStringLen": str(2**31 - 1)}
+
+
+def _skeleton(record: Column) -> Column:
+    """A long record with its string values emptied; field names, which stand before a colon, stay."""
+    bare = F.regexp_replace(F.regexp_replace(record, r"(?s)\\.", "_"), r'"([^"]*)"(\s*:)|"[^"]*"', '"$1"$2')
+    return F.when(F.length(record) > LONG_RECORD, bare).otherwise(record)
+
+
 def fingerprint(record: Column) -> Column:
     """Hash of the record's nested field paths: its variant schema without types, so that values never matter."""
-    schema = F.schema_of_variant(F.try_parse_json(record))
+    schema = F.schema_of_variant(F.try_parse_json(_skeleton(record)))
     untyped = F.regexp_replace(schema, r": (?!OBJECT|ARRAY)[A-Z]\w*(\([0-9,]+\))?|(?<=ARRAY<)(?!OBJECT|ARRAY)[A-Z]\w*(\([0-9,]+\))?", "")
     return F.xxhash64(untyped)
 
@@ -61,9 +72,9 @@ def _ddl(paths: list[str]) -> str:
 def _mapped(record: Column, mapping) -> Column:
     if mapping[0] == "list":
         _, path, role, text = mapping
-        items = F.from_json(F.get_json_object(record, f"$.{path}"), f"array<struct<`{role}`:string,`{text}`:string>>")
-        return F.transform(items, lambda m: F.struct(m[role].alias("role"), m[text].alias("text"))).cast(TURNS)
-    fields = F.from_json(record, ",".join(f"`{p}` string" for _, p in mapping[1]))
+        items = F.from_json(record, f"`{path}` array<struct<`{role}`:string,`{text}`:string>>", UNBOUNDED)
+        return F.transform(items[path], lambda m: F.struct(m[role].alias("role"), m[text].alias("text"))).cast(TURNS)
+    fields = F.from_json(record, ",".join(f"`{p}` string" for _, p in mapping[1]), UNBOUNDED)
     return F.array(*(F.struct(F.lit(r).alias("role"), fields[p].alias("text")) for r, p in mapping[1])).cast(TURNS)
 
 

@@ -151,6 +151,16 @@ class TestChats:
         loss = "".join(t or "" for t in texts)
         assert digest.n_turns == 22 and digest.loss_chars == len(loss) and digest.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
 
+    def test_very_long_texts_stay_whole(self, spark):
+        """Above the 20,000,000 characters that a JSON string may have by default."""
+        n = 21_000_000
+        rows = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(k).alias("turn"), F.lit(r).alias("role"), t.alias("text")) for k, (r, t) in enumerate([
+            ("user", F.lit('say "a: b"\\')), ("assistant", F.concat(F.lit('"\n'), F.repeat(F.lit("x"), n))),
+        ])))).alias("t")).select(F.lit(1).cast("long").alias("conv_id"), F.col("t.turn").cast("long").alias("turn"), "t.role", "t.text")
+        got = chat_format.read_back(chat_format.format_chats(chat_format.records_of_rows(rows))).first()
+        text = '"\n' + "x" * n
+        assert (got.n_turns, got.loss_chars, got.loss_sha256) == (2, len(text), hashlib.sha256(text.encode()).hexdigest())
+
     def test_odd_rows(self, spark):
         schema = "conv_id long, turn long, role string, text string"
         rows = spark.createDataFrame([(None, None, None, None), (1, 0, "odd\nrole<|", "t"), (1, 0, "odd\nrole<|", "t")], schema)
