@@ -1,18 +1,23 @@
 """License scans by an exact set-similarity join (native).
 
-A block is a line of a document, a template a known license notice; both are sets of words. A block meets a
-template when it holds at least the threshold share of the template's words. Template words are ordered by how
-many blocks of the whole corpus hold them, rarest first; with an overlap of t wanted out of |T| words,
+A text is read in blocks of consecutive words, whatever its lines: for each span of SPANS, blocks of twice the span
+that start every span words, so that any run of at most a span of words lies wholly in one block. A notice wrapped over
+many lines is thus met like one on a single line. Blocks and templates (known license notices) are sets of words; a
+template is looked for in the blocks of the least span that holds it. A block meets a template when it holds at least
+the threshold share of the template's words. Template words are ordered by how many documents of the whole corpus hold
+them, rarest first; with an overlap of t wanted out of |T| words,
 
   prefix filter    a block must hold one of the template's |T|-t+1 rarest words: the join is on those only;
   length filter    a block must hold at least t words that occur in any template;
   positional filter  with the first common word at i in the template and j in the block, at most
                    1 + min(|T|-1-i, |B|-1-j) words can be common, which must reach t;
 
-and what is left is verified exactly. All three filters are lossless. Besides, fixed phrases are located by word.
+and what is left is verified exactly. All three filters are lossless, and so is cutting no blocks from a document that
+holds too few of every template's words. The prefixes (a row for each prefix word of each template, so bounded by the
+templates) are broadcast: no word of the corpus is shuffled. Besides, fixed phrases are located by word.
 
-Defined cases: a null or empty text has no words, no places and score 0; equal rows each get a row; a block of
-any length counts whole; an empty table gives no rows.
+Defined cases: a null or empty text has no words, no places and score 0; equal rows each get a row; a text of
+any length is read whole; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -44,6 +49,8 @@ TEMPLATES = {
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
 }
 THRESHOLD = 0.8
+#: Words of the runs that blocks are sure to hold; a template of more words than the last is looked for in its blocks all the same.
+SPANS = (16, 64)
 
 
 def template_words(templates=TEMPLATES) -> dict[str, list[str]]:
@@ -67,45 +74,71 @@ def _labelled(places: Column, label: str) -> Column:
     return F.transform(places, lambda i: F.struct(i.cast("long").alias("at"), F.lit(label).alias("label")))
 
 
+def span_of(text: str) -> int:
+    """The least span that holds the notice, each word of it counted."""
+    n = len(re.findall("[0-9a-z\x80-\U0010ffff]+", text.lower()))
+    return next((s for s in SPANS if n <= s), SPANS[-1])
+
+
+def _blocks(words: Column, known: Column, span: int) -> Column:
+    """array of (span, block, words): the template words of each block of 2 * span words; block is its first word's number."""
+    last = F.greatest(F.lit(1), F.ceil(F.size(words) / F.lit(span)).cast("int") - 1) - 1
+    own = lambda k: F.array_intersect(F.slice(words, k * span + 1, F.lit(2 * span)), known)
+    return F.transform(F.sequence(F.lit(0), last), lambda k: F.struct(F.lit(span).alias("span"), (k * span).alias("block"), own(k).alias("words")))
+
+
 def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_words, n_base, first_word, last_word, base_labels, matched (array of label, block, containment)."""
     sets = template_words(templates)
+    spans = {label: span_of(text) for label, text in templates.items()}
     vocabulary = sorted({w for words in sets.values() for w in words})
-    text = F.coalesce("text", F.lit(""))
-    maybe = text.rlike("(?i)" + "|".join(GAP.join(p.split(" ")) for p in phrases))
-    words = F.regexp_extract_all(ascii_lower(text), F.lit(WORD), 0)
-    hits = F.flatten(F.array(*(_labelled(_places(words, p), label) for p, label in phrases.items())))
+    least = min(wanted(len(w), threshold) for w in sets.values())
     known = F.array(*map(F.lit, vocabulary))
-    held = F.filter(
-        F.transform(F.split(text, "\n"), lambda line, i: F.struct(i.alias("block"), F.array_intersect(F.split(ascii_lower(line), GAP), known).alias("words"))),
-        lambda b: F.size(b["words"]) > 0,
-    )
-    base = docs.select(
+    text = F.coalesce("text", F.lit(""))
+    cut = docs.select(
         "doc_id",
         F.monotonically_increasing_id().alias("row"),
-        F.regexp_count(text, F.lit(WORD.replace(r"\x60", r"\x40\x5B-\x60"))).cast("long").alias("n_words"),
-        F.when(maybe, hits).alias("hits"),
-        held.alias("blocks"),
+        text.rlike("(?i)" + "|".join(GAP.join(p.split(" ")) for p in phrases)).alias("maybe"),
+        F.array_remove(F.split(ascii_lower(text), GAP), "").alias("words"),
+    )
+    cut = cut.withColumn("held", F.array_intersect("words", known))
+    hits = F.flatten(F.array(*(_labelled(_places(F.col("words"), p), label) for p, label in phrases.items())))
+    # Which spans are worth cutting: a block holds no template that its whole document does not.
+    fits = {span: F.lit(False) for span in SPANS}
+    for label, own in sets.items():
+        enough = F.size(F.array_intersect("held", F.array(*map(F.lit, own)))) >= wanted(len(own), threshold)
+        fits[spans[label]] = fits[spans[label]] | enough
+    blocks = F.concat(*(F.coalesce(F.when(fit, _blocks(F.col("words"), known, span)), F.array().cast("array<struct<span:int,block:int,words:array<string>>>")) for span, fit in fits.items()))
+    base = cut.select(
+        "doc_id",
+        "row",
+        F.size("words").cast("long").alias("n_words"),
+        F.when(F.col("maybe"), hits).alias("hits"),
+        "held",
+        F.filter(blocks, lambda b: F.size(b["words"]) >= least).alias("blocks"),
     )
     base = written(base, "license")
     spark = docs.sparkSession
 
-    # How many blocks hold each template word: a table of at most len(vocabulary) rows, whatever the corpus.
-    counts = base.select(F.explode(F.flatten(F.col("blocks.words"))).alias("word")).groupBy("word").count().collect()
+    # How many documents hold each template word: a table of at most len(vocabulary) rows, whatever the corpus.
+    counts = base.select(F.explode("held").alias("word")).groupBy("word").count().collect()
     often = {r["word"]: r["count"] for r in counts}
     order = {w: k for k, w in enumerate(sorted(vocabulary, key=lambda w: (often.get(w, 0), w)))}
     rank = F.create_map(*(F.lit(x) for pair in order.items() for x in pair))
-    prefixes, least = [], min(wanted(len(w), threshold) for w in sets.values())
+    prefixes = []
     for label, own in sets.items():
         ranks, t = sorted(order[w] for w in own), wanted(len(own), threshold)
-        prefixes += [(r, label, i, t, ranks) for i, r in enumerate(ranks[: len(ranks) - t + 1])]
-    postings = spark.createDataFrame(prefixes, "rank int, label string, at int, t int, ranks array<int>")
+        prefixes += [(spans[label], r, label, i, t, ranks) for i, r in enumerate(ranks[: len(ranks) - t + 1])]
+    # A row for each prefix word of each template: bounded by the templates.
+    postings = F.broadcast(spark.createDataFrame(prefixes, "span int, rank int, label string, at int, t int, ranks array<int>"))
 
     ranked = F.array_sort(F.transform("b.words", lambda w: F.element_at(rank, w)))
-    blocks = base.select("row", F.explode("blocks").alias("b")).where(F.size("b.words") >= least).select("row", "b.block", ranked.alias("own"))
-    probe = blocks.select("row", "block", "own", F.posexplode("own").alias("j", "rank"))
+    held = base.where(F.size("blocks") > 0).select("row", F.explode("blocks").alias("b")).select("row", "b.span", "b.block", ranked.alias("own"))
+    first = F.array(*map(F.lit, sorted({p[1] for p in prefixes})))
+    probe = held.select("row", "span", "block", "own", F.explode(F.array_intersect("own", first)).alias("rank"))
     candidates = (
-        probe.join(postings, "rank")
+        probe.join(postings, ["span", "rank"])
+        .withColumn("j", F.array_position("own", F.col("rank")).cast("int") - 1)
         .where((F.size("own") >= F.col("t")) & (1 + F.least(F.size("ranks") - 1 - F.col("at"), F.size("own") - 1 - F.col("j")) >= F.col("t")))
         # The first common word decides; a later one of the same prefix would only give the pair again.
         .where(F.element_at(F.array_intersect("own", "ranks"), 1) == F.col("rank"))

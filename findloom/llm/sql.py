@@ -50,7 +50,8 @@ def op1_sql() -> str:
 def op3_sql() -> str:
     sets = license_scan.template_words()
     quote = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
-    templates = ", ".join(f"('{label}', {quote(ws)}, {license_scan.wanted(len(ws))})" for label, ws in sets.items())
+    templates = ", ".join(f"('{label}', {quote(ws)}, {license_scan.wanted(len(ws))}, {license_scan.span_of(license_scan.TEMPLATES[label])})" for label, ws in sets.items())
+    spans = ", ".join(f"({s})" for s in license_scan.SPANS)
     places = []
     for phrase, label in license_scan.PHRASES.items():
         test = " AND ".join(f"w[i + {k + 1}] = '{p}'" for k, p in enumerate(phrase.split(" ")))
@@ -58,14 +59,15 @@ def op3_sql() -> str:
     word = license_scan.WORD
     return rf"""
     WITH d AS (SELECT row_number() OVER () AS row, doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
-    worded AS (SELECT row, doc_id, t, regexp_extract_all(t, '{word}') AS w FROM d),
-    based AS (SELECT row, doc_id, t, len(w)::BIGINT AS n_words, list_concat({", ".join(places)}) AS hits FROM worded),
-    templates(label, ws, wanted) AS (VALUES {templates}),
-    lines AS (SELECT row, unnest(string_split(t, chr(10))) AS line FROM d),
-    blocks AS (SELECT row, list_distinct(regexp_extract_all(line, '{word}')) AS b FROM lines),
+    worded AS (SELECT row, doc_id, regexp_extract_all(t, '{word}') AS w FROM d),
+    based AS (SELECT row, doc_id, len(w)::BIGINT AS n_words, list_concat({", ".join(places)}) AS hits FROM worded),
+    templates(label, ws, wanted, span) AS (VALUES {templates}),
+    spans(span) AS (VALUES {spans}),
+    cut AS (SELECT row, span, w, unnest(range(greatest(1, ceil(len(w) / span)::BIGINT - 1))) AS k FROM worded, spans),
+    blocks AS (SELECT row, span, list_distinct(w[k * span + 1 : (k + 2) * span]) AS b FROM cut),
     met AS (
       SELECT row, label, max(len(list_intersect(b, ws)) / len(ws)) AS containment
-      FROM blocks, templates WHERE len(list_intersect(b, ws)) >= wanted GROUP BY row, label),
+      FROM blocks JOIN templates USING (span) WHERE len(list_intersect(b, ws)) >= wanted GROUP BY row, label),
     found AS (SELECT row, list(label) AS labels, max(containment) AS best FROM met GROUP BY row)
     SELECT doc_id, n_words, len(hits)::BIGINT AS n_base,
       list_min(list_transform(hits, lambda h: h.at))::BIGINT AS first_word, list_max(list_transform(hits, lambda h: h.at))::BIGINT AS last_word,

@@ -105,21 +105,38 @@ class TestLicenses:
         words = sorted({w for s in sets.values() for w in s})
         texts = []
         for _ in range(80):
-            lines = []
-            for _ in range(r.randint(1, 4)):
-                own = r.choice(list(sets.values()))
-                lines.append(" ".join(r.sample(own, max(1, int(len(own) * r.uniform(0.5, 1)))) + r.sample(words, 3)))
-            texts.append("\n".join(lines))
+            own = []
+            for _ in range(r.randint(1, 6)):
+                label = r.choice(list(sets.values()))
+                own += r.sample(label, max(1, int(len(label) * r.uniform(0.5, 1)))) + r.sample(words, 3) + ["filler"] * r.choice([0, 5, 40])
+            texts.append("".join(w + r.choice([" ", "\n", ", "]) for w in own))
         rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
         got = {(r.doc_id, m.label, round(m.containment, 9)) for r in license_scan.scan(rows).collect() for m in r.matched}
         want = {}
         for k, text in enumerate(texts):
-            for line in text.split("\n"):
-                for label, own in sets.items():
-                    share = len(set(own) & set(line.split())) / len(own)
+            held = text.replace(",", " ").split()
+            for label, own in sets.items():
+                span = license_scan.span_of(license_scan.TEMPLATES[label])
+                for at in range(0, max(span, len(held) - span), span):
+                    share = len(set(own) & set(held[at : at + 2 * span])) / len(own)
                     if share >= 0.8:
                         want[k, label] = max(share, want.get((k, label), 0))
-        assert got == {(k, label, round(s, 9)) for (k, label), s in want.items()}
+        assert got == {(k, label, round(s, 9)) for (k, label), s in want.items()} and len({label for _, label, _ in got}) > 5
+
+    def test_notices_wrapped_over_lines(self, spark):
+        mit = "# Permission is hereby granted, free of\n# charge, to any person obtaining a copy\n# of this software and associated\n# documentation files (the \"Software\")"
+        apache = "/*\n * Licensed under the\n * Apache License, Version\n * 2.0 (the \"License\")\n */"
+        got = self.scan(spark, "x " * 1000 + mit + " y" * 1000, apache, "x " * 61 + "\n" + mit)
+        assert [r.labels for r in got] == ["mit-text", "apache-2.0", "mit-text"]
+
+    def test_no_word_of_the_corpus_is_shuffled(self, spark):
+        before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        try:
+            plan = license_scan.scan(docs(spark, (1, "a licensed text", "s")))._jdf.queryExecution().executedPlan().toString()
+        finally:
+            spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+        assert "BroadcastHashJoin" in plan and "hashpartitioning(rank" not in plan and "hashpartitioning(span" not in plan
 
 
 class TestChats:
