@@ -1,25 +1,28 @@
 """Chat formatting by schema fingerprints (native).
 
-A record arrives as JSON in whatever layout its producer chose. Its nested field paths, without types, are
-hashed to a fingerprint; the fingerprint selects a declarative mapping (JSON paths for the turns, the roles and
-the texts), and the mapping turns the record into canonical (role, text) turns. The template writes
+A record arrives in whatever layout its producer chose: as JSON text, or as a typed struct whose null fields are the
+layouts that it does not use. Its nested field paths, without types, are hashed to a fingerprint; the fingerprint
+selects a declarative mapping (paths of the turns, the roles and the texts), and the mapping turns the record into
+canonical (role, text) turns. Typed records never go through JSON. The template writes
 
     <|im_start|>role \\n text <|im_end|> \\n
 
 and escapes control strings inside roles and texts reversibly: a backslash is doubled and "<|" becomes "<\\|", so
-no text can hold a marker. Segments tile the formatted string and say which part is under the loss mask (the
-texts of assistant turns).
+no text can hold a marker. `loss` has a flag for each marked turn: whether its text is under the loss mask (those of
+assistant turns).
 
 Defined cases: null or empty texts and roles are empty strings; a record of no turns formats to the empty
 string; turns that tie on their number are ordered by role and text; a record whose fingerprint no mapping
-knows has null turns (it is kept, for a report); a text counts whole, whatever its length; extra fields inside a
-record change its fingerprint, extra columns beside it are ignored.
+knows has null turns (it is kept, for a report); a text counts whole, whatever its length up to what a Spark string
+holds; a top-level field of a typed record is there if it is not null; extra fields inside a JSON record change its
+fingerprint, extra columns beside it are ignored.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 START, END, NEWLINE = "<|im_start|>", "<|im_end|>", "<|nl|>"
 
@@ -52,8 +55,19 @@ def _skeleton(record: Column) -> Column:
     return F.when(F.length(record) > LONG_RECORD, bare).otherwise(record)
 
 
+def typed_fingerprint(record: Column, kind: StructType) -> Column:
+    """The fingerprint of a typed record: of the paths below its fields that are not null."""
+    pieces = []
+    for field in sorted(kind.fields, key=lambda f: f.name):
+        inner = field.dataType
+        nested = isinstance(inner, ArrayType) and isinstance(inner.elementType, StructType)
+        paths = [f"{field.name}[].{f.name}" for f in inner.elementType.fields] if nested else []
+        pieces.append(F.when(record[field.name].isNotNull(), F.lit(_ddl([field.name, *paths])[len("OBJECT<") : -1])))
+    return F.xxhash64(F.concat(F.lit("OBJECT<"), F.array_join(F.array_compact(F.array(*pieces)), ", "), F.lit(">")))
+
+
 def fingerprint(record: Column) -> Column:
-    """Hash of the record's nested field paths: its variant schema without types, so that values never matter."""
+    """The fingerprint of a JSON record: its variant schema without types, so that values never matter."""
     schema = F.schema_of_variant(F.try_parse_json(_skeleton(record)))
     untyped = F.regexp_replace(schema, r": (?!OBJECT|ARRAY)[A-Z]\w*(\([0-9,]+\))?|(?<=ARRAY<)(?!OBJECT|ARRAY)[A-Z]\w*(\([0-9,]+\))?", "")
     return F.xxhash64(untyped)
@@ -78,14 +92,24 @@ def _mapped(record: Column, mapping) -> Column:
     return F.array(*(F.struct(F.lit(r).alias("role"), fields[p].alias("text")) for r, p in mapping[1])).cast(TURNS)
 
 
-def canonical_turns(record: Column, layouts=LAYOUTS) -> Column:
-    """array of (role, text) by the mapping that the record's fingerprint selects; null if none does."""
+def _mapped_typed(record: Column, mapping) -> Column:
+    if mapping[0] == "list":
+        _, path, role, text = mapping
+        return F.transform(record[path], lambda m: F.struct(m[role].alias("role"), m[text].alias("text"))).cast(TURNS)
+    return F.array(*(F.struct(F.lit(r).alias("role"), record[p].alias("text")) for r, p in mapping[1])).cast(TURNS)
+
+
+def canonical_turns(record: Column, layouts=LAYOUTS, names=ROLE_NAMES, kind: StructType | None = None) -> Column:
+    """array of (role, text) by the mapping that the record's fingerprint selects; null if none does. kind: of a typed record."""
     turns = F.lit(None).cast(TURNS)
-    key = fingerprint(record)
+    key = fingerprint(record) if kind is None else typed_fingerprint(record, kind)
     for paths, mapping in layouts.values():
-        turns = F.when(key == F.xxhash64(F.lit(_ddl(paths))), _mapped(record, mapping)).otherwise(turns)
-    names = F.create_map(*(F.lit(x) for pair in ROLE_NAMES.items() for x in pair))
-    role = lambda t: F.coalesce(F.element_at(names, t["role"]), t["role"], F.lit(""))
+        if kind is not None and not {p.split("[")[0] for p in paths} <= set(kind.names):
+            continue
+        read = _mapped(record, mapping) if kind is None else _mapped_typed(record, mapping)
+        turns = F.when(key == F.xxhash64(F.lit(_ddl(paths))), read).otherwise(turns)
+    known = F.create_map(*(F.lit(x) for pair in names.items() for x in pair)) if names else None
+    role = lambda t: F.coalesce(*([F.element_at(known, t["role"])] if names else []), t["role"], F.lit(""))
     return F.transform(turns, lambda t: F.struct(role(t).alias("role"), F.coalesce(t["text"], F.lit("")).alias("text")))
 
 
@@ -97,14 +121,11 @@ def unescaped(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
-def segments(turns: Column) -> Column:
-    """The formatted string in pieces: array of (text, loss); only assistant texts are under the loss mask."""
-    pieces = lambda t: F.array(
-        F.struct(F.concat(F.lit(START), F.replace(escaped(t["role"]), F.lit("\n"), F.lit(NEWLINE)), F.lit("\n")).alias("text"), F.lit(False).alias("loss")),
-        F.struct(escaped(t["text"]).alias("text"), (t["role"] == "assistant").alias("loss")),
-        F.struct(F.lit(END + "\n").alias("text"), F.lit(False).alias("loss")),
+def templated(turns: Column) -> Column:
+    """The formatted string."""
+    return F.array_join(
+        F.transform(turns, lambda t: F.concat(F.lit(START), F.replace(escaped(t["role"]), F.lit("\n"), F.lit(NEWLINE)), F.lit("\n"), escaped(t["text"]), F.lit(END + "\n"))), ""
     )
-    return F.flatten(F.transform(turns, pieces))
 
 
 def parsed(formatted: Column) -> Column:
@@ -119,32 +140,60 @@ def parsed(formatted: Column) -> Column:
     return F.transform(parts, turn)
 
 
-def format_chats(records: DataFrame, layouts=LAYOUTS) -> DataFrame:
-    """records(conv_id, record JSON) -> conv_id, fingerprint, turns, segments, formatted."""
-    out = records.select("conv_id", fingerprint(F.col("record")).alias("fingerprint"), canonical_turns(F.col("record"), layouts).alias("turns"))
-    out = out.withColumn("segments", segments(F.col("turns")))
-    return out.withColumn("formatted", F.array_join(F.col("segments.text"), ""))
-
-
-def records_of_rows(rows: DataFrame) -> DataFrame:
-    """(conv_id, turn, role, text) rows -> (conv_id, record) in the messages layout, turns in order."""
-    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
-    ordered = F.array_sort(F.collect_list(turn))
-    grouped = rows.select("conv_id", "turn", "role", "text").groupBy("conv_id").agg(ordered.alias("t"))
-    messages = F.transform("t", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))
-    return grouped.select("conv_id", F.to_json(F.struct(messages.alias("messages"))).alias("record"))
+def format_chats(records: DataFrame, layouts=LAYOUTS, names=ROLE_NAMES) -> DataFrame:
+    """records(conv_id, record: JSON text or a struct) -> conv_id, fingerprint, turns, loss, formatted.
+
+    names: canonical names of roles that producers call otherwise; with an empty one roles stay as they are.
+    """
+    record, kind = F.col("record"), records.schema["record"].dataType
+    kind = kind if isinstance(kind, StructType) else None
+    key = fingerprint(record) if kind is None else typed_fingerprint(record, kind)
+    out = records.select("conv_id", key.alias("fingerprint"), canonical_turns(record, layouts, names, kind).alias("turns"))
+    return out.withColumns({"loss": F.transform("turns", lambda t: t["role"] == "assistant"), "formatted": templated(F.col("turns"))})
+
+
+def records_of_rows(rows: DataFrame, layouts=LAYOUTS) -> DataFrame:
+    """(conv_id, turn, role, text) rows -> (conv_id, record), a typed record for each conversation, turns in order.
+
+    Conversations are stored in any layout that holds them, as different producers would: one whose roles are those of
+    a layout of fields in one of these, any other in one of the layouts of lists, chosen by a hash of conv_id.
+    """
+    turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    grouped = rows.select("conv_id", "turn", "role", "text").groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("t"))
+    lists = [n for n, (_, m) in layouts.items() if m[0] == "list"]
+    flat: dict[tuple, list[str]] = {}
+    for n, (_, m) in layouts.items():
+        if m[0] == "fields":
+            flat.setdefault(tuple(r for r, _ in m[1]), []).append(n)
+    one_of = lambda own: F.element_at(F.array(*map(F.lit, own)), (F.pmod(F.xxhash64("conv_id"), F.lit(len(own))) + 1).cast("int"))
+    chosen = one_of(lists)
+    for roles, own in flat.items():
+        chosen = F.when(F.col("t.role") == F.array(*map(F.lit, roles)), one_of(own)).otherwise(chosen)
+    laid = grouped.withColumn("layout", chosen)
+    fields: dict[str, Column] = {}
+    for n, (_, m) in layouts.items():
+        here = F.col("layout") == n
+        if m[0] == "list":
+            _, path, role, text = m
+            parts = {path: F.col("t").cast(f"array<struct<turn:{rows.schema['turn'].dataType.simpleString()},`{role}`:string,`{text}`:string>>")}
+            parts[path] = F.transform(parts[path], lambda x: F.struct(x[role], x[text]))
+        else:
+            parts = {path: F.get("t", F.lit(k))["text"] for k, (_, path) in enumerate(m[1])}
+        for path, value in parts.items():
+            fields[path] = F.when(here, value).otherwise(fields[path]) if path in fields else F.when(here, value)
+    return laid.select("conv_id", F.struct(*(c.alias(n) for n, c in fields.items())).alias("record"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
-    """Digests of what the output holds: turns parsed from the string, loss text from the masked segments."""
-    turns = parsed(F.col("formatted"))
-    whole = F.array_join(F.transform(turns, lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    loss = F.array_join(F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescaped(s["text"])), "")
-    return formatted.select(
+    """Digests of what the output holds: turns parsed from the formatted string, and those of them under the loss mask."""
+    read = formatted.select("conv_id", "loss", F.length("formatted").cast("long").alias("formatted_chars"), parsed(F.col("formatted")).alias("read"))
+    whole = F.array_join(F.transform("read", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    masked = F.array_join(F.transform(F.filter("read", lambda t, k: F.get("loss", k)), lambda t: t["text"]), "")
+    return read.select(
         "conv_id",
-        F.size(turns).cast("long").alias("n_turns"),
+        F.size("read").cast("long").alias("n_turns"),
         F.sha2(F.encode(whole, "UTF-8"), 256).alias("turns_sha256"),
-        F.length(loss).cast("long").alias("loss_chars"),
-        F.sha2(F.encode(loss, "UTF-8"), 256).alias("loss_sha256"),
-        F.length("formatted").cast("long").alias("formatted_chars"),
+        F.length(masked).cast("long").alias("loss_chars"),
+        F.sha2(F.encode(masked, "UTF-8"), 256).alias("loss_sha256"),
+        "formatted_chars",
     )

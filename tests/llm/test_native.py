@@ -169,14 +169,34 @@ class TestChats:
         assert digest.n_turns == 22 and digest.loss_chars == len(loss) and digest.loss_sha256 == hashlib.sha256(loss.encode()).hexdigest()
 
     def test_very_long_texts_stay_whole(self, spark):
-        """Above the 20,000,000 characters that a JSON string may have by default."""
-        n = 21_000_000
-        rows = spark.range(1).select(F.explode(F.array(*(F.struct(F.lit(k).alias("turn"), F.lit(r).alias("role"), t.alias("text")) for k, (r, t) in enumerate([
-            ("user", F.lit('say "a: b"\\')), ("assistant", F.concat(F.lit('"\n'), F.repeat(F.lit("x"), n))),
-        ])))).alias("t")).select(F.lit(1).cast("long").alias("conv_id"), F.col("t.turn").cast("long").alias("turn"), "t.role", "t.text")
-        got = chat_format.read_back(chat_format.format_chats(chat_format.records_of_rows(rows))).first()
+        """Beyond the 20,000,000 characters that a JSON string may have by default, as a typed record and as JSON."""
+        n = 50_000_000
+        rows = spark.range(2).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"),
+            F.when(F.col("id") == 0, 'say "a: b"\\').otherwise(F.concat(F.lit('"\n'), F.repeat(F.lit("x"), F.lit(n)))).alias("text"))
         text = '"\n' + "x" * n
-        assert (got.n_turns, got.loss_chars, got.loss_sha256) == (2, len(text), hashlib.sha256(text.encode()).hexdigest())
+        want = (2, len(text), hashlib.sha256(text.encode()).hexdigest())
+        got = chat_format.read_back(chat_format.format_chats(chat_format.records_of_rows(rows))).first()
+        assert (got.n_turns, got.loss_chars, got.loss_sha256) == want
+        short = F.concat(F.lit('"\n'), F.repeat(F.lit("x"), F.lit(21_000_000)))
+        record = F.to_json(F.struct(F.lit("q: {").alias("prompt"), short.alias("completion")))
+        got = chat_format.read_back(chat_format.format_chats(spark.range(1).select(F.lit(1).alias("conv_id"), record.alias("record")))).first()
+        assert (got.n_turns, got.loss_chars) == (2, 21_000_002)
+
+    def test_layouts_of_rows_and_roles_as_they_are(self, spark):
+        schema = "conv_id long, turn long, role string, text string"
+        rows = [(k, n, role, f"{k}-{n}") for k in range(60) for n, role in enumerate([("user", "assistant"), ("system", "user", "assistant"), ("human", "gpt"), ("user", "user", "assistant"), ("user",)][k % 5])]
+        records = chat_format.records_of_rows(spark.createDataFrame(rows, schema))
+        out = chat_format.format_chats(records, names={}).collect()
+        want = {}
+        for k, _, role, text in rows:
+            want.setdefault(k, []).append((role, text))
+        assert {r.conv_id: [tuple(t) for t in r.turns] for r in out} == want
+        assert len({r.fingerprint for r in out}) == len(chat_format.LAYOUTS)
+        renamed = {r.conv_id: [t.role for t in r.turns] for r in chat_format.format_chats(records).collect()}
+        assert renamed[2] == ["user", "assistant"] and renamed[1] == ["system", "user", "assistant"]
+        # A typed record has the fingerprint of the JSON text that it would be.
+        as_text = records.select("conv_id", F.to_json("record").alias("record"))
+        assert {r.conv_id: r.fingerprint for r in chat_format.format_chats(as_text).collect()} == {r.conv_id: r.fingerprint for r in out}
 
     def test_odd_rows(self, spark):
         schema = "conv_id long, turn long, role string, text string"
