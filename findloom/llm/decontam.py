@@ -8,25 +8,40 @@ are kept, and a banded alignment of the item against the band decides and gives
 Letters count without case and runs of white space as one space; places are given in the text as it is. The q-gram
 code keeps eight bits of each character, which can only add hits; the alignment sees whole characters.
 
-The items are dealt in blocks of BLOCK_BYTES at most, a block at a time is sent to the tasks, and texts never move:
-a text is scanned where it is read, so that hot items, sources or copies put no more rows into one task.
+The items are written to the shared folder in files of about BLOCK_BYTES, which tasks read one at a time; neither the
+driver nor a task ever holds more than one. Texts never move: a text is scanned where it is read, so that hot items,
+sources or copies put no more rows into one task. Hits are counted in pieces of PIECE at most and summed by band, so a
+text or item that repeats one q-gram over and over costs time but no more memory.
 
-Defined cases: null and empty texts hold nothing; a null item, or one of fewer than q characters, cannot be told from
-chance and is not searched; equal rows and equal items are each reported; an empty table on either side gives no rows;
-a text of any length is scanned whole.
+Items of fewer than q characters have no q-gram; find_passages() looks for them exactly, as whole words. They cannot be
+told from chance, so without_passages() drops no document for them.
+
+Defined cases: null and empty texts hold nothing; a null or blank item is not searched; equal rows and equal items are
+each reported; an empty table on either side gives no rows; a text of any length is scanned whole. Of places of one item
+that overlap, the one of fewest edits is reported.
 """
 
 from __future__ import annotations
 
+import math
+import re
+
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from findloom.llm.common import new_path
+
 Q = 8
 EDIT_SHARE = 0.1
 BLOCK_BYTES = 8 << 20
+PIECE = 1 << 20
 SLOT_BITS = 20
+#: Bits of a band's number in a key (item, band); diagonals are shifted by OFFSET so that none is negative.
+BAND_KEY, OFFSET = 40, 1 << 36
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 
 _FOLD = np.arange(1 << 16, dtype=np.uint32)
@@ -66,6 +81,7 @@ class Items:
 
     def __init__(self, ids: list, texts: list[str], share: float = EDIT_SHARE):
         found = [(i, folded(t)[0]) for i, t in zip(ids, texts) if t is not None]
+        self.short = [(i, re.compile(rf"(?<!\w){re.escape(_string(c))}(?!\w)")) for i, c in found if 0 < len(c) < Q]
         found = [(i, c) for i, c in found if len(c) >= Q]
         self.ids = [i for i, _ in found]
         self.chars = [c for _, c in found]
@@ -80,12 +96,27 @@ class Items:
         place = np.concatenate([np.arange(len(p)) for p in parts]) if parts else np.zeros(0, np.int64)
         order = np.argsort(all_grams, kind="stable")
         self.known, first, self.count = np.unique(all_grams[order], return_index=True, return_counts=True)
-        self.first, self.item, self.place = first, item[order], place[order]
+        self.first, self.item, self.place = first, item[order].astype(np.int32), place[order].astype(np.int32)
         self.slots = np.zeros(1 << SLOT_BITS, bool)
         self.slots[(self.known * _MULT) >> np.uint64(64 - SLOT_BITS)] = True
 
+    def _keys(self, at: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(key, hits) of the bands that text places `at` with known q-grams `k` hit; a key is item and band."""
+        n = self.count[k]
+        total = np.cumsum(n)
+        entry = np.arange(total[-1]) - np.repeat(total - n - self.first[k], n)
+        item = self.item[entry]
+        diagonal = np.repeat(at + OFFSET, n) - self.place[entry]
+        shift = self.shift[item]
+        band = diagonal >> shift
+        early = (diagonal - (band << shift)) < self.budget[item]
+        key = (item.astype(np.int64) << BAND_KEY) + band
+        return np.unique(np.concatenate((key, key[early] - 1)), return_counts=True)
+
     def candidates(self, text_grams: np.ndarray) -> list[tuple[int, int]]:
         """(item, first diagonal of a band) whose shared q-grams reach the bound."""
+        if not len(self.known):
+            return []
         at = np.flatnonzero(self.slots[(text_grams * _MULT) >> np.uint64(64 - SLOT_BITS)])
         if not len(at):
             return []
@@ -95,140 +126,182 @@ class Items:
         at, k = at[real], k[real]
         if not len(at):
             return []
-        n = self.count[k]
-        total = np.cumsum(n)
-        entry = np.arange(total[-1]) - np.repeat(total - n, n) + np.repeat(self.first[k], n)
-        item = self.item[entry]
-        # Shifted so that it is never negative: the item may begin before the text does.
-        diagonal = np.repeat(at, n) - self.place[entry] + (1 << 40)
-        shift = self.shift[item]
-        band = diagonal >> shift
-        early = (diagonal - (band << shift)) < self.budget[item]
-        place = self.place[entry]
-        item, band, place = np.concatenate((item, item[early])), np.concatenate((band, band[early] - 1)), np.concatenate((place, place[early]))
-        order = np.lexsort((band, item))
-        item, band = item[order], band[order]
-        new = np.ones(len(item), bool)
-        new[1:] = (item[1:] != item[:-1]) | (band[1:] != band[:-1])
-        start = np.flatnonzero(new)
-        size = np.diff(np.append(start, len(item)))
-        full = np.flatnonzero(size >= self.bound[item[start]])
-        out = []
-        for g in full:
-            # A q-gram of the item counts once, however often the text repeats it on the band.
-            i = int(item[start[g]])
-            if len(np.unique(place[order[start[g] : start[g] + size[g]]])) >= self.bound[i]:
-                out.append((i, (int(band[start[g]]) << int(self.shift[i])) - (1 << 40)))
-        return out
+        total = np.cumsum(self.count[k])
+        counted, start = [], 0
+        while start < len(at):
+            end = max(start + 1, int(np.searchsorted(total, (total[start - 1] if start else 0) + PIECE, "right")))
+            counted.append(self._keys(at[start:end], k[start:end]))
+            start = end
+            if len(counted) > 16:
+                counted = [_summed(counted)]
+        keys, hits = _summed(counted)
+        item = keys >> BAND_KEY
+        full = hits >= self.bound[item]
+        return [(i, (int(b) << int(self.shift[i])) - OFFSET) for i, b in zip(item[full].tolist(), (keys[full] & ((1 << BAND_KEY) - 1)).tolist())]
 
     def aligned(self, item: int, diagonal: int, chars: np.ndarray) -> tuple[int, int, int] | None:
         """(start, end, edits) of the best place of the item on the band's diagonals, if within budget."""
         own, k = self.chars[item], int(self.budget[item])
-        low = max(0, diagonal - k)
-        window = chars[low : max(0, diagonal + (1 << int(self.shift[item])) + 2 * k + len(own) + 1)]
+        low, high = diagonal - k, diagonal + (1 << int(self.shift[item])) + 2 * k
+        begin = max(0, low)
+        window = chars[begin : max(0, high + len(own))]
+        # A q-gram of the item counts once, however often the text repeats it.
+        if np.count_nonzero(np.isin(grams(own), grams(window))) < self.bound[item]:
+            return None
         exact = _find(window, own)
         if exact >= 0:
-            return low + exact, low + exact + len(own), 0
-        edits, start, end = banded_alignment(own, window, k)
-        return (low + start, low + end, edits) if edits <= k else None
+            return begin + exact, begin + exact + len(own), 0
+        edits, start, end = banded_alignment(own, window, k, low - begin, high - begin)
+        return (begin + start, begin + end, edits) if edits <= k else None
+
+    def holds(self, text: str | None) -> bool:
+        """Whether any item of q characters or more is in the text."""
+        if not text:
+            return False
+        chars, _ = folded(text)
+        return any(self.aligned(item, diagonal, chars) for item, diagonal in self.candidates(grams(chars)))
 
     def regions(self, text: str | None) -> list[tuple]:
         """(item id, start, end, edits) of every item in the text, start and end in the text's code points."""
         if not text:
             return []
         chars, at = folded(text)
-        best: dict[tuple, tuple] = {}
+        best: dict[int, list[tuple[int, int, int]]] = {}
         for item, diagonal in self.candidates(grams(chars)):
             found = self.aligned(item, diagonal, chars)
             if found:
-                near = [k for k in best if k[0] == item and k[1] < found[1] and found[0] < k[2]]
-                if all(best[k][2] > found[2] for k in near):
-                    for k in near:
-                        del best[k]
-                    best[item, found[0], found[1]] = found
-        return sorted((self.ids[i], int(at[s]), int(at[e - 1]) + 1, d) for (i, s, e), (_, _, d) in best.items())
+                own = best.setdefault(item, [])
+                # Candidates of an item come in the order of their diagonals, so only its last places can overlap.
+                near = 0
+                while near < len(own) and own[-1 - near][1] > found[0]:
+                    near += 1
+                if all(x[2] > found[2] for x in own[len(own) - near :]):
+                    own[len(own) - near :] = [found]
+        out = [(self.ids[i], s, e, d) for i, places in best.items() for s, e, d in places]
+        if self.short:
+            whole = _string(chars)
+            out += [(i, m.start(), m.end(), 0) for i, pattern in self.short for m in pattern.finditer(whole)]
+        return sorted(((i, int(at[s]), int(at[e - 1]) + 1, d) for i, s, e, d in out), key=lambda x: (x[0] is not None, x))
+
+
+def _string(chars: np.ndarray) -> str:
+    return chars.astype("<u4").tobytes().decode("utf-32-le", "surrogatepass")
+
+
+def _summed(counted: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    if len(counted) == 1:
+        return counted[0]
+    keys, back = np.unique(np.concatenate([k for k, _ in counted]), return_inverse=True)
+    return keys, np.bincount(back, np.concatenate([n for _, n in counted])).astype(np.int64)
 
 
 def _find(window: np.ndarray, own: np.ndarray) -> int:
-    place = window.tobytes().find(own.tobytes())
+    place = (whole := window.tobytes()).find(sought := own.tobytes())
     while place >= 0 and place % 4:
-        place = window.tobytes().find(own.tobytes(), place + 1)
+        place = whole.find(sought, place + 1)
     return place // 4 if place >= 0 else -1
 
 
-def banded_alignment(own: np.ndarray, window: np.ndarray, k: int) -> tuple[int, int, int]:
+def banded_alignment(own: np.ndarray, window: np.ndarray, k: int, low: int, high: int) -> tuple[int, int, int]:
     """(edits, start, end): the substring of window nearest to own; ends before and after it are free.
 
-    The window is the band: it holds the diagonals in question and no more, so each row is one pass over its width.
+    Only diagonals (place in window minus place in own) from low to high are filled: each row is one pass over the band.
     """
-    m = len(window)
-    far = 1 << 20
-    steps = np.arange(m + 1, dtype=np.int64)
-    cost, origin = np.zeros(m + 1, np.int64), steps.copy()
+    width, far = high - low + 1, 1 << 20
+    steps = np.arange(width, dtype=np.int64)
+    # wide[j - low + len(own)...]: the window with room on both sides, so that every row reads a plain slice.
+    room = max(0, -low) + 1
+    wide = np.full(room + max(len(window), high + len(own)) + 1, 0xFFFFFFFF, np.uint32)
+    wide[room : room + len(window)] = window
+    places = steps + low
+    cost = np.where((places >= 0) & (places <= len(window)), 0, far)
+    origin = places.copy()
     for row, c in enumerate(own, 1):
-        kept = cost[:-1] + (window != c)
-        dropped = cost[1:] + 1
+        places = steps + (low + row)
+        inside = (places >= 0) & (places <= len(window))
+        kept = cost + (wide[room + low + row - 1 : room + low + row - 1 + width] != c)
+        dropped = np.append(cost[1:], far) + 1
         take = kept <= dropped
-        best, where = np.empty(m + 1, np.int64), np.empty(m + 1, np.int64)
-        best[0], where[0] = row, 0
-        best[1:], where[1:] = np.where(take, kept, dropped), np.where(take, origin[:-1], origin[1:])
+        best, where = np.where(take, kept, dropped), np.where(take, origin, np.append(origin[1:], 0))
+        best = np.where(inside, best, far)
+        if low + row <= 0 <= high + row:
+            # Nothing of the window yet: all of own so far is left out.
+            best[-(low + row)], where[-(low + row)] = row, 0
         # Characters of the window that the item lacks: run on from the cheapest place to the left.
         level = best - steps
-        low = np.minimum.accumulate(level)
-        source = np.maximum.accumulate(np.where(level == low, steps, 0))
-        cost, origin = low + steps, where[source]
+        least = np.minimum.accumulate(level)
+        source = np.maximum.accumulate(np.where(level == least, steps, 0))
+        cost, origin = np.where(inside, least + steps, far), where[source]
         if cost.min() > k:
             return far, 0, 0
     end = int(cost.argmin())
-    return int(cost[end]), int(origin[end]), end
+    return int(cost[end]), int(origin[end]), low + len(own) + end
 
 
-def _blocks(benchmark: DataFrame) -> list[tuple[list, list[str]]]:
-    """The items in blocks of BLOCK_BYTES at most, one block a query: the driver never holds more than one."""
+def _stored(benchmark: DataFrame) -> str:
+    """The items as Parquet files of about BLOCK_BYTES in the shared folder."""
     items = benchmark.select("item_id", "text").where("text is not null")
     size = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = 1 + int(1.5 * size) // BLOCK_BYTES
-    for k in range(n):
-        part = items.where(F.pmod(F.xxhash64("text"), F.lit(n)) == k) if n > 1 else items
-        rows = sorted((r[0] is None, r[0] or 0, r[1]) for r in part.collect())
-        yield [None if none else i for none, i, _ in rows], [t for *_, t in rows]
+    folder = new_path(benchmark.sparkSession, "benchmark")
+    n = math.ceil(size / BLOCK_BYTES)
+    (items.coalesce(1) if n <= 1 else items.repartition(n, F.xxhash64("item_id", "text"))).write.parquet(folder)
+    return folder
+
+
+class Blocks:
+    """The item files of a folder, an index of one at a time; that of a single file is kept."""
+
+    def __init__(self, folder: str, share: float):
+        self.folder, self.share, self.only = folder, share, None
+
+    def __iter__(self):
+        if self.only is not None:
+            yield self.only
+            return
+        store, root = pafs.FileSystem.from_uri(self.folder)
+        files = sorted(f.path for f in store.get_file_info(pafs.FileSelector(root)) if f.base_name.endswith(".parquet"))
+        for path in files:
+            rows = pq.read_table(path, filesystem=store)
+            items = Items(rows.column("item_id").to_pylist(), rows.column("text").to_pylist(), self.share)
+            if len(files) == 1:
+                self.only = items
+            yield items
 
 
 def find_passages(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE) -> DataFrame:
     """docs(doc_id, text), benchmark(item_id, text) -> doc_id, item_id, start, end, edits of every passage found."""
     doc_kind, item_kind = docs.schema["doc_id"].dataType.simpleString(), benchmark.schema["item_id"].dataType.simpleString()
-    out = None
-    for ids, texts in _blocks(benchmark):
-        found = docs.select("doc_id", "text").mapInArrow(_scanner(ids, texts, share, item_kind), f"doc_id {doc_kind}, item_id {item_kind}, start long, end long, edits long")
-        out = found if out is None else out.unionByName(found)
-    return out
-
+    folder = _stored(benchmark)
+    item_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_kind]
 
-def _scanner(ids: list, texts: list[str], share: float, item_kind: str):
     def run(batches):
-        items = Items(ids, texts, share)
+        blocks = Blocks(folder, share)
         for batch in batches:
-            doc_ids, item_ids, spans = [], [], []
-            for row, text in enumerate(batch.column(1)):
-                for item, *span in items.regions(text.as_py()):
-                    doc_ids.append(row)
-                    item_ids.append(item)
-                    spans.append(span)
-            columns = [batch.column(0).take(pa.array(doc_ids, pa.int64())), pa.array(item_ids, pa.int64() if item_kind == "bigint" else None)]
-            columns += [pa.array([s[k] for s in spans], pa.int64()) for k in range(3)]
+            rows, found = [], []
+            for items in blocks:
+                for row, text in enumerate(batch.column(1)):
+                    own = items.regions(text.as_py())
+                    rows += [row] * len(own)
+                    found += own
+            columns = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array([f[0] for f in found], item_type)]
+            columns += [pa.array([f[k] for f in found], pa.int64()) for k in (1, 2, 3)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "start", "end", "edits"])
 
-    return run
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {doc_kind}, item_id {item_kind}, start long, end long, edits long")
 
 
 def without_passages(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHARE) -> DataFrame:
-    """The documents that hold no benchmark item; all columns of docs stay. A text is looked at where it is read."""
+    """The documents that hold no benchmark item of q characters or more; all columns of docs stay. A text is looked at where it is read."""
     at = docs.columns.index("text")
-    for ids, texts in _blocks(benchmark):
-        def run(batches, ids=ids, texts=texts):
-            items = Items(ids, texts, share)
-            for batch in batches:
-                yield batch.filter(pa.array([not items.regions(t.as_py()) for t in batch.column(at)], pa.bool_()))
-
-        docs = docs.mapInArrow(run, docs.schema)
-    return docs
+    folder = _stored(benchmark)
+
+    def run(batches):
+        blocks = Blocks(folder, share)
+        for batch in batches:
+            clean = np.ones(batch.num_rows, bool)
+            for items in blocks:
+                for row in np.flatnonzero(clean).tolist():
+                    clean[row] = not items.holds(batch.column(at)[row].as_py())
+            yield batch.filter(pa.array(clean))
+
+    return docs.mapInArrow(run, docs.schema)

@@ -59,6 +59,34 @@ class TestDecontamination:
         half = items[0][: len(items[0]) // 2]
         assert not index.regions(prose(r, 30) + half + prose(r, 30))
 
+    def test_query_against_brute_force(self, spark, tmp_path):
+        """Every document against every item, over all substrings: found and not found alike."""
+        r = random.Random(21)
+        items = [prose(r, r.randint(4, 9)) for _ in range(6)]
+        texts = []
+        for k in range(70):
+            own = items[k % 6]
+            budget = min(int(0.1 * len(own)), (len(own) - decontam.Q) // decontam.Q)
+            texts.append(" ".join([prose(r, r.randint(0, 6)), edited(r, own, r.randint(0, 2 * budget + 2)), prose(r, r.randint(0, 6))]))
+        spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+        spark.createDataFrame(list(enumerate(items)), "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+        fold = lambda t: " ".join(t.lower().split())
+        want = set()
+        for d, text in enumerate(map(fold, texts)):
+            for i, item in enumerate(map(fold, items)):
+                # Sellers: the last row of the distance table with free ends.
+                row = [0] * (len(text) + 1)
+                for x in item:
+                    before, row[0] = row[0], row[0] + 1
+                    for j, y in enumerate(text, 1):
+                        before, row[j] = row[j], min(before + (x != y), row[j] + 1, row[j - 1] + 1)
+                if min(row) <= min(int(0.1 * len(item)), (len(item) - decontam.Q) // decontam.Q):
+                    want.add((d, i, min(row)))
+        got = {(r.doc_id, r.item_id, r.edits) for r in queries.op5_decontaminate(spark, str(tmp_path)).collect()}
+        assert got == want and 20 < len(want) < 60
+        left = decontam.without_passages(*(spark.read.parquet(f"{tmp_path}/{n}.parquet") for n in ("documents", "benchmark")))
+        assert {r.doc_id for r in left.collect()} == set(range(70)) - {d for d, *_ in want}
+
     def test_every_verbatim_item_of_the_tables(self, spark, sf_dir):
         fold = lambda t: " ".join(t.lower().split())
         docs = {r.doc_id: fold(r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
@@ -73,8 +101,25 @@ class TestDecontamination:
         for _ in range(60):
             own, window = ("".join(r.choice("ab") for _ in range(n)) for n in (r.randint(1, 9), r.randint(0, 14)))
             best = min(edit_distance(own, window[i:j]) for i in range(len(window) + 1) for j in range(i, len(window) + 1))
-            edits, start, end = decontam.banded_alignment(as_array(own), as_array(window), 99)
+            edits, start, end = decontam.banded_alignment(as_array(own), as_array(window), 99, -len(own), len(window))
             assert edits == best == edit_distance(own, window[start:end])
+            # A band around the place found is enough; one beside it is not filled.
+            shift = max(1, edits)
+            assert decontam.banded_alignment(as_array(own), as_array(window), 99, start - shift, start + shift)[0] == best
+            if edits == 0:
+                low = len(window) + 2
+                assert decontam.banded_alignment(as_array(own), as_array(window), len(own) - 1, low, low + 3)[0] > len(own)
+
+    def test_repetitive_text_in_bounded_memory(self):
+        import tracemalloc
+
+        index = decontam.Items([1], ["a" * 1000])
+        tracemalloc.start()
+        found = index.regions("a" * 100_000)
+        assert tracemalloc.get_traced_memory()[1] < 300 << 20
+        tracemalloc.stop()
+        assert found[0][1:] == (0, 1000, 0) and len(found) >= 50 and all(a[2] <= b[1] for a, b in zip(found, found[1:]))
+        assert not index.holds("a" * 800 + "b" * 200 + "a" * 700)
 
     def test_case_space_and_places(self):
         item = "Some Benchmark   Passage, with words to find again"
@@ -86,9 +131,12 @@ class TestDecontamination:
     def test_odd_rows(self, spark):
         item = "a benchmark passage that is long enough to search for"
         docs = spark.createDataFrame([(1, None, 5), (2, "", 5), (3, item, 5), (3, item, 5), (None, "x " + item, 5), (4, "y " * 60_000 + item, 5)], "doc_id long, text string, item_id int")
-        bench = spark.createDataFrame([(1, item), (2, None), (3, "short"), (4, item)], "item_id long, text string")
+        bench = spark.createDataFrame([(1, item), (2, None), (3, "Long"), (4, item), (5, " "), (6, "sear")], "item_id long, text string")
         got = sorted((r.doc_id or 0, r.item_id) for r in decontam.find_passages(docs, bench).collect())
-        assert got == sorted((d, i) for d in (0, 3, 3, 4) for i in (1, 4))
+        # Short items are found as whole words, and drop no document.
+        assert got == sorted((d, i) for d in (0, 3, 3, 4) for i in (1, 3, 4))
+        short = decontam.without_passages(docs, bench.where("item_id in (3, 6)"))
+        assert short.count() == 6
         kept = decontam.without_passages(docs, bench)
         assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [1, 2]
         assert decontam.find_passages(docs.limit(0), bench).count() == 0 == decontam.find_passages(docs, bench.limit(0)).count()
