@@ -3,39 +3,34 @@
 A round is two shuffles of narrow rows by node and one that drops repeats; nothing is gathered on the driver but the
 number of edges at the start and, after each round, whether every node has come to one edge to a root.
 
-Below SPLIT_ROWS edges a node's least neighbour is a window minimum, which bounds what one hub can bring to a task.
-From there on it is pre-aggregated and written, and joined back: both sides of the join are then plain shuffles, whose
-skewed partitions (a hub with a third of all edges) adaptive execution splits.
+A node's least neighbour is pre-aggregated and written, and joined back: both sides of the join are then plain shuffles,
+whose skewed partitions (a hub with a third of all edges) adaptive execution splits.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from findloom.llm.common import discard, written
 
-SPLIT_ROWS = 1_000_000
 
-
-def _with_least(edges: DataFrame, split: bool) -> DataFrame:
+def _with_least(edges: DataFrame) -> DataFrame:
     """edges(u, v) with m, the least v of each u."""
-    if not split:
-        return edges.withColumn("m", F.min("v").over(Window.partitionBy("u")))
     return edges.join(written(edges.groupBy("u").agg(F.min("v").alias("m")), "least"), "u")
 
 
-def _large_star(edges: DataFrame, split: bool) -> DataFrame:
+def _large_star(edges: DataFrame) -> DataFrame:
     """Every larger neighbour of a node moves to the node's least neighbour, or to the node itself."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    moved = _with_least(both, split).where("v > u")
+    moved = _with_least(both).where("v > u")
     return moved.select(F.col("v").alias("u"), F.least("u", "m").alias("v"))
 
 
-def _small_star(edges: DataFrame, split: bool) -> DataFrame:
+def _small_star(edges: DataFrame) -> DataFrame:
     """Every smaller neighbour of a node, and the node, move to the least of them."""
     ends = F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))
-    moved = _with_least(edges, split).select(F.explode(ends).alias("e")).select("e.u", "e.v")
+    moved = _with_least(edges).select(F.explode(ends).alias("e")).select("e.u", "e.v")
     return moved.where("u <> v").distinct()
 
 
@@ -56,8 +51,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     current = written(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct(), "cc")
     n = current.count()
     for _ in range(max_rounds if n else 0):
-        split = n >= SPLIT_ROWS
-        following = written(_small_star(_large_star(current, split), split), "cc")
+        following = written(_small_star(_large_star(current)), "cc")
         discard(current)
         current = following
         if _settled(current):

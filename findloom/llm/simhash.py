@@ -9,17 +9,20 @@ dealt to tasks by a shuffle: the trees of a whole corpus have no size bound, so
 Large shards (a third of a corpus may be copies of one text): a shard above SHARD_ROWS nodes is cut again. The
 exact form cuts by bands of the remaining bits, which loses no link. The similarity form first cuts by the next band,
 which joins most of a group of copies, and then lets all blocks of the shard meet two by two, but for blocks that lie
-in one component already: every two nodes of a shard are compared or joined, whatever its size. Inside a shard, nodes that differ by one bit are
-joined first, and a search passes over subtrees that lie wholly in its own component, so that a dense ball of
-copies costs little more than a look at each node. A shard gives one row for each linked node (node, least node of
-its component there), never pairs; distributed components join shards.
+in one component already: every two nodes of a shard are compared or joined, whatever its size. Inside a shard, nodes
+that differ by one bit are joined first, and a search passes over subtrees that lie wholly in its own component, so that
+a dense ball of copies costs little more than a look at each node. A shard gives one row for each linked node (node,
+least node of its component there), never pairs; distributed components join shards.
 
 Two forms:
   exact        64 bits, XXH64 of shingles, links at `radius` or fewer bits, nothing missed;
-  similarity   512 bits over five-word shingle sets. 32 bands of 14 bits put a pair of Jaccard similarity 0.8 into
-               a common shard with probability 0.96, of 0.85 with 0.99, of 0.9 with 0.9996. Pairs whose bits differ
-               so little that their similarity is above the threshold beyond doubt are links; pairs around the
-               threshold are verified on the shingle sets themselves, the rest are none.
+  similarity   512 bits over five-word shingle sets. band_plan() takes as many bits a band as keep shards of unlike
+               texts near SHARD_ROWS / 2 nodes, and as many bands as put a pair of the threshold similarity into a
+               common shard with probability 1 - MISSED, at every size of corpus: up to 16 million texts 32 bands of 14
+               bits (0.8: 0.97, 0.85: 0.99, 0.9: 0.9996). Pairs whose bits differ so little that their similarity is
+               above the threshold beyond doubt are links; pairs around the threshold are verified on the shingle sets
+               themselves, the rest are none. Sets of few shingles say too little in bits: what is left of a set of
+               FEW or less without the shingles it may lack is a key, and texts that share a key are linked exactly.
 
 Defined cases: texts without words have fingerprint zero and are linked like any other; null is the empty text;
 rows that repeat a doc_id are linked by their own texts; a null doc_id is passed over in naming a component; an
@@ -28,13 +31,14 @@ empty table gives no rows.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from findloom.llm import words as W
@@ -42,7 +46,10 @@ from findloom.llm.common import written
 from findloom.llm.components import connected_components
 
 SHARD_ROWS = 2000
-BANDS, BAND_BITS, LONG_WORDS = 32, 14, 8
+LONG_WORDS = 8
+LEAST_BAND_BITS, MISSED = 14, 0.035
+#: Shingles of sets that are linked by keys. A set of LONE or fewer has no partner of 0.8 beyond FEW, so it needs no band.
+FEW, LONE = 10, 8
 _LANES = np.uint64(0x0101010101010101)
 
 
@@ -82,31 +89,48 @@ def exact_fingerprints(texts: list[bytes | None], n: int) -> np.ndarray:
     return majority_bits(np.frombuffer(b"".join(hashed), ">u8").astype(np.uint64), bounds)
 
 
-def long_fingerprints(texts: pa.Array, n: int) -> list[bytes]:
-    out: list[bytes] = []
+def deletion_keys(hashes: np.ndarray, similarity: float) -> list[int] | None:
+    """Keys of a set of at most FEW shingles: of the whole, and without each choice of shingles that a similar subset may lack, fewest first."""
+    n = len(hashes)
+    if n > FEW:
+        return None
+    whole = int(np.bitwise_xor.reduce(hashes)) if n else 0
+    lacking = math.floor(n * (1 - similarity) + 1e-9)
+    keys = [whole]
+    for r in range(1, lacking + 1):
+        keys += [int(np.bitwise_xor.reduce(c, initial=np.uint64(whole))) for c in itertools.combinations(hashes, r)]
+    return [k - (1 << 64) if k >> 63 else k for k in keys]
+
+
+def long_fingerprints(texts: pa.Array, n: int, similarity: float | None = None) -> list[tuple]:
+    """(64 bytes, number of shingles, keys of a small set) of each text; keys only with a similarity."""
+    out: list[tuple] = []
     for _, data, offsets in W.chunks(texts):
         hashes, bounds = W.unique_in_rows(*W.shingle_hashes(*W.word_hashes(data, offsets), n))
         bits = np.stack([majority_bits(W.mixed(hashes, k + 1), bounds) for k in range(LONG_WORDS)], axis=1)
-        out += [row.tobytes() for row in bits]
+        for row, a, b in zip(bits, bounds[:-1], bounds[1:]):
+            out.append((row.tobytes(), int(b - a), None if similarity is None else deletion_keys(hashes[a:b], similarity)))
     return out
 
 
-def fingerprints(docs: DataFrame, n: int, exact: bool) -> DataFrame:
-    """docs(doc_id, text) -> doc_id, fp (long in the exact form, else 64 bytes)."""
+def fingerprints(docs: DataFrame, n: int, similarity: float | None = None) -> DataFrame:
+    """docs(doc_id, text) -> doc_id, fp: a long in the exact form; with a similarity 64 bytes, and n_shingles and keys beside them."""
     kind = docs.schema["doc_id"].dataType.simpleString()
+    long_ddl = "fp binary, n_shingles int, keys array<long>"
 
     def run(batches):
         for batch in batches:
             for start in range(0, batch.num_rows, 500):
                 part = batch.slice(start, 500)
                 texts = part.column(1)
-                if exact:
-                    fp = pa.array(exact_fingerprints(texts.cast(pa.binary()).to_pylist(), n).view(np.int64))
+                if similarity is None:
+                    made = [pa.array(exact_fingerprints(texts.cast(pa.binary()).to_pylist(), n).view(np.int64))]
                 else:
-                    fp = pa.array(long_fingerprints(texts, n), pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column(0), fp], ["doc_id", "fp"])
+                    found = long_fingerprints(texts, n, similarity)
+                    made = [pa.array([f[k] for f in found], t) for k, t in enumerate((pa.binary(), pa.int32(), pa.list_(pa.int64())))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *made], ["doc_id", "fp", "n_shingles", "keys"][: 1 + len(made)])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp {'long' if exact else 'binary'}")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, {'fp long' if similarity is None else long_ddl}")
 
 
 class BKTree:
@@ -321,39 +345,107 @@ def _slices(fp: Column, band: Column, radius: int) -> Column:
 SHARD_KEYS = ["band", "value", "part"]
 
 
-def banded(nodes: DataFrame) -> DataFrame:
+def _differing(similarity: float) -> float:
+    """Share of bits in which two sets of that similarity differ."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def band_plan(nodes: int, similarity: float) -> tuple[int, int]:
+    """(bits a band, bands) for so many nodes."""
+    total, p = 64 * LONG_WORDS, _differing(similarity)
+    bits = max(LEAST_BAND_BITS, math.ceil(math.log2(max(1, nodes) / max(1, SHARD_ROWS / 2))))
+    bands = math.ceil(math.log(MISSED) / math.log(1 - (1 - p) ** bits))
+    if bands * bits <= total:
+        return bits, bands
+    # Bands share bits: a pair that differs in many bits misses all of them together, so what counts is the mean over the number of differing bits.
+    choose = lambda n, k: math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1)
+    differ = np.arange(total - bits + 1)
+    chance = np.exp([choose(total, d) + d * math.log(p) + (total - d) * math.log(1 - p) for d in differ])
+    agree = np.exp([choose(total - d, bits) - choose(total, bits) for d in differ])
+    while float(chance @ (1 - agree) ** bands) > MISSED:
+        bands += max(1, bands // 50)
+    return bits, bands
+
+
+def band_places(bits: int, bands: int) -> np.ndarray:
+    """(bands x bits) places of bits: cut from one shuffle of all bits after another."""
+    r, total = np.random.default_rng(1), 64 * LONG_WORDS
+    each = total // bits
+    rows = [r.permutation(total)[: each * bits].reshape(each, bits) for _ in range(-(-bands // each))]
+    return np.concatenate(rows)[:bands]
+
+
+def banded(nodes: DataFrame, similarity: float) -> DataFrame:
     """nodes(fp 64 bytes) -> fp with each shard that it is in, and `large`: whether the shard is cut."""
-    value = lambda k: F.conv(F.hex(F.substring("fp", 2 * k + 1, 2)), 16, 10).cast("int").bitwiseAND((1 << BAND_BITS) - 1)
-    bands = F.array(*(F.struct(F.lit(k).alias("band"), value(k).alias("value"), value((k + 1) % BANDS).alias("next")) for k in range(BANDS)))
-    rows = nodes.select("fp", F.explode(bands).alias("b")).select("fp", "b.*")
+    bits, bands = band_plan(nodes.count(), similarity)
+    places = band_places(bits, bands)
+    weights = np.int64(1) << np.arange(bits, dtype=np.int64)
+
+    def run(batches):
+        for batch in batches:
+            for start in range(0, batch.num_rows, 2000):
+                part = batch.slice(start, 2000)
+                raw = np.frombuffer(b"".join(part.column(0).to_pylist()), np.uint8).reshape(part.num_rows, -1)
+                values = np.unpackbits(raw, axis=1)[:, places].astype(np.int64) @ weights
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, bands), pa.int32()), pa.array(values.ravel()))
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["fp", "bands"])
+
+    rows = nodes.select("fp").mapInArrow(run, "fp binary, bands array<long>")
+    following = F.concat(F.slice("bands", 2, bands), F.slice("bands", 1, 1))
+    rows = rows.select("fp", F.posexplode(F.arrays_zip(F.col("bands").alias("value"), following.alias("next"))).alias("band", "b")).select("fp", "band", "b.value", "b.next")
+    rows = written(rows, "bands")
     # A large shard is cut by the next band at first; met_in_blocks() brings together what that keeps apart.
-    part = F.when(F.col("large"), F.col("next")).otherwise(-1).cast("long")
+    part = F.when(F.col("large"), F.col("next")).otherwise(-1)
     return _with_large(rows).select("fp", "band", "value", part.alias("part"), "large")
 
 
 def met_in_blocks(large: DataFrame, classes: DataFrame) -> DataFrame:
     """large(fp, band, value), classes(node, component) -> (shard keys, fp, label), where all nodes of a large shard meet that are not in one component.
 
-    A shard's nodes, ordered by component, are cut into blocks of half of SHARD_ROWS, and every two blocks are a shard
-    of their own. Two blocks that lie wholly in the same component have nothing left to find and are passed over: a
-    group of copies is met only by the blocks that hold others.
+    A component with many nodes in the shard is dealt by hash into blocks of its own, what else the shard holds into
+    others, each of about a quarter of SHARD_ROWS, and every two blocks (and one of the others by itself) are a shard. Blocks of the same
+    component have nothing left to find and do not meet: a group of copies is met only by the blocks that hold others.
     """
-    shard = ["band", "value"]
+    shard, size = ["band", "value"], max(1, SHARD_ROWS // 4)
     named = large.join(classes.select(F.col("node").alias("fp"), F.col("component").alias("label")), "fp", "left")
-    at = F.row_number().over(Window.partitionBy(*shard).orderBy(F.coalesce("label", "fp"), "fp")) - 1
-    rows = written(named.select("fp", "label", *shard, F.floor(at / max(1, SHARD_ROWS // 2)).cast("long").alias("block")), "blocks")
-    whole = F.when((F.min("label") == F.max("label")) & (F.count("label") == F.count("*")), F.min("label"))
-    blocks = written(rows.groupBy(*shard, "block").agg(whole.alias("whole")), "block-labels")
-    side = lambda at, whole: blocks.select(*shard, F.col("block").alias(at), F.col("whole").alias(whole))
-    pairs = side("i", "a").join(side("j", "b"), shard).where("i < j and not coalesce(a = b, false)")
-    meet = pairs.select(*shard, (F.col("i") * (1 << 31) + F.col("j")).alias("part"), F.explode(F.array("i", "j")).alias("block"))
-    return rows.join(meet, [*shard, "block"]).select(*SHARD_KEYS, "fp", "label")
+    named = written(named.select("fp", "label", *shard), "labelled")
+    counts = written(named.groupBy(*shard, "label").agg(F.count("*").alias("n")), "label-counts")
+    whole = counts.where((F.col("n") > size) & F.col("label").isNotNull()).select(*shard, "label", F.col("n").alias("own"))
+    rest = counts.join(whole, [*shard, "label"], "left_anti").groupBy(*shard).agg(F.sum("n").alias("others"))
+    rows = named.join(written(whole, "whole"), [*shard, "label"], "left").join(written(rest, "rest"), shard, "left")
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), F.ceil(n / F.lit(size)))
+    block = F.when(F.col("own").isNotNull(), dealt("fp", F.col("own"))).otherwise(dealt(F.coalesce("label", "fp"), F.col("others")))
+    head = F.when(F.col("own").isNotNull(), F.col("label")).otherwise(F.lit(b""))
+    rows = written(rows.select("fp", "label", *shard, head.alias("head"), block.alias("block")), "blocks")
+    blocks = written(rows.select(*shard, "head", "block").distinct(), "block-list")
+    side = lambda a: blocks.select(*shard, F.struct("head", "block").alias(a))
+    pairs = side("i").join(side("j"), shard).where((F.col("i") <= F.col("j")) & ((F.col("i.head") != F.col("j.head")) | (F.col("i.head") == F.lit(b""))))
+    meet = pairs.select(*shard, F.xxhash64("i.head", "i.block", "j.head", "j.block").alias("part"), F.explode(F.array_distinct(F.array("i", "j"))).alias("b"))
+    return rows.join(meet.select(*shard, "part", "b.head", "b.block"), [*shard, "head", "block"]).select(*SHARD_KEYS, "fp", "label")
+
+
+def small_set_links(nodes: DataFrame, similarity: float) -> DataFrame:
+    """nodes(fp, n_shingles, keys) -> links between the sets of FEW or fewer shingles that are that similar, for a similarity of 0.8 or more.
+
+    A key stands for the shingles that are left. Of two similar small sets, one is what is left of the other, or both
+    have the same size and lack one shingle of each other.
+    """
+    rows = nodes.where("keys is not null").select("fp", F.col("n_shingles").alias("n"), F.posexplode("keys").alias("at", "key"))
+    rows = rows.withColumn("lacks", F.when(F.col("at") == 0, 0).when(F.col("at") <= F.col("n"), 1).otherwise(2)).drop("at")
+    rows = written(rows, "keys")
+    heads = rows.groupBy("key", "n", "lacks").agg(F.min("fp").alias("head"), F.count("*").alias("copies"))
+    heads = written(heads.where((F.col("lacks") == 0) | (F.col("copies") > 1)), "key-heads")
+    left = rows.where("lacks > 0")
+    to_whole = left.join(heads.where("lacks = 0").select("key", "head"), "key")
+    alike = (F.col("n") - F.col("lacks")) >= F.lit(similarity - 1e-9) * (F.col("n") + F.col("lacks"))
+    to_equals = left.where(alike).join(heads.where("lacks > 0").select("key", "n", "lacks", "head"), ["key", "n", "lacks"])
+    return to_whole.select(F.col("fp").alias("u"), F.col("head").alias("v")).unionByName(to_equals.select(F.col("fp").alias("u"), F.col("head").alias("v"))).where("u <> v")
 
 
 def similarity_radii(similarity: float) -> tuple[int, int]:
     """Differing bits below which a pair is surely that similar (4 standard deviations, as a group has many pairs), and above which it surely is not (2.5)."""
     bits = 64 * LONG_WORDS
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    p = _differing(similarity)
     spread = math.sqrt(bits * p * (1 - p))
     return math.floor(bits * p - 4 * spread), math.ceil(bits * p + 2.5 * spread)
 
@@ -365,7 +457,7 @@ def shingle_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, n: int) -
     def run(batches):
         for batch in batches:
             texts = batch.column(1)
-            fps, rows = long_fingerprints(texts, n), []
+            fps, rows = [f[0] for f in long_fingerprints(texts, n)], []
             for _, data, offsets in W.chunks(texts):
                 hashes, bounds = W.unique_in_rows(*W.shingle_hashes(*W.word_hashes(data, offsets), n))
                 rows += [hashes[a:b].view(np.int64) for a, b in zip(bounds[:-1], bounds[1:])]
@@ -385,7 +477,7 @@ def verified(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.where(common >= similarity * (F.size("a") + F.size("b") - common)).select("u", "v")
 
 
-def _joined(shards: DataFrame, classes: DataFrame | None, nodes: DataFrame, docs: DataFrame, n: int, similarity: float) -> DataFrame:
+def _joined(shards: DataFrame, classes: DataFrame, nodes: DataFrame, docs: DataFrame, n: int, similarity: float) -> DataFrame:
     """(node, component) of what classes (node, component) join already and what shards (keys, fp, maybe label) join by verified similarity.
 
     First the sure links and the nearest doubtful pair of each node, which are as many as the nodes: a group of copies
@@ -402,7 +494,7 @@ def _joined(shards: DataFrame, classes: DataFrame | None, nodes: DataFrame, docs
     wanted = pairs.select(F.col("u").alias("fp")).unionByName(pairs.select(F.col("v").alias("fp"))).unionByName(open_nodes.select("fp"))
     sets = shingle_sets(wanted, nodes, docs, n)
     links = of_kind(LINK).unionByName(verified(pairs, sets, similarity))
-    joined = written(connected_components(links if classes is None else links.unionByName(as_links(classes))), "classes")
+    joined = written(connected_components(links.unionByName(as_links(classes))), "classes")
     if open_nodes.isEmpty():
         return joined
     again = open_nodes.join(joined.select(F.col("node").alias("fp"), F.col("component").alias("label")), "fp", "left").join(sets, "fp")
@@ -411,10 +503,11 @@ def _joined(shards: DataFrame, classes: DataFrame | None, nodes: DataFrame, docs
 
 
 def similar_classes(nodes: DataFrame, docs: DataFrame, n: int, similarity: float) -> DataFrame:
-    """(node, component) by verified similarity: in the shards, and then in the blocks of those that were cut."""
-    shards = banded(nodes.select("fp"))
+    """(node, component) by verified similarity: of small sets, in the shards, and then in the blocks of those that were cut."""
+    shards = banded(nodes.where(F.col("n_shingles") > LONE).select("fp"), similarity)
     large = shards.where("large").select("fp", "band", "value")
-    classes = _joined(shards.drop("large"), None, nodes, docs, n, similarity)
+    small = connected_components(small_set_links(nodes, similarity))
+    classes = _joined(shards.drop("large"), small, nodes, docs, n, similarity)
     if large.isEmpty():
         return classes
     classes = written(classes, "classes")
@@ -428,8 +521,11 @@ def near_duplicates(docs: DataFrame, n: int = 3, radius: int = 3, similarity: fl
     """
     if similarity is None and 64 % (radius + 1):
         raise ValueError("the exact form needs a radius with radius + 1 a divisor of 64")
-    marked = written(fingerprints(docs, n, similarity is None), "fingerprints")
-    nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    if similarity is not None and not 0.8 <= similarity < 1:
+        raise ValueError("the similarity form is made for similarities from 0.8 to 1")
+    marked = written(fingerprints(docs, n, similarity), "fingerprints")
+    sets = [] if similarity is None else [F.max("n_shingles").alias("n_shingles"), F.max("keys").alias("keys")]
+    nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least"), *sets), "nodes")
     if similarity is None:
         classes = connected_components(exact_links(nodes.select("fp"), radius).select("u", "v"))
     else:
