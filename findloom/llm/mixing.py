@@ -96,7 +96,8 @@ def mix(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, max_repeats: int
         F.coalesce("source", F.lit("")).alias("src"),
         F.coalesce(word_count(F.col("text")), F.lit(0).cast("long")).alias("size"),
         F.xxhash64("text").alias("text_key"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("key"),
+        # Rows without a doc_id are spread by their texts.
+        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.coalesce("text", F.lit(""))))).alias("key"),
     )
     sizes = written(sizes, "sizes")
     ranges = max(1, math.ceil(sizes.count() / ROWS_PER_RANGE))
@@ -141,6 +142,12 @@ def _uses(mixed: DataFrame, schedules) -> DataFrame:
     return uses.select("doc_id", "text_key", "source", "use", words.alias("words"), position.alias("position"))
 
 
+def in_order(mixed: DataFrame) -> DataFrame:
+    """The mix's documents range-sorted by the training position of their first use, those that it takes no words of at the end."""
+    by = [F.col("position").asc_nulls_last(), F.col("doc_id").asc_nulls_last()]
+    return mixed.repartitionByRange(*by).sortWithinPartitions(*by)
+
+
 def training_order(mixed: DataFrame, schedules=SCHEDULES) -> DataFrame:
     """A row for each use of a document, range-sorted by training position."""
     return _uses(mixed, schedules).repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")

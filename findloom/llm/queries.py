@@ -11,7 +11,7 @@ from findloom.llm.sql import op1_sql, op3_sql, op4_sql, op6_sql, op9_sql
 
 
 def op1_mix_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    mixed = mixing.in_order(mixing.mix(table(spark, sf_dir, "documents")))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.round("position", 6).alias("position"))
 
 

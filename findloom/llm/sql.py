@@ -22,7 +22,7 @@ def op1_sql() -> str:
     positions = " ".join(f"WHEN {k} THEN {_position('(off / target)', knots)}" for k, knots in enumerate(mixing.SCHEDULES))
     return rf"""
     WITH sizes AS (
-      SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, '')) AS key
+      SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size, md5(coalesce(doc_id::VARCHAR, 'text ' || coalesce(text, ''))) AS key
       FROM documents),
     sums AS (SELECT source, sum(size)::BIGINT AS source_size FROM sizes GROUP BY source),
     ranked AS (SELECT *, (row_number() OVER (ORDER BY source NULLS LAST) - 1) % {len(mixing.WEIGHTS)} AS class FROM sums),

@@ -1,8 +1,9 @@
 """WARC archives, index first.
 
 write_archives() turns pages into WARC records (a gzip member each) in the shared folder and gives an index row for
-every record: file, offset, length, url and payload digest. read_records() takes any selection of index rows, sorts
-them by file and place, coalesces neighbouring byte ranges into one read, and parses the records.
+every record: file, offset, length, url and payload digest. read_records() takes any selection of index rows, deals
+them out by stretches of the archives' bytes, sorts them by file and place, coalesces neighbouring byte ranges into one
+read, and parses the records.
 
 Of records with equal payloads of REVISIT_BYTES or more, the one with the largest page_id is a response and the others
 are revisits, which hold no payload but its digest, its length and the response they refer to. Smaller payloads are
@@ -35,6 +36,8 @@ from findloom.llm.common import new_path, written
 REVISIT_BYTES = 1000
 #: Ranges this near each other are read at once, up to READ_BYTES.
 GAP_BYTES, READ_BYTES = 64 << 10, 8 << 20
+#: An archive is dealt to tasks in stretches of this many bytes.
+STRETCH_BYTES = 32 << 20
 DATE = "2024-01-01T00:00:00Z"
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 INDEX = "page_id {id}, url string, digest string, file string, offset long, length long"
@@ -174,7 +177,9 @@ def read_records(index: DataFrame, folder: str, keep_payload: bool = True) -> Da
                 yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kinds[k]) for k in range(len(kinds))], names)
 
     chosen = index.select("page_id", "url", "file", "offset", "length")
-    return chosen.repartitionByRange("file", "offset").sortWithinPartitions("file", "offset").mapInArrow(run, ddl)
+    stretch = F.floor(F.col("offset") / F.lit(STRETCH_BYTES))
+    n = chosen.select("file", stretch).distinct().count()
+    return chosen.repartition(max(1, n), "file", stretch).sortWithinPartitions("file", "offset").mapInArrow(run, ddl)
 
 
 def archive_folder(spark) -> str:

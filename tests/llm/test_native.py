@@ -70,6 +70,10 @@ class TestMixing:
         assert [r.position for r in uses] == sorted(r.position for r in uses) and 0 <= uses[0].position and uses[-1].position < 1
         assert sum(r.words for r in uses) == mixed.agg(F.sum("taken")).first()[0]
 
+    def test_query_is_in_order(self, spark, sf_dir):
+        rows = [(r.position is None, r.position or 0, r.doc_id) for r in queries.op1_mix_weights(spark, sf_dir).select("doc_id", "position").collect()]
+        assert [r[:2] for r in rows] == sorted(r[:2] for r in rows) and len(rows) == 200
+
     def test_training_rows(self, spark):
         rows = [(1, "w " * 5, "a"), (1, "w " * 5, "a"), (2, "w " * 50, "b"), (None, "w w", "b"), (3, None, "a")]
         out = mixing.training_rows(docs(spark, *rows).withColumn("position", F.lit("clash")))
@@ -243,6 +247,40 @@ class TestUrls:
         )
         assert [got[k][3] for k in range(6)] == ["block", "block", "allow", "allow", "allow", "allow"]
 
+    def test_links_are_read_as_a_parser_reads_them(self, spark):
+        """Against html.parser and urljoin."""
+        import itertools
+        from html.parser import HTMLParser
+        from urllib.parse import urldefrag, urljoin
+
+        class Links(HTMLParser):
+            def handle_starttag(self, tag, attrs):
+                own = dict(attrs)
+                if tag == "link" and "canonical" in (own.get("rel") or "").lower().split():
+                    self.found.append(own["href"])
+                if tag == "meta" and (own.get("http-equiv") or "").lower() == "refresh":
+                    self.found.append(own["content"].split("=", 1)[1])
+
+        base = "http://site.org/a/b/c?q=1"
+        targets = ["../es/1", "./x", "../../../up", "/r/./s/../t", "//o.org/a/b", "?only=query", "next?a=1&amp;b=2", "x&#47;y&#x2e;htm", "http://z.org/&quot;p", "plain", "..", "a/b/../../c/."]
+        forms = ['<link rel="canonical" href="{}">', "<LINK href='{}' rel='alternate canonical'>", '<meta http-equiv="Refresh" content="0; url={}">', '<!-- <link rel="canonical" href="{}"> -->', "<script>'<link rel=canonical href=\"{}\">'</script>", '<!-- open <link rel=canonical href="{}">']
+        pages = [form.format(t) for t, form in itertools.product(targets, forms)]
+        rows = spark.createDataFrame(list(enumerate(pages)), "k long, html string")
+        got = rows.select("k", F.transform(url_filter.link_targets(F.col("html")), lambda t: url_filter.resolved(t, F.lit(base))).alias("t")).collect()
+        for k, found in got:
+            parser = Links()
+            parser.found = []
+            parser.feed(pages[k])
+            assert found == [urldefrag(urljoin(base, t))[0] for t in parser.found], pages[k]
+        assert sum(bool(r.t) for r in got) == 3 * len(targets)
+
+    def test_hidden_and_encoded_links(self, spark):
+        got = self.judge(
+            spark, ("http://bad.net/x/es", None), ("http://a.net/x/1", '<link rel=canonical href="../es/1">'), ("http://b.org/", '<!-- <link rel=canonical href="http://bad.net/es/1"> -->'),
+            ("http://c.org/", '<link rel=canonical href="http://d.net/fr/?a=1&amp;b=2">'), ("http://d.net/fr/?a=1&b=2", None), ("http://e.org/", None),
+        )
+        assert [got[k][3] for k in range(6)] == ["allow", "block", "allow", "block", "block", "allow"]
+
     def test_empty_and_repeated(self, spark):
         assert self.judge(spark) == {}
         pages = spark.createDataFrame([(1, "http://x.org", "")] * 3, "page_id long, url string, html string")
