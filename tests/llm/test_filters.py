@@ -191,12 +191,51 @@ class TestQuality:
         assert quality.kth_largest(rows, "x", 0) == np.inf and quality.kth_largest(rows.limit(0), "x", 3) == np.inf
 
     def test_features_do_not_depend_on_neighbours(self):
-        texts = ["One two two", "", None, "é" * 10, "a " * 600_000, "!!"]
-        alone = [list(next(quality.features(pa.array([t], pa.string())))) for t in texts]
-        assert [list(f) for f in quality.features(pa.array(texts, pa.string()))] == alone
+        texts = ["One two two", "", None, "é" * 10, "a " * 600_000, "!!", "x"]
+        lists = lambda found: [tuple(x.tolist()) for x in found]
+        alone = [lists(next(quality.features(pa.array([t], pa.string())))) for t in texts]
+        assert [lists(f) for f in quality.features(pa.array(texts, pa.string()))] == alone
+
+    def test_weights_against_brute_force(self, spark, tables):
+        """log p(target) - log p(raw) by counting words and pairs one by one."""
+        import math
+        from collections import Counter
+
+        docs, labels = tables
+        texts = {r.doc_id: r.text for r in docs.collect()}
+        good = {r.doc_id for r in quality.labelled_sample(labels).collect() if r.good and not r.held_out}
+
+        def slots(text):
+            clean = "".join(c if c.isalnum() else " " for c in text).lower().split()
+            named = []
+            for w in clean:
+                hashed, _ = words.word_hashes(np.frombuffer(w.encode(), np.uint8), np.array([0, len(w)]))
+                named.append(int(hashed[0]))
+            mask, base = (1 << 64) - 1, int(words.BASE)
+            pairs = [int(words.mixed(np.array([(a * base + b) & mask], np.uint64))[0]) for a, b in zip(named, named[1:])]
+            return [h >> 64 - quality.PAIR_BITS for h in named + pairs]
+
+        own = {k: slots(t) for k, t in texts.items()}
+        raw, target = Counter(s for v in own.values() for s in v), Counter(s for k in good for s in own[k])
+        n, total_raw, total_target = 1 << quality.PAIR_BITS, raw.total(), target.total()
+        ratio = lambda s: math.log((target[s] + 1) / (total_target + n)) - math.log((raw[s] + 1) / (total_raw + n))
+        got = quality.importance(docs, labels).collect()
+        for r in got:
+            assert abs(r.log_weight - sum(map(ratio, own[r.doc_id])) / len(own[r.doc_id])) < 2e-6
+        # Top-k: half of the rows, those of the largest keys.
+        assert sum(r.drawn for r in got) == 450 and min(r.key for r in got if r.drawn) > max(r.key for r in got if not r.drawn)
+
+    def test_draws_follow_the_weights(self, spark):
+        """The largest key is that of a document with a chance proportional to its weight."""
+        weight = F.element_at(F.array(F.lit(0.0), F.lit(1.0), F.lit(2.0)), F.col("d").cast("int") + 1)
+        rows = spark.range(30_000).select((F.col("id") % 3).alias("d"), F.floor(F.col("id") / 3).alias("seed"))
+        keyed = rows.withColumn("key", quality.gumbel_key(weight, F.col("d"), F.col("seed")))
+        first = dict(keyed.groupBy("seed").agg(F.max_by("d", "key").alias("d")).groupBy("d").count().collect())
+        shares = np.exp([0.0, 1.0, 2.0]) / np.exp([0.0, 1.0, 2.0]).sum()
+        assert all(abs(first[k] / 10_000 - shares[k]) < 0.02 for k in range(3))
 
     def test_gumbel_noise_is_gumbel(self, spark):
-        x = [r[0] for r in spark.range(20_000).select(quality.gumbel_key(F.lit(0.0), F.col("id")) / quality.TEMPERATURE).collect()]
+        x = [r[0] for r in spark.range(20_000).select(quality.gumbel_key(F.lit(0.0), F.col("id"))).collect()]
         assert abs(np.mean(x) - 0.5772) < 0.05 and abs(np.std(x) - np.pi / 6**0.5) < 0.05
 
     def test_odd_rows(self, spark, tables):
