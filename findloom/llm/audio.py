@@ -4,7 +4,12 @@ A text's UTF-8 bytes, padded with spaces to a positive multiple of 192, are the
 at 16 kHz. Features are made from the stored bytes: polyphase resampling to 8 kHz, overlapped log-mel filterbanks
 (25 ms windows every 10 ms, 40 bands), and hysteresis segmentation by frame energy: a segment opens above the upper
 level and runs until energy falls below the lower one. Each segment is summarised to a fixed (STEPS x BANDS) tensor
-with its time span, and stored as an Arrow fixed-shape tensor column.
+with its time span.
+
+Segments are stored as an Arrow table in the shared folder: columns medium, start, end and tensor, the last of the
+fixed-shape tensor type. A task writes an Arrow file of its own under a passing name and moves it to its final name when
+complete; with_features() then reads the file back and names it in its rows, so attempts that were lost leave no file in
+use. Files are opened through pyarrow's file systems, so the shared folder may be in any store that they reach.
 
 Features are computed for each medium on its own, in blocks of BLOCK_FRAMES frames, so that equal texts have equal
 values in any batch and a long text needs no more memory than a block.
@@ -17,12 +22,16 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import uuid
 import zlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame
 
+from findloom.llm.common import new_path
+
 RATE, UP, DOWN = 16_000, 1, 2
 WINDOW, HOP, FFT, BANDS = 200, 80, 256, 40
 STEPS = 4
@@ -61,15 +70,19 @@ def _lowpass(taps: int = 32) -> np.ndarray:
     return (h / h.sum() * UP).astype(np.float32)
 
 
-def _mel_bank() -> np.ndarray:
-    """Triangular filters (FFT/2+1 x BANDS), evenly spaced on the mel scale up to half the new rate."""
+def _mel_bank() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Triangular filters, evenly spaced on the mel scale up to half the new rate: (first bin of each stretch between edges, rise and fall of each bin in its stretch).
+
+    Filter b rises over stretch b and falls over stretch b + 1. Summing by stretches instead of multiplying matrices
+    gives the same bits whatever linear algebra library and number of threads there are.
+    """
     rate = RATE * UP // DOWN
     mel = np.linspace(0, 2595 * np.log10(1 + rate / 2 / 700), BANDS + 2)
     edges = 700 * (10 ** (mel / 2595) - 1)
     f = np.arange(FFT // 2 + 1) * rate / FFT
-    rise = (f[:, None] - edges[:-2]) / (edges[1:-1] - edges[:-2])
-    fall = (edges[2:] - f[:, None]) / (edges[2:] - edges[1:-1])
-    return np.maximum(0, np.minimum(rise, fall)).astype(np.float32)
+    stretch = np.clip(np.searchsorted(edges, f, "right") - 1, 0, BANDS)
+    rise = (f - edges[stretch]) / (edges[stretch + 1] - edges[stretch])
+    return np.searchsorted(stretch, np.arange(BANDS + 2)), rise, 1 - rise
 
 
 _TAPS, _BANK, _HANN = _lowpass(), _mel_bank(), np.hanning(WINDOW).astype(np.float32)
@@ -107,13 +120,22 @@ def log_mel(sound: np.ndarray) -> np.ndarray:
         sound = np.concatenate((sound, np.zeros(WINDOW - len(sound), np.float32)))
     frames = np.lib.stride_tricks.sliding_window_view(sound, WINDOW)[::HOP]
     out = np.empty((len(frames), BANDS), np.float32)
+    _, rise, fall = _BANK
     for at in range(0, len(frames), BLOCK_FRAMES):
         spectrum = np.fft.rfft(frames[at : at + BLOCK_FRAMES] * _HANN, FFT)
-        power = (spectrum.real**2 + spectrum.imag**2).astype(np.float32)
-        out[at : at + BLOCK_FRAMES] = np.log(power @ _BANK + 1e-6)
+        power = spectrum.real.astype(np.float64) ** 2 + spectrum.imag.astype(np.float64) ** 2
+        out[at : at + BLOCK_FRAMES] = np.log(_by_stretch(power * rise)[:, :-1] + _by_stretch(power * fall)[:, 1:] + 1e-6)
     return out
 
 
+def _by_stretch(bins: np.ndarray) -> np.ndarray:
+    """(frames x BANDS + 1) sums of the bins in each stretch."""
+    first = _BANK[0]
+    sums = np.add.reduceat(np.pad(bins, ((0, 0), (0, 1))), first[:-1], axis=1)
+    sums[:, first[:-1] == first[1:]] = 0
+    return sums
+
+
 def segmented(energy: np.ndarray) -> list[tuple[int, int]]:
     """Frames [start, end) of segments: opened at the upper level, held to the lower one."""
     spread = energy.std()
@@ -165,38 +187,104 @@ def store(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, medium binary")
 
 
-SEGMENTS = "array<struct<start:double,end:double,tensor:array<float>>>"
+TENSOR = pa.fixed_shape_tensor(pa.float32(), (STEPS, BANDS))
+#: Of a table of segments: medium is the number of the file's medium that the segment is of.
+STORED = pa.schema([("medium", pa.int64()), ("start", pa.float64()), ("end", pa.float64()), ("tensor", TENSOR)])
+
+
+def segment_batch(first: int, made: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    """The segments of media numbered from first on, by their (tensor, spans)."""
+    media = np.repeat(np.arange(first, first + len(made)), [len(t) for t, _ in made]) if made else np.zeros(0, np.int64)
+    spans = np.concatenate([s for _, s in made]) if made else np.zeros((0, 2))
+    return pa.RecordBatch.from_arrays([pa.array(media), pa.array(spans[:, 0]), pa.array(spans[:, 1]), tensor_array([t for t, _ in made])], schema=STORED)
+
 
+def digest(tensor: np.ndarray, spans: np.ndarray) -> str:
+    return f"{len(tensor)}:" + hashlib.sha256(np.round(tensor, 2).tobytes() + spans.tobytes()).hexdigest()[:32]
 
-def with_features(media: DataFrame, keep_tensors: bool = True) -> DataFrame:
-    """media(doc_id, n_bytes, medium) -> digests of the stored bytes read back, and the features.
 
-    `segments` holds, for each segment, its time span and its STEPS x BANDS tensor, row by row: the storage of the
-    fixed-shape tensor array of tensor_array(). `feature` is the digest of tensors and spans.
+def stored_segments(path: str, store: pafs.FileSystem):
+    """(tensor, spans) by medium, of each batch of a file of segments."""
+    with store.open_input_file(path) as f, pa.ipc.open_file(f) as table:
+        if not table.schema.equals(STORED):
+            raise ValueError("not a table of segments")
+        for k in range(table.num_record_batches):
+            batch = table.get_batch(k)
+            tensor = batch.column(3).to_numpy_ndarray() if batch.num_rows else np.zeros((0, STEPS, BANDS), np.float32)
+            spans = np.stack([batch.column(1).to_numpy(), batch.column(2).to_numpy()], axis=1)
+            media = batch.column(0).to_numpy()
+            yield {m: (tensor[a:b], spans[a:b]) for m, a, b in zip(*_runs(media))}
+
+
+def _runs(media: np.ndarray):
+    """(medium, first row, end) of each medium in a sorted column."""
+    named, first = np.unique(media, return_index=True)
+    return named.tolist(), first.tolist(), [*first.tolist()[1:], len(media)]
+
+
+def with_features(media: DataFrame, folder: str | None = None) -> DataFrame:
+    """media(doc_id, n_bytes, medium) -> digests of the stored bytes read back, the features, and where they are stored.
+
+    `feature` is the digest of a medium's tensors and spans as read back from the table of segments: the rows of `file`
+    with that `medium` (read_segments() gives them).
     """
     kind = media.schema["doc_id"].dataType.simpleString()
-
-    def one(medium: bytes) -> tuple:
-        payload = decoded(medium)
-        tensor, spans = features(medium)
-        feature = f"{len(tensor)}:" + hashlib.sha256(np.round(tensor, 2).tobytes() + spans.tobytes()).hexdigest()[:32]
-        digests = (len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(medium), hashlib.sha256(medium).hexdigest(), feature)
-        if not keep_tensors:
-            return digests
-        storage = tensor_array([tensor]).storage.to_pylist()
-        return (*digests, [{"start": a, "end": b, "tensor": t} for (a, b), t in zip(spans.tolist(), storage)])
-
-    names = ["payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
-    kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
-    if keep_tensors:
-        names.append("segments")
-        kinds.append(pa.list_(pa.struct([("start", pa.float64()), ("end", pa.float64()), ("tensor", pa.list_(pa.float32()))])))
-    ddl = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    folder = folder or new_path(media.sparkSession, "segments")
+    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "file", "medium"]
+    ddl = f"doc_id {kind}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, file string, medium long"
 
     def run(batches):
+        store, root = pafs.FileSystem.from_uri(folder)
+        store.create_dir(root, recursive=True)
+        name = f"{uuid.uuid4().hex}.arrow"
+        out, held, at = None, [], 0
         for batch in batches:
-            rows = [one(m.as_py()) for m in batch.column(2)]
-            columns = [pa.array([r[k] for r in rows], kinds[k]) for k in range(len(kinds))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], ["doc_id", "n_bytes", *names])
+            for start in range(0, batch.num_rows, 200):
+                part = batch.slice(start, 200)
+                made, rows = [], []
+                for m in part.column(2):
+                    medium = m.as_py()
+                    payload = decoded(medium)
+                    made.append(features(medium))
+                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(medium), hashlib.sha256(medium).hexdigest()))
+                if out is None:
+                    sink = store.open_output_stream(f"{root}/{name}.part", compression=None)
+                    out = pa.ipc.new_file(sink, STORED, options=pa.ipc.IpcWriteOptions(compression="lz4"))
+                out.write_batch(segment_batch(at, made))
+                held.append((part.column(0), part.column(1), rows, at))
+                at += len(made)
+        if out is None:
+            return
+        out.close()
+        sink.close()
+        store.move(f"{root}/{name}.part", f"{root}/{name}")
+        none = (np.zeros((0, STEPS, BANDS), np.float32), np.zeros((0, 2)))
+        for (ids, sizes, rows, first), found in zip(held, stored_segments(f"{root}/{name}", store), strict=True):
+            columns = [pa.array([r[k] for r in rows], t) for k, t in enumerate((pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string()))]
+            numbers = range(first, first + len(rows))
+            own = pa.array([digest(*found.get(m, none)) for m in numbers], pa.string())
+            yield pa.RecordBatch.from_arrays([ids, sizes, *columns, own, pa.array([f"{folder}/{name}"] * len(rows), pa.string()), pa.array(numbers, pa.int64())], names)
+
+    return media.select("doc_id", "n_bytes", "medium").mapInArrow(run, ddl)
+
+
+def read_segments(featured: DataFrame) -> DataFrame:
+    """Rows of with_features() -> doc_id, start, end, tensor (STEPS x BANDS values, row by row) of each of their segments, from the stored tables."""
+    kind = featured.schema["doc_id"].dataType.simpleString()
 
-    return media.select("doc_id", "n_bytes", "medium").mapInArrow(run, ddl + (f", segments {SEGMENTS}" if keep_tensors else ""))
+    def run(batches):
+        for batch in batches:
+            wanted: dict[str, dict[int, int]] = {}
+            for row, (file, medium) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
+                wanted.setdefault(file, {})[medium] = row
+            for file, rows in wanted.items():
+                store, path = pafs.FileSystem.from_uri(file)
+                for found in stored_segments(path, store):
+                    own = [(rows[m], t, s) for m, (t, s) in found.items() if m in rows]
+                    ids = batch.column(0).take(pa.array(np.repeat([r for r, *_ in own], [len(t) for _, t, _ in own]).astype(np.int64)))
+                    spans = np.concatenate([s for *_, s in own]) if own else np.zeros((0, 2))
+                    tensors = pa.array([x.ravel() for _, t, _ in own for x in t], pa.list_(pa.float32()))
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(spans[:, 0]), pa.array(spans[:, 1]), tensors], ["doc_id", "start", "end", "tensor"])
+
+    chosen = featured.select("doc_id", "file", "medium").repartition("file").sortWithinPartitions("file", "medium")
+    return chosen.mapInArrow(run, f"doc_id {kind}, start double, end double, tensor array<float>")

@@ -54,7 +54,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.with_features(audio.store(table(spark, sf_dir, "documents")), keep_tensors=False)
+    return audio.with_features(audio.store(table(spark, sf_dir, "documents"))).drop("file", "medium")
 
 
 QUERIES = {f.__name__: f for f in (op1_mix_weights, op2_extract_html, op3_license_scan, op4_chat_format, op5_decontaminate, op6_warc, op7_quality, op8_simhash, op9_url_filter, op10_audio)}

@@ -166,19 +166,69 @@ class TestAudio:
         x = np.random.default_rng(0).random(999).astype(np.float32)
         assert np.allclose(audio.resampled(x), audio._decimated(x))
 
-    def test_tensor_column(self, spark):
+    def test_features_against_a_plain_version(self):
+        """Convolution, a filter at a time and a loop over frames, for the tensors and spans of a sound of two tones."""
+        t = np.arange(9000) / 16_000
+        sound = np.where((t > 0.1) & (t < 0.25), 90 * np.sin(2 * np.pi * 700 * t), 0) + np.where(t > 0.4, 60 * np.sin(2 * np.pi * 1500 * t), 0)
+        raw = (128 + sound).astype(np.uint8)
+        tensor, spans = audio.features(audio.encoded(raw.tobytes()))
+        x = (raw.astype(float) - 128) / 128
+        n = np.arange(32) - 15.5
+        taps = np.sinc(n / 2) * np.hamming(32)
+        taps /= taps.sum()
+        slow = np.array([sum(taps[k] * x[2 * m + k - 16] for k in range(32) if 0 <= 2 * m + k - 16 < len(x)) for m in range(len(x) // 2)])
+        mel = lambda f: 2595 * np.log10(1 + f / 700)
+        edges = [700 * (10 ** (mel(4000) * b / (audio.BANDS + 1) / 2595) - 1) for b in range(audio.BANDS + 2)]
+        frames = []
+        for at in range(0, len(slow) - audio.WINDOW + 1, audio.HOP):
+            power = np.abs(np.fft.fft(np.append(slow[at : at + audio.WINDOW] * np.hanning(audio.WINDOW), np.zeros(56)))) ** 2
+            rows = []
+            for low, mid, high in zip(edges, edges[1:], edges[2:]):
+                rows.append(sum(power[j] * max(0, min((f - low) / (mid - low), (high - f) / (high - mid))) for j in range(129) for f in [j * 8000 / 256]))
+            frames.append([np.log(v + 1e-6) for v in rows])
+        energy = [np.mean(f) for f in frames]
+        opens, closes = np.mean(energy) + 0.5 * np.std(energy), np.mean(energy) - 0.5 * np.std(energy)
+        found, start = [], None
+        for k, e in enumerate([*energy, -np.inf]):
+            if start is None and e > opens:
+                start = k
+            elif start is not None and e < closes:
+                found.append((start, k))
+                start = None
+        assert np.allclose(spans, np.array(found) * 0.01)
+        for own, (a, b) in zip(tensor, found, strict=True):
+            cuts = np.linspace(a, b, audio.STEPS + 1).astype(int)
+            want = [np.mean(frames[p : max(q, p + 1)], axis=0) for p, q in zip(cuts, cuts[1:])]
+            assert np.allclose(own, want, atol=2e-3)
+
+    def test_stored_tensors(self, spark, tmp_path):
         column = audio.tensor_array([np.zeros((2, audio.STEPS, audio.BANDS), np.float32)])
         assert column.type == pa.fixed_shape_tensor(pa.float32(), (audio.STEPS, audio.BANDS)) and len(column) == 2
-        docs = spark.createDataFrame([(1, "some text " * 500)], "doc_id long, text string")
-        segments = audio.with_features(audio.store(docs)).first().segments
-        assert segments and all(len(s.tensor) == audio.STEPS * audio.BANDS and s.start < s.end for s in segments)
+        texts = {k: f"some text {k} " * (40 * k) for k in range(1, 40)} | {100: ""}
+        docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(3)
+        featured = audio.with_features(audio.store(docs), f"file://{tmp_path}/s")
+        assert not list((tmp_path / "s").glob("*.part")) and featured.count() == 40
+        featured.write.parquet(f"{tmp_path}/rows")
+        featured = spark.read.parquet(f"{tmp_path}/rows")
+        rows = {r.doc_id: r for r in featured.collect()}
+        assert all(pa.ipc.open_file(r.file.removeprefix("file://")).schema.field("tensor").type == audio.TENSOR for r in rows.values())
+        got: dict = {}
+        for r in audio.read_segments(featured).collect():
+            got.setdefault(r.doc_id, []).append(r)
+        for k, text in texts.items():
+            tensor, spans = audio.features(audio.encoded(audio.padded(text.encode())))
+            own = got.get(k, [])
+            assert [(r.start, r.end) for r in own] == [tuple(s) for s in spans.tolist()]
+            assert np.array_equal(np.array([r.tensor for r in own], np.float32).reshape(tensor.shape), tensor)
+            assert rows[k].feature == audio.digest(tensor, spans)
 
     def test_odd_rows(self, spark):
         rows = [(1, None), (2, ""), (3, "x" * 192), (4, "é" * 200_000), (5, "same"), (6, "same"), (None, "n")]
         docs = spark.createDataFrame([(k, t, "x") for k, t in rows], "doc_id long, text string, feature string")
-        got = {r.doc_id: r for r in audio.with_features(audio.store(docs), keep_tensors=False).collect()}
+        found = audio.with_features(audio.store(docs)).drop("file", "medium")
+        got = {r.doc_id: r for r in found.collect()}
         assert len(got) == 7 and got[1][1:] == got[2][1:] and got[5][1:] == got[6][1:] and got[2].payload_bytes == got[3].payload_bytes == 192
         assert got[4].n_bytes == 400_000 and got[4].payload_bytes % 192 == 0
-        assert audio.store(docs.limit(0)).count() == 0
+        assert audio.store(docs.limit(0)).count() == 0 == audio.with_features(audio.store(docs.limit(0))).count()
         with pytest.raises(ValueError):
             audio.decoded(b"RIFFnot a wav file")
