@@ -9,8 +9,11 @@ The labeller is trained here, on pages that `synthetic_page` makes: many layouts
 with menus, headers, footers, sidebars, notices, adverts, forms and comments around and inside articles. Training is
 seeded and takes a few seconds; the weights (under 1 MB whatever the corpus) are shipped with the tasks.
 
+A page is scanned in one pass whose time is linear in its length, however its tags and quotes are broken. Of very deep
+nesting a block's path keeps the OUTER outermost and INNER innermost elements.
+
 Defined cases: a null or empty html, and one without main text, gives an empty text; scripts, styles, templates and
-comments never are blocks; unclosed and stray tags are tolerated; equal pages get equal texts; nothing is cut off,
+comments never are blocks; unclosed and stray tags are tolerated (a tag whose quotes do not close ends at its first ">"); equal pages get equal texts; nothing is cut off,
 however long; an empty table gives no rows.
 """
 
@@ -20,6 +23,7 @@ import html as entities
 import random
 import re
 import zlib
+from collections import Counter
 from functools import cache, lru_cache
 
 import numpy as np
@@ -36,7 +40,8 @@ CLOSES_P = frozenset("address article aside blockquote details div dl fieldset f
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
-_TAG = re.compile(r"""<(?:(?P<comment>!--)|(?P<other>[!?])|(?P<end>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>"']|"[^"]*"|'[^']*')*)>|(?P<end2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attrs2>[^>]*)>)""")
+_NAME = re.compile(r"/?[a-zA-Z][^\s/>]*")
+_SPECIAL = re.compile(r"""[>"']""")
 _NAMES = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 _PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
@@ -44,6 +49,54 @@ _PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 PATH_SLOTS, WORD_SLOTS, PATH_DIM, WORD_DIM, HIDDEN, FIGURES = 4096, 2048, 16, 6, 16, 8
 
 
+OUTER, INNER = 8, 24
+
+
+class Tags:
+    """Finds the tags of a page one after another; everything that is looked for from a place on is looked for once."""
+
+    def __init__(self, page: str):
+        self.page, self.last = page, page.rfind(">")
+        self.final = {q: page.rfind(q) for q in "\"'"}
+        self.hopeless: set[int] = set()  # places outside quotes from which no tag ends outside quotes
+
+    def end(self, at: int) -> int:
+        """The ">" that ends the tag whose attributes begin at `at`, or -1."""
+        page, passed, p = self.page, [], at
+        while p <= self.last and p not in self.hopeless:
+            passed.append(p)
+            found = _SPECIAL.search(page, p)
+            if found is None:
+                break
+            p = found.start()
+            if page[p] == ">":
+                return p
+            if p == self.final[page[p]]:
+                break
+            p = page.find(page[p], p + 1) + 1
+        self.hopeless.update(passed)
+        return page.find(">", at) if at <= self.last else -1
+
+    def following(self, at: int) -> tuple[int, int, str, str] | None:
+        """(start, end, name with a leading slash of end tags, attributes) of the next tag; the name of comments is "!--", of other markup "!"."""
+        page = self.page
+        while True:
+            start = page.find("<", at)
+            if start < 0 or start > self.last:
+                return None
+            if page.startswith("<!--", start):
+                close = page.find("-->", start + 4)
+                return start, len(page) if close < 0 else close + 3, "!--", ""
+            if page[start + 1 : start + 2] in ("!", "?"):
+                return start, page.find(">", start) + 1, "!", ""
+            m = _NAME.match(page, start + 1)
+            if m:
+                close = self.end(m.end())
+                if close >= 0:
+                    return start, close + 1, m[0].lower(), page[m.end() : close]
+            at = start + 1
+
+
 class Block:
     __slots__ = ("path", "parts", "linked")
 
@@ -64,10 +117,16 @@ def blocks_of(page: str) -> list[tuple[tuple, str, float]]:
     """(path, text, share of it in links) of each leaf block; path is a tuple of each open element's tokens."""
     out: list[Block] = []
     stack: list[tuple[str, tuple]] = []
+    opened: Counter[str] = Counter()
     current: Block | None = None
     links = 0
     at, n = 0, len(page)
 
+    def raw_end(name: str, at: int) -> int:
+        """Where the raw element ends: found ends lie behind, a name without one has swallowed the page."""
+        m = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>", re.I).search(page, at) if at <= tags.last else None
+        return m.end() if m else n
+
     def text(piece: str) -> None:
         nonlocal current
         if not piece:
@@ -75,7 +134,8 @@ def blocks_of(page: str) -> list[tuple[tuple, str, float]]:
         if current is None:
             if piece.isspace():
                 return
-            current = Block(tuple(t for _, t in stack))
+            shown = stack if len(stack) <= OUTER + INNER else [*stack[:OUTER], *stack[-INNER:]]
+            current = Block(tuple(t for _, t in shown))
             out.append(current)
         current.parts.append(piece)
         if links:
@@ -85,30 +145,34 @@ def blocks_of(page: str) -> list[tuple[tuple, str, float]]:
         nonlocal links
         for name, _ in stack[k:]:
             links -= name == "a"
+            opened[name] -= 1
         del stack[k:]
 
+    def is_open(names) -> bool:
+        return any(opened[n] for n in names)
+
+    tags = Tags(page)
     while at < n:
-        m = _TAG.search(page, at)
+        m = tags.following(at)
         if not m:
-            text(page[at:])
+            # What begins like a comment and never ends is none of the text.
+            rest = page.find("<!--", at)
+            text(page[at : rest if rest >= 0 else n])
             break
-        text(page[at : m.start()])
-        at = m.end()
-        if m["comment"]:
-            end = page.find("-->", at)
-            at = n if end < 0 else end + 3
-            continue
-        if m["other"]:
-            end = page.find(">", at)
-            at = n if end < 0 else end + 1
+        start, end, name, attrs = m
+        text(page[at:start])
+        at = end
+        if name[0] == "!":
             continue
-        name, attrs, closing = (m["name"] or m["name2"]).lower(), m["attrs"] or m["attrs2"] or "", bool(m["end"] or m["end2"])
+        closing, name = name[0] == "/", name.lstrip("/")
         block = name not in INLINE and name not in RAW
         if block:
             current = None
         elif name == "br":
             text(" ")
         if closing:
+            if not is_open(HEADINGS if name in HEADINGS else (name,)):
+                continue
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name or (name in HEADINGS and stack[k][0] in HEADINGS):
                     pop_to(k)
@@ -118,17 +182,16 @@ def blocks_of(page: str) -> list[tuple[tuple, str, float]]:
             continue
         if name in RAW:
             if not attrs.endswith("/"):
-                end = re.compile(rf"</{re.escape(name)}\b[^>]*>", re.I).search(page, at)
-                at = n if not end else end.end()
+                at = raw_end(name, at)
             continue
         if name in CLOSES_P:
-            for k in range(len(stack) - 1, -1, -1):
+            for k in range(len(stack) - 1, -1, -1) if opened["p"] else ():
                 if stack[k][0] == "p":
                     pop_to(k)
                     break
                 if stack[k][0] not in INLINE:
                     break
-        elif name in SIBLINGS:
+        elif name in SIBLINGS and is_open(SIBLINGS[name]):
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] in SIBLINGS[name]:
                     pop_to(k)
@@ -137,6 +200,7 @@ def blocks_of(page: str) -> list[tuple[tuple, str, float]]:
                     break
         if name not in VOID and not attrs.endswith("/"):
             stack.append((name, _tokens(name, attrs)))
+            opened[name] += 1
             links += name == "a"
     found = []
     for b in out:
@@ -213,7 +277,7 @@ class Labeller:
         x[b.at] = np.concatenate([_bag(self.p["path"], b.path_ids, b.path_n) * 2, _bag(self.p["word"], b.word_ids, b.word_n), b.figures], axis=1)
         return x
 
-    def _run(self, x: np.ndarray, mask: np.ndarray, way: str):
+    def _run(self, x: np.ndarray, mask: np.ndarray, way: str, keep: bool = False):
         T, B, _ = x.shape
         gates = x @ self.p[f"x{way}"] + self.p[f"b{way}"]
         h, c = np.zeros((B, HIDDEN), np.float32), np.zeros((B, HIDDEN), np.float32)
@@ -226,7 +290,8 @@ class Labeller:
             before, c = c, m * (f * c + i * g) + (1 - m) * c
             held, h = h, m * o * np.tanh(c) + (1 - m) * h
             hs[t] = h
-            steps.append((t, i, f, o, g, before, c, held))
+            if keep:
+                steps.append((t, i, f, o, g, before, c, held))
         return hs, steps
 
     def scores(self, b: Batch) -> np.ndarray:
@@ -239,7 +304,7 @@ class Labeller:
 
     def gradients(self, b: Batch, labels: np.ndarray) -> dict[str, np.ndarray]:
         p, x = self.p, self._inputs(b)
-        runs = {way: self._run(x, b.mask, way) for way in "fb"}
+        runs = {way: self._run(x, b.mask, way, True) for way in "fb"}
         both = np.concatenate([runs["f"][0], runs["b"][0], x], axis=2)
         y = _sigmoid((both @ p["out"])[..., 0] + p["bias"])
         target = np.zeros_like(y)
@@ -304,6 +369,15 @@ SIDE_NAMES = {
     "comments": "comments comment reader-comments comment-list respond reply disqus discussion responses feedback user-comments".split(),
     "share": "share social social-links share-buttons follow-us".split(),
 }
+#: What menus, footers and headings of side blocks say, for blocks that no name tells.
+SIDE_WORDS = {
+    "menu": "Home News Sport About Contact Login Register Search Blog Shop Help FAQ Services Products Team Jobs Press Archive Start Impressum Kontakt Datenschutz Accueil Actualités Contactez-nous Inicio Noticias Deportes Contacto Politics Business Culture Weather Video Menu".split(),
+    "footer": ["Copyright 2021", "Copyright 2019 {}", "\u00a9 2023 {}", "&copy; 2020 {}", "(c) 2018 {}", "All rights reserved", "All rights reserved.", "Terms of use", "Privacy policy", "Powered by {}", "Imprint", "Alle Rechte vorbehalten", "Tous droits r\u00e9serv\u00e9s", "Todos los derechos reservados", "Contact us | Terms | Privacy", "Last updated 2022"],
+    "notice": ["We use cookies to improve {}.", "This site uses cookies. {}", "By continuing you accept our cookie policy.", "Accept all cookies", "Wir verwenden Cookies. {}", "Ce site utilise des cookies.", "Please enable JavaScript.", "Subscribe to our newsletter", "Sign up for our newsletter {}"],
+    "advert": ["Advertisement", "Sponsored", "Sponsored content: {}", "Buy now! {}", "Anzeige", "Publicit\u00e9", "Special offer: {} only today!", "Save 50% on {}!"],
+    "aside": ["Related articles", "Most read", "You may also like", "Popular posts", "See also: {}", "Share this", "Tags: {}", "Recent posts", "Read more: {}", "Follow us on Twitter"],
+    "comments": ["Comments", "3 Comments", "Leave a reply", "Leave a comment", "Kommentare", "Commentaires", "Comentarios", "Reply"],
+}
 _SYLLABLES = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve al ch ung ich sch eau ment que tion los ado ción ente ü é ö ñ".split()
 
 
@@ -318,6 +392,10 @@ def _words(r: random.Random, low: int, high: int) -> str:
         text = " ".join(w + r.choice(["***", "%%%", "$$$", "&amp;&amp;&amp;", "###"]) for w in text.split())
     elif style < 0.1:
         text = " ".join(w.upper() + "!!" for w in text.split())
+    elif style < 0.13:
+        text = text.replace(" ", " | ")
+    elif style < 0.14:
+        text += f" {_word(r)}" * r.randint(5, 60)
     return text
 
 
@@ -335,10 +413,12 @@ def _attrs(r: random.Random, names: list[str], chance: float) -> str:
 def synthetic_page(r: random.Random) -> str:
     """A made page; main text blocks carry the mark \\x02 before their text."""
 
-    def side(kind: str) -> str:
+    def side(kind: str, named: bool = False) -> str:
         tags = {"nav": ["nav", "div", "ul"], "header": ["header", "div"], "footer": ["footer", "div"], "aside": ["aside", "div", "section"], "notice": ["div", "p", "section", "aside"], "advert": ["div", "aside", "p", "ins", "section"], "form": ["form"], "comments": ["section", "div", "ol", "ul", "aside"], "share": ["div", "ul", "p"]}[kind]
         tag = r.choice(tags)
         telling = tag in ("nav", "footer", "aside", "form", "header")
+        if not telling and not named and r.random() < 0.25:
+            return unnamed(kind)
         head = f"<{tag}{_attrs(r, SIDE_NAMES[kind], 0.6 if telling else 1.0)}>"
         links = lambda n: "".join(f'<li><a href="/{_word(r)}">{_words(r, 1, 4)}</a></li>' for _ in range(n))
         title = f"<h{r.randint(2, 4)}>{_words(r, 1, 4)}</h{0}>".replace("h0", "h3") if r.random() < 0.5 else ""
@@ -368,6 +448,30 @@ def synthetic_page(r: random.Random) -> str:
             inner = f"<li>{inner}</li>" if tag == "ul" else inner
         return f"{head}{inner}</{tag}>"
 
+    def unnamed(kind: str) -> str:
+        """A side block that no tag or name tells: tables and plain divs, known by links, words and place."""
+        said = lambda k: r.choice(SIDE_WORDS[k]).format(_words(r, 1, 4).capitalize())
+        attrs = _attrs(r, ["top", "bot", "bottom", "left", "col1", "c2", "box", "row", "m1", "x", _word(r), _word(r)], 0.6)
+        if kind in ("nav", "header", "share"):
+            names = [r.choice(SIDE_WORDS["menu"]) if r.random() < 0.8 else _words(r, 1, 2).capitalize() for _ in range(r.randint(2, 8))]
+            form, linked = r.random(), r.random() < 0.7
+            items = [f'<a href="/{_word(r)}">{x}</a>' if linked else x for x in names]
+            if form < 0.4:
+                rows = "".join(f"<td>{x}</td>" for x in items)
+                return f"<table{attrs}><tr>{rows}</tr></table>" if r.random() < 0.6 else f"<table{attrs}>{''.join(f'<tr><td>{x}</td></tr>' for x in items)}</table>"
+            if form < 0.7 and linked:
+                return f"<div{attrs}>{r.choice([' | ', ' ', ' &middot; ', ' - ']).join(items)}</div>"
+            return f"<div{attrs}>" + "".join(f"<div>{x}</div>" for x in items) + "</div>"
+        if kind == "comments":
+            made = "".join(f"<div><b>{_word(r).capitalize()}</b> <p>{_sentence(r, 3, 30)}</p></div>" for _ in range(r.randint(1, 4)))
+            return f"<div{attrs}><h{(h := r.randint(2, 4))}>{said('comments')}</h{h}>{made}</div>"
+        if kind == "aside":
+            inner = "".join(f'<div><a href="/{_word(r)}">{_words(r, 2, 8)}</a></div>' for _ in range(r.randint(2, 6)))
+            return f"<div{attrs}><div>{said('aside')}</div>{inner}</div>"
+        says = said({"form": "notice"}.get(kind, kind))
+        inner = says if r.random() < 0.6 else f"<{(t := r.choice(['p', 'div', 'span', 'small', 'center']))}>{says}</{t}>"
+        return f"<table{attrs}><tr><td>{inner}</td></tr></table>" if r.random() < 0.2 else f"<div{attrs}>{inner}</div>"
+
     def paragraph() -> str:
         text = _sentence(r, 1 if r.random() < 0.1 else 4, r.choice([12, 40, 120]))
         if r.random() < 0.15:
@@ -406,9 +510,9 @@ def synthetic_page(r: random.Random) -> str:
             elif k < 0.95:
                 body.append("<table>" + "".join(f"<tr><td>\x02{_words(r, 1, 4)}</td><td>\x02{_words(r, 1, 4)}</td></tr>" for _ in range(r.randint(1, 3))) + "</table>")
             else:
-                body.append(side(r.choice(["advert", "notice", "share", "aside", "form"])))
+                body.append(side(r.choice(["advert", "notice", "share", "aside", "form"]), True))
         if r.random() < 0.25:
-            body.append(side(r.choice(["comments", "share", "aside", "footer", "advert"])))
+            body.append(side(r.choice(["comments", "share", "aside", "footer", "advert"]), True))
         return "".join(body)
 
     kind = r.random()
@@ -427,6 +531,9 @@ def synthetic_page(r: random.Random) -> str:
     after = "".join(side(k) for k in ("share", "comments", "aside", "advert", "form", "notice", "footer") if r.random() < (0.75 if k == "footer" else 0.3))
     if r.random() < 0.2:
         before += side("aside")
+    if r.random() < 0.12:
+        # A layout of tables: the menu on the left, the text on the right.
+        return f"<html><body>{before if r.random() < 0.5 else unnamed('nav')}<table><tr><td>{unnamed('nav')}</td><td>{inner}</td></tr></table>{unnamed('footer')}</body></html>"
     page = f"{before}{inner}{after}"
     if r.random() < 0.3:
         page = f'<div class="{r.choice(["wrapper", "container", "page", "site", "layout"])}">{page}</div>'

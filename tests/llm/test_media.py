@@ -27,6 +27,34 @@ class TestHtml:
             right, wrong, whole = right + same.sum(), wrong + (~same).sum(), whole + same.all()
         assert right / (right + wrong) > 0.995 and whole / 300 > 0.95
 
+    def test_side_blocks_without_telling_names(self, model):
+        body = "<h1>Harvest in the valley</h1><p>The farmers of the valley brought in the harvest before the rain came last week.</p><p>Nobody had expected so much of it, after such a dry and windy spring.</p>"
+        want = "Harvest in the valley\n\nThe farmers of the valley brought in the harvest before the rain came last week.\n\nNobody had expected so much of it, after such a dry and windy spring."
+        menu = "<table><tr><td><a href=/n>News</a></td><td><a href=/s>Sport</a></td></tr></table>"
+        pages = [
+            f'{menu}<div class="main">{body}</div><div id="bot">Copyright 2021</div>',
+            f"<div><a href=/>Home</a> | <a href=/a>About</a> | <a href=/c>Contact</a></div><div>{body}</div><div>&copy; 2020 Valley Press</div>",
+            f"<table><tr><td>{menu}</td><td>{body}</td></tr></table><div>All rights reserved.</div>",
+            f"<div id=x>We use cookies to improve this site.</div><div id=c>{body}</div><p>Copyright 2019 Valley Press</p>",
+        ]
+        assert sum(got == want for got in html_extract.main_texts(pages, model)) >= 3
+
+    def test_broken_pages_take_linear_time(self):
+        import time
+
+        for pattern in ("<script ", '<a b="', "<a ", "<a b=\"x'", '<a b=">', "<a c='\"> ", '<a b="><" c="><" ', "<!--", "<!-- <p>a", "<script>"):
+            for tail in ("", "'", '">'):
+                began = time.time()
+                html_extract.blocks_of((pattern * (1 << 20))[: 1 << 20] + tail)
+                assert time.time() - began < 8, (pattern, tail)
+
+    def test_tags_end_where_they_should(self):
+        page = """<p title="a > b">one</p><p title='x" y'>two</p><p title="open>three</p><a href=x'y>four</a><p a="1" b='2'>five"""
+        assert [t for _, t, _ in html_extract.blocks_of(page)] == ["one", "two", "three", "four", "five"]
+        assert html_extract.blocks_of("a <!-- b <p>c") and [t for _, t, _ in html_extract.blocks_of("a <!-- b <p>c")] == ["a"]
+        deep = html_extract.blocks_of("<div>" * 5000 + "x")
+        assert len(deep[0][0]) == html_extract.OUTER + html_extract.INNER
+
     def test_pages_of_the_table(self, spark, sf_dir):
         """The main text of these pages is their article element."""
         import html
