@@ -34,7 +34,7 @@ def test_json_arrays(spark):
 
 
 def test_duplicate_headers():
-    assert office.header_names(["x", "x", None], [0, 1, 2]) == {0: "x", 1: "x__B", 2: "column_C"}
+    assert office.column_names({0: "x", 1: "x"}, [0, 1, 2]) == {0: "x", 1: "x__B", 2: "column_C"}
     assert [office.column_letters(n) for n in (0, 25, 26, 701, 702)] == ["A", "Z", "AA", "ZZ", "AAA"]
 
 
