@@ -16,14 +16,16 @@ BARE_IMAGE = r"data:image/[^;]+;base64,[A-Za-z0-9+/=]+"
 #: base64 openings of image formats.
 IMAGE_OPENINGS = {"/9j/": "jpeg", "iVBORw0KGgo": "png", "R0lGODlh": "gif", "UklGR": "webp"}
 #: Common English words that are no search terms.
-STOP_WORDS = (
+FIXED_STOP_WORDS = (
     "a b c d e f g h i j k l m n o p q r s t u v w x y z is do this that there and but or because as until while of at by for with about against between "
     "into through during before after above below to from up down in out on off over under again further then once here when where why how all any both "
     "each few more most other some such no nor not only own same so than too very can will just don don't should should've now ll re ve ain aren aren't "
     "couldn couldn't didn didn't doesn doesn't hadn hadn't hasn hasn't haven haven't isn isn't ma mightn mightn't mustn mustn't needn needn't shan shan't "
-    "the an i you he she it we they me him her us them my your his its our their who whom which what if am are was were be been being have has had having did does "
     "shouldn shouldn't wasn wasn't weren weren't won won't wouldn wouldn't"
 ).split()
+#: Articles, pronouns and auxiliaries, added here in place of a language model's own list.
+MORE_STOP_WORDS = "the an i you he she it we they me him her us them my your his its our their who whom which what if am are was were be been being have has had having did does".split()
+STOP_WORDS = (*FIXED_STOP_WORDS, *MORE_STOP_WORDS)
 #: Lengths of a term that are kept, by language.
 TERM_LENGTHS = {"ja": (2, 9), "en": (3, 14), "zh": (2, 4)}
 

@@ -65,7 +65,9 @@ def search(chunks: DataFrame, collection: DataFrame, request: SearchRequest, que
         ranked, order = passages.withColumn("score", F.lit(None).cast("double")), ranking.ORDER
     rows = ranking.numbered(ranked.withColumn("source", F.concat("doc_id", F.lit(":"), "name")), *order).drop("name")
     if request.extend_first:
-        rows = ranking.with_prefixes(rows, neighbours.leading(chunks, request.extend_first))
+        # Only the documents of the few result rows: their chunks are chosen before any text is joined together.
+        own = chunks.join(rows.select("doc_id").distinct(), "doc_id", "left_semi")
+        rows = ranking.with_prefixes(rows, neighbours.leading(own, request.extend_first))
     if request.answer_by_one:
         rows = ranking.answered_by_one(rows)
     terms = F.array(*map(F.lit, request.terms)).cast("array<string>")

@@ -31,13 +31,13 @@ def server_path_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def metadata_filter(spark: SparkSession, d: str) -> DataFrame:
-    docs = views.collection(spark, d).where(X.metadata_value(F.col("cmetadata"), "lang") == "fr").select(F.col("id").alias("doc_id"))
-    return views.embedding(spark, d).join(docs, "doc_id", "left_semi").select("doc_id", "embed_id")
+    docs = search.restricted(views.collection(spark, d), SearchRequest(vectors=[[0.0]], metadata="lang=fr"))
+    return views.embedding(spark, d).join(docs.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "embed_id")
 
 
 def doc_id_filter(spark: SparkSession, d: str) -> DataFrame:
-    wanted = spark.range(1).select(F.explode(F.regexp_extract_all(F.lit("'doc_3','doc_14','doc_15'"), F.lit("'([^']+)'"), 1)).alias("doc_id"))
-    return views.embedding(spark, d).join(wanted, "doc_id", "left_semi").select("doc_id", "embed_id")
+    docs = search.restricted(views.collection(spark, d), SearchRequest(vectors=[[0.0]], doc_ids=["doc_3", "doc_14", "doc_15"]))
+    return views.embedding(spark, d).join(docs.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "embed_id")
 
 
 def scan_with_collection(spark: SparkSession, d: str) -> DataFrame:
@@ -141,7 +141,7 @@ def text_search_accum(spark: SparkSession, d: str) -> DataFrame:
 
 
 def keyword_cut_shortest(spark: SparkSession, d: str) -> DataFrame:
-    words = F.array_distinct(ranking.tokens(F.substring_index(F.col("text"), "\n", 1)))
+    words = F.array_distinct(ranking.tokens(F.col("text")))
     return table(spark, d, "documents").select("doc_id", F.array_join(X.shortest_terms(words, 6), " ").alias("terms"))
 
 
@@ -204,9 +204,10 @@ def ocr_text_extract(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _image_hits(spark: SparkSession, d: str) -> DataFrame:
-    """Every image chunk of documents 1 to 9 as a hit, ranked by length of its text."""
-    chunks = views.image_embedding(spark, d).where(F.col("doc_id").rlike("^doc_[1-9]$"))
-    return chunks.withColumn("rank", F.row_number().over(Window.orderBy(F.length("embed_data"), "doc_id", "embed_id")).cast("long"))
+    """Every image chunk as a hit, ranked by length of its text, document and chunk; ranks need no gapless count, so none is made over all rows."""
+    number = F.regexp_extract("doc_id", r"\d+", 0).cast("long")
+    rank = F.length("embed_data").cast("long") * F.lit(10**12) + number * F.lit(10**6) + F.col("embed_id")
+    return views.image_embedding(spark, d).withColumn("rank", rank)
 
 
 def image_first_chunk_per_image(spark: SparkSession, d: str) -> DataFrame:
@@ -265,10 +266,10 @@ def citation_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def citation_join(spark: SparkSession, d: str) -> DataFrame:
-    """Answers that cite chunk 10001 and 10099 of the document of their own number."""
+    """Every turn as an answer that cites chunk 10001 and 10099 of the document of its conversation's number."""
     source = F.concat(F.lit("doc_"), F.col("conv_id").cast("string"), F.lit(":doc_"), F.col("conv_id").cast("string"), F.lit(".txt"))
     answer = F.concat(F.lit("See [\n  {'EMBED_ID': 10001, 'SOURCE': '"), source, F.lit("'}, {'EMBED_ID': 10099, 'SOURCE': '"), source, F.lit("'}\n] and [\nno {json}\n]"))
-    answers = table(spark, d, "conversations").where("turn = 0").select(F.col("conv_id").alias("answer_id"), answer.alias("answer"))
+    answers = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"), answer.alias("answer"))
     rows = scan_source(spark, d).withColumn("no", F.lit(1))
     found = evaluation.with_content(evaluation.cited(answers), rows)
     return found.select("answer_id", F.col("place").cast("long").alias("place"), F.col("EMBED_ID").alias("embed_id"), F.col("SOURCE").alias("source"), F.col("CONTENT").alias("content"))

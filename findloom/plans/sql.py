@@ -61,7 +61,7 @@ def _search(select: str, text_arm: bool = False, rerank: int = 0, extra: str = "
 RESULT = f"SELECT no, {COLLAPSE} AS content, embed_id, source, CASE WHEN distance < {SENTINEL} THEN distance END AS distance, score, {KEYWORDS} AS key_words FROM rows"
 
 _MARKED_UP = """marked AS (SELECT 'doc_' || page_id AS doc_id, page_id, url FROM pages)"""
-_IMAGE_HITS = "hits AS (SELECT *, row_number() OVER (ORDER BY length(embed_data), doc_id, embed_id) AS rank FROM image_embedding WHERE regexp_full_match(doc_id, 'doc_[1-9]'))"
+_IMAGE_HITS = "hits AS (SELECT *, length(embed_data) * 1000000000000 + substring(doc_id, 5)::BIGINT * 1000000 + embed_id AS rank FROM image_embedding)"
 _PAIRS = "pairs AS (SELECT doc_id, img_id, min(rank) AS rank FROM hits GROUP BY 1, 2)"
 
 
@@ -139,7 +139,7 @@ ORACLE_SQL = {
     ),
     "result_numbering": _search("SELECT no, source, embed_id FROM rows"),
     "text_search_accum": with_views("embedding", "SELECT * FROM by_text", TEXT_ARM),
-    "keyword_cut_shortest": f"""WITH t AS (SELECT doc_id, {TOKENS.format("split_part(text, chr(10), 1)")} AS toks FROM documents), o AS (SELECT doc_id, {_ONCE} AS once FROM t)
+    "keyword_cut_shortest": f"""WITH t AS (SELECT doc_id, {TOKENS.format("text")} AS toks FROM documents), o AS (SELECT doc_id, {_ONCE} AS once FROM t)
         SELECT doc_id, array_to_string(list_transform(CASE WHEN len(once) <= 6 THEN once ELSE list_sort(once)[1:6] END, lambda s: s.t), ' ') AS terms FROM o""",
     "token_filter_stopwords": f"WITH t AS (SELECT conv_id, turn, {TOKENS.format('text')} AS toks FROM conversations WHERE role = 'user') SELECT conv_id, turn, {_valid_terms()} AS terms FROM t",
     "keyword_highlight": with_views("embedding", f"SELECT doc_id, embed_id, {KEYWORDS} AS key_words FROM (SELECT *, embed_data AS content FROM embedding)"),
@@ -193,8 +193,8 @@ ORACLE_SQL = {
         "embedding",
         """SELECT answer_id, place, embed_id::VARCHAR AS embed_id, source, replace(replace(replace(coalesce(content, 'N/A'), '"', ''''), chr(10), ' '), chr(13), ' ') AS content
         FROM asked LEFT JOIN (SELECT doc_id || ':' || doc_id || '.txt' AS s, embed_id AS i, embed_data AS content FROM embedding) ON s = source AND i = embed_id""",
-        """asked AS (SELECT conv_id AS answer_id, 'doc_' || conv_id || ':doc_' || conv_id || '.txt' AS source, place, [10001, 10099][place + 1] AS embed_id
-          FROM conversations, (VALUES (0::BIGINT), (1)) p(place) WHERE turn = 0)""",
+        """asked AS (SELECT conv_id * 1000 + turn AS answer_id, 'doc_' || conv_id || ':doc_' || conv_id || '.txt' AS source, place, [10001, 10099][place + 1] AS embed_id
+          FROM conversations, (VALUES (0::BIGINT), (1)) p(place))""",
     ),
     "strip_timing_line": "SELECT conv_id, turn, md5(regexp_replace(text, '\\n$', '')) AS text_md5 FROM conversations WHERE role = 'assistant'",
     "evaluation_report": with_views(

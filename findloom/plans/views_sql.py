@@ -6,8 +6,9 @@ VIEWS = {
     "collection": """SELECT 'doc_' || doc_id AS id, text AS data,
       '{"file_name": "doc_' || doc_id || '.txt", "source": "' || source || '", "server_path": "/files/doc_' || doc_id || '.txt", "lang": "' || lang || '"}' AS cmetadata
       FROM documents""",
-    "embedding": """SELECT 'doc_' || doc_id AS doc_id, 10001 + vec_id % 5 AS embed_id, substring(text, (vec_id % 5) * 320 + 1, 320) AS embed_data,
-      embedding::DOUBLE[] AS v FROM embeddings JOIN documents ON doc_id = vec_id // 5 WHERE substring(text, (vec_id % 5) * 320 + 1, 320) <> ''""",
+    "embedding": """SELECT 'doc_' || doc_id AS doc_id, 10001 + k AS embed_id, substring(text, k * 320 + 1, 320) AS embed_data, embedding::DOUBLE[] AS v
+      FROM (SELECT doc_id, text, unnest(range((length(text) + 319) // 320)) AS k FROM documents WHERE text <> '')
+      JOIN embeddings ON vec_id = (doc_id * 5 + k) % (SELECT count(*) FROM embeddings)""",
     "image": """SELECT 'doc_' || (page_id // 5) AS doc_id, page_id % 5 + 1 AS img_id, url AS text_data,
       regexp_extract(html, '<title>([^<]*)</title>', 1) AS vlm_data, base64(encode(html)) AS base64_data FROM pages""",
     "image_embedding": """SELECT doc_id, base + img_id AS embed_id, embed_data, img_id FROM (

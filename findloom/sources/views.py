@@ -29,16 +29,16 @@ def collection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.expr(f"vec_id div {PER_DOC}").alias("number"))
-    at = F.col("vec_id") % PER_DOC
-    chunks = docs.join(vectors, docs.doc_id == vectors.number).select(
-        doc_name(F.col("number")).alias("doc_id"),
-        (at + TEXT_BASE + 1).alias("embed_id"),
-        F.substring("text", (at * CHUNK + 1).cast("int"), F.lit(CHUNK)).alias("embed_data"),
-        F.col("embedding").alias("embed_vector"),
+    """The chunks of every document to its end; chunk k of a document borrows the vector numbered PER_DOC * doc_id + k, counted round the vectors there are."""
+    docs = table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", "text")
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("embed_vector"))
+    last = F.ceil(F.length("text") / F.lit(CHUNK)).cast("int") - 1
+    pieces = F.transform(F.sequence(F.lit(0), last), lambda k: F.substring("text", k * CHUNK + 1, F.lit(CHUNK)))
+    chunks = docs.select("doc_id", F.posexplode(pieces).alias("k", "embed_data"))
+    number = F.pmod(F.col("doc_id") * PER_DOC + F.col("k"), F.lit(max(1, vectors.count())))
+    return chunks.withColumn("vec_id", number).join(vectors, "vec_id").select(
+        doc_name(F.col("doc_id")).alias("doc_id"), (F.col("k").cast("long") + TEXT_BASE + 1).alias("embed_id"), "embed_data", "embed_vector"
     )
-    return chunks.where("embed_data <> ''")
 
 
 def image(spark: SparkSession, sf_dir: str) -> DataFrame:
