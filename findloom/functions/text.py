@@ -130,5 +130,10 @@ def rendered(template: str, **values: Column) -> Column:
     return F.concat(*(values[p] if k % 2 else F.lit(p) for k, p in enumerate(parts)))
 
 
+def to_blob(text: Column) -> Column:
+    """The UTF-8 bytes of a text."""
+    return F.encode(text, "UTF-8")
+
+
 def jsonl_line(json: Column, delimiter: str) -> Column:
     return F.concat(json, F.lit(f" {delimiter}"))

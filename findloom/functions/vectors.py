@@ -24,8 +24,13 @@ def norm(a: Column) -> Column:
     return F.sqrt(_sum(F.transform(a, lambda x: x.cast("double") * x.cast("double"))))
 
 
-def cosine_distance(a: Column, b: Column, norm_b: Column | None = None) -> Column:
-    return 1 - dot(a, b) / (norm(a) * (norm(b) if norm_b is None else norm_b))
+def from_text(text: Column) -> Column:
+    """A vector that is written as `[x, y, ...]`; null for what is no list of numbers."""
+    return F.from_json(text, "array<float>")
+
+
+def cosine_distance(a: Column, b: Column, norm_b: Column | None = None, norm_a: Column | None = None) -> Column:
+    return 1 - dot(a, b) / ((norm(a) if norm_a is None else norm_a) * (norm(b) if norm_b is None else norm_b))
 
 
 def euclidean_distance(a: Column, b: Column) -> Column:

@@ -15,13 +15,21 @@ from findloom.functions import vectors as V
 KEYS = ["doc_id", "embed_id"]
 
 
+def with_norms(chunks: DataFrame) -> DataFrame:
+    """chunks with embed_norm, which may be stored with them: scored() then reads it."""
+    return chunks.withColumn("embed_norm", V.norm(F.col("embed_vector")))
+
+
 def scored(chunks: DataFrame, queries: DataFrame, metric: str = "cosine") -> DataFrame:
-    """chunks(doc_id, embed_id, embed_vector) x queries(qid, vector) -> doc_id, embed_id, qid, distance."""
+    """chunks(doc_id, embed_id, embed_vector, embed_norm if stored) x queries(qid, vector) -> doc_id, embed_id, qid, distance."""
     asked = queries.select("qid", "vector", V.norm(F.col("vector")).alias("norm"))
-    pairs = chunks.select(*KEYS, "embed_vector").crossJoin(F.broadcast(asked))
     if metric == "cosine":
-        distance = V.rounded(V.cosine_distance(F.col("embed_vector"), F.col("vector"), F.col("norm")))
+        # The norm of a chunk is made below the cross join: once, for whatever number of queries.
+        own = chunks if "embed_norm" in chunks.columns else with_norms(chunks)
+        pairs = own.select(*KEYS, "embed_vector", "embed_norm").crossJoin(F.broadcast(asked))
+        distance = V.rounded(V.cosine_distance(F.col("embed_vector"), F.col("vector"), F.col("norm"), F.col("embed_norm")))
     else:
+        pairs = chunks.select(*KEYS, "embed_vector").crossJoin(F.broadcast(asked))
         distance = V.distance(F.col("embed_vector"), F.col("vector"), metric)
     return pairs.select(*KEYS, "qid", distance.alias("distance"))
 
@@ -43,6 +51,14 @@ def nearest_by_document(scores: DataFrame, documents: int, k: int, threshold: fl
     return top.join(chosen, ["qid", "doc_id"]).select(*KEYS, "qid", "distance")
 
 
+def with_nearest_as_queries(chunks: DataFrame, queries: DataFrame, k: int = 3) -> DataFrame:
+    """queries(qid 0, vector) -> with the vectors of its k nearest chunks as queries 1..k."""
+    first = nearest(scored(chunks, queries), k).select(*KEYS, F.col("distance").alias("was"))
+    again = chunks.join(F.broadcast(first), KEYS)
+    place = F.row_number().over(Window.orderBy("was", *KEYS))  # k rows
+    return queries.select(F.col("qid").cast("long").alias("qid"), "vector").unionByName(again.select(place.cast("long").alias("qid"), F.col("embed_vector").alias("vector")))
+
+
 def fused(arms: DataFrame) -> DataFrame:
     """One row a chunk with its least distance over all queries that found it."""
     return arms.groupBy(*KEYS).agg(F.min("distance").alias("distance"))

@@ -5,13 +5,17 @@ Keys and distances are selected first; texts and names are joined to the selecte
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from findloom.functions import text as X
 from findloom.functions import vectors as V
 from findloom.model import SENTINEL, SearchRequest, parse_metadata
-from findloom.operators import knn, neighbours, ranking
+from findloom.operators import expansion, knn, neighbours, ranking
+from findloom.providers import ChatModel, Embedder, Reranker, reranked_scores
+from findloom.sources.tables import plan_text
 
 
 def restricted(collection: DataFrame, request: SearchRequest) -> DataFrame:
@@ -45,8 +49,21 @@ def selected(chunks: DataFrame, queries: DataFrame, request: SearchRequest) -> D
     return knn.fused(found)
 
 
-def search(chunks: DataFrame, collection: DataFrame, request: SearchRequest, queries: DataFrame | None = None) -> DataFrame:
-    """chunks(doc_id, embed_id, embed_data, embed_vector), collection(id, cmetadata) -> no, content, embed_id, source, distance, score, key_words."""
+def search(
+    chunks: DataFrame,
+    collection: DataFrame,
+    request: SearchRequest,
+    queries: DataFrame | None = None,
+    image_chunks: DataFrame | None = None,
+    reranker: Callable[[], Reranker] | None = None,
+) -> DataFrame:
+    """chunks(doc_id, embed_id, embed_data, embed_vector), collection(id, cmetadata) -> no, content, embed_id, source, distance, score, key_words.
+
+    A request with use_image searches image_chunks (of the same columns), if there are any. Reranking asks the reranker
+    about the few passages found, or goes by shared terms where there is none.
+    """
+    if request.use_image and image_chunks is not None:
+        chunks = image_chunks
     allowed = restricted(collection, request).select(F.col("id").alias("doc_id"), X.metadata_value(F.col("cmetadata"), "file_name").alias("name"))
     own = chunks
     if request.doc_ids is not None or request.metadata:
@@ -59,7 +76,9 @@ def search(chunks: DataFrame, collection: DataFrame, request: SearchRequest, que
     else:
         passages = neighbours.merged(whole, "name")
     if request.rerank:
-        ranked = ranking.reranked(passages, ranking.lexical_score(F.col("content"), request.terms), request.rerank_threshold, request.rerank_top_k)
+        content = F.col("content")
+        score = reranked_scores(F.lit(request.query), content, reranker) if reranker else ranking.lexical_score(content, request.terms)
+        ranked = ranking.reranked(passages, score, request.rerank_threshold, request.rerank_top_k)
         order = [F.desc("score"), *ranking.ORDER]
     else:
         ranked, order = passages.withColumn("score", F.lit(None).cast("double")), ranking.ORDER
@@ -82,6 +101,32 @@ def search(chunks: DataFrame, collection: DataFrame, request: SearchRequest, que
     )
 
 
+def expanded_search(
+    chunks: DataFrame,
+    collection: DataFrame,
+    request: SearchRequest,
+    chat: Callable[[], ChatModel],
+    embedder: Callable[[], Embedder],
+    kind: str = "sub_query",
+    **more,
+) -> DataFrame:
+    """search() by the vectors of request.query and of the queries that a model makes of it; a blank query finds nothing.
+
+    `kind` is one of the prompts' expansions, or `multi_step`: the nearest chunks become the further queries.
+    """
+    asked = chunks.sparkSession.createDataFrame([("", request.query)], "query_id string, query string")
+    if kind == "multi_step":
+        queries = knn.with_nearest_as_queries(chunks, expansion.vectors(expansion.itself(asked), embedder))
+    else:
+        queries = expansion.vectors(expansion.expanded(asked, kind, chat), embedder)
+    return search(chunks, collection, request, queries, **more)
+
+
+def with_plan(result: DataFrame) -> tuple[DataFrame, str]:
+    """A result and the text of the plan that makes it, for a caller that shows both."""
+    return result, plan_text(result)
+
+
 def presented(result: DataFrame) -> DataFrame:
     """All columns as strings, as a user interface shows them; `-` where there is no distance or score."""
     shown = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("-")).alias(c.upper())

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from findloom.functions import text as X
 from findloom.functions import vectors as V
-from findloom.model import DESCRIPTION_BASE, FIXED_DELIMITER, IMAGE_BASE, TEXT_BASE, SearchRequest
-from findloom.operators import chunking, evaluation, images, knn, mutation, neighbours, ranking, search
+from findloom.model import FIXED_DELIMITER, SearchRequest
+from findloom.operators import chunking, evaluation, expansion, images, ingestion, knn, mutation, neighbours, ranking, search
+from findloom.providers import HashingEmbedder, SentenceChat
 from findloom.sources import conversion, markup, office, samples, views
 from findloom.sources.views import table
 
@@ -73,10 +74,8 @@ def multi_query_fusion(spark: SparkSession, d: str) -> DataFrame:
 def multi_step_query(spark: SparkSession, d: str) -> DataFrame:
     """The vectors of the three nearest chunks become sub-queries, fused with the query itself."""
     chunks, queries = _ids_and(spark, d)
-    first = knn.nearest(knn.scored(chunks, queries), 3)
-    again = chunks.join(first.select("doc_id", "embed_id", F.col("distance").alias("was")), knn.KEYS)
-    subs = again.select(F.row_number().over(Window.orderBy("was", *knn.KEYS)).cast("long").alias("qid"), F.col("embed_vector").alias("vector"))
-    return knn.fused(knn.nearest(knn.scored(chunks, queries.select(F.lit(0).cast("long").alias("qid"), "vector").unionByName(subs)), 10))
+    queries = knn.with_nearest_as_queries(chunks, queries.withColumn("qid", F.lit(0)))
+    return knn.fused(knn.nearest(knn.scored(chunks, queries), 10))
 
 
 def neighbor_offsets(spark: SparkSession, d: str) -> DataFrame:
@@ -124,7 +123,56 @@ def answer_by_one(spark: SparkSession, d: str) -> DataFrame:
 
 def vision_search(spark: SparkSession, d: str) -> DataFrame:
     request = SearchRequest(vectors=[[0.0]], terms=TERMS, threshold=NEAR, use_image=True, extend_around=2)
-    return search.search(views.embedding(spark, d), views.collection(spark, d), request, views.query_vectors(spark, d, [7]))
+    return search.search(views.embedding(spark, d), views.collection(spark, d), request, views.query_vectors(spark, d, [7]), views.image_chunks(spark, d))
+
+
+def provider_rerank(spark: SparkSession, d: str) -> DataFrame:
+    """A search whose passages a reranker scores by the words of the query."""
+    request = SearchRequest(vectors=[[0.0]], query="The and", threshold=NEAR, rerank=True, rerank_threshold=0.0, rerank_top_k=10)
+    found = search.search(views.embedding(spark, d), views.collection(spark, d), request, views.query_vectors(spark, d, [7]), reranker=WordsReranker)
+    return found.select("no", "embed_id", "source", "distance", "score")
+
+
+class WordsReranker:
+    """Score of a text: the share of the query's words, by white space, that it holds as parts; stated in SQL as well."""
+
+    def score(self, query: str, texts: list[str]) -> list[float]:
+        words = query.lower().split(" ")
+        return [sum(w in t.lower() for w in words) / len(words) for t in texts]
+
+
+def query_expansion(spark: SparkSession, d: str) -> DataFrame:
+    asked = views.qa_result(spark, d).select("query_id", "query")
+    return expansion.expanded(asked, "sub_query", SentenceChat)
+
+
+def document_ingestion(spark: SparkSession, d: str) -> DataFrame:
+    """Every second document comes anew, its lines as fixed chunks; the others keep theirs."""
+    marked = F.concat(F.replace(F.col("data"), F.lit("\n"), F.lit(FIXED_DELIMITER)), F.lit(FIXED_DELIMITER))
+    new = views.collection(spark, d).where(F.regexp_extract("id", r"\d+", 0).cast("long") % 2 == 0).withColumn("data", marked)
+    rows = views.embedding(spark, d).select("doc_id", "embed_id", "embed_data", "embed_vector")
+    done = ingestion.ingested(rows, new, HashingEmbedder)
+    return done.select("doc_id", "embed_id", F.md5("embed_data").alias("data_md5"), F.size("embed_vector").cast("long").alias("dimensions"))
+
+
+def image_prompt_groups(spark: SparkSession, d: str) -> DataFrame:
+    """The images of the first five hits as prompts of the modes 1 to 3."""
+    hits = images.ordered_distinct(_image_hits(spark, d), 5)
+    shown = images.fetched(hits, views.image(spark, d))
+    joined = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c)
+    parts = [images.grouped(shown, mode).select(F.lit(mode).cast("long").alias("mode"), "place", joined("doc_ids"), joined("img_ids")) for mode in (1, 2, 3)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def vector_cast(spark: SparkSession, d: str) -> DataFrame:
+    written = table(spark, d, "embeddings").select("vec_id", F.to_json("embedding").alias("text"), "embedding")
+    again = V.from_text(F.col("text"))
+    return written.select("vec_id", F.size(again).cast("long").alias("dimensions"), V.rounded(V.norm(again)).alias("norm"))
+
+
+def blob_cast(spark: SparkSession, d: str) -> DataFrame:
+    blob = X.to_blob(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.octet_length(blob).cast("long").alias("n_bytes"), F.md5(blob).alias("blob_md5"))
 
 
 def result_presentation(spark: SparkSession, d: str) -> DataFrame:
@@ -239,12 +287,7 @@ def image_neighbors(spark: SparkSession, d: str) -> DataFrame:
 
 def image_embedding_rows(spark: SparkSession, d: str) -> DataFrame:
     """Chunk ids count over all images of a document, by kind of data."""
-    img = views.image(spark, d)
-    kinds = F.array(*(F.struct(F.lit(k).alias("data_type"), F.lit(b).alias("base"), F.col(c).alias("embed_data")) for k, b, c in (("text_data", TEXT_BASE, "text_data"), ("vlm_data", DESCRIPTION_BASE, "vlm_data"))))
-    rows = img.select("doc_id", "img_id", F.explode(kinds).alias("k")).select("doc_id", "img_id", "k.*").where("embed_data <> ''")
-    rows = rows.unionByName(img.where("base64_data <> ''").select("doc_id", "img_id", F.lit("base64_data").alias("data_type"), F.lit(IMAGE_BASE).alias("base"), F.lit("これは画像です").alias("embed_data")))
-    n = F.row_number().over(Window.partitionBy("doc_id", "data_type").orderBy("img_id"))
-    return rows.select("doc_id", "img_id", "data_type", (F.col("base") + n).cast("long").alias("embed_id"), "embed_data")
+    return images.embedding_rows(views.image(spark, d)).drop("cmetadata")
 
 
 def base64_scrub(spark: SparkSession, d: str) -> DataFrame:
@@ -413,6 +456,7 @@ QUERIES = {
         image_first_chunk_per_image, image_hits_in_order, image_limit_ordered, image_group_by_file, image_first_last, image_neighbors, image_embedding_rows, base64_scrub,
         image_format_sniff, citation_split, citation_join, strip_timing_line, evaluation_report, feedback_explode, human_feedback_update, cascade_delete, chunk_replace,
         pending_vectors, vector_update, metadata_parse, jsonl_sink_format, json_array_lines, snowflake_id, hashed_ids, preview_text, prompt_render, download_sheet, recursive_split,
+        provider_rerank, query_expansion, document_ingestion, image_prompt_groups, vector_cast, blob_cast,
     )
 } | {"knn_cosine": _knn("cosine"), "knn_euclidean": _knn("euclidean"), "knn_dot": _knn("dot")}
 QUERIES |= {"excel_blocks": _blocks("xlsx"), "word_blocks": _blocks("docx"), "csv_blocks": _blocks("csv"), "xml_to_blocks": _xml(False), "xml_to_blocks_merged": _xml(True)}

@@ -127,12 +127,41 @@ ORACLE_SQL = {
     ),
     "answer_by_one": _search(f"SELECT no, embed_id, source, CASE WHEN distance < {SENTINEL} THEN distance END AS distance FROM rows WHERE source = (SELECT source FROM rows WHERE no = 1)"),
     "vision_search": with_views(
-        "embedding queries",
+        "collection image_chunks queries",
         RESULT,
-        f"""{SCORES}, {TOP.format(where=f"qid = 7 AND distance <= {NEAR}", k=20)},
+        f"""{SCORES.replace("FROM embedding", "FROM image_chunks")}, {TOP.format(where=f"qid = 7 AND distance <= {NEAR}", k=20)},
         rows AS (SELECT h.doc_id, h.embed_id, embed_data AS content, distance, NULL::DOUBLE AS score, h.doc_id || ':' || h.doc_id || '.txt' AS source,
-          (row_number() OVER (ORDER BY distance, h.doc_id, h.embed_id))::INT AS no FROM hits h JOIN embedding e ON h.doc_id = e.doc_id AND h.embed_id = e.embed_id)""",
+          (row_number() OVER (ORDER BY distance, h.doc_id, h.embed_id))::INT AS no FROM hits h JOIN image_chunks e ON h.doc_id = e.doc_id AND h.embed_id = e.embed_id
+          JOIN collection c ON c.id = h.doc_id)""",
+    ),
+    "provider_rerank": with_views(
+        "embedding queries",
+        f"SELECT no, embed_id, {SOURCE} AS source, distance, score FROM rows",
+        f"""{SCORES}, {TOP.format(where=f"qid = 7 AND distance <= {NEAR}", k=20)}, wide AS (SELECT doc_id, embed_id, distance FROM hits), {MERGE},
+        rows AS (SELECT *, (contains(lower(content), 'the')::INT + contains(lower(content), 'and')::INT) / 2.0::DOUBLE AS score,
+          (row_number() OVER (ORDER BY score DESC, distance, doc_id, embed_id))::INT AS no FROM passages QUALIFY no <= 10)""",
+    ),
+    "query_expansion": with_views(
+        "qa_result",
+        "SELECT query_id, 0::BIGINT AS qid, query FROM asked UNION ALL SELECT query_id, unnest(range(1, len(more) + 1)), unnest(more) FROM made",
+        f"""asked AS (SELECT query_id, query FROM qa_result WHERE {STRIP.format("query")} <> ''),
+        made AS (SELECT query_id, list_filter(list_transform(string_split(string_split({STRIP.format("query")}, chr(10))[-1], '. '),
+          lambda s: {STRIP.format("s")}), lambda s: s <> '')[1:3] AS more FROM asked)""",
+    ),
+    "document_ingestion": with_views(
+        "embedding lines",
+        """SELECT doc_id, embed_id, md5(embed_data) AS data_md5, len(v)::BIGINT AS dimensions FROM embedding WHERE substring(doc_id, 5)::BIGINT % 2 = 1
+          UNION ALL SELECT 'doc_' || doc_id, 10000 + row_number() OVER (PARTITION BY doc_id ORDER BY pos), md5(piece), 64 FROM lines WHERE doc_id % 2 = 0 AND trim(piece) <> ''""",
+    ),
+    "image_prompt_groups": with_views(
+        "image_embedding",
+        """SELECT 1::BIGINT AS mode, row_number() OVER (ORDER BY rank) AS place, doc_id AS doc_ids, img_id::VARCHAR AS img_ids FROM top
+          UNION ALL SELECT 2, 1, string_agg(doc_id, ',' ORDER BY img_id, doc_id), string_agg(img_id::VARCHAR, ',' ORDER BY img_id, doc_id) FROM top
+          UNION ALL SELECT 3, row_number() OVER (ORDER BY min(rank)), string_agg(doc_id, ',' ORDER BY img_id), string_agg(img_id::VARCHAR, ',' ORDER BY img_id) FROM top GROUP BY doc_id""",
+        f"{_IMAGE_HITS}, {_PAIRS}, top AS (SELECT * FROM pairs ORDER BY rank, doc_id, img_id LIMIT 5)",
     ),
+    "vector_cast": "SELECT vec_id, len(embedding)::BIGINT AS dimensions, round(sqrt(list_dot_product(embedding::DOUBLE[], embedding::DOUBLE[])), 6) AS norm FROM embeddings",
+    "blob_cast": "SELECT doc_id, octet_length(encode(text))::BIGINT AS n_bytes, md5(text) AS blob_md5 FROM documents",
     "result_presentation": _search(
         f"""SELECT no::VARCHAR AS "NO", {COLLAPSE} AS "CONTENT", embed_id::VARCHAR AS "EMBED_ID", source AS "SOURCE",
           CASE WHEN distance < {SENTINEL} THEN distance::VARCHAR ELSE '-' END AS "DISTANCE", '-' AS "SCORE", {KEYWORDS} AS "KEY_WORDS" FROM rows"""
@@ -179,7 +208,7 @@ ORACLE_SQL = {
     ),
     "image_embedding_rows": with_views(
         "image",
-        "SELECT doc_id, img_id, data_type, base + row_number() OVER (PARTITION BY doc_id, data_type ORDER BY img_id) AS embed_id, embed_data FROM r",
+        f"SELECT doc_id, img_id, data_type, base + row_number() OVER (PARTITION BY doc_id, data_type ORDER BY img_id) AS embed_id, {STRIP.format('embed_data')} AS embed_data FROM r",
         """r AS (SELECT doc_id, img_id, 'text_data' AS data_type, 10000 AS base, text_data AS embed_data FROM image WHERE text_data <> ''
           UNION ALL SELECT doc_id, img_id, 'vlm_data', 30000, vlm_data FROM image WHERE vlm_data <> ''
           UNION ALL SELECT doc_id, img_id, 'base64_data', 50000, 'これは画像です' FROM image WHERE base64_data <> '')""",

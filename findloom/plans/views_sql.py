@@ -14,6 +14,8 @@ VIEWS = {
     "image_embedding": """SELECT doc_id, base + img_id AS embed_id, embed_data, img_id FROM (
       SELECT doc_id, img_id, 10000 AS base, text_data AS embed_data FROM image UNION ALL SELECT doc_id, img_id, 30000, vlm_data FROM image
       UNION ALL SELECT doc_id, img_id, 50000, 'image' FROM image)""",
+    "image_chunks": """SELECT doc_id, embed_id, embed_data, img_id, embedding::DOUBLE[] AS v FROM image_embedding
+      JOIN embeddings ON vec_id = (substring(doc_id, 5)::BIGINT * 7 + embed_id) % (SELECT count(*) FROM embeddings)""",
     "qa_result": """SELECT 'query_' || conv_id AS query_id, arg_min(text, turn) AS query, 'standard ' || conv_id AS standard_answer,
       make_timestamp((1700000000 + conv_id) * 1000000) AS created_date FROM conversations WHERE role = 'user' GROUP BY conv_id""",
     "qa_feedback": """SELECT 'query_' || conv_id AS query_id, 'model_' || (turn % 4) AS llm_name, text AS llm_answer,
@@ -22,7 +24,7 @@ VIEWS = {
     "vectors": "SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings",
     "lines": """SELECT doc_id, generate_subscripts(l, 1) - 1 AS pos, unnest(l) AS piece FROM (SELECT doc_id, string_split(text, chr(10)) AS l FROM documents)""",
 }
-NEEDS = {"image_embedding": ["image"]}
+NEEDS = {"image_embedding": ["image"], "image_chunks": ["image", "image_embedding"]}
 
 
 def with_views(names: str, body: str, more: str = "") -> str:

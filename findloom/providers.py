@@ -6,8 +6,10 @@ A provider is made once a task, inside the Arrow function that calls it, and is
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
+import threading
 import time
 from collections.abc import Callable, Iterator
 from functools import reduce
@@ -73,6 +75,26 @@ class RegexTokenizer:
         return found if len(found) <= limit else sorted(found, key=len)[:limit]
 
 
+class ImageBytesEmbedder:
+    """Stand-in: the unit vector of how often each byte value, by its upper six bits, occurs in base64 data."""
+
+    def embed(self, texts: list[str]) -> list[list[float]]:
+        out = np.zeros((len(texts), 64), np.float32)
+        for row, text in enumerate(texts):
+            data = np.frombuffer(base64.b64decode(text + "=" * (-len(text) % 4)), np.uint8)
+            out[row] = np.bincount(data >> 2, minlength=64)
+        norm = np.linalg.norm(out, axis=1, keepdims=True)
+        return (out / np.where(norm == 0, 1, norm)).tolist()
+
+
+class SentenceChat:
+    """Stand-in: the sentences of the prompt's last line, numbered."""
+
+    def answer(self, prompt: str) -> str:
+        last = prompt.strip().split("\n")[-1]
+        return "\n".join(f"{n}. {s}" for n, s in enumerate(last.split(". "), 1))
+
+
 class TemplateChat:
     """Stand-in: repeats the end of the prompt."""
 
@@ -144,7 +166,9 @@ def reranked_scores(query: Column, text: Column, make: Callable[[], Reranker], b
     return F.arrow_udf(run, "double")(query, text)
 
 
-def _answers(prompt: Column, make: Callable[[], ChatModel]) -> Column:
+def answers(prompt: Column, make: Callable[[], ChatModel]) -> Column:
+    """The model's answer to each prompt, null for null."""
+
     def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         model = make()
         for part in parts:
@@ -156,10 +180,47 @@ def _answers(prompt: Column, make: Callable[[], ChatModel]) -> Column:
 
 def answered(prompts: DataFrame, models: dict[str, Callable[[], ChatModel]]) -> DataFrame:
     """prompts(query_id, prompt) x models -> query_id, llm_name, llm_answer; each model's answers are tasks of their own."""
-    parts = [prompts.select("query_id", F.lit(name).alias("llm_name"), _answers(F.col("prompt"), make).alias("llm_answer")) for name, make in models.items()]
+    parts = [prompts.select("query_id", F.lit(name).alias("llm_name"), answers(F.col("prompt"), make).alias("llm_answer")) for name, make in models.items()]
     return reduce(DataFrame.unionByName, parts)
 
 
+def in_time(calls: list[Callable], step: float = 60.0, total: float = 120.0) -> list:
+    """What each call gives, None where it fails or takes over `step` seconds, or over what is left of `total` for all."""
+    end = time.monotonic() + total
+    out: list = [None] * len(calls)
+
+    def one(k: int, box: list) -> None:
+        try:
+            box.append(calls[k]())
+        except Exception:
+            return
+
+    for k in range(len(calls)):
+        wait = min(step, end - time.monotonic())
+        if wait <= 0:
+            break
+        box: list = []
+        # A daemon: a call that hangs must not keep the worker alive.
+        worker = threading.Thread(target=one, args=(k, box), daemon=True)
+        worker.start()
+        worker.join(wait)
+        out[k] = box[0] if box else None
+    return out
+
+
+def fanned_out(prompts: Column, make: Callable[[], ChatModel], step: float = 60.0, total: float = 120.0) -> Column:
+    """array<string> of answers to an array of prompts, one after the other, null for those that were not answered in time."""
+
+    def run(parts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        model = make()
+        for part in parts:
+            rows = [None if own is None else in_time([lambda p=p: model.answer(p) for p in own], step, total) for own in part.to_pylist()]
+            yield pa.array(rows, pa.list_(pa.string()))
+
+    run.__annotations__ = {"parts": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    return F.arrow_udf(run, "array<string>")(prompts)
+
+
 def sub_queries(answer: str, limit: int = 3) -> list[str]:
     """Lines of a model's answer as sub-queries, numbering taken off."""
     lines = [re.sub(r"^\d+\.\s*", "", line.strip()) for line in answer.split("\n")]

@@ -63,6 +63,14 @@ def image_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return img.select("doc_id", "img_id", F.explode(kinds).alias("k")).select("doc_id", (F.col("k.base") + F.col("img_id")).cast("long").alias("embed_id"), "k.embed_data", "img_id")
 
 
+def image_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """image_embedding with vectors, borrowed by document and chunk number, counted round the vectors there are."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("embed_vector"))
+    number = F.regexp_extract("doc_id", r"\d+", 0).cast("long")
+    own = image_embedding(spark, sf_dir).withColumn("vec_id", F.pmod(number * 7 + F.col("embed_id"), F.lit(max(1, vectors.count()))))
+    return own.join(vectors, "vec_id").drop("vec_id")
+
+
 def qa_result(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations")
     first = turns.where("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("query"))
