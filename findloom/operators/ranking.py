@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from unicodedata import category
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,18 +14,24 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
-def term_scores(chunks: DataFrame, terms: list[str]) -> DataFrame:
-    """chunks(doc_id, embed_id, embed_data) that hold any term -> doc_id, embed_id, n_terms, hits."""
-    wanted = F.array(*(F.lit(t.lower()) for t in terms))
-    own = tokens(F.col("embed_data"))
-    held = F.filter(own, lambda t: F.array_contains(wanted, t))
-    found = chunks.select("doc_id", "embed_id", held.alias("held")).where(F.size("held") > 0)
-    return found.select("doc_id", "embed_id", F.size(F.array_distinct("held")).alias("n_terms"), F.size("held").alias("hits"))
+def held_terms(text: Column, terms: list[str]) -> Column:
+    """The tokens of a text that are terms, as often as they occur: found by one pattern, without an array of all tokens."""
+    # A token is letters and digits only, so a term with anything else is never one.
+    wanted = [t for t in dict.fromkeys(t.lower() for t in terms) if t and all(category(c)[0] in "LN" for c in t)]
+    if not wanted:
+        return F.array().cast("array<string>")
+    return F.regexp_extract_all(F.lower(text), F.lit(rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(wanted)})(?![\p{{L}}\p{{N}}])"), 0)
+
+
+def term_scores(chunks: DataFrame, terms: list[str], *carry: str) -> DataFrame:
+    """chunks(doc_id, embed_id, embed_data, carried columns) that hold any term -> doc_id, embed_id, n_terms, hits, carried columns."""
+    found = chunks.select("doc_id", "embed_id", *carry, held_terms(F.col("embed_data"), terms).alias("held")).where(F.size("held") > 0)
+    return found.select("doc_id", "embed_id", F.size(F.array_distinct("held")).alias("n_terms"), F.size("held").alias("hits"), *carry)
 
 
-def text_hits(chunks: DataFrame, terms: list[str], k: int) -> DataFrame:
+def text_hits(chunks: DataFrame, terms: list[str], k: int, *carry: str) -> DataFrame:
     """The k chunks with most distinct terms, then most hits."""
-    return term_scores(chunks, terms).orderBy(F.desc("n_terms"), F.desc("hits"), "doc_id", "embed_id").limit(k)
+    return term_scores(chunks, terms, *carry).orderBy(F.desc("n_terms"), F.desc("hits"), "doc_id", "embed_id").limit(k)
 
 
 def lexical_score(content: Column, terms: list[str]) -> Column:

@@ -42,10 +42,9 @@ def selected(chunks: DataFrame, queries: DataFrame, request: SearchRequest) -> D
     found = hits.select(*knn.KEYS, "distance")
     if request.text_search and request.terms:
         terms = sorted(request.terms, key=len)[: request.text_search_k] if len(request.terms) > request.text_search_k else request.terms
-        by_text = ranking.text_hits(chunks, terms, request.top_k).select(*knn.KEYS)
-        # top_k rows at most: distances to the query are made for those chunks only.
-        hit_chunks = chunks.join(F.broadcast(by_text), knn.KEYS, "left_semi")
-        found = found.unionByName(knn.scored(hit_chunks, queries.where("qid = 0")).select(*knn.KEYS, "distance"))
+        # The top_k hits bring their vectors along, so that their distances need no second scan.
+        by_text = ranking.text_hits(chunks, terms, request.top_k, "embed_vector")
+        found = found.unionByName(knn.scored(by_text, queries.where("qid = 0")).select(*knn.KEYS, "distance"))
     return knn.fused(found)
 
 

@@ -32,8 +32,8 @@ def embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunks of every document to its end; chunk k of a document borrows the vector numbered PER_DOC * doc_id + k, counted round the vectors there are."""
     docs = table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", "text")
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("embed_vector"))
-    last = F.ceil(F.length("text") / F.lit(CHUNK)).cast("int") - 1
-    pieces = F.transform(F.sequence(F.lit(0), last), lambda k: F.substring("text", k * CHUNK + 1, F.lit(CHUNK)))
+    # One pass over a text: substring() would count from its start again for each piece.
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CHUNK}}}"), 0)
     chunks = docs.select("doc_id", F.posexplode(pieces).alias("k", "embed_data"))
     number = F.pmod(F.col("doc_id") * PER_DOC + F.col("k"), F.lit(max(1, vectors.count())))
     return chunks.withColumn("vec_id", number).join(vectors, "vec_id").select(

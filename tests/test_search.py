@@ -122,3 +122,13 @@ def test_mutations(spark, chunks):
 def test_text_scores(chunks):
     rows = ranking.text_hits(chunks, ["cat", "the", "y"], 5).collect()
     assert [(r.doc_id, r.n_terms, r.hits) for r in rows] == [("d2", 2, 2), ("d1", 1, 1)]
+
+
+def test_held_terms_are_whole_tokens(spark):
+    texts = ["The cat's category; CAT cat_cat été", "", None, "xcat cat1 éCat", "cat\ncat"]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    for terms in (["cat", "the", "été", "Cat"], ["cat's", "a b", ""], []):
+        wanted = F.array(*(F.lit(t.lower()) for t in terms)).cast("array<string>")
+        plain = F.filter(ranking.tokens(F.col("t")), lambda t: F.array_contains(wanted, t))
+        got = rows.select(F.coalesce(ranking.held_terms(F.col("t"), terms), F.array().cast("array<string>")).alias("a"), F.coalesce(plain, F.array().cast("array<string>")).alias("b"))
+        assert all(r.a == r.b for r in got.collect())
