@@ -23,15 +23,15 @@ def held_terms(text: Column, terms: list[str]) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(wanted)})(?![\p{{L}}\p{{N}}])"), 0)
 
 
-def term_scores(chunks: DataFrame, terms: list[str], *carry: str) -> DataFrame:
-    """chunks(doc_id, embed_id, embed_data, carried columns) that hold any term -> doc_id, embed_id, n_terms, hits, carried columns."""
-    found = chunks.select("doc_id", "embed_id", *carry, held_terms(F.col("embed_data"), terms).alias("held")).where(F.size("held") > 0)
-    return found.select("doc_id", "embed_id", F.size(F.array_distinct("held")).alias("n_terms"), F.size("held").alias("hits"), *carry)
+def term_scores(chunks: DataFrame, terms: list[str]) -> DataFrame:
+    """chunks(doc_id, embed_id, embed_data) that hold any term -> doc_id, embed_id, n_terms, hits."""
+    found = chunks.select("doc_id", "embed_id", held_terms(F.col("embed_data"), terms).alias("held")).where(F.size("held") > 0)
+    return found.select("doc_id", "embed_id", F.size(F.array_distinct("held")).alias("n_terms"), F.size("held").alias("hits"))
 
 
-def text_hits(chunks: DataFrame, terms: list[str], k: int, *carry: str) -> DataFrame:
+def text_hits(chunks: DataFrame, terms: list[str], k: int) -> DataFrame:
     """The k chunks with most distinct terms, then most hits."""
-    return term_scores(chunks, terms, *carry).orderBy(F.desc("n_terms"), F.desc("hits"), "doc_id", "embed_id").limit(k)
+    return term_scores(chunks, terms).orderBy(F.desc("n_terms"), F.desc("hits"), "doc_id", "embed_id").limit(k)
 
 
 def lexical_score(content: Column, terms: list[str]) -> Column:
