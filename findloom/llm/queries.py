@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from findloom.llm import audio, chat_format, decontam, html_extract, license_scan, mixing, quality, simhash, url_filter, warc
+from findloom.llm import audio, chat_format, decontam, divergence, hard_negatives, html_extract, license_scan, mixing, quality, simhash, token_files, url_filter, warc
 from findloom.llm.common import table
-from findloom.llm.sql import op1_sql, op3_sql, op4_sql, op6_sql, op9_sql
+from findloom.llm.sql import op1_sql, op3_sql, op4_sql, op6_sql, op9_sql, op11_sql, op12_sql
 
 
 def op1_mix_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,11 +57,26 @@ def op10_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audio.with_features(audio.store(table(spark, sf_dir, "documents"))).drop("file", "medium")
 
 
-QUERIES = {f.__name__: f for f in (op1_mix_weights, op2_extract_html, op3_license_scan, op4_chat_format, op5_decontaminate, op6_warc, op7_quality, op8_simhash, op9_url_filter, op10_audio)}
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hard_negatives.integer_rows(table(spark, sf_dir, "embeddings"), hard_negatives.confused_label())
+    return hard_negatives.mine(rows, rows.where("id % 100 = 0"))
+
+
+def op13_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.encoded(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_mix_weights, op2_extract_html, op3_license_scan, op4_chat_format, op5_decontaminate, op6_warc, op7_quality, op8_simhash, op9_url_filter, op10_audio, op11_source_divergence, op12_hard_negatives, op13_token_ids)}
 ORACLE_SQL = {
     "op1_mix_weights": op1_sql(),
     "op3_license_scan": op3_sql(),
     "op4_chat_format": op4_sql(),
     "op6_warc": op6_sql(),
     "op9_url_filter": op9_sql(),
+    "op11_source_divergence": op11_sql(),
+    "op12_hard_negatives": op12_sql(),
 }

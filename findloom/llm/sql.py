@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from findloom.llm import chat_format, license_scan, mixing, url_filter
+from findloom.llm import chat_format, divergence, hard_negatives, license_scan, mixing, url_filter
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -132,3 +132,50 @@ def op9_sql() -> str:
     SELECT page_id, host, path, fit.rule AS rule,
       coalesce(fit.verdict, CASE WHEN node IN (SELECT node FROM bad) THEN 'block' ELSE 'allow' END) AS verdict FROM judged
     """
+
+
+def op11_sql() -> str:
+    p = lambda n, mass: f"(1 + ({divergence.UNIT}::HUGEINT * ({n} + 2)) // ({mass}))::BIGINT"
+    f = "((p - q) * (p - q)) // (p + q)"
+    return rf"""
+    WITH d AS (
+      SELECT coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+        regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{divergence.TERM}') AS w FROM documents),
+    kept AS (SELECT lang, term FROM (SELECT lang, unnest(list_distinct(w)) AS term FROM d) GROUP BY ALL HAVING count(*) >= {divergence.LEAST_DOCS}),
+    uses AS (SELECT lang, source, term, count(*) AS n FROM (SELECT lang, source, unnest(w) AS term FROM d) JOIN kept USING (lang, term) GROUP BY ALL),
+    totals AS (SELECT lang, term, sum(n) AS n FROM uses GROUP BY ALL),
+    langs AS (SELECT lang, count(*) AS v, sum(n) AS held FROM totals GROUP BY ALL),
+    groups AS (
+      SELECT g.lang, g.source, coalesce(v, 0) AS v, coalesce(sum(n), 0) + 2 * coalesce(v, 0) AS mass, coalesce(held, 0) + 2 * coalesce(v, 0) AS lang_mass
+      FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN langs USING (lang) LEFT JOIN uses USING (lang, source) GROUP BY g.lang, g.source, v, held),
+    shares AS (
+      SELECT g.lang, g.source, k.term, coalesce(u.n, 0) AS n, {p("coalesce(u.n, 0)", "g.mass")} AS p, {p("t.n", "g.lang_mass")} AS q
+      FROM groups g JOIN kept k USING (lang) JOIN totals t USING (lang, term) LEFT JOIN uses u ON (u.lang, u.source, u.term) = (g.lang, g.source, k.term)),
+    pairs AS (
+      SELECT g.lang, g.source, h.source AS item, coalesce((SELECT sum({f}) FROM (
+        SELECT a.p AS p, b.p AS q FROM shares a JOIN shares b USING (lang, term) WHERE a.lang = g.lang AND a.source = g.source AND b.source = h.source)), 0) AS value
+      FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source),
+    terms AS (SELECT lang, source, term AS item, {f} AS value FROM shares WHERE n > 0 AND p > q),
+    parts AS (SELECT *, 'pair' AS part FROM pairs UNION ALL SELECT *, 'term' AS part FROM terms),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS rank FROM parts)
+    SELECT lang, source, part, item, value::BIGINT AS value, rank::INTEGER AS rank FROM ranked WHERE part = 'pair' OR rank <= {divergence.TOP}
+    """
+
+
+def op12_sql() -> str:
+    h = hard_negatives
+    return f"""
+    WITH r AS (
+      SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor({h.SCALE} * x::DOUBLE)) AS v
+      FROM embeddings WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scores AS (
+      SELECT a.vec_id AS anchor_id, r.vec_id, r.label = a.label AS same, list_inner_product(a.v, r.v)::BIGINT AS score
+      FROM r a JOIN r ON a.vec_id <> r.vec_id WHERE a.vec_id % 100 = 0),
+    positives AS (
+      SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM scores WHERE same
+      QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= {h.K}),
+    ranked AS (
+      SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS rank
+      FROM positives p JOIN scores s USING (anchor_id) WHERE NOT s.same AND {h.LOW} * positive_score <= 100 * s.score AND 100 * s.score <= {h.HIGH} * positive_score)
+    SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM ranked WHERE rank <= {h.K}
+    """

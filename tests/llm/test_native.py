@@ -18,7 +18,7 @@ def test_query_equals_sql(spark, sf_dir, same, name):
 
 
 def test_registered():
-    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 14))
     assert sql.op3_sql() == queries.ORACLE_SQL["op3_license_scan"]
 
 
