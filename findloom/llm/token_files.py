@@ -8,10 +8,9 @@ without the rest. A manifest table in the shared folder names the files of the t
 lie before each.
 
 Encoding: the tokenizer drops white space and no token, normalisation or merge reaches across ASCII white space, so a text's
-ids are those of its pieces between it, one after another. Pieces are encoded by the library, each distinct piece of a
-batch once, and recent ones are remembered (MEMORY of them a worker). Whole texts are encoded: long ones in
-stretches of about STRETCH bytes that end at white space. That holds for tokenizers of this kind only; `pieces=False`
-encodes every text in one call instead.
+ids are those of its pieces between it, one after another. The library encodes each distinct word once, and a worker remembers
+up to MEMORY of them. Whole texts are encoded: long ones in stretches of about STRETCH bytes that end at white space. That
+holds for tokenizers of this kind only; `pieces=False` encodes every text in one call instead.
 
 Defined cases: a null text is empty and has the end id alone; rows without a doc_id come first; rows that share a doc_id
 lie in order of their texts' hashes, and equal rows are interchangeable; a document may span any number of blocks; an empty
@@ -21,6 +20,7 @@ table gives no rows; other columns are not looked at.
 from __future__ import annotations
 
 import os
+import re
 import struct
 import uuid
 import zlib
@@ -41,9 +41,12 @@ from findloom.llm.common import bound_batches, new_path, written
 TOKENIZER, END_ID = "word_bpe_49k.json", 2
 BLOCK = 1 << 16
 #: Documents a batch of the result, and bytes encoded at once.
-ROWS, STRETCH = 2000, 1 << 20
-#: Pieces that a worker remembers, of at most PIECE bytes each.
-MEMORY, PIECE = 400_000, 64
+ROWS, STRETCH = 2000, 4 << 20
+#: Words that a worker remembers.
+MEMORY = 1_000_000
+#: Plain pieces: ASCII, and Latin letters with one lower-case form each; and the words that such a lower-cased piece has.
+PLAIN = r"^[!-~À-ÖØ-öø-įĲ-ňŊ-ž]*$"
+WORD = re.compile(r"\n|'s|'t|'re|'ve|'m|'ll|'d|[a-zà-öø-įĳ-ňŋ-žß]+|[0-9]|[!-/:-@\[-`{-~]+")
 LEVEL = 3
 MAGIC, PLANES = b"FLTOK1\r\n", {"byte": 4, "bit": 32}
 _SPACE = np.zeros(256, bool)
@@ -59,6 +62,12 @@ def _tokenizer(name: str):
     return Tokenizer.from_file(public_tokenizers.path(name))
 
 
+@lru_cache(maxsize=2)
+def _encoder(tokenizer: str, pieces: bool) -> Encoder:
+    """One of each kind in a worker, whose memory serves the tasks that follow."""
+    return Encoder(tokenizer, pieces)
+
+
 def _joined(parts: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
     """(all ids, length of each part)."""
     lengths = np.fromiter(map(len, parts), np.int64, len(parts))
@@ -72,53 +81,85 @@ def _gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np
 
 
 class Encoder:
-    """Texts -> ids, piece by piece, with a bounded memory of pieces."""
+    """Texts -> ids, piece by piece, with a bounded memory of words.
+
+    A piece of plain characters is cut into words where the tokenizer cuts it: plain characters are printable ASCII and Latin
+    letters that normalisation only puts in lower case. Words that are new are encoded many at a time, as one text with spaces
+    between; a word's last id is one that ends a word. Other pieces are encoded each by itself.
+    """
 
     def __init__(self, tokenizer: str = TOKENIZER, pieces: bool = True):
         self.library, self.pieces = _tokenizer(tokenizer), pieces
+        vocabulary = self.library.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[n for token, n in vocabulary.items() if token.endswith("</w>")]] = True
         self.forget()
 
     def forget(self) -> None:
         self.known: dict[str, int] = {}
         self.ids, self.bounds, self.n = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.int64), 0
 
-    def _encode(self, texts: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return _joined([e.ids for e in self.library.encode_batch_fast(texts, add_special_tokens=False)])
 
-    def _learn(self, new: list[str]) -> None:
-        ids, lengths = _joined(self._encode(new))
-        first, total = len(self.known), self.n + len(ids)
-        self.ids = np.resize(self.ids, max(len(self.ids), 2 * total)) if total > len(self.ids) else self.ids
-        self.ids[self.n : total] = ids
-        wanted = first + len(new) + 1
-        self.bounds = np.resize(self.bounds, 2 * wanted) if wanted > len(self.bounds) else self.bounds
-        self.bounds[first + 1 : wanted] = self.n + np.cumsum(lengths)
-        self.known.update(zip(new, range(first, first + len(new))))
-        self.n = total
+    def _encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids, _ = self._encode([" ".join(words[k : k + 1000]) for k in range(0, len(words), 1000)])
+        last = np.flatnonzero(self.ends[ids])
+        if len(last) != len(words):
+            raise ValueError("the tokenizer cuts words otherwise than stated here")
+        return ids, np.diff(last, prepend=-1)
+
+    def _places(self, texts: list[str], encode) -> np.ndarray:
+        """The numbers under which the ids of texts are remembered, after learning those that are new."""
+        new = [t for t in texts if t not in self.known]
+        if new:
+            ids, lengths = encode(new)
+            first, total = len(self.known), self.n + len(ids)
+            if total > len(self.ids):
+                self.ids = np.resize(self.ids, 2 * total)
+            self.ids[self.n : total] = ids
+            after = first + len(new) + 1
+            if after > len(self.bounds):
+                self.bounds = np.resize(self.bounds, 2 * after)
+            self.bounds[first + 1 : after] = self.n + np.cumsum(lengths)
+            self.known.update(zip(new, range(first, first + len(new))))
+            self.n = total
+        return np.fromiter(map(self.known.__getitem__, texts), np.int64, len(texts))
 
     def _stretch(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, number of ids of each text) of a few short texts."""
         if not self.pieces:
-            return _joined(self._encode(texts.to_pylist()))
+            return self._encode(texts.to_pylist())
         split = pc.ascii_split_whitespace(texts)
         coded = split.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
-        if len(self.known) + len(words) > MEMORY:
+        distinct = coded.dictionary
+        if len(self.known) + 2 * len(distinct) > MEMORY:
             self.forget()
-        new = [w for w in words if w not in self.known and len(w) <= PIECE]
-        if new:
-            self._learn(new)
-        place = np.fromiter((self.known.get(w, -1) for w in words), np.int64, len(words))
-        odd = np.flatnonzero(place < 0)
-        extra, extra_n = _joined(self._encode([words[k] for k in odd])) if len(odd) else (np.zeros(0, np.uint32), np.zeros(0, np.int64))
-        start, count = self.bounds[place], self.bounds[place + 1] - self.bounds[place]
-        start[odd], count[odd] = self.n + np.cumsum(extra_n) - extra_n, extra_n
+        plain = pc.match_substring_regex(distinct, PLAIN).to_numpy(zero_copy_only=False) & ~pc.match_substring(distinct, "<|").to_numpy(zero_copy_only=False)
+        # What each distinct piece is made of: words, or itself.
+        parts = pa.array(WORD.findall("\n".join([*distinct.filter(pa.array(plain)).to_pylist(), ""]).lower()), pa.string()).dictionary_encode()
+        words = parts.dictionary.to_pylist()
+        stop = words.index("\n") if "\n" in words else -1
+        codes = parts.indices.to_numpy()
+        words_place = self._places([w for w in words if w != "\n"], self._encode_words)
+        if stop >= 0:
+            words_place = np.insert(words_place, stop, -1)
+        odd = self._places(distinct.filter(pa.array(~plain)).to_pylist(), self._encode)
+        stops = np.flatnonzero(codes == stop)
+        sequence = np.concatenate((words_place[codes[codes != stop]], odd)) if len(codes) else odd
+        made_of = np.ones(len(distinct), np.int64)
+        made_of[plain] = np.diff(stops, prepend=-1) - 1
+        first = np.zeros(len(distinct), np.int64)
+        first[plain] = np.cumsum(made_of[plain]) - made_of[plain]
+        first[~plain] = made_of[plain].sum() + np.arange(len(odd))
+        # Pieces of the texts -> remembered words -> ids.
         which = coded.indices.to_numpy()
-        pool = np.concatenate((self.ids[: self.n], extra)) if len(odd) else self.ids
-        per_word = count[which]
-        total = np.concatenate(([0], np.cumsum(per_word)))
-        ends = np.concatenate(([0], np.cumsum(split.value_lengths().to_numpy())))
-        return _gathered(pool, start[which], per_word), np.diff(total[ends])
+        in_piece = made_of[which]
+        remembered = _gathered(sequence, first[which], in_piece)
+        start, count = self.bounds[remembered], self.bounds[remembered + 1] - self.bounds[remembered]
+        before = np.concatenate(([0], np.cumsum(count)))
+        ends = np.concatenate(([0], np.cumsum(in_piece)))[np.concatenate(([0], np.cumsum(split.value_lengths().to_numpy())))]
+        return _gathered(self.ids, start, count), np.diff(before[ends])
 
     def documents(self, texts: pa.Array) -> Iterator[np.ndarray]:
         """The ids of each text, in order."""
@@ -288,7 +329,7 @@ def write_tokens(docs: DataFrame, folder: str, tokenizer: str = TOKENIZER, end_i
         for batch in batches:
             if not batch.num_rows:
                 continue
-            encoder = encoder or Encoder(tokenizer, pieces)
+            encoder = encoder or _encoder(tokenizer, pieces)
             out = out or Writer(store.open_output_stream(f"{root}/{name}", compression=None), id_type, mode, block)
             ids = batch.column(0).to_pylist()
             for doc_id, own in zip(ids, encoder.documents(batch.column(1))):

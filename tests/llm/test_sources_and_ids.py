@@ -189,6 +189,10 @@ class TestTokenFiles:
         found = token_files.Encoder().documents(pa.array(texts, pa.string()))
         assert [f.tolist() for f in found] == [whole_text_ids(t) for t in texts]
 
+    def test_every_latin_character(self):
+        texts = [f"x{chr(c)}y {chr(c)} {chr(c)}{chr(c)}. 1{chr(c)}'s" for c in (*range(1, 0x250), 0x1E9E, 0x2019, 0xFB01)]
+        assert [f.tolist() for f in token_files.Encoder().documents(pa.array(texts))] == [whole_text_ids(t) for t in texts]
+
     def test_special_strings_and_long_texts(self, monkeypatch):
         monkeypatch.setattr(token_files, "STRETCH", 50)
         monkeypatch.setattr(token_files, "MEMORY", 5)
