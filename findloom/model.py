@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 _s = lambda name, kind=T.StringType(), null=True: T.StructField(name, kind, null)
@@ -21,6 +23,14 @@ SEARCH_RESULT = T.StructType(
     [_s("no", T.IntegerType()), _s("content"), _s("embed_id", T.LongType()), _s("source"), _s("distance", T.DoubleType()), _s("score", T.DoubleType()), _s("key_words")]
 )
 
+#: Stored chunks lie in so many folders, by hash of the document; a parameter of a store, to be larger for a larger one.
+CHUNK_SHELVES = 32
+
+
+def chunk_shelf(doc_id: Column, shelves: int = CHUNK_SHELVES) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(shelves)).cast("int")
+
+
 #: Chunk ids begin here by kind of data.
 TEXT_BASE, DESCRIPTION_BASE, IMAGE_BASE = 10_000, 30_000, 50_000
 #: The distance of a chunk that came in as a neighbour only.

@@ -1,10 +1,12 @@
-"""Deletes, replacements and updates as new DataFrames: Parquet has no row update, so callers write the result anew."""
+"""Deletes, replacements and updates: as new DataFrames, which callers write as they like, and of stored tables in versions."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from findloom.sources.snapshots import Tables
+
 
 def without_documents(rows: DataFrame, gone: DataFrame, key: str = "doc_id") -> DataFrame:
     """rows whose key is not among gone(doc_id)."""
@@ -16,6 +18,14 @@ def cascade_delete(tables: dict[str, tuple[DataFrame, str]], gone: DataFrame) ->
     return {name: without_documents(rows, gone, key) for name, (rows, key) in tables.items()}
 
 
+def cascade_delete_stored(tables: Tables, gone: DataFrame) -> int:
+    """The documents of gone(doc_id) leave every stored table in one version: a reader sees them in all or in none."""
+    change = tables.change()
+    for name, layout in tables.layouts.items():
+        change.delete(name, gone, {"doc_id" if "doc_id" in layout.schema.names else "id": "doc_id"})
+    return change.commit()
+
+
 def replaced_chunks(rows: DataFrame, new: DataFrame) -> DataFrame:
     """All chunks of the documents in `new` give way to those of `new`."""
     return without_documents(rows, new.select("doc_id").distinct()).unionByName(new)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from findloom.model import SENTINEL, TEXT_BASE
+from findloom.model import SENTINEL, TEXT_BASE, chunk_shelf
 
 
 def offsets(k: int) -> list[int]:
@@ -42,6 +42,27 @@ def merged(chunks: DataFrame, *carry: str) -> DataFrame:
     return groups.agg(joined_text().alias("content"), F.min("embed_id").alias("embed_id"), F.min("distance").alias("distance")).drop("island")
 
 
+def located(ids: DataFrame, chunks: DataFrame, *columns: str) -> DataFrame:
+    """ids(doc_id, embed_id, ...) with columns of their chunks.
+
+    A search's ids are bounded by its request. Where chunks come from a store by shelf, the ids are sent to it and only their
+    shelves are read; chunks never move.
+    """
+    if "shelf" not in chunks.columns:
+        return ids.join(chunks.select("doc_id", "embed_id", *columns), ["doc_id", "embed_id"])
+    keys = F.broadcast(ids.withColumn("shelf", chunk_shelf(F.col("doc_id"))))
+    return keys.join(chunks.select("shelf", "doc_id", "embed_id", *columns), ["shelf", "doc_id", "embed_id"]).drop("shelf")
+
+
+def of_documents(chunks: DataFrame, ids: DataFrame) -> DataFrame:
+    """The chunks of a few documents, ids(doc_id): of their shelves only, where there are any."""
+    own = ids.select("doc_id").distinct()
+    if "shelf" not in chunks.columns:
+        return chunks.join(own, "doc_id", "left_semi")
+    keys = own.withColumn("shelf", chunk_shelf(F.col("doc_id")))
+    return chunks.join(F.broadcast(keys), ["shelf", "doc_id"], "left_semi")
+
+
 def leading(chunks: DataFrame, n: int) -> DataFrame:
     """The first n chunks of each document as one text."""
     first = chunks.where(F.col("embed_id") <= TEXT_BASE + n)

@@ -14,10 +14,14 @@ def tokens(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+def valid_terms(terms: list[str]) -> list[str]:
+    """Lower-cased distinct terms; a token is letters and digits only, so a term with anything else is never one."""
+    return [t for t in dict.fromkeys(t.lower() for t in terms) if t and all(category(c)[0] in "LN" for c in t)]
+
+
 def held_terms(text: Column, terms: list[str]) -> Column:
     """The tokens of a text that are terms, as often as they occur: found by one pattern, without an array of all tokens."""
-    # A token is letters and digits only, so a term with anything else is never one.
-    wanted = [t for t in dict.fromkeys(t.lower() for t in terms) if t and all(category(c)[0] in "LN" for c in t)]
+    wanted = valid_terms(terms)
     if not wanted:
         return F.array().cast("array<string>")
     return F.regexp_extract_all(F.lower(text), F.lit(rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(wanted)})(?![\p{{L}}\p{{N}}])"), 0)

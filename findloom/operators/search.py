@@ -16,6 +16,7 @@ from findloom.model import SENTINEL, SearchRequest, parse_metadata
 from findloom.operators import expansion, knn, neighbours, ranking
 from findloom.providers import ChatModel, Embedder, Reranker, reranked_scores
 from findloom.sources.tables import plan_text
+from findloom.streaming.index_upkeep import TextIndex
 
 
 def restricted(collection: DataFrame, request: SearchRequest) -> DataFrame:
@@ -32,8 +33,11 @@ def query_frame(like: DataFrame, vectors: list[list[float]]) -> DataFrame:
     return like.sparkSession.createDataFrame(rows, "qid int, vector array<float>")
 
 
-def selected(chunks: DataFrame, queries: DataFrame, request: SearchRequest) -> DataFrame:
-    """doc_id, embed_id, distance of what the vector arms and the text arm find; qid 0 is the query itself."""
+def selected(chunks: DataFrame, queries: DataFrame, request: SearchRequest, index: TextIndex | None = None, within: DataFrame | None = None) -> DataFrame:
+    """doc_id, embed_id, distance of what the vector arms and the text arm find; qid 0 is the query itself.
+
+    With an index the text arm reads posting lists, of the documents of within(doc_id) if that is given, and no texts.
+    """
     scores = knn.scored(chunks, queries)
     if request.partition_by:
         hits = knn.nearest_by_document(scores, request.partition_by, request.top_k, request.threshold)
@@ -42,9 +46,9 @@ def selected(chunks: DataFrame, queries: DataFrame, request: SearchRequest) -> D
     found = hits.select(*knn.KEYS, "distance")
     if request.text_search and request.terms:
         terms = sorted(request.terms, key=len)[: request.text_search_k] if len(request.terms) > request.text_search_k else request.terms
-        by_text = ranking.text_hits(chunks, terms, request.top_k).select(*knn.KEYS)
+        by_text = ranking.text_hits(chunks, terms, request.top_k) if index is None else index.top({0: terms}, request.top_k, within)
         # top_k rows at most: distances to the query are made for those chunks only.
-        hit_chunks = chunks.join(F.broadcast(by_text), knn.KEYS, "left_semi")
+        hit_chunks = neighbours.located(F.broadcast(by_text.select(*knn.KEYS)), chunks, *(c for c in ("embed_vector", "embed_norm") if c in chunks.columns))
         found = found.unionByName(knn.scored(hit_chunks, queries.where("qid = 0")).select(*knn.KEYS, "distance"))
     return knn.fused(found)
 
@@ -56,21 +60,23 @@ def search(
     queries: DataFrame | None = None,
     image_chunks: DataFrame | None = None,
     reranker: Callable[[], Reranker] | None = None,
+    index: TextIndex | None = None,
 ) -> DataFrame:
     """chunks(doc_id, embed_id, embed_data, embed_vector), collection(id, cmetadata) -> no, content, embed_id, source, distance, score, key_words.
 
     A request with use_image searches image_chunks (of the same columns), if there are any. Reranking asks the reranker
-    about the few passages found, or goes by shared terms where there is none.
+    about the few passages found, or goes by shared terms where there is none. With an index of chunks' texts the text arm
+    searches that.
     """
     if request.use_image and image_chunks is not None:
-        chunks = image_chunks
+        chunks, index = image_chunks, None
     allowed = restricted(collection, request).select(F.col("id").alias("doc_id"), X.metadata_value(F.col("cmetadata"), "file_name").alias("name"))
-    own = chunks
+    own, within = chunks, None
     if request.doc_ids is not None or request.metadata:
-        own = chunks.join(allowed, "doc_id", "left_semi")
+        own, within = chunks.join(allowed, "doc_id", "left_semi"), allowed
     queries = query_frame(chunks, request.vectors) if queries is None else queries
-    ids = neighbours.expanded(selected(own, queries, request), request.extend_around)
-    whole = ids.join(chunks.select(*knn.KEYS, "embed_data"), knn.KEYS).join(allowed, "doc_id")
+    ids = neighbours.expanded(selected(own, queries, request, index, within), request.extend_around)
+    whole = neighbours.located(ids, chunks, "embed_data").join(allowed, "doc_id")
     if request.use_image:
         passages = whole.select("doc_id", "name", F.col("embed_data").alias("content"), "embed_id", "distance")
     else:
@@ -85,7 +91,7 @@ def search(
     rows = ranking.numbered(ranked.withColumn("source", F.concat("doc_id", F.lit(":"), "name")), *order).drop("name")
     if request.extend_first:
         # Only the documents of the few result rows: their chunks are chosen before any text is joined together.
-        own = chunks.join(rows.select("doc_id").distinct(), "doc_id", "left_semi")
+        own = neighbours.of_documents(chunks, rows)
         rows = ranking.with_prefixes(rows, neighbours.leading(own, request.extend_first))
     if request.answer_by_one:
         rows = ranking.answered_by_one(rows)

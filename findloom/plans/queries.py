@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from findloom.functions import vectors as V
 from findloom.model import FIXED_DELIMITER, SearchRequest
 from findloom.operators import chunking, evaluation, expansion, images, ingestion, knn, mutation, neighbours, ranking, search
 from findloom.providers import HashingEmbedder, SentenceChat
-from findloom.sources import conversion, markup, office, samples, views
+from findloom.sources import conversion, markup, office, samples, store, views
 from findloom.sources.views import table
 
 QUERY_IDS = [7, 77, 177, 277]
@@ -19,7 +21,7 @@ NEAR = 0.95
 
 
 def _ids_and(spark, d, ids=None):
-    return views.embedding(spark, d), views.query_vectors(spark, d, ids or QUERY_IDS[:1])
+    return store.of_views(spark, d).chunks(), views.query_vectors(spark, d, ids or QUERY_IDS[:1])
 
 
 def doc_list(spark: SparkSession, d: str) -> DataFrame:
@@ -78,20 +80,16 @@ def multi_step_query(spark: SparkSession, d: str) -> DataFrame:
     return knn.fused(knn.nearest(knn.scored(chunks, queries), 10))
 
 
-def neighbor_offsets(spark: SparkSession, d: str) -> DataFrame:
-    return spark.range(1).select(F.explode(F.array(*map(F.lit, neighbours.offsets(4)))).alias("o")).select(F.col("o").cast("long").alias("o"))
-
-
 def neighbor_expand(spark: SparkSession, d: str) -> DataFrame:
     chunks, queries = _ids_and(spark, d)
     hits = knn.nearest(knn.scored(chunks, queries), 20, NEAR)
-    return neighbours.expanded(hits, 2).join(chunks.select(*knn.KEYS), knn.KEYS).select("doc_id", "embed_id", "distance")
+    return neighbours.located(neighbours.expanded(hits, 2), chunks).select("doc_id", "embed_id", "distance")
 
 
 def merge_adjacent_chunks(spark: SparkSession, d: str) -> DataFrame:
     chunks, queries = _ids_and(spark, d)
     ids = neighbours.expanded(knn.nearest(knn.scored(chunks, queries), 20, NEAR), 2)
-    return neighbours.merged(ids.join(chunks.select(*knn.KEYS, "embed_data"), knn.KEYS)).select("doc_id", "embed_id", "distance", "content")
+    return neighbours.merged(neighbours.located(ids, chunks, "embed_data")).select("doc_id", "embed_id", "distance", "content")
 
 
 def first_chunk_extend(spark: SparkSession, d: str) -> DataFrame:
@@ -102,7 +100,8 @@ def first_chunk_extend(spark: SparkSession, d: str) -> DataFrame:
 def _search(spark: SparkSession, d: str, **more) -> DataFrame:
     request = SearchRequest(vectors=[[0.0]], terms=TERMS, threshold=NEAR, extend_around=2, **more)
     queries = views.query_vectors(spark, d, QUERY_IDS).withColumn("qid", F.when(F.col("qid") == 7, 0).otherwise(F.col("qid")))
-    return search.search(views.embedding(spark, d), views.collection(spark, d), request, queries)
+    own = store.of_views(spark, d)
+    return search.search(own.chunks(), views.collection(spark, d), request, queries, index=own.index)
 
 
 def hybrid_search_flagship(spark: SparkSession, d: str) -> DataFrame:
@@ -184,10 +183,47 @@ def result_numbering(spark: SparkSession, d: str) -> DataFrame:
 
 
 def text_search_accum(spark: SparkSession, d: str) -> DataFrame:
-    found = ranking.text_hits(views.embedding(spark, d), TERMS, 20)
+    """The chunks with most terms, by the index."""
+    return store.of_views(spark, d).index.top({0: TERMS}, 20).select("doc_id", "embed_id", "n_terms", "hits")
+
+
+def text_search_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The same without an index, by a look at every chunk."""
+    found = ranking.text_hits(store.of_views(spark, d).chunks(), TERMS, 20)
     return found.select("doc_id", "embed_id", F.col("n_terms").cast("long").alias("n_terms"), F.col("hits").cast("long").alias("hits"))
 
 
+def _item_terms(spark: SparkSession, d: str) -> dict[int, list[str]]:
+    """The four longest words of each benchmark item: as many queries as there are items."""
+    words = F.array_distinct(ranking.tokens(F.col("text")))
+    longest = F.slice(F.array_sort(F.transform(words, lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))), 1, 4)
+    return {r[0]: r[1] for r in table(spark, d, "benchmark").select("item_id", F.transform(longest, lambda s: s["t"])).collect()}
+
+
+def text_search_many(spark: SparkSession, d: str) -> DataFrame:
+    """The ten chunks nearest in words to each benchmark item, all items in one plan."""
+    found = store.of_views(spark, d).index.top(_item_terms(spark, d), 10)
+    return found.select(F.col("qid").alias("item_id"), "rank", "doc_id", "embed_id", "n_terms", "hits")
+
+
+def text_predicate(spark: SparkSession, d: str) -> DataFrame:
+    """Every chunk that holds any of the terms."""
+    return store.of_views(spark, d).index.holding_any(TERMS).select("doc_id", "embed_id", "n_terms", "hits")
+
+
+def text_index_upkeep(spark: SparkSession, d: str) -> DataFrame:
+    """The same search after two batches of changes: texts turned round in documents ending in 7, those ending in 3 deleted, and every ninth chunk of the rest."""
+    own = store.of_views(spark, d).clone()
+    chunks = own.chunks().select("doc_id", "embed_id", "embed_data")
+    put = chunks.where(F.col("doc_id").endswith("7")).select(F.lit("put").alias("op"), "doc_id", "embed_id", F.reverse("embed_data").alias("embed_data"))
+    gone = chunks.where(F.col("doc_id").endswith("3")).select(F.lit("delete").alias("op"), "doc_id", F.lit(None).cast("long").alias("embed_id"), F.lit(None).cast("string").alias("embed_data")).distinct()
+    ninth = chunks.where("embed_id % 9 = 0").select(F.lit("delete").alias("op"), "doc_id", "embed_id", F.lit(None).cast("string").alias("embed_data"))
+    own.index.apply(put.unionByName(gone).withColumn("seq", F.lit(0).cast("long")), 0)
+    own.index.apply(ninth.withColumn("seq", F.lit(0).cast("long")), 1)
+    own.index.merge(fan=2)
+    return own.index.top({0: TERMS}, 50).select("doc_id", "embed_id", "n_terms", "hits")
+
+
 def keyword_cut_shortest(spark: SparkSession, d: str) -> DataFrame:
     words = F.array_distinct(ranking.tokens(F.col("text")))
     return table(spark, d, "documents").select("doc_id", F.array_join(X.shortest_terms(words, 6), " ").alias("terms"))
@@ -351,20 +387,19 @@ def human_feedback_update(spark: SparkSession, d: str) -> DataFrame:
 
 
 def cascade_delete(spark: SparkSession, d: str) -> DataFrame:
-    """Rows left in each table after the documents whose number ends in 3 are gone."""
-    gone = views.collection(spark, d).where(F.col("id").endswith("3")).select(F.col("id").alias("doc_id"))
-    tables = {"collection": (views.collection(spark, d), "id"), "embedding": (views.embedding(spark, d), "doc_id"), "image": (views.image(spark, d), "doc_id"), "image_embedding": (views.image_embedding(spark, d), "doc_id")}
-    out = None
-    for name, rows in mutation.cascade_delete(tables, gone).items():
-        one = rows.agg(F.count("*").alias("rows_left")).withColumn("table_name", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """Rows left in each table after the documents whose number ends in 3 left all of them in one version."""
+    own = store.of_views(spark, d).clone().tables
+    gone = own.read("collection").where(F.col("id").endswith("3")).select(F.col("id").alias("doc_id"))
+    mutation.cascade_delete_stored(own, gone)
+    return reduce(DataFrame.unionByName, [own.read(name).agg(F.count("*").alias("rows_left")).withColumn("table_name", F.lit(name)) for name in own.layouts])
 
 
 def chunk_replace(spark: SparkSession, d: str) -> DataFrame:
-    rows = views.embedding(spark, d).select("doc_id", "embed_id", "embed_data")
-    new = rows.where(F.col("doc_id").endswith("7") & (F.col("embed_id") % 2 == 1)).withColumn("embed_data", F.concat(F.lit("new "), "embed_data"))
-    return mutation.replaced_chunks(rows, new).select("doc_id", "embed_id", F.md5("embed_data").alias("data_md5"))
+    """The odd chunks of documents ending in 7, marked as new, take the place of all chunks of their documents."""
+    own = store.of_views(spark, d).clone().tables
+    new = own.read("embedding").where(F.col("doc_id").endswith("7") & (F.col("embed_id") % 2 == 1)).withColumn("embed_data", F.concat(F.lit("new "), "embed_data"))
+    own.change().replace("embedding", new, ["doc_id"]).commit()
+    return own.read("embedding").select("doc_id", "embed_id", F.md5("embed_data").alias("data_md5"))
 
 
 def _with_gaps(spark: SparkSession, d: str) -> DataFrame:
@@ -376,9 +411,13 @@ def pending_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 
 def vector_update(spark: SparkSession, d: str) -> DataFrame:
-    new = views.embedding(spark, d).where(F.col("embed_id") % 3 == 0).where(F.col("doc_id").endswith("1"))
-    done = mutation.updated_vectors(_with_gaps(spark, d), new)
-    return done.select("doc_id", "embed_id", F.col("embed_vector").isNotNull().alias("has_vector"))
+    """Every third chunk loses its vector; those of documents ending in 1 get one again."""
+    own = store.of_views(spark, d).clone().tables
+    third = own.read("embedding").where(F.col("embed_id") % 3 == 0)
+    none = third.withColumns({"embed_vector": F.lit(None).cast("array<float>"), "embed_norm": F.lit(None).cast("double")})
+    own.change().update("embedding", none, knn.KEYS, ["embed_vector", "embed_norm"]).commit()
+    own.change().update("embedding", third.where(F.col("doc_id").endswith("1")), knn.KEYS, ["embed_vector", "embed_norm"]).commit()
+    return own.read("embedding").select("doc_id", "embed_id", F.col("embed_vector").isNotNull().alias("has_vector"))
 
 
 def metadata_parse(spark: SparkSession, d: str) -> DataFrame:
@@ -450,8 +489,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         doc_list, server_path_lookup, metadata_filter, doc_id_filter, scan_with_collection, knn_threshold, knn_partitioned_topk, multi_query_fusion, multi_step_query,
-        neighbor_offsets, neighbor_expand, merge_adjacent_chunks, first_chunk_extend, hybrid_search_flagship, hybrid_search_reranked, hybrid_search_extend_first,
-        answer_by_one, vision_search, result_presentation, result_numbering, text_search_accum, keyword_cut_shortest, token_filter_stopwords, keyword_highlight,
+        neighbor_expand, merge_adjacent_chunks, first_chunk_extend, hybrid_search_flagship, hybrid_search_reranked, hybrid_search_extend_first,
+        answer_by_one, vision_search, result_presentation, result_numbering, text_search_accum, text_search_scan, text_search_many, text_predicate, text_index_upkeep, keyword_cut_shortest, token_filter_stopwords, keyword_highlight,
         collapse_newlines, control_char_scrub, rerank_lexical_topk, fixed_delimiter_split, chunk_offsets, chunk_overlap_prefix, image_block_extract, ocr_text_extract,
         image_first_chunk_per_image, image_hits_in_order, image_limit_ordered, image_group_by_file, image_first_last, image_neighbors, image_embedding_rows, base64_scrub,
         image_format_sniff, citation_split, citation_join, strip_timing_line, evaluation_report, feedback_explode, human_feedback_update, cascade_delete, chunk_replace,

@@ -103,7 +103,6 @@ ORACLE_SQL = {
         subs AS (SELECT 0 AS qid, q FROM base UNION ALL SELECT row_number() OVER (ORDER BY distance, doc_id, embed_id), v FROM near),
         scores AS (SELECT doc_id, embed_id, qid, {COSINE} AS distance FROM embedding, subs), {TOP.format(where="true", k=10)}""",
     ),
-    "neighbor_offsets": "SELECT unnest(range(-2, 3)) AS o",
     "neighbor_expand": with_views(
         "embedding queries",
         "SELECT doc_id, embed_id, w.distance FROM wide w JOIN embedding USING (doc_id, embed_id)",
@@ -168,6 +167,24 @@ ORACLE_SQL = {
     ),
     "result_numbering": _search("SELECT no, source, embed_id FROM rows"),
     "text_search_accum": with_views("embedding", "SELECT * FROM by_text", TEXT_ARM),
+    "text_search_scan": with_views("embedding", "SELECT * FROM by_text", TEXT_ARM),
+    "text_search_many": with_views(
+        "embedding",
+        """SELECT item_id, rank, doc_id, embed_id, n_terms, hits FROM (
+          SELECT *, (row_number() OVER (PARTITION BY item_id ORDER BY n_terms DESC, hits DESC, doc_id, embed_id))::INT AS rank FROM found) WHERE rank <= 10""",
+        f"""words AS (SELECT item_id, unnest(list_distinct({TOKENS.format("text")})) AS t FROM benchmark),
+        terms AS (SELECT item_id, t FROM words QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY length(t) DESC, t) <= 4),
+        held AS (SELECT doc_id, embed_id, unnest({TOKENS.format("embed_data")}) AS t FROM embedding),
+        found AS (SELECT item_id, doc_id, embed_id, count(DISTINCT t) AS n_terms, count(*) AS hits FROM held JOIN terms USING (t) GROUP BY ALL)""",
+    ),
+    "text_predicate": with_views("embedding", "SELECT doc_id, embed_id, len(list_distinct(held)) AS n_terms, len(held) AS hits FROM words WHERE len(held) > 0", TEXT_ARM.split(",\n  by_text")[0]),
+    "text_index_upkeep": with_views(
+        "embedding",
+        "SELECT doc_id, embed_id, len(list_distinct(held)) AS n_terms, len(held) AS hits FROM words WHERE len(held) > 0 ORDER BY n_terms DESC, hits DESC, doc_id, embed_id LIMIT 50",
+        f"""changed AS (SELECT doc_id, embed_id, CASE WHEN doc_id LIKE '%7' THEN reverse(embed_data) ELSE embed_data END AS embed_data FROM embedding
+          WHERE doc_id NOT LIKE '%3' AND embed_id % 9 <> 0),
+        {TEXT_ARM.split(",\n  by_text")[0].replace("FROM embedding", "FROM changed")}""",
+    ),
     "keyword_cut_shortest": f"""WITH t AS (SELECT doc_id, {TOKENS.format("text")} AS toks FROM documents), o AS (SELECT doc_id, {_ONCE} AS once FROM t)
         SELECT doc_id, array_to_string(list_transform(CASE WHEN len(once) <= 6 THEN once ELSE list_sort(once)[1:6] END, lambda s: s.t), ' ') AS terms FROM o""",
     "token_filter_stopwords": f"WITH t AS (SELECT conv_id, turn, {TOKENS.format('text')} AS toks FROM conversations WHERE role = 'user') SELECT conv_id, turn, {_valid_terms()} AS terms FROM t",
