@@ -19,10 +19,18 @@ from findloom.sources.tables import plan_text
 from findloom.streaming.index_upkeep import TextIndex
 
 
+#: Lists of ids up to this long become part of the plan, and so of what is pushed to the scan.
+FEW_IDS = 200
+
+
 def restricted(collection: DataFrame, request: SearchRequest) -> DataFrame:
     """The documents that the request's id list and metadata allow."""
-    if request.doc_ids is not None:
+    if request.doc_ids is not None and len(request.doc_ids) <= FEW_IDS:
         collection = collection.where(F.col("id").isin(request.doc_ids))
+    elif request.doc_ids is not None:
+        # A long list would make the plan as long.
+        ids = collection.sparkSession.createDataFrame([(i,) for i in dict.fromkeys(request.doc_ids)], "id string")
+        collection = collection.join(ids, "id", "left_semi")
     for key, value in parse_metadata(request.metadata).items():
         collection = collection.where(X.metadata_value(F.col("cmetadata"), key) == value)
     return collection

@@ -7,12 +7,15 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from findloom.functions import table_functions
 from findloom.functions import text as X
 from findloom.functions import vectors as V
 from findloom.model import FIXED_DELIMITER, SearchRequest
-from findloom.operators import chunking, evaluation, expansion, images, ingestion, knn, mutation, neighbours, ranking, search
+from findloom.operators import chunking, evaluation, expansion, images, ingestion, knn, mutation, neighbours, pivots, ranking, search
 from findloom.providers import HashingEmbedder, SentenceChat
 from findloom.sources import conversion, markup, office, samples, store, views
+from findloom.sources.shared import new_path
+from findloom.sources.snapshots import Tables
 from findloom.sources.views import table
 
 QUERY_IDS = [7, 77, 177, 277]
@@ -73,6 +76,12 @@ def multi_query_fusion(spark: SparkSession, d: str) -> DataFrame:
     return knn.fused(knn.nearest(knn.scored(chunks, queries), 20, NEAR))
 
 
+def knn_many(spark: SparkSession, d: str) -> DataFrame:
+    """The ten rows nearest to each row whose number is divisible by 100, by clusters around pivots."""
+    rows = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    return pivots.Clusters(rows).nearest(rows.where("id % 100 = 0"), 10).select("query_id", "rank", F.col("id").alias("vec_id"), "distance")
+
+
 def multi_step_query(spark: SparkSession, d: str) -> DataFrame:
     """The vectors of the three nearest chunks become sub-queries, fused with the query itself."""
     chunks, queries = _ids_and(spark, d)
@@ -230,7 +239,7 @@ def keyword_cut_shortest(spark: SparkSession, d: str) -> DataFrame:
 
 
 def token_filter_stopwords(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "conversations").where("role = 'user'").select("conv_id", "turn", F.array_join(X.valid_terms(ranking.tokens(F.col("text")), "en"), " ").alias("terms"))
+    return table(spark, d, "conversations").select("conv_id", "turn", F.array_join(X.valid_terms(ranking.tokens(F.col("text")), "en"), " ").alias("terms"))
 
 
 def keyword_highlight(spark: SparkSession, d: str) -> DataFrame:
@@ -243,7 +252,8 @@ def collapse_newlines(spark: SparkSession, d: str) -> DataFrame:
 
 
 def control_char_scrub(spark: SparkSession, d: str) -> DataFrame:
-    dirty = F.translate("text", "\n ", "\u000b\u0001")
+    """Texts whose letters e and n have become the two control characters."""
+    dirty = F.translate("text", "en", "\u000b\u0001")
     return table(spark, d, "documents").select("doc_id", F.md5(X.scrub_control(dirty)).alias("text_md5"))
 
 
@@ -326,9 +336,17 @@ def image_embedding_rows(spark: SparkSession, d: str) -> DataFrame:
     return images.embedding_rows(views.image(spark, d)).drop("cmetadata")
 
 
+def image_text_split(spark: SparkSession, d: str) -> DataFrame:
+    """Image texts of up to 1,280 letters without a place to cut at, in chunks of 256 that share 25."""
+    img = views.image(spark, d).select("doc_id", "img_id", F.expr("repeat(md5(text_data), cast(1 + img_id * length(text_data) % 40 as int))").alias("text"))
+    rows = img.select("doc_id", "img_id", F.posexplode(chunking.chunks_of(F.col("text"), 256, 25, library=True)).alias("pos", "piece"))
+    return rows.select("doc_id", "img_id", F.col("pos").cast("long").alias("pos"), "piece")
+
+
 def base64_scrub(spark: SparkSession, d: str) -> DataFrame:
     data = F.concat(F.lit("data:image/png;base64,"), F.translate(F.base64(F.encode("url", "UTF-8")), "\r\n", ""))
-    text = F.concat(F.lit("a ![x]("), data, F.lit(') b <img alt="y" src="'), data, F.lit('" width=3> c '), data, F.lit(" d"))
+    """Each url between images of every kind, its own url again as their data."""
+    text = F.concat("url", F.lit(" ![x]("), data, F.lit(') b <img alt="y" src="'), data, F.lit('" width=3> '), F.substring("html", 1, 200), F.lit(" "), data, F.lit(" d"))
     return table(spark, d, "pages").select("page_id", X.scrub_base64_images(text).alias("clean"))
 
 
@@ -345,9 +363,9 @@ def citation_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def citation_join(spark: SparkSession, d: str) -> DataFrame:
-    """Every turn as an answer that cites chunk 10001 and 10099 of the document of its conversation's number."""
+    """Every turn as an answer that cites a chunk by the turn's number, and chunk 10099, of the document of its conversation's number."""
     source = F.concat(F.lit("doc_"), F.col("conv_id").cast("string"), F.lit(":doc_"), F.col("conv_id").cast("string"), F.lit(".txt"))
-    answer = F.concat(F.lit("See [\n  {'EMBED_ID': 10001, 'SOURCE': '"), source, F.lit("'}, {'EMBED_ID': 10099, 'SOURCE': '"), source, F.lit("'}\n] and [\nno {json}\n]"))
+    answer = F.concat(F.lit("See [\n  {'EMBED_ID': "), (F.col("turn") % 5 + 10001).cast("string"), F.lit(", 'SOURCE': '"), source, F.lit("'}, {'EMBED_ID': 10099, 'SOURCE': '"), source, F.lit("'}\n] and [\nno {json}\n]"))
     answers = table(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("answer_id"), answer.alias("answer"))
     rows = scan_source(spark, d).withColumn("no", F.lit(1))
     found = evaluation.with_content(evaluation.cited(answers), rows)
@@ -376,6 +394,31 @@ def feedback_explode(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.feedback_rows(wide, ["m1", "m2"])
 
 
+def result_capture(spark: SparkSession, d: str) -> DataFrame:
+    """Each conversation's question and answers kept in one version; every fifth found nothing and is not kept."""
+    turns = table(spark, d, "conversations")
+    at = lambda k: F.max(F.when(F.col("turn") == k, F.col("text")))
+    found = F.when(F.col("conv_id") % 5 == 0, "").otherwise("found")
+    wide = turns.groupBy("conv_id").agg(at(0).alias("query"), at(1).alias("m1_answer"), at(3).alias("m2_answer"), at(1).alias("m1_vlm"), at(3).alias("m2_vlm"))
+    answers = wide.withColumns({
+        "query_id": F.concat(F.lit("query_"), F.col("conv_id").cast("string")), "standard_answer": F.lit(""), "sql": F.concat(F.lit("select "), F.col("conv_id").cast("string")),
+        "first_content": found, "m1_eval": F.lit("8"), "m2_eval": F.lit("6"),
+    })
+    kept = Tables(spark, new_path(spark, "capture"), evaluation.CAPTURE)
+    evaluation.captured(kept, answers, ["m1", "m2"], evaluate=False)
+    feedback = kept.read("rag_qa_feedback").select("query_id", "llm_name", F.md5("llm_answer").alias("answer_md5"), "ragas_evaluation_result")
+    return kept.read("rag_qa_result").select("query_id", F.md5("query").alias("query_md5"), "standard_answer", "sql").join(feedback, "query_id", "left")
+
+
+def judge_marks(spark: SparkSession, d: str) -> DataFrame:
+    """Each turn as a judge's answer: four marks by its numbers, of which some lie above 10, then the turn's text as the reasons."""
+    mark = lambda label, n, tail="": F.concat(F.lit(label), n.cast("string"), F.lit(tail + "\n"))
+    number, turn = F.col("conv_id"), F.col("turn")
+    answer = F.concat(mark("correctness: ", number % 12), mark("", turn % 11), mark("relevance: ", (number + turn) % 10, " / 10"), mark("- clarity: ", turn % 3, ".5"), F.lit("It says: "), "text")
+    marks = evaluation.judge_marks(answer)
+    return table(spark, d, "conversations").select("conv_id", "turn", *(marks[m].alias(m) for m in evaluation.MARKS))
+
+
 def human_feedback_update(spark: SparkSession, d: str) -> DataFrame:
     rows = views.qa_feedback(spark, d).withColumn("user_comment", F.lit(None).cast("string"))
     turns = table(spark, d, "conversations").where("role = 'user'")
@@ -466,6 +509,12 @@ def recursive_split(spark: SparkSession, d: str) -> DataFrame:
     return chunking.annotated(docs).select("doc_id", "chunk_id", "chunk_offset", "chunk_length", "chunk_data")
 
 
+def lateral_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """recursive_split by a table function in SQL."""
+    table_functions.register(spark)
+    return spark.sql("SELECT doc_id, c.* FROM {docs}, LATERAL chunks(text, 320, 10) AS c", docs=table(spark, d, "documents").select("doc_id", "text"))
+
+
 def _blocks(kind: str):
     def run(spark: SparkSession, d: str) -> DataFrame:
         return office.evidence_lines(samples.office_files(table(spark, d, "documents"), kind)).select("path", F.col("pos").cast("long").alias("pos"), "line")
@@ -495,7 +544,7 @@ QUERIES = {
         image_first_chunk_per_image, image_hits_in_order, image_limit_ordered, image_group_by_file, image_first_last, image_neighbors, image_embedding_rows, base64_scrub,
         image_format_sniff, citation_split, citation_join, strip_timing_line, evaluation_report, feedback_explode, human_feedback_update, cascade_delete, chunk_replace,
         pending_vectors, vector_update, metadata_parse, jsonl_sink_format, json_array_lines, snowflake_id, hashed_ids, preview_text, prompt_render, download_sheet, recursive_split,
-        provider_rerank, query_expansion, document_ingestion, image_prompt_groups, vector_cast, blob_cast,
+        provider_rerank, query_expansion, document_ingestion, result_capture, judge_marks, image_text_split, knn_many, lateral_chunks, image_prompt_groups, vector_cast, blob_cast,
     )
 } | {"knn_cosine": _knn("cosine"), "knn_euclidean": _knn("euclidean"), "knn_dot": _knn("dot")}
 QUERIES |= {"excel_blocks": _blocks("xlsx"), "word_blocks": _blocks("docx"), "csv_blocks": _blocks("csv"), "xml_to_blocks": _xml(False), "xml_to_blocks_merged": _xml(True)}

@@ -187,10 +187,10 @@ ORACLE_SQL = {
     ),
     "keyword_cut_shortest": f"""WITH t AS (SELECT doc_id, {TOKENS.format("text")} AS toks FROM documents), o AS (SELECT doc_id, {_ONCE} AS once FROM t)
         SELECT doc_id, array_to_string(list_transform(CASE WHEN len(once) <= 6 THEN once ELSE list_sort(once)[1:6] END, lambda s: s.t), ' ') AS terms FROM o""",
-    "token_filter_stopwords": f"WITH t AS (SELECT conv_id, turn, {TOKENS.format('text')} AS toks FROM conversations WHERE role = 'user') SELECT conv_id, turn, {_valid_terms()} AS terms FROM t",
+    "token_filter_stopwords": f"WITH t AS (SELECT conv_id, turn, {TOKENS.format('text')} AS toks FROM conversations) SELECT conv_id, turn, {_valid_terms()} AS terms FROM t",
     "keyword_highlight": with_views("embedding", f"SELECT doc_id, embed_id, {KEYWORDS} AS key_words FROM (SELECT *, embed_data AS content FROM embedding)"),
     "collapse_newlines": "SELECT doc_id, md5(regexp_replace(text, '\\n+', chr(10), 'g')) AS text_md5 FROM documents",
-    "control_char_scrub": "SELECT doc_id, md5(text) AS text_md5 FROM documents",
+    "control_char_scrub": "SELECT doc_id, md5(translate(text, 'en', chr(10) || ' ')) AS text_md5 FROM documents",
     "rerank_lexical_topk": with_views(
         "embedding queries",
         f"""SELECT doc_id, embed_id, distance, score FROM (SELECT h.doc_id, h.embed_id, h.distance, {LEXICAL.replace("{}", "embed_data")} AS score
@@ -230,7 +230,7 @@ ORACLE_SQL = {
           UNION ALL SELECT doc_id, img_id, 'vlm_data', 30000, vlm_data FROM image WHERE vlm_data <> ''
           UNION ALL SELECT doc_id, img_id, 'base64_data', 50000, 'これは画像です' FROM image WHERE base64_data <> '')""",
     ),
-    "base64_scrub": "SELECT page_id, 'a  b  c  d' AS clean FROM pages",
+    "base64_scrub": "SELECT page_id, url || '  b  ' || substring(html, 1, 200) || '  d' AS clean FROM pages",
     "image_format_sniff": """WITH s AS (SELECT page_id, ['/9j/', 'iVBORw0KGgo', 'R0lGODlh', 'UklGR', 'data:image/gif;base64,', 'zz'][page_id % 6 + 1] || page_id AS data,
         ['jpeg', 'png', 'gif', 'webp', 'jpeg', 'jpeg'][page_id % 6 + 1] AS format FROM pages)
         SELECT page_id, format, CASE WHEN data LIKE 'data:%' THEN data ELSE 'data:image/' || format || ';base64,' || data END AS uri FROM s""",
@@ -239,7 +239,7 @@ ORACLE_SQL = {
         "embedding",
         """SELECT answer_id, place, embed_id::VARCHAR AS embed_id, source, replace(replace(replace(coalesce(content, 'N/A'), '"', ''''), chr(10), ' '), chr(13), ' ') AS content
         FROM asked LEFT JOIN (SELECT doc_id || ':' || doc_id || '.txt' AS s, embed_id AS i, embed_data AS content FROM embedding) ON s = source AND i = embed_id""",
-        """asked AS (SELECT conv_id * 1000 + turn AS answer_id, 'doc_' || conv_id || ':doc_' || conv_id || '.txt' AS source, place, [10001, 10099][place + 1] AS embed_id
+        """asked AS (SELECT conv_id * 1000 + turn AS answer_id, 'doc_' || conv_id || ':doc_' || conv_id || '.txt' AS source, place, [10001 + turn % 5, 10099][place + 1] AS embed_id
           FROM conversations, (VALUES (0::BIGINT), (1)) p(place))""",
     ),
     "strip_timing_line": "SELECT conv_id, turn, md5(regexp_replace(text, '\\n$', '')) AS text_md5 FROM conversations WHERE role = 'assistant'",
@@ -251,6 +251,28 @@ ORACLE_SQL = {
     "feedback_explode": """WITH t AS (SELECT conv_id, max(CASE WHEN turn % 4 = 1 THEN text END) AS a, max(CASE WHEN turn % 4 = 3 THEN text END) AS b FROM conversations WHERE role = 'assistant' GROUP BY conv_id)
         SELECT 'query_' || conv_id AS query_id, 'm1' AS llm_name, a AS llm_answer, a AS vlm_answer, '8' AS ragas_evaluation_result FROM t WHERE a IS NOT NULL
         UNION ALL SELECT 'query_' || conv_id, 'm2', b, b, '6' FROM t WHERE b IS NOT NULL""",
+    "result_capture": """WITH t AS (SELECT conv_id, max(CASE WHEN turn = 0 THEN text END) AS q, max(CASE WHEN turn = 1 THEN text END) AS a, max(CASE WHEN turn = 3 THEN text END) AS b
+          FROM conversations GROUP BY conv_id),
+        kept AS (SELECT * FROM t WHERE conv_id % 5 <> 0 AND coalesce(q, '') <> ''),
+        feedback AS (SELECT conv_id, 'm1' AS llm_name, md5(a) AS answer_md5 FROM kept WHERE a IS NOT NULL UNION ALL SELECT conv_id, 'm2', md5(b) FROM kept WHERE b IS NOT NULL)
+        SELECT 'query_' || k.conv_id AS query_id, md5(q) AS query_md5, NULL::VARCHAR AS standard_answer, 'select ' || k.conv_id AS sql, llm_name, answer_md5,
+          CASE WHEN llm_name IS NOT NULL THEN '' END AS ragas_evaluation_result FROM kept k LEFT JOIN feedback f USING (conv_id)""",
+    "judge_marks": """WITH m AS (SELECT conv_id, turn, (conv_id % 12)::DOUBLE AS correctness, (turn % 11)::DOUBLE AS completeness, ((conv_id + turn) % 10)::DOUBLE AS relevance,
+          (turn % 3)::DOUBLE + 0.5 AS clarity FROM conversations)
+        SELECT conv_id, turn, CASE WHEN correctness <= 10 THEN correctness END AS correctness, CASE WHEN correctness <= 10 THEN completeness END AS completeness,
+          CASE WHEN correctness <= 10 THEN relevance END AS relevance, CASE WHEN correctness <= 10 THEN clarity END AS clarity FROM m""",
+    "image_text_split": with_views(
+        "image",
+        """SELECT doc_id, img_id, k AS pos, substring(t, k * 231 + 1, 256) AS piece
+          FROM (SELECT doc_id, img_id, t, unnest(range(CASE WHEN length(t) <= 256 THEN 1 ELSE (length(t) - 25 + 230) // 231 END)) AS k FROM texts)""",
+        "texts AS (SELECT doc_id, img_id, repeat(md5(text_data), 1 + img_id * length(text_data) % 40) AS t FROM image)",
+    ),
+    "knn_many": with_views(
+        "vectors",
+        f"""SELECT query_id, rank, vec_id, distance FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id))::INT AS rank FROM near) WHERE rank <= 10""",
+        f"""near AS (SELECT a.vec_id AS query_id, b.vec_id, {COSINE.replace("(v, q)", "(a.v, b.v)").replace("(v, v)", "(a.v, a.v)").replace("(q, q)", "(b.v, b.v)")} AS distance
+          FROM vectors a, vectors b WHERE a.vec_id % 100 = 0)""",
+    ),
     "human_feedback_update": with_views(
         "qa_feedback",
         """SELECT f.query_id, llm_name, md5(llm_answer) AS answer_md5,

@@ -102,12 +102,9 @@ class TemplateChat:
         return f"Answer to: {prompt.strip().splitlines()[-1] if prompt.strip() else ''}"
 
 
-def safe_terms(tokenizer: Tokenizer, text: str, language: str = "en", limit: int = 10) -> list[str]:
-    """No terms if the tokenizer fails: the search then goes by vectors alone."""
-    try:
-        return tokenizer.terms(text, language, limit)
-    except Exception:
-        return []
+def safe_terms(tokenizer: Tokenizer, text: str, language: str = "en", limit: int = 10, seconds: float = 5.0) -> list[str]:
+    """No terms if the tokenizer fails or takes longer than that: the search then goes by vectors alone."""
+    return in_time([lambda: tokenizer.terms(text, language, limit)], seconds, seconds)[0] or []
 
 
 def retried(call: Callable, tries: int = 3, pause: float = 10.0):

@@ -39,12 +39,19 @@ def append(rows: DataFrame, name: str) -> None:
 
 
 def replace(rows: DataFrame, name: str) -> None:
-    """New rows for a table that they may have been read from: written beside it, then renamed."""
+    """New rows for a table that they may have been read from: written beside it, then renamed; the old one comes back if that fails.
+
+    A catalog cannot take both names in one step: for tables that must never be missing see findloom.sources.snapshots.
+    """
     spark = rows.sparkSession
     aside, old = f"{name}_new_{uuid.uuid4().hex}", f"{name}_old_{uuid.uuid4().hex}"
     rows.select(*spark.table(name).columns).write.format("parquet").saveAsTable(aside)
     spark.sql(f"ALTER TABLE {name} RENAME TO {old}")
-    spark.sql(f"ALTER TABLE {aside} RENAME TO {name}")
+    try:
+        spark.sql(f"ALTER TABLE {aside} RENAME TO {name}")
+    except Exception:
+        spark.sql(f"ALTER TABLE {old} RENAME TO {name}")
+        raise
     spark.sql(f"DROP TABLE {old}")
 
 

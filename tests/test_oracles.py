@@ -12,7 +12,12 @@ def test_query_equals_sql(spark, sf_dir, same, name):
 
 
 def test_every_query_has_sql_but_the_splitter():
-    assert set(QUERIES) - set(ORACLE_SQL) == {"recursive_split"}
+    assert set(QUERIES) - set(ORACLE_SQL) == {"recursive_split", "lateral_chunks"}
+
+
+def test_the_splitter_as_a_table_function(spark, sf_dir):
+    rows = [sorted(map(tuple, QUERIES[name](spark, sf_dir).collect())) for name in ("lateral_chunks", "recursive_split")]
+    assert rows[0] == rows[1]
 
 
 def test_entry(spark):

@@ -33,6 +33,24 @@ def test_json_arrays(spark):
     assert [r.line for r in conversion.json_array_lines(docs).collect()] == [f'{{"a": 1}} {FIXED_DELIMITER}', f"2 {FIXED_DELIMITER}"]
 
 
+def test_json_items_are_written_as_they_are(spark):
+    texts = ['["a\\"b, c: d", "é\\n", null, true, 1.5, {"b": [1, {"c": "x:y,z"}], "a": {}}, [], "2"]', "[]", " [ 1 ,2 ] ", '[{"k": "\\\\"}, "\\\\"]', '"[1]"', '{"a": [1]}', "[1,", ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {}
+    for r in conversion.json_array_lines(docs).orderBy("doc_id", "pos").collect():
+        got.setdefault(r.doc_id, []).append(r.line.removesuffix(f" {FIXED_DELIMITER}"))
+    want = {k: [json.dumps(v, ensure_ascii=False) for v in json.loads(t)] for k, t in enumerate(texts[:4])}
+    assert got == {k: v for k, v in want.items() if v}
+    assert "ArrowEvalPython" not in conversion.json_array_lines(docs)._jdf.queryExecution().toString()
+
+
+def test_marks(spark):
+    answers = ["correctness: 8\ncompleteness: 7.5\nrelevance: 10/10\nclarity: 0\nGood, 3 of 4 points.", "8\n7\n6\n5", "1. 8\n", "8\n7\n6\n11", "no marks", "", None, "正確さ：9\n完全さ：8 / 10\n関連：7\n明瞭：6"]
+    rows = spark.createDataFrame(list(enumerate(answers)), "i long, answer string")
+    got = [r.m and tuple(r.m) for r in rows.select("i", evaluation.judge_marks(F.col("answer")).alias("m")).orderBy("i").collect()]
+    assert got == [(8.0, 7.5, 10.0, 0.0), (8.0, 7.0, 6.0, 5.0), None, None, None, None, None, (9.0, 8.0, 7.0, 6.0)]
+
+
 def test_duplicate_headers():
     assert office.column_names({0: "x", 1: "x"}, [0, 1, 2]) == {0: "x", 1: "x__B", 2: "column_C"}
     assert [office.column_letters(n) for n in (0, 25, 26, 701, 702)] == ["A", "Z", "AA", "ZZ", "AAA"]
@@ -58,14 +76,21 @@ def test_procedure_steps():
     assert blocks[0]["content"] == "セクション: Prepare\ncolumn_A: 1.1 | 作業項目: Copy | コマンド: cp a b\nコマンド: ls"
 
 
-def test_long_blocks_are_cut_with_their_origin():
-    block = {"source_file": "f", "content": "\n".join("line %03d" % n for n in range(200))}
-    parts = office.bounded([block], 600)
+def test_long_blocks_are_cut_with_their_origin(spark):
+    def cut(block, limit=600):
+        kind = "whole string, origin string, body string, keep boolean"
+        rows = spark.createDataFrame([tuple(office._row(block).values())], kind)
+        return [json.loads(x) for x in rows.select(office.bounded(F.struct(*rows.columns), limit)).first()[0]]
+
+    block = {"source_file": "f", "content": "\n".join(("line %03d é" if n else 'li"e %03d é') % n for n in range(200))}
+    parts = cut(block)
     assert len(parts) > 1 and all(len(office.compact(p)) <= 600 for p in parts)
     assert [p["part_index"] for p in parts] == list(range(1, len(parts) + 1)) and {p["part_count"] for p in parts} == {len(parts)}
     assert "\n".join(p["content"] for p in parts) == block["content"]
+    assert list(parts[0]) == ["source_file", "content", "part_index", "part_count"]
+    assert cut({"a": 1, "fields": {"x": 1, "y": "z" * 700}})[0] == {"a": 1, "content": "x: 1", "part_index": 1, "part_count": 2}
     row = {"block_type": "word_table_row", "fields": {"a": "x" * 999}}
-    assert office.bounded([row], 600) == [row]
+    assert cut(row) == [row]
 
 
 def test_word_blocks():
