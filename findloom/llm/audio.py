@@ -12,7 +12,7 @@ complete; with_features() then reads the file back and names it in its rows, so
 use. Files are opened through pyarrow's file systems, so the shared folder may be in any store that they reach.
 
 Features are computed for each medium on its own, in blocks of BLOCK_FRAMES frames, so that equal texts have equal
-values in any batch and a long text needs no more memory than a block.
+values in any batch. A long text takes, beside itself, its table of energies, which is as large as the text, and a block.
 
 Defined cases: null is the empty text, which is 192 spaces; a constant sound has one segment; equal rows get equal
 values; an empty table gives no rows; a medium that is no such WAV file raises ValueError.
@@ -47,19 +47,23 @@ def encoded(payload: bytes) -> bytes:
     return head + payload
 
 
-def decoded(medium: bytes) -> bytes:
-    """The samples of a mono 8-bit WAV file, chunks before them skipped."""
+def samples_of(medium: bytes) -> memoryview:
+    """The samples of a mono 8-bit WAV file, chunks before them skipped; no copy is made."""
     if medium[:4] != b"RIFF" or medium[8:12] != b"WAVE":
         raise ValueError("not a WAV file")
     at = 12
     while at + 8 <= len(medium):
         name, size = medium[at : at + 4], int.from_bytes(medium[at + 4 : at + 8], "little")
         if name == b"data":
-            return medium[at + 8 : at + 8 + size]
+            return memoryview(medium)[at + 8 : at + 8 + size]
         at += 8 + size + size % 2
     raise ValueError("no samples in the WAV file")
 
 
+def decoded(medium: bytes) -> bytes:
+    return bytes(samples_of(medium))
+
+
 def padded(text: bytes) -> bytes:
     return text + PAD * (UNIT - len(text) if len(text) < UNIT else -len(text) % UNIT)
 
@@ -88,44 +92,44 @@ def _mel_bank() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 _TAPS, _BANK, _HANN = _lowpass(), _mel_bank(), np.hanning(WINDOW).astype(np.float32)
 
 
-def resampled(samples: np.ndarray) -> np.ndarray:
-    """Polyphase: the filter is cut into UP phases, and only every DOWN-th output is computed."""
+def resampled(samples: np.ndarray, start: int = 0, end: int | None = None) -> np.ndarray:
+    """Outputs [start, end) of polyphase resampling of 8-bit samples, start a multiple of UP: the filter is cut into UP phases,
+    each of which gives every UP-th output by strides over the samples that it needs. What lies outside the sound is silence."""
     taps = len(_TAPS)
-    wide = np.concatenate((np.zeros(taps // 2, np.float32), samples, np.zeros(taps, np.float32)))
-    n = -(-len(samples) * UP // DOWN)
-    out = np.zeros(n, np.float32)
-    for phase in range(UP):
-        # Outputs m with m*DOWN % UP == phase share one set of taps.
-        places = np.arange(n)[(np.arange(n) * DOWN) % UP == phase]
-        first = places * DOWN // UP
-        for k, tap in enumerate(_TAPS[phase::UP]):
-            out[places] += tap * wide[first + k]
+    end = -(-len(samples) * UP // DOWN) if end is None else end
+    # Output m is the sum of samples m * DOWN // UP - taps // 2 and on, by the taps of phase m * DOWN % UP.
+    low, high = start * DOWN // UP - taps // 2, (end - 1) * DOWN // UP + taps + DOWN
+    inside = samples[max(low, 0) : max(high, 0)]
+    wide = np.zeros(high - low, np.float32)
+    wide[max(-low, 0) : max(-low, 0) + len(inside)] = (inside.astype(np.float32) - 128) / 128
+    out = np.zeros(end - start, np.float32)
+    for residue in range(UP):
+        own = out[residue::UP]
+        first = (start + residue) * DOWN // UP - start * DOWN // UP
+        for k, tap in enumerate(_TAPS[residue * DOWN % UP :: UP]):
+            own += tap * wide[first + k : first + k + DOWN * len(own) : DOWN][: len(own)]
     return out
 
 
-def _decimated(samples: np.ndarray) -> np.ndarray:
-    """resampled() for UP = 1, by strides."""
-    taps = len(_TAPS)
-    n = -(-len(samples) // DOWN)
-    wide = np.concatenate((np.zeros(taps // 2, np.float32), samples, np.zeros(taps + DOWN, np.float32)))
-    out = np.zeros(n, np.float32)
-    for k, tap in enumerate(_TAPS):
-        out += tap * wide[k : k + DOWN * n : DOWN]
-    return out
-
+def log_mel(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(frames x BANDS log filterbank energies of overlapped windows, mean of each frame) of 8-bit samples, a block of frames at a time.
 
-def log_mel(sound: np.ndarray) -> np.ndarray:
-    """(frames x BANDS) log filterbank energies of overlapped windows."""
-    if len(sound) < WINDOW:
-        sound = np.concatenate((sound, np.zeros(WINDOW - len(sound), np.float32)))
-    frames = np.lib.stride_tricks.sliding_window_view(sound, WINDOW)[::HOP]
-    out = np.empty((len(frames), BANDS), np.float32)
+    The table of energies has a number for each 4 samples; nothing else grows with the sound but a number a frame.
+    """
+    n = -(-len(samples) * UP // DOWN)
+    frames = max(1, (n - WINDOW) // HOP + 1)
+    out, energy = np.empty((frames, BANDS), np.float32), np.empty(frames)
     _, rise, fall = _BANK
-    for at in range(0, len(frames), BLOCK_FRAMES):
-        spectrum = np.fft.rfft(frames[at : at + BLOCK_FRAMES] * _HANN, FFT)
+    for at in range(0, frames, BLOCK_FRAMES):
+        upto = min(at + BLOCK_FRAMES, frames)
+        sound = resampled(samples, at * HOP, min((upto - 1) * HOP + WINDOW, n))
+        if len(sound) < WINDOW:
+            sound = np.concatenate((sound, np.zeros(WINDOW - len(sound), np.float32)))
+        spectrum = np.fft.rfft(np.lib.stride_tricks.sliding_window_view(sound, WINDOW)[::HOP] * _HANN, FFT)
         power = spectrum.real.astype(np.float64) ** 2 + spectrum.imag.astype(np.float64) ** 2
-        out[at : at + BLOCK_FRAMES] = np.log(_by_stretch(power * rise)[:, :-1] + _by_stretch(power * fall)[:, 1:] + 1e-6)
-    return out
+        out[at:upto] = np.log(_by_stretch(power * rise)[:, :-1] + _by_stretch(power * fall)[:, 1:] + 1e-6)
+        energy[at:upto] = out[at:upto].mean(axis=1, dtype=np.float64)
+    return out, energy
 
 
 def _by_stretch(bins: np.ndarray) -> np.ndarray:
@@ -150,16 +154,30 @@ def segmented(energy: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(np.flatnonzero(edge == 1).tolist(), np.flatnonzero(edge == -1).tolist()))
 
 
+def _step_means(mel: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Mean of mel[start:end] for each step of each segment; segments lie one after another."""
+    out = np.empty((*start.shape, BANDS), np.float32)
+    at = 0
+    while at < len(start):
+        # As many segments as lie in a few blocks of frames; a longer one is summed step by step.
+        upto = max(at + 1, int(np.searchsorted(end[:, -1], start[at, 0] + 4 * BLOCK_FRAMES, "right")))
+        low, high = start[at, 0], end[upto - 1, -1]
+        if high - low <= 4 * BLOCK_FRAMES:
+            sums = np.concatenate((np.zeros((1, BANDS)), np.cumsum(mel[low:high], axis=0, dtype=np.float64)))
+            out[at:upto] = (sums[end[at:upto] - low] - sums[start[at:upto] - low]) / (end[at:upto] - start[at:upto])[..., None]
+        else:
+            out[at] = [mel[a:b].mean(axis=0, dtype=np.float64) for a, b in zip(start[at], end[at])]
+        at = upto
+    return out
+
+
 def features(medium: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(segments x STEPS x BANDS tensor, segments x 2 time spans in seconds) of a stored medium."""
-    samples = (np.frombuffer(decoded(medium), np.uint8).astype(np.float32) - 128) / 128
-    mel = log_mel(_decimated(samples) if UP == 1 else resampled(samples))
-    spans = segmented(mel.mean(axis=1, dtype=np.float64))
+    mel, energy = log_mel(np.frombuffer(samples_of(medium), np.uint8))
+    spans = segmented(energy)
     bounds = np.array([np.linspace(a, b, STEPS + 1).astype(np.int64) for a, b in spans]) if spans else np.zeros((0, STEPS + 1), np.int64)
-    sums = np.concatenate((np.zeros((1, BANDS)), np.cumsum(mel, axis=0, dtype=np.float64)))
     start, end = bounds[:, :-1], np.minimum(np.maximum(bounds[:, 1:], bounds[:, :-1] + 1), len(mel))
-    start = np.minimum(start, end - 1)
-    tensor = ((sums[end] - sums[start]) / (end - start)[..., None]).astype(np.float32) if spans else np.zeros((0, STEPS, BANDS), np.float32)
+    tensor = _step_means(mel, np.minimum(start, end - 1), end)
     seconds = np.array(spans, np.float64).reshape(-1, 2) * HOP * DOWN / (RATE * UP)
     return tensor, seconds
 

@@ -59,6 +59,14 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_name(stem: str, columns: list[str]) -> str:
+    """A column name that is none of `columns`, whatever a caller's table has."""
+    taken = {c.lower() for c in columns}
+    while stem.lower() in taken:
+        stem += "_"
+    return stem
+
+
 def ascii_lower(col: Column) -> Column:
     """Lower-case A-Z and nothing else (lower() would change other letters as well)."""
     return F.translate(col, string.ascii_uppercase, string.ascii_lowercase)

@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +40,8 @@ Q = 8
 EDIT_SHARE = 0.1
 BLOCK_BYTES = 8 << 20
 PIECE = 1 << 20
+#: Texts that a task holds while it goes through the blocks of items.
+GROUP_BYTES = 64 << 20
 SLOT_BITS = 20
 #: Bits of a band's number in a key (item, band); diagonals are shifted by OFFSET so that none is negative.
 BAND_KEY, OFFSET = 40, 1 << 36
@@ -248,6 +251,30 @@ def _stored(benchmark: DataFrame) -> str:
     return folder
 
 
+def _searched(batches: Iterator[pa.RecordBatch], blocks: Blocks, look: Callable, empty: Callable) -> Iterator[tuple[pa.RecordBatch, list | set]]:
+    """(batch, what look(items, batch, found so far) has found over all blocks of items) of each batch.
+
+    Batches are held up to GROUP_BYTES, so that a block's index is made once for all of them.
+    """
+
+    def done(group):
+        found = [empty() for _ in group]
+        for items in blocks:
+            for k, batch in enumerate(group):
+                new = look(items, batch, found[k])
+                found[k] = found[k] | new if empty is set else found[k] + new
+        yield from zip(group, found)
+
+    group, size = [], 0
+    for batch in batches:
+        group.append(batch)
+        size += batch.nbytes
+        if size >= GROUP_BYTES:
+            yield from done(group)
+            group, size = [], 0
+    yield from done(group)
+
+
 class Blocks:
     """The item files of a folder, an index of one at a time; that of a single file is kept."""
 
@@ -275,16 +302,9 @@ def find_passages(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_SHA
     item_type = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[item_kind]
 
     def run(batches):
-        blocks = Blocks(folder, share)
-        for batch in batches:
-            rows, found = [], []
-            for items in blocks:
-                for row, text in enumerate(batch.column(1)):
-                    own = items.regions(text.as_py())
-                    rows += [row] * len(own)
-                    found += own
-            columns = [batch.column(0).take(pa.array(rows, pa.int64())), pa.array([f[0] for f in found], item_type)]
-            columns += [pa.array([f[k] for f in found], pa.int64()) for k in (1, 2, 3)]
+        for own, found in _searched(batches, Blocks(folder, share), lambda items, batch, _: [(row, f) for row, text in enumerate(batch.column(1)) for f in items.regions(text.as_py())], list):
+            columns = [own.column(0).take(pa.array([r for r, _ in found], pa.int64())), pa.array([f[0] for _, f in found], item_type)]
+            columns += [pa.array([f[k] for _, f in found], pa.int64()) for k in (1, 2, 3)]
             yield pa.RecordBatch.from_arrays(columns, ["doc_id", "item_id", "start", "end", "edits"])
 
     return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {doc_kind}, item_id {item_kind}, start long, end long, edits long")
@@ -296,12 +316,7 @@ def without_passages(docs: DataFrame, benchmark: DataFrame, share: float = EDIT_
     folder = _stored(benchmark)
 
     def run(batches):
-        blocks = Blocks(folder, share)
-        for batch in batches:
-            clean = np.ones(batch.num_rows, bool)
-            for items in blocks:
-                for row in np.flatnonzero(clean).tolist():
-                    clean[row] = not items.holds(batch.column(at)[row].as_py())
-            yield batch.filter(pa.array(clean))
+        for own, held in _searched(batches, Blocks(folder, share), lambda items, batch, held: {row for row in range(batch.num_rows) if row not in held and items.holds(batch.column(at)[row].as_py())}, set):
+            yield own.filter(pa.array([row not in held for row in range(own.num_rows)], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)

@@ -7,30 +7,37 @@ context of the document. Main blocks are joined in page order.
 
 The labeller is trained here, on pages that `synthetic_page` makes: many layouts, names and languages' worth of words,
 with menus, headers, footers, sidebars, notices, adverts, forms and comments around and inside articles. Training is
-seeded and takes a few seconds; the weights (under 1 MB whatever the corpus) are shipped with the tasks.
+seeded and takes a minute; the weights (under 1 MB whatever the corpus) are kept in the shared folder under a name made of the
+code that trains them, read by every later session, and shipped with the tasks.
 
 A page is scanned in one pass whose time is linear in its length, however its tags and quotes are broken. Of very deep
 nesting a block's path keeps the OUTER outermost and INNER innermost elements.
 
 Defined cases: a null or empty html, and one without main text, gives an empty text; scripts, styles, templates and
-comments never are blocks; unclosed and stray tags are tolerated (a tag whose quotes do not close ends at its first ">"); equal pages get equal texts; nothing is cut off,
+comments never are blocks; what stands outside of all elements is main text where a page has nothing else; unclosed and stray tags are tolerated (a tag whose quotes do not close ends at its first ">"); equal pages get equal texts; nothing is cut off,
 however long; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
+import io
 import random
 import re
+import uuid
 import zlib
 from collections import Counter
 from functools import cache, lru_cache
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.fs as pafs
+from pyspark.sql import DataFrame, SparkSession
 
 from findloom.llm import words as W
+from findloom.llm.common import shared_dir
 
 #: HTML elements by how they cut text.
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr br picture source".split())
@@ -554,6 +561,27 @@ def labeller(pages: int = 3000, seed: int = 5) -> Labeller:
     return model
 
 
+def kept_labeller(spark: SparkSession) -> Labeller:
+    """labeller() from the shared folder, trained and put there if this code's is not there yet."""
+    code = b"".join(Path(f).read_bytes() for f in (__file__, W.__file__))
+    store, root = pafs.FileSystem.from_uri(f"{shared_dir(spark)}/findloom-models")
+    path = f"{root}/labeller-{hashlib.sha256(code).hexdigest()[:24]}.npz"
+    if store.get_file_info(path).type == pafs.FileType.File:
+        model = Labeller()
+        with store.open_input_file(path) as f, np.load(io.BytesIO(f.read())) as held:
+            model.p = dict(held)
+        return model
+    model, packed = labeller(), io.BytesIO()
+    np.savez_compressed(packed, **model.p)
+    store.create_dir(root, recursive=True)
+    # Moved into place whole: two sessions that train at once leave the same weights.
+    aside = f"{path}.{uuid.uuid4().hex}"
+    with store.open_output_stream(aside, compression=None) as out:
+        out.write(packed.getvalue())
+    store.move(aside, path)
+    return model
+
+
 def main_texts(pages: list[str | None], model: Labeller) -> list[str]:
     """The main text of each page. Sequences of like length are run together."""
     cut = [blocks_of(p) if p else [] for p in pages]
@@ -571,7 +599,8 @@ def main_texts(pages: list[str | None], model: Labeller) -> list[str]:
         for k in part:
             own = scores[first : first + len(cut[k])]
             first += len(cut[k])
-            out[k] = "\n\n".join(t for (_, t, _), s in zip(cut[k], own) if s > 0.5)
+            bare = not any(path for path, _, _ in cut[k])
+            out[k] = "\n\n".join(t for (_, t, _), s in zip(cut[k], own) if bare or s > 0.5)
         at = end
     return out
 
@@ -579,7 +608,7 @@ def main_texts(pages: list[str | None], model: Labeller) -> list[str]:
 def extract(pages: DataFrame) -> DataFrame:
     """pages(page_id, url, html) -> page_id, url, text, n_chars."""
     kind = pages.schema["page_id"].dataType.simpleString()
-    model = labeller()
+    model = kept_labeller(pages.sparkSession)
 
     def run(batches):
         for batch in batches:

@@ -12,7 +12,8 @@ them, rarest first; with an overlap of t wanted out of |T| words,
   positional filter  with the first common word at i in the template and j in the block, at most
                    1 + min(|T|-1-i, |B|-1-j) words can be common, which must reach t;
 
-and what is left is verified exactly. All three filters are lossless, and so is cutting no blocks from a document that
+and what is left is verified exactly: the share, and the key words of the notice (KEYS), since rival notices differ in a word
+or two, which a share allows for. All three filters are lossless, and so is cutting no blocks from a document that
 holds too few of every template's words. The prefixes (a row for each prefix word of each template, so bounded by the
 templates) are broadcast: no word of the corpus is shuffled. Besides, fixed phrases are located by word.
 
@@ -42,12 +43,25 @@ TEMPLATES = {
     "cc-by-nc": "Licensed under CC BY-NC 4.0",
     "cc-by-sa": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License",
     "cc0": "To the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
+    "cc-by-4.0": "Licensed under CC BY 4.0",
+    "gpl-2.0": "This work is licensed under the GNU General Public License, version 2",
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3",
     "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
     "mit": "Released under the MIT License",
     "mit-text": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
 }
+#: What tells a notice from its rivals: these words must stand in the block, and one after another somewhere in the text.
+KEYS = {
+    "apache-2.0": "apache license",
+    "cc-by-4.0": "by 4 0",
+    "cc-by-nc": "by nc",
+    "cc-by-sa": "attribution sharealike",
+    "gpl-2.0": "version 2",
+    "gpl-3.0": "version 3",
+    "mit": "mit license",
+    "mpl-2.0": "mozilla public license",
+}
 THRESHOLD = 0.8
 #: Words of the runs that blocks are sure to hold; a template of more words than the last is looked for in its blocks all the same.
 SPANS = (16, 64)
@@ -62,6 +76,11 @@ def wanted(n: int, threshold: float = THRESHOLD) -> int:
     return max(1, math.ceil(round(threshold * n, 9)))
 
 
+def key_pattern(key: str) -> str:
+    """Matches the key's words one after another in a lower-cased text, whatever stands between them."""
+    return rf"(?:^|{GAP}){GAP.join(key.split())}(?:$|{GAP})"
+
+
 def _places(words: Column, phrase: str) -> Column:
     """Starts of the phrase in an array of words."""
     parts = phrase.split(" ")
@@ -87,7 +106,7 @@ def _blocks(words: Column, known: Column, span: int) -> Column:
     return F.transform(F.sequence(F.lit(0), last), lambda k: F.struct(F.lit(span).alias("span"), (k * span).alias("block"), own(k).alias("words")))
 
 
-def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
+def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold: float = THRESHOLD, keys=KEYS) -> DataFrame:
     """docs(doc_id, text) -> doc_id, n_words, n_base, first_word, last_word, base_labels, matched (array of label, block, containment)."""
     sets = template_words(templates)
     spans = {label: span_of(text) for label, text in templates.items()}
@@ -99,15 +118,20 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold: float
         "doc_id",
         F.monotonically_increasing_id().alias("row"),
         text.rlike("(?i)" + "|".join(GAP.join(p.split(" ")) for p in phrases)).alias("maybe"),
+        text.alias("text"),
         F.array_remove(F.split(ascii_lower(text), GAP), "").alias("words"),
     )
     cut = cut.withColumn("held", F.array_intersect("words", known))
     hits = F.flatten(F.array(*(_labelled(_places(F.col("words"), p), label) for p, label in phrases.items())))
     # Which spans are worth cutting: a block holds no template that its whole document does not.
-    fits = {span: F.lit(False) for span in SPANS}
+    fits, open_ = {span: F.lit(False) for span in SPANS}, []
     for label, own in sets.items():
         enough = F.size(F.array_intersect("held", F.array(*map(F.lit, own)))) >= wanted(len(own), threshold)
+        if label in keys:
+            # Looked for only where the words are.
+            enough = F.when(enough, ascii_lower(F.col("text")).rlike(key_pattern(keys[label]))).otherwise(False)
         fits[spans[label]] = fits[spans[label]] | enough
+        open_.append(F.when(enough, label))
     blocks = F.concat(*(F.coalesce(F.when(fit, _blocks(F.col("words"), known, span)), F.array().cast("array<struct<span:int,block:int,words:array<string>>>")) for span, fit in fits.items()))
     base = cut.select(
         "doc_id",
@@ -115,6 +139,7 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold: float
         F.size("words").cast("long").alias("n_words"),
         F.when(F.col("maybe"), hits).alias("hits"),
         "held",
+        F.array_compact(F.array(*open_)).alias("open"),
         F.filter(blocks, lambda b: F.size(b["words"]) >= least).alias("blocks"),
     )
     base = written(base, "license")
@@ -128,16 +153,18 @@ def scan(docs: DataFrame, phrases=PHRASES, templates=TEMPLATES, threshold: float
     prefixes = []
     for label, own in sets.items():
         ranks, t = sorted(order[w] for w in own), wanted(len(own), threshold)
-        prefixes += [(spans[label], r, label, i, t, ranks) for i, r in enumerate(ranks[: len(ranks) - t + 1])]
+        must = [order[w] for w in keys.get(label, "").split()]
+        prefixes += [(spans[label], r, label, i, t, ranks, must) for i, r in enumerate(ranks[: len(ranks) - t + 1])]
     # A row for each prefix word of each template: bounded by the templates.
-    postings = F.broadcast(spark.createDataFrame(prefixes, "span int, rank int, label string, at int, t int, ranks array<int>"))
+    postings = F.broadcast(spark.createDataFrame(prefixes, "span int, rank int, label string, at int, t int, ranks array<int>, must array<int>"))
 
     ranked = F.array_sort(F.transform("b.words", lambda w: F.element_at(rank, w)))
-    held = base.where(F.size("blocks") > 0).select("row", F.explode("blocks").alias("b")).select("row", "b.span", "b.block", ranked.alias("own"))
+    held = base.where(F.size("blocks") > 0).select("row", "open", F.explode("blocks").alias("b")).select("row", "open", "b.span", "b.block", ranked.alias("own"))
     first = F.array(*map(F.lit, sorted({p[1] for p in prefixes})))
-    probe = held.select("row", "span", "block", "own", F.explode(F.array_intersect("own", first)).alias("rank"))
+    probe = held.select("row", "open", "span", "block", "own", F.explode(F.array_intersect("own", first)).alias("rank"))
     candidates = (
         probe.join(postings, ["span", "rank"])
+        .where(F.array_contains("open", F.col("label")) & (F.size(F.array_except("must", "own")) == 0))
         .withColumn("j", F.array_position("own", F.col("rank")).cast("int") - 1)
         .where((F.size("own") >= F.col("t")) & (1 + F.least(F.size("ranks") - 1 - F.col("at"), F.size("own") - 1 - F.col("j")) >= F.col("t")))
         # The first common word decides; a later one of the same prefix would only give the pair again.

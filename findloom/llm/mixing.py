@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from findloom.llm.common import written
+from findloom.llm.common import free_name, written
 
 SPACES, OTHERS = r"[\x20\x09-\x0D]", r"[^\x20\x09-\x0D]"
 #: Weights of the sources in code point order, repeating.
@@ -156,15 +156,17 @@ def training_order(mixed: DataFrame, schedules=SCHEDULES) -> DataFrame:
 def training_rows(docs: DataFrame, weights=WEIGHTS, schedules=SCHEDULES, max_repeats: int = MAX_REPEATS) -> DataFrame:
     """Each use of a document with all its columns, `use`, `words` (from the text's start) and `position`, range-sorted by position.
 
-    Rows that repeat a doc_id and a text are one document here.
+    Rows that repeat a doc_id and a text are one document here. Columns of docs that have one of those three names give way.
     """
     mixed = written(mix(docs, weights, schedules, max_repeats), "mixed")
     uses = _uses(mixed, schedules)
-    whole = docs.withColumn("__own", F.xxhash64("text"))
+    given = ("use", "words", "position")
+    mine, key, own_id, *named = (free_name(f"own_{n}", docs.columns) for n in ("hash", "key", "id", *given))
+    whole = docs.withColumn(mine, F.xxhash64("text"))
     if not mixed.groupBy("doc_id", "text_key").count().where(F.col("count") > 1).isEmpty():
-        uses, whole = uses.dropDuplicates(["doc_id", "text_key", "use"]), whole.dropDuplicates(["doc_id", "__own"])
-    uses = uses.select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), *(F.col(c).alias(f"__{c}") for c in ("use", "words", "position")))
-    own = [c for c in docs.columns if c not in ("use", "words", "position")]
-    rows = whole.join(uses, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__own") == F.col("__key")))
-    rows = rows.select(*own, *(F.col(f"__{c}").alias(c) for c in ("use", "words", "position")))
+        uses, whole = uses.dropDuplicates(["doc_id", "text_key", "use"]), whole.dropDuplicates(["doc_id", mine])
+    uses = uses.select(F.col("doc_id").alias(own_id), F.col("text_key").alias(key), *(F.col(c).alias(n) for c, n in zip(given, named)))
+    own = [c for c in docs.columns if c.lower() not in given]
+    rows = whole.join(uses, F.col("doc_id").eqNullSafe(F.col(own_id)) & (F.col(mine) == F.col(key)))
+    rows = rows.select(*own, *(F.col(n).alias(c) for c, n in zip(given, named)))
     return rows.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id")

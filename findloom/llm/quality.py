@@ -38,6 +38,8 @@ WORD_BITS, GRAM_BITS = 18, 16
 REPEATS = 6
 FEATURES = (1 << WORD_BITS) + (1 << GRAM_BITS) + REPEATS
 FIT_ROWS = 8000
+#: Input splits that a counting task reads.
+SPLITS = 8
 #: Words and word pairs of the generative models.
 PAIR_BITS = 14
 DRAW_SHARE = 0.5
@@ -82,7 +84,7 @@ def labelled_sample(labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
 PLACES = FEATURES + 1 + (1 << PAIR_BITS)
 
 
-def _counts(docs: DataFrame) -> np.ndarray:
+def _counts(docs: DataFrame, splits: int) -> np.ndarray:
     """docs(text, kind) -> counts by kind (0 all, 1 fitted good, 2 fitted bad) in PLACES: documents with each feature, documents, uses of each slot."""
 
     def run(batches):
@@ -97,8 +99,9 @@ def _counts(docs: DataFrame) -> np.ndarray:
         kind, at = np.nonzero(held)
         yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(at.astype(np.int32)), pa.array(held[kind, at])], ["kind", "at", "n"])
 
-    # Each task gives up to 3 * PLACES rows, so a few large tasks for each core shuffle less than many small ones.
-    few = docs.coalesce(3 * docs.sparkSession.sparkContext.defaultParallelism)
+    # Each task gives up to 3 * PLACES rows, so larger tasks shuffle less: SPLITS of the input's splits each, where there are
+    # enough of them for every core. Their number follows the input, and a lost task repeats no more than its splits.
+    few = docs.coalesce(max(1, math.ceil(splits / SPLITS), min(splits, 3 * docs.sparkSession.sparkContext.defaultParallelism)))
     rows = few.select("text", "kind").mapInArrow(run, "kind int, at int, n long").groupBy("kind", "at").agg(F.sum("n").alias("n"))
     # At most 3 * PLACES rows, whatever the corpus.
     rows = rows.toArrow()
@@ -187,7 +190,7 @@ class Fitted:
         # fit_rows rows at most, so the broadcast is bounded.
         marks = F.broadcast(sample.select(F.col("doc_id").alias("id"), kind.alias("kind"), "good", "held_out"))
         joined = docs.select("doc_id", "text").join(marks, F.col("doc_id") == F.col("id"), "left")
-        counts = _counts(joined.select("text", F.coalesce("kind", F.lit(0)).alias("kind")))
+        counts = _counts(joined.select("text", F.coalesce("kind", F.lit(0)).alias("kind")), docs.select("doc_id", "text").rdd.getNumPartitions())
         self.slots, self.ratios = generative_ratios(counts), log_ratios(counts)
         tested = docs.select("doc_id", "text").join(marks.where("held_out"), F.col("doc_id") == F.col("id"))
         # At most fit_rows rows come to the driver.

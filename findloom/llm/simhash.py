@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from findloom.llm import words as W
-from findloom.llm.common import written
+from findloom.llm.common import free_name, written
 from findloom.llm.components import connected_components
 
 SHARD_ROWS = 2000
@@ -544,14 +544,15 @@ def kept(docs: DataFrame, n: int = 5, similarity: float = 0.8) -> DataFrame:
     Rows that share a doc_id are decided together; of those with equal texts one stays. Rows without a doc_id stay.
     """
     found = written(near_duplicates(docs, n, similarity=similarity), "groups")
-    heads = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("__rows"), F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("__head"))
-    heads = heads.where("__head = 1").select(F.col("doc_id").alias("__id"), "__rows")
-    stay = docs.join(heads, F.col("doc_id") == F.col("__id"))
-    once = stay.where("__rows = 1").select(docs.columns)
-    if heads.where("__rows > 1").isEmpty():
+    own, rows, text = (free_name(n, docs.columns) for n in ("own_id", "own_rows", "own_text"))
+    heads = found.where("doc_id is not null").groupBy(F.col("doc_id").alias(own)).agg(F.count("*").alias(rows), F.max((F.col("doc_id") == F.col("component_id")).cast("int")).alias("head"))
+    heads = heads.where("head = 1").select(own, rows)
+    stay = docs.join(heads, F.col("doc_id") == F.col(own))
+    once = stay.where(F.col(rows) == 1).select(docs.columns)
+    if heads.where(F.col(rows) > 1).isEmpty():
         out = once
     else:
-        again = stay.where("__rows > 1").withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"])
+        again = stay.where(F.col(rows) > 1).withColumn(text, F.xxhash64("text")).dropDuplicates(["doc_id", text])
         out = once.unionByName(again.select(docs.columns))
     lone = docs.where("doc_id is null")
     return out.unionByName(lone)

@@ -50,7 +50,11 @@ def op1_sql() -> str:
 def op3_sql() -> str:
     sets = license_scan.template_words()
     quote = lambda ws: "[" + ", ".join(f"'{w}'" for w in ws) + "]"
-    templates = ", ".join(f"('{label}', {quote(ws)}, {license_scan.wanted(len(ws))}, {license_scan.span_of(license_scan.TEMPLATES[label])})" for label, ws in sets.items())
+    templates = ", ".join(
+        f"('{label}', {quote(ws)}, {license_scan.wanted(len(ws))}, {license_scan.span_of(license_scan.TEMPLATES[label])}, {quote(license_scan.KEYS.get(label, '').split())}::VARCHAR[])"
+        for label, ws in sets.items()
+    )
+    keyed = " ".join(f"WHEN label = '{label}' THEN regexp_matches(t, '{license_scan.key_pattern(key)}')" for label, key in license_scan.KEYS.items())
     spans = ", ".join(f"({s})" for s in license_scan.SPANS)
     places = []
     for phrase, label in license_scan.PHRASES.items():
@@ -61,13 +65,14 @@ def op3_sql() -> str:
     WITH d AS (SELECT row_number() OVER () AS row, doc_id, translate(coalesce(text, ''), '{UPPER}', '{LOWER}') AS t FROM documents),
     worded AS (SELECT row, doc_id, regexp_extract_all(t, '{word}') AS w FROM d),
     based AS (SELECT row, doc_id, len(w)::BIGINT AS n_words, list_concat({", ".join(places)}) AS hits FROM worded),
-    templates(label, ws, wanted, span) AS (VALUES {templates}),
+    templates(label, ws, wanted, span, keys) AS (VALUES {templates}),
     spans(span) AS (VALUES {spans}),
+    open AS (SELECT row, label FROM d, templates WHERE CASE {keyed} ELSE true END),
     cut AS (SELECT row, span, w, unnest(range(greatest(1, ceil(len(w) / span)::BIGINT - 1))) AS k FROM worded, spans),
     blocks AS (SELECT row, span, list_distinct(w[k * span + 1 : (k + 2) * span]) AS b FROM cut),
     met AS (
       SELECT row, label, max(len(list_intersect(b, ws)) / len(ws)) AS containment
-      FROM blocks JOIN templates USING (span) WHERE len(list_intersect(b, ws)) >= wanted GROUP BY row, label),
+      FROM blocks JOIN templates USING (span) JOIN open USING (row, label) WHERE len(list_intersect(b, ws)) >= wanted AND list_has_all(b, keys) GROUP BY row, label),
     found AS (SELECT row, list(label) AS labels, max(containment) AS best FROM met GROUP BY row)
     SELECT doc_id, n_words, len(hits)::BIGINT AS n_base,
       list_min(list_transform(hits, lambda h: h.at))::BIGINT AS first_word, list_max(list_transform(hits, lambda h: h.at))::BIGINT AS last_word,
@@ -110,8 +115,7 @@ def op9_sql() -> str:
         rules.append(f"WHEN (host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}') THEN {{'rule': '{host}{path}', 'verdict': '{verdict}'}}")
     host = f"translate(coalesce(regexp_extract({{}}, '^(?:.|\\n)*?://([^/?#]*)', 1), ''), '{UPPER}', '{LOWER}')"
     path = "coalesce(regexp_extract({}, '^(?:.|\\n)*?://[^/?#]*([^?#]*)', 1), '')"
-    node = f"""CASE WHEN {host} <> '' THEN {host} || regexp_replace({path}, '/+$', '') || coalesce('?' || nullif(array_to_string(list_filter(
-      string_split(regexp_extract({{}}, '^[^#?]*\\?([^#]*)', 1), '&'), lambda p: p <> '' AND NOT regexp_matches(p, '^(utm_\\w+|ref|fbclid|gclid)(=|$)')), '&'), ''), '') END"""
+    node = f"""CASE WHEN {host} <> '' THEN {host} || coalesce(nullif({path}, ''), '/') || regexp_extract({{}}, '^[^#?]*(\\?[^#]*)?', 1) END"""
     tag = r"""(?is)<(?:link\b[^>]*\brel\s*=\s*["'']?canonical\b[^>]*|meta\b[^>]*\bhttp-equiv\s*=\s*["'']?refresh\b[^>]*)>"""
     link = r"""regexp_extract(tag, '(?is)(?:\bhref\s*=\s*["'']?|\burl\s*=\s*["'']?)([^"''>\s]+)', 1)"""
     full = f"""CASE WHEN regexp_matches(target, '^[A-Za-z][\\w+.-]*://') THEN target WHEN starts_with(target, '//') THEN scheme || ':' || target

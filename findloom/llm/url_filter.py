@@ -9,6 +9,8 @@ A url that an explicit allow rule fits stays allowed, whatever its aliases are.
 Links are read as a browser reads them: comments, scripts, styles and templates are passed over, character references
 of ASCII characters in an attribute are decoded, and dot segments of a target's path are resolved.
 
+An html of any length is read whole. Two pages are aliases only by links, or if their urls differ in scheme and fragment alone.
+
 Defined cases: a null url, or one without "://", has empty host and path, no rule, and is its own class
 (verdict allow). A null html has no links. Repeated rows each get a verdict. An empty table gives no rows.
 """
@@ -40,12 +42,12 @@ def path_of(url: Column) -> Column:
 
 
 def normalised(url: Column) -> Column:
-    """Scheme, fragment, tracking parameters and a trailing slash do not make another page; null without a host."""
-    query = F.regexp_extract(url, r"(?s)^[^#?]*\?([^#]*)", 1)
-    kept = F.array_join(F.filter(F.split(query, "&"), lambda p: (p != "") & ~p.rlike(r"^(utm_\w+|ref|fbclid|gclid)(=|$)")), "&")
-    node = F.concat(
-        host_of(url), F.regexp_replace(path_of(url), r"/+$", ""), F.when(kept != "", F.concat(F.lit("?"), kept)).otherwise("")
-    )
+    """Host, path and query: a fragment names no other page, nor does the scheme here, and an empty path is `/`; null without a host.
+
+    Whatever else may differ between urls of one page, a trailing slash or a parameter, makes two nodes: only a link joins them.
+    """
+    path = path_of(url)
+    node = F.concat(host_of(url), F.when(path == "", "/").otherwise(path), F.regexp_extract(url, r"(?s)^[^#?]*(\?[^#]*)?", 1))
     return F.when(host_of(url) != "", node)
 
 

@@ -152,6 +152,28 @@ class TestDecontamination:
         assert decontam.without_passages(docs, bench).count() == 0
 
 
+    def test_an_index_a_block_for_all_batches(self, monkeypatch):
+        """Three blocks of items and eight batches: three indexes."""
+        made = []
+
+        class Own:
+            def __iter__(self):
+                for k in range(3):
+                    made.append(k)
+                    yield k
+
+        batches = [pa.RecordBatch.from_pydict({"doc_id": [k], "text": [f"{k % 3}"]}) for k in range(8)]
+        look = lambda items, batch, _: [(0, items)] if batch.column(1)[0].as_py() == str(items) else []
+        got = [(b.column(0)[0].as_py(), found) for b, found in decontam._searched(iter(batches), Own(), look, list)]
+        assert got == [(k, [(0, k % 3)]) for k in range(8)]
+        assert made == [0, 1, 2]
+        made.clear()
+        monkeypatch.setattr(decontam, "GROUP_BYTES", 1)
+        assert len(list(decontam._searched(iter(batches), Own(), look, list))) == 8
+        # The last, empty group asks once more.
+        assert len(made) == 3 * 9
+
+
 class TestQuality:
     @pytest.fixture
     def tables(self, spark):
@@ -504,6 +526,21 @@ class TestPipeline:
         rows = corpus_pipeline.run(spark, sf_dir).collect()
         assert rows and [r.position for r in rows] == sorted(r.position for r in rows)
 
+    def test_columns_that_might_clash(self, spark, sf_dir):
+        names = ["__id", "__rows", "__text", "__own", "__key", "__use", "own_id", "own_rows", "own_text", "own_key", "own_hash", "own_use", "head", "Words", "position", "id", "kind", "fp", "component_id"]
+        docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+        docs = docs.unionByName(docs.limit(20)).select("*", *(F.lit(k).alias(n) for k, n in enumerate(names)))
+        columns = docs.columns
+        for name, stage in corpus_pipeline.STAGES:
+            docs = stage(spark, docs, sf_dir)
+            first = docs.first()
+            assert first is not None, name
+            if name != "mixing":
+                assert docs.columns == columns
+        given = [c for c in columns if c not in ("Words", "position")]
+        assert docs.columns == [*given, "use", "words", "position"]
+        assert [first[n] for n in names[:13]] == list(range(13))
+
     def test_odd_documents_pass_every_stage(self, spark, sf_dir):
         schema = "doc_id long, text string, lang string, source string, n_chars long, label string"
         rows = [(1, None, None, None, None, "x"), (2, "", "en", "s", 0, "x"), (None, "some words here", "en", None, 15, "x"), (3, "w " * 50_000, "en", "s", 100_000, "x"), (3, "w " * 50_000, "en", "s", 100_000, "x")]

@@ -190,9 +190,38 @@ class TestAudio:
         assert audio.segmented(np.array([0, 0, 9, 5, 5, 0, 0, 5, 5, 0, 9.0])) == [(2, 5), (10, 11)]
         assert audio.segmented(np.ones(4)) == [(0, 4)]
 
-    def test_resampling_by_strides_equals_polyphase(self):
-        x = np.random.default_rng(0).random(999).astype(np.float32)
-        assert np.allclose(audio.resampled(x), audio._decimated(x))
+    @pytest.mark.parametrize(("up", "down"), [(1, 2), (2, 3), (3, 2), (4, 5)])
+    def test_polyphase_against_a_plain_filter(self, monkeypatch, up, down):
+        """Zeros put between samples, one filter over all, every down-th output kept."""
+        monkeypatch.setattr(audio, "UP", up)
+        monkeypatch.setattr(audio, "DOWN", down)
+        raw = np.random.default_rng(0).integers(0, 256, 997).astype(np.uint8)
+        x, taps = (raw.astype(float) - 128) / 128, audio._TAPS.astype(float)
+        n = -(-len(x) * up // down)
+        want = []
+        for m in range(n):
+            phase = taps[m * down % up :: up]
+            at = m * down // up - len(taps) // 2 + np.arange(len(phase))
+            inside = (at >= 0) & (at < len(x))
+            want.append((phase[inside] * x[at[inside]]).sum())
+        assert np.allclose(audio.resampled(raw), want, atol=1e-5)
+        whole = audio.resampled(raw)
+        for start, end in ((0, 60), (60, 61), (120, n)):
+            assert np.array_equal(audio.resampled(raw, start, end), whole[start:end])
+
+    def test_a_long_sound_takes_its_table_and_a_block(self):
+        import tracemalloc
+
+        sound = np.random.default_rng(1).integers(97, 122, 24_000_000).astype(np.uint8)
+        sound[6_000_000:18_000_000] = 32  # a long quiet stretch
+        medium = audio.encoded(sound.tobytes())
+        tracemalloc.start()
+        tensor, spans = audio.features(medium)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert len(tensor) == len(spans) > 1
+        # The spectra of a block of frames are some 30 MB, for a sound of any length.
+        assert peak < len(medium) + 40_000_000
 
     def test_features_against_a_plain_version(self):
         """Convolution, a filter at a time and a loop over frames, for the tensors and spans of a sound of two tones."""
