@@ -1,6 +1,6 @@
 """Text search by posting lists: an inverted index over chunks, and a top-k that passes over blocks of chunks.
 
-Chunks are dealt by hash into blocks of about BLOCK. For each term and block there is a row with the postings (chunk and
+Chunks are dealt by hash into blocks of about BLOCK, neighbours of a document together. For each term and block there is a row with the postings (chunk and
 number of hits) and the largest number of hits among them. Rows lie in shelves by hash of the term and are sorted by term,
 so a search reads the files of its terms' shelves, within them the row groups of its terms, and never a text.
 
@@ -13,14 +13,14 @@ An index grows by segments: each has a number, and chunks that were deleted or r
 number of the segment from which on they count again (findloom.streaming.index_upkeep).
 
 Defined cases: null and blank texts have no postings; a query without valid terms finds nothing; terms count once however
-often a query names them; ties go by document and chunk id; chunks that repeat a (doc_id, embed_id) in one segment count as one.
+often a query names them; ties go by document and chunk id. The first segment is of a table whose keys do not repeat.
 """
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -41,16 +41,25 @@ def layouts(shelves: int) -> dict[str, Layout]:
     return {"postings": Layout(POSTINGS, ("term", "segment", "block"), shelves), "gone": Layout(GONE)}
 
 
-def indexed(chunks: DataFrame, segment: int, n_chunks: int, block: int = BLOCK) -> DataFrame:
-    """chunks(doc_id, embed_id, embed_data), about n_chunks of them -> rows of POSTINGS."""
-    blocks = max(1, math.ceil(n_chunks / block))
-    held = chunks.select(*KEYS, F.pmod(F.xxhash64(*KEYS), F.lit(blocks)).alias("block"), F.explode(tokens(F.col("embed_data"))).alias("term"))
-    # Partial counts are made where the chunk is read; a term that a third of all chunks hold has a row a block.
-    hits = held.groupBy("term", "block", *KEYS).agg(F.count("*").cast("int").alias("hits"))
+def block_of(blocks: int, run: int = BLOCK) -> Column:
+    """The block of a chunk: runs of a document's chunks stay together, a document of very many is spread."""
+    return F.pmod(F.xxhash64("doc_id", F.floor(F.col("embed_id") / F.lit(run))), F.lit(blocks))
+
+
+def in_lists(hits: DataFrame, segment: int) -> DataFrame:
+    """hits(term, block, doc_id, embed_id, hits) -> rows of POSTINGS. A term that a third of all chunks hold has a row a block."""
     lists = hits.groupBy("term", "block").agg(F.max("hits").alias("most"), F.collect_list(F.struct(*KEYS, "hits")).alias("postings"))
     return lists.select("term", F.lit(segment).cast("long").alias("segment"), "block", "most", "postings")
 
 
+def indexed(chunks: DataFrame, segment: int, n_chunks: int, block: int = BLOCK) -> DataFrame:
+    """chunks(doc_id, embed_id, embed_data), about n_chunks of them -> rows of POSTINGS."""
+    words = chunks.select(*KEYS, block_of(max(1, math.ceil(n_chunks / block))).alias("block"), tokens(F.col("embed_data")).alias("words"))
+    # A chunk's hits are counted where it is read, so that one shuffle makes the lists.
+    held = words.select(*KEYS, "block", "words", F.explode(F.array_distinct("words")).alias("term"))
+    return in_lists(held.select("term", "block", *KEYS, (F.size("words") - F.size(F.array_remove("words", F.col("term")))).alias("hits")), segment)
+
+
 def of_terms(postings: DataFrame, terms: list[str], layout: Layout) -> DataFrame:
     """The rows of some terms: their shelves and row groups only."""
     if not terms:

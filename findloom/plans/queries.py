@@ -24,7 +24,7 @@ NEAR = 0.95
 
 
 def _ids_and(spark, d, ids=None):
-    return store.of_views(spark, d).chunks(), views.query_vectors(spark, d, ids or QUERY_IDS[:1])
+    return store.chunks_of_views(spark, d).read("embedding"), views.query_vectors(spark, d, ids or QUERY_IDS[:1])
 
 
 def doc_list(spark: SparkSession, d: str) -> DataFrame:
@@ -109,8 +109,8 @@ def first_chunk_extend(spark: SparkSession, d: str) -> DataFrame:
 def _search(spark: SparkSession, d: str, **more) -> DataFrame:
     request = SearchRequest(vectors=[[0.0]], terms=TERMS, threshold=NEAR, extend_around=2, **more)
     queries = views.query_vectors(spark, d, QUERY_IDS).withColumn("qid", F.when(F.col("qid") == 7, 0).otherwise(F.col("qid")))
-    own = store.of_views(spark, d)
-    return search.search(own.chunks(), views.collection(spark, d), request, queries, index=own.index)
+    index = store.index_of_views(spark, d) if request.text_search else None
+    return search.search(store.chunks_of_views(spark, d).read("embedding"), views.collection(spark, d), request, queries, index=index)
 
 
 def hybrid_search_flagship(spark: SparkSession, d: str) -> DataFrame:
@@ -193,12 +193,12 @@ def result_numbering(spark: SparkSession, d: str) -> DataFrame:
 
 def text_search_accum(spark: SparkSession, d: str) -> DataFrame:
     """The chunks with most terms, by the index."""
-    return store.of_views(spark, d).index.top({0: TERMS}, 20).select("doc_id", "embed_id", "n_terms", "hits")
+    return store.index_of_views(spark, d).top({0: TERMS}, 20).select("doc_id", "embed_id", "n_terms", "hits")
 
 
 def text_search_scan(spark: SparkSession, d: str) -> DataFrame:
     """The same without an index, by a look at every chunk."""
-    found = ranking.text_hits(store.of_views(spark, d).chunks(), TERMS, 20)
+    found = ranking.text_hits(views.chunk_texts(spark, d), TERMS, 20)
     return found.select("doc_id", "embed_id", F.col("n_terms").cast("long").alias("n_terms"), F.col("hits").cast("long").alias("hits"))
 
 
@@ -211,26 +211,26 @@ def _item_terms(spark: SparkSession, d: str) -> dict[int, list[str]]:
 
 def text_search_many(spark: SparkSession, d: str) -> DataFrame:
     """The ten chunks nearest in words to each benchmark item, all items in one plan."""
-    found = store.of_views(spark, d).index.top(_item_terms(spark, d), 10)
+    found = store.index_of_views(spark, d).top(_item_terms(spark, d), 10)
     return found.select(F.col("qid").alias("item_id"), "rank", "doc_id", "embed_id", "n_terms", "hits")
 
 
 def text_predicate(spark: SparkSession, d: str) -> DataFrame:
     """Every chunk that holds any of the terms."""
-    return store.of_views(spark, d).index.holding_any(TERMS).select("doc_id", "embed_id", "n_terms", "hits")
+    return store.index_of_views(spark, d).holding_any(TERMS).select("doc_id", "embed_id", "n_terms", "hits")
 
 
 def text_index_upkeep(spark: SparkSession, d: str) -> DataFrame:
     """The same search after two batches of changes: texts turned round in documents ending in 7, those ending in 3 deleted, and every ninth chunk of the rest."""
-    own = store.of_views(spark, d).clone()
-    chunks = own.chunks().select("doc_id", "embed_id", "embed_data")
+    own = store.index_of_views(spark, d).clone(new_path(spark, "index"))
+    chunks = views.chunk_texts(spark, d)
     put = chunks.where(F.col("doc_id").endswith("7")).select(F.lit("put").alias("op"), "doc_id", "embed_id", F.reverse("embed_data").alias("embed_data"))
     gone = chunks.where(F.col("doc_id").endswith("3")).select(F.lit("delete").alias("op"), "doc_id", F.lit(None).cast("long").alias("embed_id"), F.lit(None).cast("string").alias("embed_data")).distinct()
     ninth = chunks.where("embed_id % 9 = 0").select(F.lit("delete").alias("op"), "doc_id", "embed_id", F.lit(None).cast("string").alias("embed_data"))
-    own.index.apply(put.unionByName(gone).withColumn("seq", F.lit(0).cast("long")), 0)
-    own.index.apply(ninth.withColumn("seq", F.lit(0).cast("long")), 1)
-    own.index.merge(fan=2)
-    return own.index.top({0: TERMS}, 50).select("doc_id", "embed_id", "n_terms", "hits")
+    own.apply(put.unionByName(gone).withColumn("seq", F.lit(0).cast("long")), 0)
+    own.apply(ninth.withColumn("seq", F.lit(0).cast("long")), 1)
+    own.merge(fan=2)
+    return own.top({0: TERMS}, 50).select("doc_id", "embed_id", "n_terms", "hits")
 
 
 def keyword_cut_shortest(spark: SparkSession, d: str) -> DataFrame:
@@ -431,7 +431,7 @@ def human_feedback_update(spark: SparkSession, d: str) -> DataFrame:
 
 def cascade_delete(spark: SparkSession, d: str) -> DataFrame:
     """Rows left in each table after the documents whose number ends in 3 left all of them in one version."""
-    own = store.of_views(spark, d).clone().tables
+    own = store.collection_of_views(spark, d).clone(new_path(spark, "clone"))
     gone = own.read("collection").where(F.col("id").endswith("3")).select(F.col("id").alias("doc_id"))
     mutation.cascade_delete_stored(own, gone)
     return reduce(DataFrame.unionByName, [own.read(name).agg(F.count("*").alias("rows_left")).withColumn("table_name", F.lit(name)) for name in own.layouts])
@@ -439,7 +439,7 @@ def cascade_delete(spark: SparkSession, d: str) -> DataFrame:
 
 def chunk_replace(spark: SparkSession, d: str) -> DataFrame:
     """The odd chunks of documents ending in 7, marked as new, take the place of all chunks of their documents."""
-    own = store.of_views(spark, d).clone().tables
+    own = store.chunks_of_views(spark, d).clone(new_path(spark, "clone"))
     new = own.read("embedding").where(F.col("doc_id").endswith("7") & (F.col("embed_id") % 2 == 1)).withColumn("embed_data", F.concat(F.lit("new "), "embed_data"))
     own.change().replace("embedding", new, ["doc_id"]).commit()
     return own.read("embedding").select("doc_id", "embed_id", F.md5("embed_data").alias("data_md5"))
@@ -455,7 +455,7 @@ def pending_vectors(spark: SparkSession, d: str) -> DataFrame:
 
 def vector_update(spark: SparkSession, d: str) -> DataFrame:
     """Every third chunk loses its vector; those of documents ending in 1 get one again."""
-    own = store.of_views(spark, d).clone().tables
+    own = store.chunks_of_views(spark, d).clone(new_path(spark, "clone"))
     third = own.read("embedding").where(F.col("embed_id") % 3 == 0)
     none = third.withColumns({"embed_vector": F.lit(None).cast("array<float>"), "embed_norm": F.lit(None).cast("double")})
     own.change().update("embedding", none, knn.KEYS, ["embed_vector", "embed_norm"]).commit()

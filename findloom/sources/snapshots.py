@@ -207,6 +207,11 @@ class Change:
         )
         return self
 
+    def adopt(self, name: str, other: Tables) -> Change:
+        """The rows of another folder's table, where they lie; that folder must then keep its files."""
+        self.added.setdefault(name, []).extend(other.state()["tables"][name])
+        return self
+
     def delete(self, name: str, gone: DataFrame, on: dict[str, str] | list[str]) -> Change:
         """The rows whose columns equal those of a row of `gone`; on: table's column -> column of gone, or names they share."""
         on = on if isinstance(on, dict) else {c: c for c in on}

@@ -1,12 +1,13 @@
-"""A collection's store: its tables in versions, chunks by shelf of their document, and the text index.
+"""What is stored of a collection: its tables in versions, chunks by shelf of their document, and the text index.
 
-of_views() makes the store of the fixture views once for each state of its input files, in the shared folder; whoever comes
-later, in this session or another, reads it. Two that make it at once both succeed, and one of the two is taken.
+Each part of the fixture views' collection is made when it is first asked for, once for each state of the input files, in the
+shared folder; whoever comes later, in this session or another, reads it. Two that make it at once both succeed, and
+one of the two is taken.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -32,46 +33,47 @@ LAYOUTS = {
 }
 
 
-@dataclass
-class Store:
-    """Tables of a collection and the index of its chunks' texts."""
+def chunk_tables(spark: SparkSession, folder: str) -> Tables:
+    return Tables(spark, folder, {"embedding": LAYOUTS["embedding"]})
 
-    tables: Tables
-    index: TextIndex
 
-    def chunks(self) -> DataFrame:
-        """doc_id, embed_id, embed_data, embed_vector, embed_norm, shelf."""
-        return self.tables.read("embedding")
+def filled_chunks(tables: Tables, embedding: DataFrame) -> Tables:
+    tables.change().append("embedding", knn.with_norms(embedding)).commit()
+    return tables
 
-    def clone(self) -> Store:
-        """A store to change, whose rows are this one's until then."""
-        spark = self.tables.spark
-        index = TextIndex(spark, new_path(spark, "index"), TERM_SHELVES)
-        if not index.tables.publish(0, self.index.tables.state()):
-            raise FileExistsError(index.tables.folder)
-        return Store(self.tables.clone(new_path(spark, "tables")), index)
 
+def chunks_of_views(spark: SparkSession, sf_dir: str) -> Tables:
+    """The chunk table of the fixture views: doc_id, embed_id, embed_data, embed_vector, embed_norm, shelf."""
+    folder = _once(spark, sf_dir, "chunks", lambda at: filled_chunks(chunk_tables(spark, at), views.embedding(spark, sf_dir)))
+    return chunk_tables(spark, folder)
 
-def opened(spark: SparkSession, folder: str) -> Store:
-    return Store(Tables(spark, f"{folder}/tables", LAYOUTS), TextIndex(spark, f"{folder}/index", TERM_SHELVES))
 
+def index_of_views(spark: SparkSession, sf_dir: str) -> TextIndex:
+    """The text index of the fixture views' chunks."""
+    folder = _once(spark, sf_dir, "index", lambda at: TextIndex(spark, at, TERM_SHELVES).build(views.chunk_texts(spark, sf_dir)))
+    return TextIndex(spark, folder, TERM_SHELVES)
 
-def made(spark: SparkSession, folder: str, collection: DataFrame, embedding: DataFrame, image: DataFrame, image_embedding: DataFrame) -> Store:
-    """A new store of those rows."""
-    store = opened(spark, folder)
-    change = store.tables.change().append("collection", collection).append("embedding", knn.with_norms(embedding))
-    change.append("image", image).append("image_embedding", image_embedding).commit()
-    store.index.build(store.chunks().select("doc_id", "embed_id", "embed_data"))
-    return store
 
+def collection_of_views(spark: SparkSession, sf_dir: str) -> Tables:
+    """All four tables of a collection, for changes that reach all of them; the chunk table is that of chunks_of_views()."""
 
-def of_views(spark: SparkSession, sf_dir: str) -> Store:
-    """The store of the fixture views over a folder of tables."""
+    def make(at: str) -> None:
+        tables = Tables(spark, at, LAYOUTS)
+        change = tables.change().adopt("embedding", chunks_of_views(spark, sf_dir))
+        for name, rows in (("collection", views.collection), ("image", views.image), ("image_embedding", views.image_embedding)):
+            change.append(name, rows(spark, sf_dir))
+        change.commit()
+
+    return Tables(spark, _once(spark, sf_dir, "collection", make), LAYOUTS)
+
+
+def _once(spark: SparkSession, sf_dir: str, kind: str, make: Callable[[str], object]) -> str:
+    """The folder that make() filled for this kind and this state of the input files, now or before."""
     state = fingerprint(spark, *(f"{sf_dir}/{t}.parquet" for t in ("documents", "embeddings", "pages")))
     done = Files(spark, f"{shared_dir(spark)}/findloom-stores")
-    name = f"{state}.txt"
+    name = f"{kind}-{state}.txt"
     if name not in done.names():
-        folder = new_path(spark, "store")
-        made(spark, folder, views.collection(spark, sf_dir), views.embedding(spark, sf_dir), views.image(spark, sf_dir), views.image_embedding(spark, sf_dir))
+        folder = new_path(spark, kind)
+        make(folder)
         done.create(name, folder)
-    return opened(spark, done.read(name))
+    return done.read(name)

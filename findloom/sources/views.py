@@ -28,13 +28,22 @@ def collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(name.alias("id"), F.col("text").alias("data"), json.alias("cmetadata"))
 
 
-def embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chunks of every document to its end; chunk k of a document borrows the vector numbered PER_DOC * doc_id + k, counted round the vectors there are."""
+def _cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", "text")
-    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("embed_vector"))
     # One pass over a text: substring() would count from its start again for each piece.
     pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CHUNK}}}"), 0)
-    chunks = docs.select("doc_id", F.posexplode(pieces).alias("k", "embed_data"))
+    return docs.select("doc_id", F.posexplode(pieces).alias("k", "embed_data"))
+
+
+def chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """embedding() without vectors, which a text index does not look at."""
+    return _cut(spark, sf_dir).select(doc_name(F.col("doc_id")).alias("doc_id"), (F.col("k").cast("long") + TEXT_BASE + 1).alias("embed_id"), "embed_data")
+
+
+def embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks of every document to its end; chunk k of a document borrows the vector numbered PER_DOC * doc_id + k, counted round the vectors there are."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("embed_vector"))
+    chunks = _cut(spark, sf_dir)
     number = F.pmod(F.col("doc_id") * PER_DOC + F.col("k"), F.lit(max(1, vectors.count())))
     return chunks.withColumn("vec_id", number).join(vectors, "vec_id").select(
         doc_name(F.col("doc_id")).alias("doc_id"), (F.col("k").cast("long") + TEXT_BASE + 1).alias("embed_id"), "embed_data", "embed_vector"

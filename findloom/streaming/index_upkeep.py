@@ -38,6 +38,11 @@ class TextIndex:
         self.tables = Tables(spark, folder, postings.layouts(shelves))
         self.layout = self.tables.layouts["postings"]
 
+    def clone(self, folder: str) -> TextIndex:
+        """The same index under another folder, to change."""
+        self.tables.clone(folder)
+        return TextIndex(self.tables.spark, folder, self.layout.shelves)
+
     def segments(self) -> dict[str, int]:
         """Number of a segment (as text, as JSON has it) -> its chunks."""
         return self.tables.meta().get("segments", {})
@@ -111,10 +116,9 @@ class TextIndex:
         held = written(held, "index-merge")
         n = held.select(*postings.KEYS).distinct().count()
         blocks = max(1, math.ceil(n / postings.BLOCK))
-        dealt = held.withColumn("block", F.pmod(F.xxhash64(*postings.KEYS), F.lit(blocks)))
-        lists = dealt.groupBy("term", "block").agg(F.max("hits").alias("most"), F.collect_list(F.struct(*postings.KEYS, "hits")).alias("postings"))
+        lists = postings.in_lists(held.withColumn("block", postings.block_of(blocks)), newest)
         change.delete("postings", rows.select("segment").distinct(), ["segment"])
-        change.append("postings", lists.withColumn("segment", F.lit(newest).cast("long")))
+        change.append("postings", lists)
         segments = {k: v for k, v in meta["segments"].items() if int(k) not in own}
         if n:
             segments[str(newest)] = n
