@@ -13,7 +13,7 @@ from findloom.functions import vectors as V
 from findloom.model import FIXED_DELIMITER, SearchRequest
 from findloom.operators import chunking, evaluation, expansion, images, ingestion, knn, mutation, neighbours, pivots, ranking, search
 from findloom.providers import HashingEmbedder, SentenceChat
-from findloom.sources import conversion, markup, office, samples, store, views
+from findloom.sources import conversion, document_source, markup, office, samples, store, views
 from findloom.sources.shared import new_path
 from findloom.sources.snapshots import Tables
 from findloom.sources.views import table
@@ -36,6 +36,15 @@ def server_path_lookup(spark: SparkSession, d: str) -> DataFrame:
     return views.collection(spark, d).where("id = 'doc_7'").select("id", X.metadata_value(F.col("cmetadata"), "server_path").alias("server_path"))
 
 
+def document_source_filtered(spark: SparkSession, d: str) -> DataFrame:
+    """The collection written through the document source, and read back by metadata."""
+    folder = new_path(spark, "documents")
+    rows = views.collection(spark, d)
+    document_source.write(rows.repartition(8, F.get_json_object("cmetadata", "$.lang")), folder, "lang,source")
+    found = document_source.read(spark, folder, "lang,source").where("lang in ('fr', 'de')")
+    return found.select("id", "lang", "source", F.md5("data").alias("data_md5"))
+
+
 def metadata_filter(spark: SparkSession, d: str) -> DataFrame:
     docs = search.restricted(views.collection(spark, d), SearchRequest(vectors=[[0.0]], metadata="lang=fr"))
     return views.embedding(spark, d).join(docs.select(F.col("id").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "embed_id")
@@ -537,7 +546,7 @@ def _xml(merge: bool):
 QUERIES = {
     f.__name__: f
     for f in (
-        doc_list, server_path_lookup, metadata_filter, doc_id_filter, scan_with_collection, knn_threshold, knn_partitioned_topk, multi_query_fusion, multi_step_query,
+        doc_list, server_path_lookup, document_source_filtered, metadata_filter, doc_id_filter, scan_with_collection, knn_threshold, knn_partitioned_topk, multi_query_fusion, multi_step_query,
         neighbor_expand, merge_adjacent_chunks, first_chunk_extend, hybrid_search_flagship, hybrid_search_reranked, hybrid_search_extend_first,
         answer_by_one, vision_search, result_presentation, result_numbering, text_search_accum, text_search_scan, text_search_many, text_predicate, text_index_upkeep, keyword_cut_shortest, token_filter_stopwords, keyword_highlight,
         collapse_newlines, control_char_scrub, rerank_lexical_topk, fixed_delimiter_split, chunk_offsets, chunk_overlap_prefix, image_block_extract, ocr_text_extract,

@@ -82,6 +82,7 @@ def _office(kind: str, suffix: str = "", sheet: str = "") -> str:
 ORACLE_SQL = {
     "doc_list": with_views("collection", f"SELECT {_lang('file_name')} AS name, id FROM collection"),
     "server_path_lookup": with_views("collection", f"SELECT id, {_lang('server_path')} AS server_path FROM collection WHERE id = 'doc_7'"),
+    "document_source_filtered": "SELECT 'doc_' || doc_id AS id, lang, source, md5(text) AS data_md5 FROM documents WHERE lang IN ('fr', 'de')",
     "metadata_filter": with_views("collection embedding", f"SELECT doc_id, embed_id FROM embedding WHERE doc_id IN (SELECT id FROM collection WHERE {_lang('lang')} = 'fr')"),
     "doc_id_filter": with_views("embedding", "SELECT doc_id, embed_id FROM embedding WHERE doc_id IN ('doc_3', 'doc_14', 'doc_15')"),
     "scan_with_collection": with_views("collection embedding", f"SELECT doc_id, embed_id, {_lang('file_name')} AS name, length(embed_data) AS chars FROM embedding JOIN collection ON doc_id = id"),

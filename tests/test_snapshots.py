@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from findloom.sources import snapshots
+from findloom.operators import ingestion
+from findloom.sources import snapshots, store
 from findloom.sources.shared import Files, new_path
 from findloom.sources.snapshots import Change, Conflict, Layout, Tables
 
@@ -163,3 +164,43 @@ class TestWriters:
         assert rows(tables.read("chunks")) == want
         tables.change().delete("chunks", keys(spark, "d1"), ["doc_id"]).append("chunks", chunk_rows(spark, 5, "new")).commit()
         assert tables.read("chunks").count() == 95
+
+
+class Picky:
+    """A model that fails on some texts."""
+
+    def embed(self, texts):
+        if any("poison" in t for t in texts):
+            raise ValueError("no")
+        return [[float(len(t)), 1.0] for t in texts]
+
+
+class Plain:
+    def embed(self, texts):
+        return [[float(len(t)), 1.0] for t in texts]
+
+
+class TestBatches:
+    def test_numbers_follow_the_order(self, spark):
+        rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k")).repartition(7)
+        got = ingestion.numbered(rows, "k").collect()
+        assert sorted((r.k, r.number) for r in got) == [(k, k) for k in range(1000)]
+        assert ingestion.numbered(rows.limit(0), "k").count() == 0
+
+    def test_each_batch_commits_on_its_own(self, spark):
+        t = store.chunk_tables(spark, new_path(spark, "chunks"))
+        text = F.when(F.col("id") == 4000, "poison").otherwise(F.concat(F.lit("t"), F.col("id").cast("string")))
+        rows = spark.range(5000).select(F.lpad(F.col("id").cast("string"), 6, "0").alias("doc_id"), F.col("id").alias("embed_id"), text.alias("embed_data"))
+        rows = rows.withColumn("embed_vector", F.when(F.col("embed_id") % 10 == 0, F.array(F.lit(0.0), F.lit(2.0))).cast("array<float>"))
+        rows = rows.withColumn("embed_data", F.when(F.col("embed_id") == 7, None).when(F.col("embed_id") == 4001, "poison").otherwise(F.col("embed_data")))
+        store.filled_chunks(t, rows)
+        with pytest.raises(Exception, match="no"):
+            ingestion.embed_pending(t, Picky, 1920)
+        # 4,499 are pending; the second batch of 1,920 holds the text that fails.
+        assert t.read("embedding").where("embed_vector is null").count() == 4500 - 1920
+        assert len(ingestion.embed_pending(t, Plain, 1920)) == 2
+        done = t.read("embedding")
+        assert (done.count(), done.where("embed_vector is null").count()) == (5000, 1)
+        assert done.where("embed_id % 10 = 0 and embed_vector[1] <> 2").count() == 0
+        assert done.where("embed_id = 123").first().embed_vector == [4.0, 1.0]
+        assert ingestion.embed_pending(t, Plain, 1920) == []
