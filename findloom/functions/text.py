@@ -26,6 +26,8 @@ FIXED_STOP_WORDS = (
 #: Articles, pronouns and auxiliaries, added here in place of a language model's own list.
 MORE_STOP_WORDS = "the an i you he she it we they me him her us them my your his its our their who whom which what if am are was were be been being have has had having did does".split()
 STOP_WORDS = (*FIXED_STOP_WORDS, *MORE_STOP_WORDS)
+#: Control characters that no XML document may hold.
+NO_XML = "".join(map(chr, [*range(1, 9), 11, 12, *range(14, 32)]))
 #: Lengths of a term that are kept, by language.
 TERM_LENGTHS = {"ja": (2, 9), "en": (3, 14), "zh": (2, 4)}
 

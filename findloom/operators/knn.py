@@ -22,12 +22,12 @@ def with_norms(chunks: DataFrame) -> DataFrame:
 
 def scored(chunks: DataFrame, queries: DataFrame, metric: str = "cosine") -> DataFrame:
     """chunks(doc_id, embed_id, embed_vector, embed_norm if stored) x queries(qid, vector) -> doc_id, embed_id, qid, distance."""
-    asked = queries.select("qid", F.col("vector").cast("array<double>").alias("vector"), V.norm(F.col("vector")).alias("norm"))
+    asked = queries.select("qid", F.col("vector").cast("array<float>").alias("vector"), V.norm(F.col("vector")).alias("norm"))
     if metric == "cosine":
         # The norm of a chunk is made below the cross join: once, for whatever number of queries.
         own = chunks if "embed_norm" in chunks.columns else with_norms(chunks)
-        pairs = own.select(*KEYS, F.col("embed_vector").cast("array<double>").alias("embed_vector"), "embed_norm").crossJoin(F.broadcast(asked))
-        distance = V.rounded(V.cosine_distance(F.col("embed_vector"), F.col("vector"), F.col("norm"), F.col("embed_norm")))
+        pairs = own.select(*KEYS, "embed_vector", "embed_norm").crossJoin(F.broadcast(asked))
+        distance = V.rounded(1 - V.dot_batched(F.col("embed_vector"), F.col("vector")) / (F.col("embed_norm") * F.col("norm")))
     else:
         pairs = chunks.select(*KEYS, "embed_vector").crossJoin(F.broadcast(asked))
         distance = V.distance(F.col("embed_vector"), F.col("vector"), metric)

@@ -13,7 +13,7 @@ from findloom.functions import vectors as V
 from findloom.model import FIXED_DELIMITER, SearchRequest
 from findloom.operators import chunking, evaluation, expansion, images, ingestion, knn, mutation, neighbours, pivots, ranking, search
 from findloom.providers import HashingEmbedder, SentenceChat
-from findloom.sources import conversion, document_source, markup, office, samples, store, views
+from findloom.sources import conversion, document_source, markup, office, samples, store, views, xml_nodes
 from findloom.sources.shared import new_path
 from findloom.sources.snapshots import Tables
 from findloom.sources.views import table
@@ -533,12 +533,15 @@ def _blocks(kind: str):
 
 def _xml(merge: bool):
     def run(spark: SparkSession, d: str) -> DataFrame:
-        text = F.concat(
-            F.lit("<r><s><h>"), F.col("lang"), F.lit("</h><p>A"), F.col("doc_id").cast("string"), F.lit("</p><p>B</p><h>"), F.col("source"), F.lit("</h><p>C</p></s></r>"),
-        )
-        rules = conversion.XmlRules(main="p", prefix="h", merge=merge)
-        rows = table(spark, d, "documents").select("doc_id", F.posexplode(conversion.xml_lines(text, rules)).alias("pos", "line"))
-        return rows.select("doc_id", F.col("pos").cast("long").alias("pos"), "line")
+        """Every text's lines as elements, its first line a heading, with the source as a heading before the last element."""
+        # What XML cannot hold becomes spaces.
+        escaped = F.replace(F.replace(F.replace(F.translate("text", X.NO_XML, " " * len(X.NO_XML)), F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+        body = F.replace(F.concat(F.lit("<h>"), escaped, F.lit("</p>")), F.lit("\n"), F.lit("</p><p>"))
+        body = F.regexp_replace(body, r"(?s)^(<h>.*?)</p>", "$1</h>")
+        text = F.concat(F.lit('<r><s><m kind="'), F.col("lang"), F.lit('"/>'), body, F.lit("<h>"), F.col("source"), F.lit("</h><p>end</p></s></r>"))
+        docs = table(spark, d, "documents").select("doc_id", text.alias("text"))
+        found = xml_nodes.xml_records(docs, xml_nodes.XmlRules(main="p", prefix="h", everywhere="m", merge=merge))
+        return found.select("doc_id", F.col("pos").cast("long").alias("pos"), F.md5("line").alias("line_md5"))
 
     return run
 

@@ -79,6 +79,12 @@ def _office(kind: str, suffix: str = "", sheet: str = "") -> str:
         '","row_start":2,"row_end":2,"fields":{{"lang":"' || lang || '","source":"' || source || '","id":' || doc_id || '}}}} {FIXED_DELIMITER}' AS line FROM documents"""
 
 
+_PLAIN = "translate(text, " + " || ".join(f"chr({ord(c)})" for c in X.NO_XML) + f", '{' ' * len(X.NO_XML)}')"
+#: The lines of each text as elements: the first is a heading, the last is added.
+_XML_LINES = f"""WITH cut AS (SELECT doc_id, lang, source, list_transform(string_split({_PLAIN}, chr(10)), lambda x: {STRIP.format("x")}) AS l FROM documents),
+        whole AS (SELECT doc_id, lang, source, l[1] AS head, list_append(l[2:], 'end') AS l FROM cut),
+        lines AS (SELECT doc_id, lang, source, head, len(l) AS last, generate_subscripts(l, 1) AS no, unnest(l) AS line FROM whole)"""
+
 ORACLE_SQL = {
     "doc_list": with_views("collection", f"SELECT {_lang('file_name')} AS name, id FROM collection"),
     "server_path_lookup": with_views("collection", f"SELECT id, {_lang('server_path')} AS server_path FROM collection WHERE id = 'doc_7'"),
@@ -310,8 +316,11 @@ ORACLE_SQL = {
         '.docx","source_type":"word","block_type":"word_section","section_path":["' || source || '"],"row_start":3,"row_end":4,"content":"written in ' || lang || '\\n- number ' || doc_id || '"}} {FIXED_DELIMITER}' AS line
         FROM documents UNION ALL SELECT '/files/doc_' || doc_id || '.docx', 1, '{{"source_file":"doc_' || doc_id || '.docx","source_type":"word","block_type":"word_table_row","section_path":["' || source ||
         '"],"table_index":1,"row_start":2,"row_end":2,"body_index":4,"fields":{{"lang":"' || lang || '","id":"' || doc_id || '"}}}} {FIXED_DELIMITER}' FROM documents""",
-    "xml_to_blocks": f"""SELECT doc_id, k::BIGINT AS pos, CASE k WHEN 0 THEN '{{"id": "1", "h": "' || lang || '", "p": "A' || doc_id || '"}} {FIXED_DELIMITER}'
-        WHEN 1 THEN '{{"id": "2", "p": "B"}} {FIXED_DELIMITER}' ELSE '{{"id": "3", "h": "' || source || '", "p": "C"}} {FIXED_DELIMITER}' END AS line FROM documents, range(3) r(k)""",
-    "xml_to_blocks_merged": f"""SELECT doc_id, k::BIGINT AS pos, CASE k WHEN 0 THEN '{{"id": "1", "h": "' || lang || '", "p": "A' || doc_id || '\\nB"}} {FIXED_DELIMITER}'
-        ELSE '{{"id": "2", "h": "' || source || '", "p": "C"}} {FIXED_DELIMITER}' END AS line FROM documents, range(2) r(k)""",
+    "xml_to_blocks": f"""{_XML_LINES}
+        SELECT doc_id, no - 1 AS pos, md5('{{"id": "' || no || '", "m@kind": "' || lang || '"' || coalesce(', "h": ' || to_json(nullif(concat_ws(chr(10), CASE WHEN no = 1 THEN nullif(head, '') END, CASE WHEN no = last THEN source END), ''))::VARCHAR, '') || CASE WHEN line <> '' THEN ', "p": ' || to_json(line)::VARCHAR ELSE '' END || '}} {FIXED_DELIMITER}') AS line_md5 FROM lines""",
+    "xml_to_blocks_merged": f"""{_XML_LINES},
+        runs AS (SELECT doc_id, lang, any_value(source) AS source, any_value(head) AS head, string_agg(line, chr(10) ORDER BY no) FILTER (line <> '' AND no < last) AS body FROM lines GROUP BY doc_id, lang)
+        SELECT doc_id, 0::BIGINT AS pos, md5('{{"id": "1", "m@kind": "' || lang || '"' || CASE WHEN body IS NULL THEN ', "h": ' || to_json(CASE WHEN head <> '' THEN head || chr(10) ELSE '' END || source)::VARCHAR || ', "p": "end"'
+          ELSE CASE WHEN head <> '' THEN ', "h": ' || to_json(head)::VARCHAR ELSE '' END || ', "p": ' || to_json(body)::VARCHAR END || '}} {FIXED_DELIMITER}') AS line_md5 FROM runs
+        UNION ALL SELECT doc_id, 1, md5('{{"id": "2", "m@kind": "' || lang || '", "h": ' || to_json(source)::VARCHAR || ', "p": "end"}} {FIXED_DELIMITER}') FROM runs WHERE body IS NOT NULL""",
 }

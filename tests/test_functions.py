@@ -89,3 +89,13 @@ def test_search_request():
         SearchRequest(vectors=[])
     image = SearchRequest(vectors=[[1.0]], use_image=True, extend_around=4, extend_first=2, answer_by_one=True)
     assert (image.extend_around, image.extend_first, image.answer_by_one) == (0, 0, False)
+
+
+def test_batched_products_are_those_of_lambdas(spark):
+    from findloom.functions import vectors as V
+
+    odd = [([1.0, 2.0], [3.0, 4.0]), (None, [1.0, 2.0]), ([1.0], None), ([1.0, None], [1.0, 2.0]), ([1.0], [1.0, 2.0]), ([], [])]
+    for given in (odd, odd[:1] * 5, odd[1:2], [([], [])], []):
+        rows = spark.createDataFrame(given, "a array<float>, b array<float>")
+        got = rows.select(V.dot(F.col("a"), F.col("b")).alias("x"), V.dot_batched(F.col("a"), F.col("b")).alias("y")).collect()
+        assert all(r.x == r.y for r in got) and len(got) == len(given)

@@ -1,31 +1,62 @@
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from findloom.model import FIXED_DELIMITER
 from findloom.operators import evaluation
-from findloom.sources import conversion, files, markup, office, samples
+from findloom.sources import conversion, files, markup, office, samples, xml_nodes
+from tests import xml_tree
 
 XML = "<r><s><h>T</h><p>A</p><p>B</p><h>U</h><p>C</p></s></r>"
 
 
-def test_xml_records():
-    assert conversion.XmlRules("p", "h").records(XML) == [{"id": "1", "h": "T", "p": "A"}, {"id": "2", "p": "B"}, {"id": "3", "h": "U", "p": "C"}]
+def records(spark, texts, **rules):
+    """{k: records of texts[k]}, by the table of nodes."""
+    docs = spark.createDataFrame([(k, t, "x", 1) for k, t in enumerate(texts)], "doc_id long, text string, tag string, row int")
+    got = {}
+    for r in xml_nodes.xml_records(docs, xml_nodes.XmlRules(**rules)).orderBy("doc_id", "pos").collect():
+        got.setdefault(r.doc_id, []).append(r.line)
+        assert r.pos == len(got[r.doc_id]) - 1
+    return {k: [json.loads(x.removesuffix(f" {FIXED_DELIMITER}"), object_pairs_hook=lambda p: p) for x in own] for k, own in got.items()}
+
 
+def by_tree(texts, **rules):
+    out = {}
+    for k, t in enumerate(texts):
+        try:
+            out[k] = [list(r.items()) for r in xml_tree.TreeRules(**rules).records(t or "")]
+        except ValueError:
+            continue
+    return {k: v for k, v in out.items() if v}
 
-def test_xml_merged_records():
-    assert conversion.XmlRules("p", "h", merge=True).records(XML) == [{"id": "1", "h": "T", "p": "A\nB"}, {"id": "2", "h": "U", "p": "C"}]
 
+def test_xml_records(spark):
+    assert records(spark, [XML], main="p", prefix="h") == {0: [[("id", "1"), ("h", "T"), ("p", "A")], [("id", "2"), ("p", "B")], [("id", "3"), ("h", "U"), ("p", "C")]]}
+    assert records(spark, [XML], main="p", prefix="h", merge=True) == {0: [[("id", "1"), ("h", "T"), ("p", "A\nB")], [("id", "2"), ("h", "U"), ("p", "C")]]}
 
-def test_xml_suffix_fixed_global_and_renamed():
+
+def test_xml_suffix_fixed_global_and_renamed(spark):
     text = '<r><g v="1">G</g><s><p a="x">A<q>in</q></p><n>N</n><p>B</p><n>M</n></s></r>'
-    rules = conversion.XmlRules("p", suffix="n", fixed="k=v", renamed="p=body")
-    assert rules.records(text) == [{"id": "1", "k": "v", "p@a": "x", "body": "A", "q": "in", "n": "N"}, {"id": "2", "k": "v", "body": "B"}]
-    with pytest.raises(ValueError):
-        conversion.XmlRules("none").records(text)
-    with pytest.raises(ValueError):
-        conversion.XmlRules("p").records("<r>")
+    got = records(spark, [text, "<r>", "<r/>", "", None, "no"], main="p", suffix="n", fixed="k=v", renamed="p=body")
+    assert got == {0: [[("id", "1"), ("k", "v"), ("p@a", "x"), ("body", "A"), ("q", "in"), ("n", "N")], [("id", "2"), ("k", "v"), ("body", "B")]]}
+
+
+@pytest.mark.parametrize("merge", [False, True])
+def test_xml_on_random_trees(spark, merge):
+    r = random.Random(7)
+
+    def tree(depth):
+        tag = r.choice("pphnqxg")
+        attributes = "".join(f' {n}="{r.choice(["1", "é", "&lt;"])}"' for n in "ab" if r.random() < 0.2)
+        text = r.choice(["", "", " ", "t", " é&amp;\n", 'say "x"\\', "<![CDATA[<c>]]>", "<!-- no -->u"]) + str(r.randrange(9)) * r.randrange(2)
+        inner = "".join(tree(depth - 1) + r.choice(["", "tail"]) for _ in range(r.randrange(5) if depth else 0))
+        return f"<{tag}{attributes}>{text}{inner}</{tag}>"
+
+    texts = [f"<r>{''.join(tree(3) for _ in range(r.randrange(6)))}</r>" for _ in range(60)] + ['<a xmlns="u:v"><p>1</p></a>', '<a xmlns:z="u"><z:p z:k="1">2</z:p><p>3</p></a>']
+    for rules in ({"main": "p", "prefix": "h, n", "suffix": "x,n"}, {"main": "p", "prefix": "h", "suffix": "n", "everywhere": "g,q,p", "fixed": "k=v,q=w", "renamed": "p=body,h=body,q=z"}, {"main": "", "prefix": "h", "suffix": "n", "everywhere": "g"}, {"main": "{u}p"}):
+        assert records(spark, texts, merge=merge, **rules) == by_tree(texts, merge=merge, **rules)
 
 
 def test_json_arrays(spark):
