@@ -1,8 +1,9 @@
 """Text search by posting lists: an inverted index over chunks, and a top-k that passes over blocks of chunks.
 
-Chunks are dealt by hash into blocks of about BLOCK, neighbours of a document together. For each term and block there is a row with the postings (chunk and
-number of hits) and the largest number of hits among them. Rows lie in shelves by hash of the term and are sorted by term,
-so a search reads the files of its terms' shelves, within them the row groups of its terms, and never a text.
+A block is a run of up to RUN neighbouring chunks of a document. For each term and block there is a row with the postings (chunk
+and number of hits) and the largest number of hits among them; it is made where the chunks are read, so the one shuffle of
+an index is that which lays it out. Rows lie in shelves by hash of the term and are sorted by term, so a search reads the
+files of its terms' shelves, within them the row groups of its terms, and never a text.
 
 top_chunks() first reads only how many hits a block can have: over the query's terms, the number of terms that occur in the
 block and the sum of their largest hits bound every chunk's (terms, hits). The SEEDS blocks of highest bound are evaluated;
@@ -13,51 +14,88 @@ An index grows by segments: each has a number, and chunks that were deleted or r
 number of the segment from which on they count again (findloom.streaming.index_upkeep).
 
 Defined cases: null and blank texts have no postings; a query without valid terms finds nothing; terms count once however
-often a query names them; ties go by document and chunk id. The first segment is of a table whose keys do not repeat.
+often a query names them; ties go by document and chunk id; rows without a doc_id or embed_id are not indexed. A segment is of
+rows whose keys do not repeat.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from findloom.operators.ranking import tokens, valid_terms
 from findloom.sources.snapshots import Layout
 
-BLOCK, SEEDS = 64, 8
-KEYS = ["doc_id", "embed_id"]
-_POSTING = T.StructType([T.StructField("doc_id", T.StringType()), T.StructField("embed_id", T.LongType()), T.StructField("hits", T.IntegerType())])
+RUN, SEEDS, ROWS = 64, 8, 50_000
+KEYS, BLOCK = ["doc_id", "embed_id"], ["segment", "doc_id", "block"]
+_field = lambda name, kind: T.StructField(name, kind)
+#: block is the embed_id that a block's chunks are counted from: chunk block + ats[k] has ns[k] hits.
 POSTINGS = T.StructType(
-    [T.StructField("term", T.StringType()), T.StructField("segment", T.LongType()), T.StructField("block", T.LongType()), T.StructField("most", T.IntegerType()), T.StructField("postings", T.ArrayType(_POSTING))]
+    [_field("term", T.StringType()), _field("segment", T.LongType()), _field("doc_id", T.StringType()), _field("block", T.LongType()), _field("most", T.IntegerType())]
+    + [_field(name, T.ArrayType(T.IntegerType())) for name in ("ats", "ns")]
 )
 #: A chunk of which only segments from `since` on count.
-GONE = T.StructType([T.StructField("doc_id", T.StringType()), T.StructField("embed_id", T.LongType()), T.StructField("since", T.LongType())])
+GONE = T.StructType([_field("doc_id", T.StringType()), _field("embed_id", T.LongType()), _field("since", T.LongType())])
 
 
 def layouts(shelves: int) -> dict[str, Layout]:
-    return {"postings": Layout(POSTINGS, ("term", "segment", "block"), shelves), "gone": Layout(GONE)}
-
-
-def block_of(blocks: int, run: int = BLOCK) -> Column:
-    """The block of a chunk: runs of a document's chunks stay together, a document of very many is spread."""
-    return F.pmod(F.xxhash64("doc_id", F.floor(F.col("embed_id") / F.lit(run))), F.lit(blocks))
-
-
-def in_lists(hits: DataFrame, segment: int) -> DataFrame:
-    """hits(term, block, doc_id, embed_id, hits) -> rows of POSTINGS. A term that a third of all chunks hold has a row a block."""
-    lists = hits.groupBy("term", "block").agg(F.max("hits").alias("most"), F.collect_list(F.struct(*KEYS, "hits")).alias("postings"))
-    return lists.select("term", F.lit(segment).cast("long").alias("segment"), "block", "most", "postings")
-
-
-def indexed(chunks: DataFrame, segment: int, n_chunks: int, block: int = BLOCK) -> DataFrame:
-    """chunks(doc_id, embed_id, embed_data), about n_chunks of them -> rows of POSTINGS."""
-    words = chunks.select(*KEYS, block_of(max(1, math.ceil(n_chunks / block))).alias("block"), tokens(F.col("embed_data")).alias("words"))
-    # A chunk's hits are counted where it is read, so that one shuffle makes the lists.
-    held = words.select(*KEYS, "block", "words", F.explode(F.array_distinct("words")).alias("term"))
-    return in_lists(held.select("term", "block", *KEYS, (F.size("words") - F.size(F.array_remove("words", F.col("term")))).alias("hits")), segment)
+    return {"postings": Layout(POSTINGS, ("term", *BLOCK), shelves), "gone": Layout(GONE)}
+
+
+def _posted(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """batch(doc_id, embed_id, words) -> its postings. Chunks of one document and run in one batch are a block."""
+    doc, embed, words = batch.column(0).dictionary_encode(), batch.column(1).to_numpy(), batch.column(2)
+    _, group = np.unique(np.stack((doc.indices.to_numpy(), embed // RUN)), axis=1, return_inverse=True)
+    first = np.full(group.max() + 1, np.iinfo(np.int64).max)
+    np.minimum.at(first, group, embed)
+    terms = words.flatten().dictionary_encode()
+    known = max(1, len(terms.dictionary))
+    in_chunk, hits = np.unique(np.repeat(np.arange(len(embed)), words.value_lengths().to_numpy()) * known + terms.indices.to_numpy(), return_counts=True)
+    chunk, term = in_chunk // known, in_chunk % known
+    key = group[chunk] * known + term
+    order = np.lexsort((embed[chunk], key))
+    chunk, term, key, hits = chunk[order], term[order], key[order], hits[order].astype(np.int32)
+    starts = np.flatnonzero(np.diff(key, prepend=-1))
+    ats = (embed[chunk] - first[group[chunk]]).astype(np.int32)
+    for k in range(0, len(starts), ROWS):
+        own = starts[k : k + ROWS]
+        low, high = own[0], starts[k + ROWS] if k + ROWS < len(starts) else len(key)
+        bounds = pa.array(np.append(own, high) - low, pa.int32())
+        columns = [terms.dictionary.take(pa.array(term[own])), batch.column(0).take(pa.array(chunk[own])), pa.array(first[group[chunk[own]]]), pa.array(np.maximum.reduceat(hits[low:high], own - low))]
+        columns += [pa.ListArray.from_arrays(bounds, pa.array(x[low:high])) for x in (ats, hits)]
+        yield pa.RecordBatch.from_arrays(columns, ["term", "doc_id", "block", "most", "ats", "ns"])
+
+
+def indexed(chunks: DataFrame, segment: int) -> DataFrame:
+    """chunks(doc_id, embed_id, embed_data) -> rows of POSTINGS."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows:
+                yield from _posted(batch)
+
+    words = chunks.where("doc_id is not null and embed_id is not null").select(*KEYS, tokens(F.coalesce("embed_data", F.lit(""))).alias("words"))
+    lists = words.mapInArrow(run, "term string, doc_id string, block long, most int, ats array<int>, ns array<int>")
+    return lists.select("term", F.lit(segment).cast("long").alias("segment"), "doc_id", "block", "most", "ats", "ns")
+
+
+def chunk_hits(postings: DataFrame, *carry: str) -> DataFrame:
+    """postings -> carried columns, doc_id, embed_id, hits: a row for each posting."""
+    rows = postings.select(*carry, "doc_id", "block", F.explode(F.arrays_zip("ats", "ns")).alias("p"))
+    return rows.select(*carry, "doc_id", (F.col("block") + F.col("p.ats")).alias("embed_id"), F.col("p.ns").alias("hits"))
+
+
+def relisted(hits: DataFrame, segment: int) -> DataFrame:
+    """hits(term, doc_id, embed_id, hits) of any segments -> rows of POSTINGS, a run of a document a block."""
+    block = F.floor(F.col("embed_id") / F.lit(RUN)) * RUN
+    lists = hits.groupBy("term", "doc_id", block.alias("block")).agg(F.max("hits").alias("most"), F.sort_array(F.collect_list(F.struct("embed_id", "hits"))).alias("l"))
+    ats = F.transform("l", lambda x: (x["embed_id"] - F.col("block")).cast("int"))
+    return lists.select("term", F.lit(segment).cast("long").alias("segment"), "doc_id", "block", "most", ats.alias("ats"), F.col("l.hits").alias("ns"))
 
 
 def of_terms(postings: DataFrame, terms: list[str], layout: Layout) -> DataFrame:
@@ -71,9 +109,9 @@ def of_terms(postings: DataFrame, terms: list[str], layout: Layout) -> DataFrame
 
 
 def _scored(blocks: DataFrame, asked: DataFrame, postings: DataFrame, gone: DataFrame | None, within: DataFrame | None = None) -> DataFrame:
-    """blocks(qid, segment, block) -> qid, doc_id, embed_id, n_terms, hits of the chunks in them that hold a term of the query."""
-    rows = postings.join(F.broadcast(asked), ["shelf", "term"]).join(blocks, ["qid", "segment", "block"])
-    held = rows.select("qid", "segment", F.inline("postings"))
+    """blocks(qid, segment, doc_id, block) -> qid, doc_id, embed_id, n_terms, hits of the chunks in them that hold a term of the query."""
+    rows = postings.join(F.broadcast(asked), ["shelf", "term"]).join(blocks, ["qid", *BLOCK])
+    held = chunk_hits(rows, "qid", "segment")
     if within is not None:
         held = held.join(within.select("doc_id").distinct(), "doc_id", "left_semi")
     if gone is not None:
@@ -101,26 +139,26 @@ def top_chunks(postings: DataFrame, gone: DataFrame | None, queries: dict[int, l
     A list of queries comes with the request and is as long as that; it is broadcast.
     """
     asked, rows = asked_terms(postings, queries, layout)
-    reach = rows.select("shelf", "term", "segment", "block", "most").join(F.broadcast(asked), ["shelf", "term"])
-    bounds = reach.groupBy("qid", "segment", "block").agg(F.count("*").alias("can_terms"), F.sum("most").alias("can_hits"))
-    order = Window.partitionBy("qid").orderBy(F.desc("can_terms"), F.desc("can_hits"), "segment", "block")
+    reach = rows.select("shelf", "term", *BLOCK, "most").join(F.broadcast(asked), ["shelf", "term"])
+    bounds = reach.groupBy("qid", *BLOCK).agg(F.count("*").alias("can_terms"), F.sum("most").alias("can_hits"))
+    order = Window.partitionBy("qid").orderBy(F.desc("can_terms"), F.desc("can_hits"), *BLOCK)
     first = bounds.withColumn("place", F.row_number().over(order)).where(F.col("place") <= seeds)
-    sure = _best(_scored(first.select("qid", "segment", "block"), asked, rows, gone, within), k).where(F.col("rank") == k)
+    sure = _best(_scored(first.select("qid", *BLOCK), asked, rows, gone, within), k).where(F.col("rank") == k)
     least = sure.select(F.col("qid").alias("of"), F.col("n_terms").alias("least_terms"), F.col("hits").alias("least_hits"))
     # A row a query; a block that can just tie stays, since its chunks may have smaller ids.
     open_ = bounds.join(F.broadcast(least), F.col("qid") == F.col("of"), "left")
     reaches = F.col("of").isNull() | (F.col("can_terms") > F.col("least_terms")) | ((F.col("can_terms") == F.col("least_terms")) & (F.col("can_hits") >= F.col("least_hits")))
-    found = _scored(open_.where(reaches).select("qid", "segment", "block"), asked, rows, gone, within)
+    found = _scored(open_.where(reaches).select("qid", *BLOCK), asked, rows, gone, within)
     return _best(found, k).select("qid", *KEYS, "n_terms", "hits", "rank")
 
 
 def open_blocks(postings: DataFrame, gone: DataFrame | None, queries: dict[int, list[str]], k: int, layout: Layout, seeds: int = SEEDS) -> tuple[int, int]:
     """(blocks that top_chunks() evaluates, blocks that hold a term), summed over the queries: for figures and tests."""
     asked, rows = asked_terms(postings, queries, layout)
-    bounds = rows.join(F.broadcast(asked), ["shelf", "term"]).groupBy("qid", "segment", "block").agg(F.count("*").alias("can_terms"), F.sum("most").alias("can_hits"))
-    order = Window.partitionBy("qid").orderBy(F.desc("can_terms"), F.desc("can_hits"), "segment", "block")
+    bounds = rows.join(F.broadcast(asked), ["shelf", "term"]).groupBy("qid", *BLOCK).agg(F.count("*").alias("can_terms"), F.sum("most").alias("can_hits"))
+    order = Window.partitionBy("qid").orderBy(F.desc("can_terms"), F.desc("can_hits"), *BLOCK)
     first = bounds.withColumn("place", F.row_number().over(order)).where(F.col("place") <= seeds)
-    least = {r.qid: (r.n_terms, r.hits) for r in _best(_scored(first.select("qid", "segment", "block"), asked, rows, gone), k).where(F.col("rank") == k).collect()}
+    least = {r.qid: (r.n_terms, r.hits) for r in _best(_scored(first.select("qid", *BLOCK), asked, rows, gone), k).where(F.col("rank") == k).collect()}
     every = bounds.collect()
     return sum((r.can_terms, r.can_hits) >= least.get(r.qid, (0, 0)) for r in every), len(every)
 
@@ -128,4 +166,4 @@ def open_blocks(postings: DataFrame, gone: DataFrame | None, queries: dict[int,
 def holding_any(postings: DataFrame, gone: DataFrame | None, terms: list[str], layout: Layout) -> DataFrame:
     """The full-text predicate: doc_id, embed_id, n_terms, hits of every chunk that holds any of the terms."""
     asked, rows = asked_terms(postings, {0: terms}, layout)
-    return _scored(rows.select(F.lit(0).cast("long").alias("qid"), "segment", "block").distinct(), asked, rows, gone).drop("qid")
+    return _scored(rows.select(F.lit(0).cast("long").alias("qid"), *BLOCK).distinct(), asked, rows, gone).drop("qid")

@@ -20,6 +20,8 @@ from findloom.sources.snapshots import Layout, Tables
 from findloom.streaming.index_upkeep import TextIndex
 
 TERM_SHELVES = 32
+#: To be raised when what is stored, or the views that it is stored of, change: older stores are then left alone.
+FORMAT = 2
 #: Chunks with the norms of their vectors, which a search then need not make.
 CHUNKS = T.StructType(
     [T.StructField(n, k) for n, k in (("doc_id", T.StringType()), ("embed_id", T.LongType()), ("embed_data", T.StringType()), ("embed_vector", VECTOR), ("embed_norm", T.DoubleType()))]
@@ -71,7 +73,7 @@ def _once(spark: SparkSession, sf_dir: str, kind: str, make: Callable[[str], obj
     """The folder that make() filled for this kind and this state of the input files, now or before."""
     state = fingerprint(spark, *(f"{sf_dir}/{t}.parquet" for t in ("documents", "embeddings", "pages")))
     done = Files(spark, f"{shared_dir(spark)}/findloom-stores")
-    name = f"{kind}-{state}.txt"
+    name = f"{kind}-{FORMAT}-{state}.txt"
     if name not in done.names():
         folder = new_path(spark, kind)
         make(folder)

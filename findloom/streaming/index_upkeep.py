@@ -62,12 +62,12 @@ class TextIndex:
     def build(self, chunks: DataFrame) -> int:
         """The first segment, of all chunks there are."""
         n = chunks.count()
-        return self.tables.change().append("postings", postings.indexed(chunks, 0, n)).note(segments={"0": n}, batch=-1).commit()
+        return self.tables.change().append("postings", postings.indexed(chunks, 0)).note(segments={"0": n}, batch=-1).commit()
 
     def _whole_documents(self, changes: DataFrame) -> DataFrame:
         """(doc_id, embed_id) of the indexed chunks of documents that are deleted whole."""
         docs = changes.where("op = 'delete' and embed_id is null").select("doc_id").distinct()
-        return self.rows().select(F.inline("postings")).join(docs, "doc_id", "left_semi").select(*postings.KEYS).distinct()
+        return postings.chunk_hits(self.rows().join(docs, "doc_id", "left_semi")).select(*postings.KEYS).distinct()
 
     def apply(self, changes: DataFrame, batch: int) -> int | None:
         """One batch of changes as a segment; None if it has been applied."""
@@ -86,7 +86,7 @@ class TextIndex:
         change.append("gone", ended.select(*postings.KEYS, F.lit(segment).cast("long").alias("since")))
         segments = dict(meta.get("segments", {}))
         if n:
-            change.append("postings", postings.indexed(alive, segment, n))
+            change.append("postings", postings.indexed(alive, segment))
             segments[str(segment)] = n
         return change.note(batch=batch, segments=segments, next=segment + 1).commit()
 
@@ -107,7 +107,7 @@ class TextIndex:
         change = self.tables.change()
         meta, newest = change.state["meta"], max(own)
         rows = self.rows().where(F.col("segment").isin(own))
-        held = rows.select("term", "segment", F.inline("postings"))
+        held = postings.chunk_hits(rows, "term", "segment")
         gone = self.gone()
         if gone is not None:
             later = gone.groupBy(*postings.KEYS).agg(F.max("since").alias("since"))
@@ -115,10 +115,8 @@ class TextIndex:
             held = held.join(later, postings.KEYS, "left").where("since is null or segment >= since").drop("since")
         held = written(held, "index-merge")
         n = held.select(*postings.KEYS).distinct().count()
-        blocks = max(1, math.ceil(n / postings.BLOCK))
-        lists = postings.in_lists(held.withColumn("block", postings.block_of(blocks)), newest)
         change.delete("postings", rows.select("segment").distinct(), ["segment"])
-        change.append("postings", lists)
+        change.append("postings", postings.relisted(held, newest))
         segments = {k: v for k, v in meta["segments"].items() if int(k) not in own}
         if n:
             segments[str(newest)] = n
