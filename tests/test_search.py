@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from findloom.model import SearchRequest
 from findloom.operators import images, knn, mutation, neighbours, ranking, search
+from findloom.sources import store, views
 
 
 @pytest.fixture(scope="module")
@@ -132,3 +133,43 @@ def test_held_terms_are_whole_tokens(spark):
         plain = F.filter(ranking.tokens(F.col("t")), lambda t: F.array_contains(wanted, t))
         got = rows.select(F.coalesce(ranking.held_terms(F.col("t"), terms), F.array().cast("array<string>")).alias("a"), F.coalesce(plain, F.array().cast("array<string>")).alias("b"))
         assert all(r.a == r.b for r in got.collect())
+
+
+class TestStoredSearch:
+    """Searches over the store give what searches over plain views give, and read less."""
+
+    @pytest.mark.parametrize("more", [{}, {"doc_ids": ["doc_3", "doc_14", "doc_15", "doc_40"]}, {"metadata": "lang=fr"}, {"doc_ids": [f"doc_{k}" for k in range(0, 400, 2)], "extend_first": 2}])
+    def test_same_as_views(self, spark, sf_dir, more):
+        request = SearchRequest(vectors=[[0.0]], terms=["the", "and", "la"], threshold=0.95, extend_around=2, text_search=True, **more)
+        asked = views.query_vectors(spark, sf_dir, [7, 77]).withColumn("qid", F.when(F.col("qid") == 7, 0).otherwise(F.col("qid")))
+        collection = views.collection(spark, sf_dir)
+        plain = search.search(views.embedding(spark, sf_dir), collection, request, asked)
+        stored = search.search(store.chunks_of_views(spark, sf_dir).read("embedding"), collection, request, asked, index=store.index_of_views(spark, sf_dir))
+        rows = [sorted(map(tuple, r.collect())) for r in (plain, stored)]
+        assert rows[0] == rows[1] and rows[0]
+
+    def test_chunks_never_move_and_other_shelves_stay_unread(self, spark, sf_dir):
+        from findloom.plans.queries import QUERIES
+
+        found = QUERIES["merge_adjacent_chunks"](spark, sf_dir)
+        found.collect()
+        plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        scan = next(line for line in plan.split("\n") if "FileScan parquet" in line and "embed_data" in line)
+        assert "dynamicpruning" in scan.lower()
+        # From the scan of texts up to its join with the hits there is no exchange of its side.
+        lines = plan.split("\n")
+        at = lines.index(scan)
+        depth = lambda line: len(line) - len(line.lstrip(" :+-"))
+        above, level = [], depth(scan)
+        for line in reversed(lines[:at]):
+            if depth(line) < level:
+                level = depth(line)
+                above.append(line)
+        join = next(k for k, line in enumerate(above) if "BroadcastHashJoin" in line)
+        assert not any("Exchange" in line for line in above[:join])
+
+    def test_the_text_arm_reads_no_text(self, spark, sf_dir):
+        from findloom.plans.queries import QUERIES
+
+        plan = QUERIES["text_search_accum"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+        assert "embed_data" not in plan and "text#" not in plan
