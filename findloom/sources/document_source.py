@@ -20,6 +20,7 @@ Filters are taken where spark.sql.python.filterPushdown.enabled is set.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -215,6 +216,9 @@ class _StreamReader(_Ranges, DataSourceStreamReader):
 class _Writer(DataSourceWriter):
     def __init__(self, path: str, keys: list[str]):
         self.path, self.keys, self.job = path, keys, f"job-{uuid.uuid4().hex}"
+        # Made before any task runs and by none of them: once abort() has removed it, a task that still runs can open no file.
+        folder = _Folder(path)
+        folder.fs.create_dir(f"{folder.root}/{self.job}", recursive=True)
 
     def write(self, iterator: Iterator[T.Row]) -> Written:
         folder, done = _Folder(self.path), Written()
@@ -228,7 +232,6 @@ class _Writer(DataSourceWriter):
 
         for row in iterator:
             if out is None:
-                folder.fs.create_dir(f"{folder.root}/{self.job}", recursive=True)
                 name = f"{self.job}/{uuid.uuid4().hex}.jsonl"
                 out, size, values = folder.fs.open_output_stream(f"{folder.root}/{name}", compression=None), 0, {k: set() for k in self.keys}
             line = json.dumps(list(row), ensure_ascii=False).encode() + b"\n"
@@ -250,7 +253,7 @@ class _Writer(DataSourceWriter):
         folder = _Folder(self.path)
         files = [f for m in messages if m for f in m.files]
         if not files:
-            return
+            return self.abort(messages)
         folder.fs.create_dir(f"{folder.root}/_commits", recursive=True)
         # The job's name breaks the tie of two jobs that commit at once: both entries count, in one order for all readers.
         target = f"{folder.root}/_commits/{len(folder.commits()):012d}-{self.job}.json"
@@ -261,5 +264,10 @@ class _Writer(DataSourceWriter):
 
     def abort(self, messages: list[Written | None]) -> None:
         folder = _Folder(self.path)
-        if folder.fs.get_file_info(f"{folder.root}/{self.job}").type == pafs.FileType.Directory:
-            folder.fs.delete_dir(f"{folder.root}/{self.job}")
+        for _ in range(20):
+            if folder.fs.get_file_info(f"{folder.root}/{self.job}").type != pafs.FileType.Directory:
+                return
+            try:
+                folder.fs.delete_dir(f"{folder.root}/{self.job}")
+            except OSError:
+                time.sleep(0.1)  # a task has just put a file there
