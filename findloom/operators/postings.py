@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -31,7 +32,9 @@ from pyspark.sql import types as T
 from findloom.operators.ranking import tokens, valid_terms
 from findloom.sources.snapshots import Layout
 
-RUN, SEEDS, ROWS = 64, 8, 50_000
+RUN, SEEDS = 64, 8
+#: Chunks whose postings a task and shelf lays out, about.
+SALT_CHUNKS = 4_000_000
 KEYS, BLOCK = ["doc_id", "embed_id"], ["segment", "doc_id", "block"]
 _field = lambda name, kind: T.StructField(name, kind)
 #: block is the embed_id that a block's chunks are counted from: chunk block + ats[k] has ns[k] hits.
@@ -47,40 +50,64 @@ def layouts(shelves: int) -> dict[str, Layout]:
     return {"postings": Layout(POSTINGS, ("term", *BLOCK), shelves), "gone": Layout(GONE)}
 
 
-def _posted(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """batch(doc_id, embed_id, words) -> its postings. Chunks of one document and run in one batch are a block."""
+def _posted(batch: pa.RecordBatch, shelves: int) -> tuple[pa.RecordBatch, np.ndarray]:
+    """batch(doc_id, embed_id, words) -> (its postings by shelf and term, where each shelf begins). Chunks of one document and run in one batch are a block."""
     doc, embed, words = batch.column(0).dictionary_encode(), batch.column(1).to_numpy(), batch.column(2)
     _, group = np.unique(np.stack((doc.indices.to_numpy(), embed // RUN)), axis=1, return_inverse=True)
     first = np.full(group.max() + 1, np.iinfo(np.int64).max)
     np.minimum.at(first, group, embed)
     terms = words.flatten().dictionary_encode()
     known = max(1, len(terms.dictionary))
+    # As Layout.shelf() has it.
+    shelf = np.array([xxhash.xxh64_intdigest(t, 42) for t in terms.dictionary.to_pylist()], np.uint64).astype(np.int64) % shelves
     in_chunk, hits = np.unique(np.repeat(np.arange(len(embed)), words.value_lengths().to_numpy()) * known + terms.indices.to_numpy(), return_counts=True)
     chunk, term = in_chunk // known, in_chunk % known
-    key = group[chunk] * known + term
-    order = np.lexsort((embed[chunk], key))
-    chunk, term, key, hits = chunk[order], term[order], key[order], hits[order].astype(np.int32)
-    starts = np.flatnonzero(np.diff(key, prepend=-1))
+    order = np.lexsort((embed[chunk], group[chunk], term, shelf[term]))
+    chunk, term, hits = chunk[order], term[order], hits[order].astype(np.int32)
+    starts = np.flatnonzero(np.diff(term, prepend=-1) | np.diff(group[chunk], prepend=-1)) if len(term) else np.zeros(0, np.int64)
     ats = (embed[chunk] - first[group[chunk]]).astype(np.int32)
-    for k in range(0, len(starts), ROWS):
-        own = starts[k : k + ROWS]
-        low, high = own[0], starts[k + ROWS] if k + ROWS < len(starts) else len(key)
-        bounds = pa.array(np.append(own, high) - low, pa.int32())
-        columns = [terms.dictionary.take(pa.array(term[own])), batch.column(0).take(pa.array(chunk[own])), pa.array(first[group[chunk[own]]]), pa.array(np.maximum.reduceat(hits[low:high], own - low))]
-        columns += [pa.ListArray.from_arrays(bounds, pa.array(x[low:high])) for x in (ats, hits)]
-        yield pa.RecordBatch.from_arrays(columns, ["term", "doc_id", "block", "most", "ats", "ns"])
+    most = np.maximum.reduceat(hits, starts) if len(starts) else hits
+    bounds = pa.array(np.append(starts, len(hits)), pa.int32())
+    columns = [terms.dictionary.take(pa.array(term[starts])), batch.column(0).take(pa.array(chunk[starts])), pa.array(first[group[chunk[starts]]]), pa.array(most)]
+    rows = pa.RecordBatch.from_arrays([*columns, *(pa.ListArray.from_arrays(bounds, pa.array(x)) for x in (ats, hits))], LISTS)
+    return rows, np.searchsorted(shelf[term[starts]], np.arange(shelves + 1))
 
 
-def indexed(chunks: DataFrame, segment: int) -> DataFrame:
-    """chunks(doc_id, embed_id, embed_data) -> rows of POSTINGS."""
+LISTS = ["term", "doc_id", "block", "most", "ats", "ns"]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _packed(rows: pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_batch(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def indexed(chunks: DataFrame, segment: int, shelves: int, salts: int = 1) -> DataFrame:
+    """chunks(doc_id, embed_id, embed_data) -> rows of POSTINGS, in tasks by shelf and salt.
+
+    What is shuffled are the lists of a batch and shelf as one compressed table: a few bytes a posting, where rows would take dozens.
+    A shelf that a very frequent term fills is dealt to `salts` tasks.
+    """
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows, bounds = _posted(batch, shelves)
+            held = np.flatnonzero(np.diff(bounds))
+            salt = xxhash.xxh64_intdigest(f"{batch.column(0)[0]} {batch.column(1)[0]}") % salts
+            blobs = [_packed(rows.slice(bounds[k], bounds[k + 1] - bounds[k])) for k in held.tolist()]
+            yield pa.RecordBatch.from_arrays([pa.array(held, pa.int32()), pa.array([salt] * len(held), pa.int32()), pa.array(blobs, pa.binary())], ["shelf", "salt", "lists"])
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                yield from _posted(batch)
+            for blob in batch.column(2):
+                yield from pa.ipc.open_stream(blob.as_buffer())
 
     words = chunks.where("doc_id is not null and embed_id is not null").select(*KEYS, tokens(F.coalesce("embed_data", F.lit(""))).alias("words"))
-    lists = words.mapInArrow(run, "term string, doc_id string, block long, most int, ats array<int>, ns array<int>")
+    packed = words.mapInArrow(pack, "shelf int, salt int, lists binary").repartition("shelf", "salt")
+    lists = packed.mapInArrow(unpack, "term string, doc_id string, block long, most int, ats array<int>, ns array<int>")
     return lists.select("term", F.lit(segment).cast("long").alias("segment"), "doc_id", "block", "most", "ats", "ns")
 
 

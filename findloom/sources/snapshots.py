@@ -182,8 +182,8 @@ class Change:
         self.dropped: dict[str, set[str]] = {}
         self.meta: dict = {}
 
-    def append(self, name: str, rows: DataFrame) -> Change:
-        """rows as new files of a table."""
+    def append(self, name: str, rows: DataFrame, laid: bool = False) -> Change:
+        """rows as new files of a table; laid: tasks already hold few shelves each, so rows stay in theirs."""
         layout, spark = self.tables.layouts[name], self.tables.spark
         base = f"{self.tables.folder}/{name}"
         load = f"{base}/load={uuid.uuid4().hex}"
@@ -191,7 +191,8 @@ class Change:
         if layout.shelves:
             by = ["shelf", *layout.key]
             rows = rows.withColumn("shelf", layout.shelf(F.col(layout.key[0])))
-            rows.repartitionByRange(*by).sortWithinPartitions(*by).write.partitionBy("shelf").parquet(load)
+            dealt = rows if laid else rows.repartitionByRange(*by)
+            dealt.sortWithinPartitions(*by).write.partitionBy("shelf").parquet(load)
         else:
             rows.write.parquet(load)
         sizes = {p: n for p, n in Files(spark, load).sizes().items() if p.endswith(".parquet")}

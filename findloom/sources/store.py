@@ -21,7 +21,7 @@ from findloom.streaming.index_upkeep import TextIndex
 
 TERM_SHELVES = 32
 #: To be raised when what is stored, or the views that it is stored of, change: older stores are then left alone.
-FORMAT = 2
+FORMAT = 3
 #: Chunks with the norms of their vectors, which a search then need not make.
 CHUNKS = T.StructType(
     [T.StructField(n, k) for n, k in (("doc_id", T.StringType()), ("embed_id", T.LongType()), ("embed_data", T.StringType()), ("embed_vector", VECTOR), ("embed_norm", T.DoubleType()))]

@@ -43,6 +43,9 @@ class TextIndex:
         self.tables.clone(folder)
         return TextIndex(self.tables.spark, folder, self.layout.shelves)
 
+    def _laid(self, chunks: DataFrame, segment: int, n: int) -> DataFrame:
+        return postings.indexed(chunks, segment, self.layout.shelves, max(1, math.ceil(n / postings.SALT_CHUNKS)))
+
     def segments(self) -> dict[str, int]:
         """Number of a segment (as text, as JSON has it) -> its chunks."""
         return self.tables.meta().get("segments", {})
@@ -62,7 +65,7 @@ class TextIndex:
     def build(self, chunks: DataFrame) -> int:
         """The first segment, of all chunks there are."""
         n = chunks.count()
-        return self.tables.change().append("postings", postings.indexed(chunks, 0)).note(segments={"0": n}, batch=-1).commit()
+        return self.tables.change().append("postings", self._laid(chunks, 0, n), laid=True).note(segments={"0": n}, batch=-1).commit()
 
     def _whole_documents(self, changes: DataFrame) -> DataFrame:
         """(doc_id, embed_id) of the indexed chunks of documents that are deleted whole."""
@@ -86,7 +89,7 @@ class TextIndex:
         change.append("gone", ended.select(*postings.KEYS, F.lit(segment).cast("long").alias("since")))
         segments = dict(meta.get("segments", {}))
         if n:
-            change.append("postings", postings.indexed(alive, segment))
+            change.append("postings", self._laid(alive, segment, n), laid=True)
             segments[str(segment)] = n
         return change.note(batch=batch, segments=segments, next=segment + 1).commit()
 

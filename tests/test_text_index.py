@@ -1,8 +1,10 @@
 """The text index against counting tokens of every chunk: random term sets, segments, merges, crashes."""
 
 import re
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -186,3 +188,24 @@ class TestUpkeep:
         run()
         check(index, after)
         assert index_upkeep.FAN == 8
+
+
+def test_shelves_are_those_of_the_layout(spark):
+    """Python and the JVM put a term on one shelf."""
+    words = ["the", "été", "日本", "a" * 40, "x1", *(f"w{k}" for k in range(200))]
+    rows = postings.indexed(spark.createDataFrame([("d", 1, " ".join(words))], CHUNK), 0, 7)
+    layout = postings.layouts(7)["postings"]
+    own = {r.term: r.s for r in rows.select("term", layout.shelf(F.col("term")).alias("s")).collect()}
+    batch = pa.RecordBatch.from_pydict({"doc_id": ["d"], "embed_id": [1], "words": [words]})
+    made, bounds = postings._posted(batch, 7)
+    for shelf, (a, b) in enumerate(zip(bounds, bounds[1:])):
+        assert {own[t] for t in made.column(0).slice(a, b - a).to_pylist()} <= {shelf}
+    assert len(own) == len(words)
+
+
+@pytest.mark.parametrize("salts", [1, 3])
+def test_salts_lose_nothing(spark, salts):
+    chunks = spark.createDataFrame(random_chunks(np.random.default_rng(8), 400), CHUNK).repartition(5)
+    hits = postings.chunk_hits(postings.indexed(chunks, 0, 4, salts), "term").collect()
+    want = Counter((t, r.doc_id, r.embed_id) for r in chunks.collect() for t in re.split(r"[\W_]+", r.embed_data.lower()) if t)
+    assert {(r.term, r.doc_id, r.embed_id): r.hits for r in hits} == want and len(hits) == len(want)
