@@ -34,7 +34,7 @@ from findloom.sources.snapshots import Layout
 
 RUN, SEEDS = 64, 8
 #: Chunks whose postings a task and shelf lays out, about.
-SALT_CHUNKS = 4_000_000
+SALT_CHUNKS = 1_000_000
 KEYS, BLOCK = ["doc_id", "embed_id"], ["segment", "doc_id", "block"]
 _field = lambda name, kind: T.StructField(name, kind)
 #: block is the embed_id that a block's chunks are counted from: chunk block + ats[k] has ns[k] hits.
@@ -106,7 +106,7 @@ def indexed(chunks: DataFrame, segment: int, shelves: int, salts: int = 1) -> Da
                 yield from pa.ipc.open_stream(blob.as_buffer())
 
     words = chunks.where("doc_id is not null and embed_id is not null").select(*KEYS, tokens(F.coalesce("embed_data", F.lit(""))).alias("words"))
-    packed = words.mapInArrow(pack, "shelf int, salt int, lists binary").repartition("shelf", "salt")
+    packed = words.mapInArrow(pack, "shelf int, salt int, lists binary").repartitionById(shelves * salts, F.col("shelf") * salts + F.col("salt"))
     lists = packed.mapInArrow(unpack, "term string, doc_id string, block long, most int, ats array<int>, ns array<int>")
     return lists.select("term", F.lit(segment).cast("long").alias("segment"), "doc_id", "block", "most", "ats", "ns")
 

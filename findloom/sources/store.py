@@ -21,7 +21,9 @@ from findloom.streaming.index_upkeep import TextIndex
 
 TERM_SHELVES = 32
 #: To be raised when what is stored, or the views that it is stored of, change: older stores are then left alone.
-FORMAT = 3
+FORMAT = 4
+#: Files that a first load may write without sorting over the cluster.
+FEW_FILES = 2048
 #: Chunks with the norms of their vectors, which a search then need not make.
 CHUNKS = T.StructType(
     [T.StructField(n, k) for n, k in (("doc_id", T.StringType()), ("embed_id", T.LongType()), ("embed_data", T.StringType()), ("embed_vector", VECTOR), ("embed_norm", T.DoubleType()))]
@@ -39,14 +41,17 @@ def chunk_tables(spark: SparkSession, folder: str) -> Tables:
     return Tables(spark, folder, {"embedding": LAYOUTS["embedding"]})
 
 
-def filled_chunks(tables: Tables, embedding: DataFrame) -> Tables:
-    tables.change().append("embedding", knn.with_norms(embedding)).commit()
+def filled_chunks(tables: Tables, embedding: DataFrame, tasks: int | None = None) -> Tables:
+    """The first rows of a chunk table. Rows that few tasks make (`tasks`) are written as they lie, a file a task and shelf; those of many
+    are sorted over the cluster first, for files would be too many."""
+    laid = tasks is not None and tasks * CHUNK_SHELVES <= FEW_FILES
+    tables.change().append("embedding", knn.with_norms(embedding), laid=laid).commit()
     return tables
 
 
 def chunks_of_views(spark: SparkSession, sf_dir: str) -> Tables:
     """The chunk table of the fixture views: doc_id, embed_id, embed_data, embed_vector, embed_norm, shelf."""
-    folder = _once(spark, sf_dir, "chunks", lambda at: filled_chunks(chunk_tables(spark, at), views.embedding(spark, sf_dir)))
+    folder = _once(spark, sf_dir, "chunks", lambda at: filled_chunks(chunk_tables(spark, at), views.embedding(spark, sf_dir), _splits(spark, sf_dir)))
     return chunk_tables(spark, folder)
 
 
@@ -69,6 +74,10 @@ def collection_of_views(spark: SparkSession, sf_dir: str) -> Tables:
     return Tables(spark, _once(spark, sf_dir, "collection", make), LAYOUTS)
 
 
+def _splits(spark: SparkSession, sf_dir: str) -> int:
+    return views.table(spark, sf_dir, "documents").select("doc_id", "text").rdd.getNumPartitions()
+
+
 def _once(spark: SparkSession, sf_dir: str, kind: str, make: Callable[[str], object]) -> str:
     """The folder that make() filled for this kind and this state of the input files, now or before."""
     state = fingerprint(spark, *(f"{sf_dir}/{t}.parquet" for t in ("documents", "embeddings", "pages")))

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from findloom.model import DESCRIPTION_BASE, IMAGE_BASE, TEXT_BASE
 
 PER_DOC, CHUNK = 5, 320
+#: A table of vectors is broadcast if its numbers take no more than this.
+BROADCAST_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -43,9 +45,11 @@ def chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunks of every document to its end; chunk k of a document borrows the vector numbered PER_DOC * doc_id + k, counted round the vectors there are."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("embed_vector"))
-    chunks = _cut(spark, sf_dir)
-    number = F.pmod(F.col("doc_id") * PER_DOC + F.col("k"), F.lit(max(1, vectors.count())))
-    return chunks.withColumn("vec_id", number).join(vectors, "vec_id").select(
+    count, numbers = vectors.agg(F.count("*"), F.sum(F.size("embed_vector"))).first()
+    # Chunks need not move for a table of vectors that is known to be small.
+    few = F.broadcast(vectors) if 4 * (numbers or 0) <= BROADCAST_BYTES else vectors
+    number = F.pmod(F.col("doc_id") * PER_DOC + F.col("k"), F.lit(max(1, count)))
+    return _cut(spark, sf_dir).withColumn("vec_id", number).join(few, "vec_id").select(
         doc_name(F.col("doc_id")).alias("doc_id"), (F.col("k").cast("long") + TEXT_BASE + 1).alias("embed_id"), "embed_data", "embed_vector"
     )
 
