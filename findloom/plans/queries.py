@@ -40,7 +40,8 @@ def document_source_filtered(spark: SparkSession, d: str) -> DataFrame:
     """The collection written through the document source, and read back by metadata."""
     folder = new_path(spark, "documents")
     rows = views.collection(spark, d)
-    document_source.write(rows.repartition(8, F.get_json_object("cmetadata", "$.lang")), folder, "lang,source")
+    # Salted, since a language may hold most documents.
+    document_source.write(rows.repartition(64, F.get_json_object("cmetadata", "$.lang"), F.pmod(F.xxhash64("id"), F.lit(16))), folder, "lang,source")
     found = document_source.read(spark, folder, "lang,source").where("lang in ('fr', 'de')")
     return found.select("id", "lang", "source", F.md5("data").alias("data_md5"))
 
