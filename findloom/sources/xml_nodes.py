@@ -25,6 +25,7 @@ from xml.parsers import expat
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from findloom.model import FIXED_DELIMITER
 from findloom.sources.shared import written
@@ -83,23 +84,24 @@ def parsed(text: str) -> list[tuple]:
 
 
 def nodes_of(docs: DataFrame) -> DataFrame:
-    """docs(row, text) -> a row for each element, as NODE says."""
+    """docs(doc_id, text) -> a row for each element, as NODE says, with the doc_id; row numbers the documents."""
+    kind = docs.schema["doc_id"].dataType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pair = pa.struct([("name", pa.string()), ("value", pa.string())])
-        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.string(), pa.string(), pa.list_(pair)]
-        names = ["row", "start", "end", "level", "parent", "ancestors", "tag", "text", "attributes"]
+        kinds = [to_arrow_type(kind), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.int32()), pa.string(), pa.string(), pa.list_(pair)]
+        names = ["doc_id", "row", "start", "end", "level", "parent", "ancestors", "tag", "text", "attributes"]
         for batch in batches:
-            for row, text in zip(*(c.to_pylist() for c in batch.columns)):
+            for doc_id, row, text in zip(*(c.to_pylist() for c in batch.columns)):
                 try:
                     nodes = parsed(text or "")
                 except expat.ExpatError:
                     continue
                 for at in range(0, len(nodes), ROWS):
-                    part = [(row, *n[:7], [dict(zip(("name", "value"), a)) for a in n[7]]) for n in nodes[at : at + ROWS]]
+                    part = [(doc_id, row, *n[:7], [dict(zip(("name", "value"), a)) for a in n[7]]) for n in nodes[at : at + ROWS]]
                     yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*part), kinds)], names)
 
-    return docs.select("row", "text").mapInArrow(run, NODE)
+    return docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text").mapInArrow(run, f"doc_id {kind.simpleString()}, {NODE}")
 
 
 def _entries(text_first: bool) -> Column:
@@ -110,12 +112,6 @@ def _entries(text_first: bool) -> Column:
     return F.transform(both, lambda e, i: F.struct(i.alias("i"), e["key"].alias("key"), e["value"].alias("value")))
 
 
-def _told(nodes: DataFrame, part: int, order: Column, text_first: bool = True) -> DataFrame:
-    """nodes(row, record, ...) -> row, record, part, order, key, value."""
-    rows = nodes.select("row", "record", order.alias("own"), F.explode(_entries(text_first)).alias("e"))
-    return rows.select("row", "record", F.lit(part).alias("part"), F.struct(F.col("own"), F.col("e.i").alias("i")).alias("order"), "e.key", "e.value")
-
-
 def _constants(records: DataFrame, part: int, pairs: dict[str, str]) -> DataFrame:
     made = F.array(*(F.struct(F.struct(F.lit(k).alias("own"), F.lit(0).alias("i")).alias("order"), F.lit(key).alias("key"), F.lit(value).alias("value")) for k, (key, value) in enumerate(pairs.items())))
     return records.select("row", "record", F.explode(made).alias("e")).select("row", "record", F.lit(part).alias("part"), "e.order", "e.key", "e.value")
@@ -126,50 +122,62 @@ def _json(text: Column) -> Column:
 
 
 class _Records:
+    """Joins on numbers and tags say which element is what in which record; texts and attributes are looked up once, at the end."""
+
     def __init__(self, nodes: DataFrame, rules: XmlRules):
         self.rules, self.nodes = rules, nodes
         self.prefix, self.suffix, self.everywhere = _names(rules.prefix), _names(rules.suffix), _names(rules.everywhere)
         self.fixed, self.renamed = _pairs(rules.fixed), _pairs(rules.renamed)
         main = rules.main.strip()
         self.main = main or "text"
+        self.slim = nodes.select("row", "start", "level", "parent", "ancestors", "tag", (F.col("text") != "").alias("said"))
         is_main = (F.col("tag") == main) & (F.col("level") > 0) if main else F.col("level") == 1
-        mains = nodes.where(is_main).withColumn("number", F.row_number().over(Window.partitionBy("row").orderBy("start")))
+        mains = self.slim.where(is_main).withColumn("number", F.row_number().over(Window.partitionBy("row").orderBy("start")))
         self.mains = written(mains.select("row", "start", "parent", "number"), "xml-mains")
         self.parents = self.mains.groupBy("row", "parent").agg(F.min("number").alias("rank"))
-        marked = nodes.join(self.parents, ["row", "parent"]).join(self.mains.select("row", "start", "number"), ["row", "start"], "left")
-        self.children = marked
+        children = self.slim.join(self.parents, ["row", "parent"]).join(self.mains.select("row", "start", "number"), ["row", "start"], "left")
+        self.children = children.select("row", "parent", "start", "tag", "said", "rank", "number")
+
+    def _told(self, assigned: list[DataFrame]) -> DataFrame:
+        """assigned(row, start, record, part, own) -> row, record, part, order, key, value of what those elements say; own orders them."""
+        places = reduce(DataFrame.unionByName, [a.select("row", "start", F.col("record").cast("long").alias("record"), "part", F.col("own").cast("long").alias("own")) for a in assigned])
+        rows = places.join(self.nodes.select("row", "start", "tag", "text", "attributes"), ["row", "start"])
+        if self.rules.merge:
+            own = F.array(F.struct(F.lit(0).alias("i"), F.lit(self.main).alias("key"), F.col("text").alias("value")))
+        else:
+            own = _entries(text_first=False)
+        entries = rows.select("row", "record", "part", "own", F.explode(F.when(F.col("part") == MAIN, own).otherwise(_entries(text_first=True))).alias("e"))
+        return entries.select("row", "record", "part", F.struct("own", F.col("e.i").alias("i")).alias("order"), "e.key", "e.value")
 
     def _anywhere(self, records: DataFrame) -> DataFrame | None:
         """Tags below a parent, for each of records(row, record, parent): the last value of a key."""
         if not self.everywhere:
             return None
-        place = F.array_position(F.array(*map(F.lit, self.everywhere)), F.col("tag")).cast("int")
-        below = self.nodes.where(F.col("tag").isin(self.everywhere)).select("*", F.explode("ancestors").alias("of")).drop("parent")
-        under = below.join(self.parents.select("row", F.col("parent").alias("of")), ["row", "of"]).withColumn("record", F.col("of"))
-        told = _told(under, ANYWHERE, F.struct(place.alias("tag"), F.col("start"))).withColumnRenamed("record", "of")
+        place = F.array_position(F.array(*map(F.lit, self.everywhere)), F.col("tag"))
+        below = self.slim.where(F.col("tag").isin(self.everywhere)).select("row", "start", "tag", F.explode("ancestors").alias("of"))
+        under = below.join(self.parents.select("row", F.col("parent").alias("of")), ["row", "of"])
+        told = self._told([under.select("row", "start", F.col("of").alias("record"), F.lit(ANYWHERE).alias("part"), (place * F.lit(1 << 40) + F.col("start")).alias("own"))])
         # One value a key and parent, before it goes to each of the parent's records.
-        last = told.groupBy("row", "of", "part", "key").agg(F.min("order").alias("order"), F.max_by("value", "order").alias("value"))
-        own = records.select("row", "record", F.col("parent").alias("of")).join(last, ["row", "of"])
-        by_place = F.struct((F.col("order.own.tag") * F.lit(1 << 40) + F.col("order.own.start")).alias("own"), F.col("order.i").alias("i"))
-        return own.select("row", "record", "part", by_place.alias("order"), "key", "value")
+        last = told.groupBy("row", F.col("record").alias("of"), "part", "key").agg(F.min("order").alias("order"), F.max_by("value", "order").alias("value"))
+        own = records.select("row", F.col("record").cast("long").alias("record"), F.col("parent").cast("long").alias("of")).join(last, ["row", "of"])
+        return own.select("row", "record", "part", "order", "key", "value")
 
     def single(self) -> DataFrame:
-        """row, rank, record, then key, value: a record for each main element."""
+        """A record for each main element."""
         beside = Window.partitionBy("row", "parent").orderBy("start")
-        own = F.col("number")
+        number = F.col("number")
         seen = self.children.withColumns({
-            "next": F.first(own, ignorenulls=True).over(beside.rowsBetween(1, Window.unboundedFollowing)),
-            "previous": F.last(own, ignorenulls=True).over(beside.rowsBetween(Window.unboundedPreceding, -1)),
+            "next": F.first(number, ignorenulls=True).over(beside.rowsBetween(1, Window.unboundedFollowing)),
+            "previous": F.last(number, ignorenulls=True).over(beside.rowsBetween(Window.unboundedPreceding, -1)),
         })
-        others = seen.where("number is null and next is not null")
-        before = others.where(F.col("tag").isin(self.prefix)).withColumn("record", F.col("next"))
-        after = others.where(F.col("tag").isin(self.suffix) & F.col("previous").isNotNull()).withColumn("record", F.col("previous"))
-        within = self.nodes.select("*", F.explode(F.array_append("ancestors", F.col("start"))).alias("of"))
-        within = within.join(self.mains.select("row", F.col("start").alias("of"), F.col("number").alias("record")), ["row", "of"])
-        records = self.mains.join(self.parents, ["row", "parent"]).select("row", "parent", "rank", F.col("number").alias("record"))
-        start = F.col("start").cast("long")
+        others = seen.where("number is null and next is not null").withColumn("own", F.col("start"))
+        before = others.where(F.col("tag").isin(self.prefix)).withColumns({"record": F.col("next"), "part": F.lit(BEFORE)})
+        after = others.where(F.col("tag").isin(self.suffix) & F.col("previous").isNotNull()).withColumns({"record": F.col("previous"), "part": F.lit(AFTER)})
+        within = self.slim.select("row", "start", F.explode(F.array_append("ancestors", F.col("start"))).alias("of"))
+        within = within.join(self.mains.select("row", F.col("start").alias("of"), F.col("number").alias("record")), ["row", "of"]).withColumns({"own": F.col("start"), "part": F.lit(MAIN)})
+        records = self.mains.join(self.parents, ["row", "parent"]).select("row", "parent", "rank", number.alias("record"))
         ids = records.select("row", "record", F.lit(ID).alias("part"), F.struct(F.lit(0).cast("long").alias("own"), F.lit(0).alias("i")).alias("order"), F.lit("id").alias("key"), F.col("record").cast("string").alias("value"))
-        told = [ids, self._anywhere(records), _told(before, BEFORE, start), _told(within, MAIN, start, text_first=False), _told(after, AFTER, start)]
+        told = [ids, self._anywhere(records), self._told([before, within, after])]
         if self.fixed:
             told += [_constants(records, FIXED, self.fixed), _constants(records, LAST, self.fixed)]
         return self._lines(told, records.select("row", "record", "rank"))
@@ -178,33 +186,33 @@ class _Records:
         """A record for each run of main elements."""
         beside = Window.partitionBy("row", "parent").orderBy("start")
         kind = F.when(F.col("number").isNotNull(), MAIN).when(F.col("tag").isin(self.prefix), BEFORE).when(F.col("tag").isin(self.suffix), AFTER)
-        events = self.children.where("text <> ''").withColumn("kind", kind).where("kind is not null")
-        earlier = F.last(F.when(F.col("kind") != AFTER, F.col("kind")), ignorenulls=True).over(beside.rowsBetween(Window.unboundedPreceding, -1))
-        ends = ((F.col("kind") == BEFORE) & F.coalesce(earlier == MAIN, F.lit(False))).cast("int")
+        events = self.children.where("said").withColumn("part", kind).where("part is not null")
+        earlier = F.last(F.when(F.col("part") != AFTER, F.col("part")), ignorenulls=True).over(beside.rowsBetween(Window.unboundedPreceding, -1))
+        ends = ((F.col("part") == BEFORE) & F.coalesce(earlier == MAIN, F.lit(False))).cast("int")
         runs = events.withColumn("ends", ends).withColumn("run", F.sum("ends").over(beside))
-        held = runs.where(F.col("kind") == MAIN).select("row", "parent", "rank", "run").distinct()
+        held = runs.where(F.col("part") == MAIN).select("row", "parent", "rank", "run").distinct()
         records = held.withColumn("record", F.row_number().over(Window.partitionBy("row").orderBy("rank", "run")))
-        own = runs.join(records.select("row", "parent", "run", "record"), ["row", "parent", "run"])
-        start = F.col("start").cast("long")
-        texts = own.where(F.col("kind") == MAIN).select("row", "record", F.lit(MAIN).alias("part"), F.struct(start.alias("own"), F.lit(0).alias("i")).alias("order"), F.lit(self.main).alias("key"), F.col("text").alias("value"))
-        told = [self._anywhere(records), _told(own.where(F.col("kind") == BEFORE), BEFORE, start), texts, _told(own.where(F.col("kind") == AFTER), AFTER, start)]
+        own = runs.join(records.select("row", "parent", "run", "record"), ["row", "parent", "run"]).withColumn("own", F.col("start"))
+        told = [self._anywhere(records), self._told([own])]
         if self.fixed:
             told.append(_constants(records, FIXED, self.fixed))
         return self._lines(told, records.select("row", "record", F.lit(0).alias("rank")), numbered=True)
 
     def _lines(self, told: list[DataFrame | None], records: DataFrame, numbered: bool = False) -> DataFrame:
         """row, pos, line: entries folded to a value a key, keys in order of first appearance."""
-        order = "struct<own:bigint,i:int>"
-        every = reduce(DataFrame.unionByName, [t.withColumn("order", F.col("order").cast(order)) for t in told if t is not None])
+        shape = lambda t: t.select("row", F.col("record").cast("long").alias("record"), "part", F.col("order").cast("struct<own:bigint,i:int>").alias("order"), "key", "value")
+        # Dealt by record once: all that follows is within records.
+        every = reduce(DataFrame.unionByName, [shape(t) for t in told if t is not None]).repartition("row", "record")
         joins = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("order", "value"))), lambda e: e["value"]), "\n")
         joined = F.col("part").isin(BEFORE, AFTER) | (F.lit(numbered) & (F.col("part") == MAIN))
         parts = every.groupBy("row", "record", "part", "key").agg(F.min("order").alias("order"), F.max_by("value", "order").alias("last"), joins.alias("all"))
         parts = parts.select("row", "record", "key", F.struct("part", "order").alias("at"), F.when(joined, F.col("all")).otherwise(F.col("last")).alias("value"))
         keys = parts.groupBy("row", "record", "key").agg(F.min("at").alias("at"), F.max_by("value", "at").alias("value"))
-        new = reduce(lambda c, kv: F.when(F.col("key") == kv[0], kv[1]).otherwise(c), self.renamed.items(), F.col("key"))
-        named = keys.withColumn("key", new).groupBy("row", "record", "key").agg(F.min("at").alias("first"), F.max_by("value", "at").alias("value"))
-        pairs = F.transform(F.array_sort(F.collect_list(F.struct("first", "key", "value"))), lambda e: F.concat(_json(e["key"]), F.lit(": "), _json(e["value"])))
-        whole = named.groupBy("row", "record").agg(pairs.alias("pairs")).join(records, ["row", "record"])
+        if self.renamed:
+            new = reduce(lambda c, kv: F.when(F.col("key") == kv[0], kv[1]).otherwise(c), self.renamed.items(), F.col("key"))
+            keys = keys.withColumn("key", new).groupBy("row", "record", "key").agg(F.min("at").alias("first"), F.max_by("value", "at").alias("value")).withColumnRenamed("first", "at")
+        pairs = F.transform(F.array_sort(F.collect_list(F.struct("at", "key", "value"))), lambda e: F.concat(_json(e["key"]), F.lit(": "), _json(e["value"])))
+        whole = keys.groupBy("row", "record").agg(pairs.alias("pairs")).join(records, ["row", "record"])
         shown = F.concat(F.array(F.concat(F.lit('"id": '), _json(F.col("record").cast("string")))), "pairs") if numbered else F.col("pairs")
         pos = F.row_number().over(Window.partitionBy("row").orderBy("rank", "record")) - 1
         return whole.select("row", pos.alias("pos"), F.concat(F.lit("{"), F.array_join(shown, ", "), F.lit(f"}} {FIXED_DELIMITER}")).alias("line"))
@@ -212,8 +220,7 @@ class _Records:
 
 def xml_records(docs: DataFrame, rules: XmlRules) -> DataFrame:
     """docs(doc_id, text) -> doc_id, pos, line: a delimited JSON line for each record of each document."""
-    numbered = written(docs.select("doc_id", "text", F.monotonically_increasing_id().alias("row")), "xml-docs")
-    nodes = written(nodes_of(numbered), "xml-nodes")
+    nodes = written(nodes_of(docs), "xml-nodes")
     records = _Records(nodes, rules)
     lines = records.merged() if rules.merge else records.single()
-    return lines.join(numbered.select("row", "doc_id"), "row").select("doc_id", "pos", "line")
+    return lines.join(nodes.where("start = 0").select("row", "doc_id"), "row").select("doc_id", "pos", "line")
