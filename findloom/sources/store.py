@@ -83,6 +83,8 @@ def _once(spark: SparkSession, sf_dir: str, kind: str, make: Callable[[str], obj
     state = fingerprint(spark, *(f"{sf_dir}/{t}.parquet" for t in ("documents", "embeddings", "pages")))
     done = Files(spark, f"{shared_dir(spark)}/findloom-stores")
     name = f"{kind}-{FORMAT}-{state}.txt"
+    if name in done.names() and not Files(spark, f"{done.read(name)}/log").names():
+        done.delete(name)  # somebody has emptied the folder
     if name not in done.names():
         folder = new_path(spark, kind)
         make(folder)

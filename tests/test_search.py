@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 from findloom.model import SearchRequest
 from findloom.operators import images, knn, mutation, neighbours, ranking, search
 from findloom.sources import store, views
+from findloom.sources.shared import Files
 
 
 @pytest.fixture(scope="module")
@@ -173,3 +174,10 @@ class TestStoredSearch:
 
         plan = QUERIES["text_search_accum"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
         assert "embed_data" not in plan and "text#" not in plan
+
+    def test_a_store_that_was_emptied_is_made_again(self, spark, sf_dir):
+        tables = store.chunks_of_views(spark, sf_dir)
+        n = tables.read("embedding").count()
+        Files(spark, tables.folder).delete()
+        again = store.chunks_of_views(spark, sf_dir)
+        assert again.folder != tables.folder and again.read("embedding").count() == n
