@@ -35,6 +35,13 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def tasks_for(stored: DataFrame, task_bytes: int) -> int:
+    """Tasks for a shuffle of a stored table: as many as give each about `task_bytes` of its files, and no fewer than the session's own number."""
+    spark = stored.sparkSession
+    size = sum(sum(Files(spark, folder).sizes().values()) for folder in {path.rsplit("/", 1)[0] for path in stored.inputFiles()})
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // task_bytes))
+
+
 class Files:
     """Files of a folder through Spark's own file systems."""
 

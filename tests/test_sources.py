@@ -59,6 +59,16 @@ def test_xml_on_random_trees(spark, merge):
         assert records(spark, texts, merge=merge, **rules) == by_tree(texts, merge=merge, **rules)
 
 
+def test_xml_plan_broadcasts_nothing(spark, capsys):
+    # The table of elements, as numbers, is far smaller in files than in memory: a driver that broadcasts it runs out.
+    docs = spark.createDataFrame([(k, XML) for k in range(20)], "doc_id long, text string")
+    for merge in (False, True):
+        found = xml_nodes.xml_records(docs, xml_nodes.XmlRules(main="p", prefix="h", everywhere="s", fixed="k=v", merge=merge))
+        found.explain()
+        plan = capsys.readouterr().out
+        assert "Exchange" in plan and "Broadcast" not in plan and "Join" not in plan
+
+
 def test_json_arrays(spark):
     docs = spark.createDataFrame([(1, '[{"a": 1}, 2]'), (2, '{"a": 1}'), (3, "no"), (4, None)], "doc_id long, text string")
     assert [r.line for r in conversion.json_array_lines(docs).collect()] == [f'{{"a": 1}} {FIXED_DELIMITER}', f"2 {FIXED_DELIMITER}"]
