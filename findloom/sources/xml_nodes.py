@@ -38,7 +38,7 @@ NODE = "row long, start int, `end` int, level int, parent int, ancestors array<i
 #: A batch of nodes holds about so many, or texts of about so many letters, of one document or several.
 ROWS, LETTERS = 10_000, 4 << 20
 #: Bytes of the stored table of nodes whose rows a task gets.
-TASK_BYTES = 16 << 20
+TASK_BYTES = 8 << 20
 #: Parts of a record, in the order of its keys.
 ID, ANYWHERE, FIXED, BEFORE, MAIN, AFTER, LAST = range(7)
 

@@ -69,6 +69,14 @@ def test_xml_plan_broadcasts_nothing(spark, capsys):
         assert "Exchange" in plan and "Broadcast" not in plan and "Join" not in plan
 
 
+def test_xml_tasks_follow_the_nodes(spark, monkeypatch):
+    docs = spark.createDataFrame([(k, XML) for k in range(200)], "doc_id long, text string")
+    want = xml_nodes.xml_records(docs, xml_nodes.XmlRules(main="p", prefix="h", merge=True)).count()
+    monkeypatch.setattr(xml_nodes, "TASK_BYTES", 200)
+    found = xml_nodes.xml_records(docs, xml_nodes.XmlRules(main="p", prefix="h", merge=True))
+    assert found.rdd.getNumPartitions() > 10 and found.count() == want == 400
+
+
 def test_json_arrays(spark):
     docs = spark.createDataFrame([(1, '[{"a": 1}, 2]'), (2, '{"a": 1}'), (3, "no"), (4, None)], "doc_id long, text string")
     assert [r.line for r in conversion.json_array_lines(docs).collect()] == [f'{{"a": 1}} {FIXED_DELIMITER}', f"2 {FIXED_DELIMITER}"]
