@@ -29,16 +29,20 @@ import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, DataSourceWriter, EqualTo, Filter, In, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, In, InputPartition, WriterCommitMessage
 
 FORMAT = "findloom"
 SPLIT, FILE_BYTES, FEW_VALUES, ROWS = 8 << 20, 128 << 20, 64, 1000
+#: Bytes of lines that a batch read holds, about; rows that are Python objects at once when writing; bytes of a batch that Spark sends.
+BATCH_BYTES, SLICE, ARROW_BYTES = 2 << 20, 100, "8m"
 FIXED = ("id", "data", "cmetadata")
 
 
 def register(spark: SparkSession) -> None:
     spark.dataSource.register(DocumentSource)
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    # By rows alone a batch is 10,000 documents, whatever their length.
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
 def read(spark: SparkSession, folder: str, keys: str = "") -> DataFrame:
@@ -111,7 +115,7 @@ class DocumentSource(DataSource):
     def streamReader(self, schema: T.StructType) -> DataSourceStreamReader:
         return _StreamReader(self.options["path"], self.keys(), int(self.options.get("split", SPLIT)))
 
-    def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceWriter:
+    def writer(self, schema: T.StructType, overwrite: bool) -> DataSourceArrowWriter:
         if overwrite:
             raise ValueError("documents are appended; there is no overwriting")
         if [f.name for f in schema.fields] != list(FIXED):
@@ -165,7 +169,7 @@ class _Ranges:
                     return
 
     def read(self, partition: Range) -> Iterator[pa.RecordBatch]:
-        names, rows = [*FIXED, *self.keys], []
+        names, rows, size = [*FIXED, *self.keys], [], 0
 
         def batch() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in zip(*rows)], names)
@@ -174,9 +178,10 @@ class _Ranges:
             row = json.loads(line)
             metadata = _metadata(row[2])
             rows.append((*row, *(_value(metadata, k) for k in self.keys)))
-            if len(rows) == ROWS:
+            size += len(line)
+            if len(rows) == ROWS or size >= BATCH_BYTES:
                 yield batch()
-                rows = []
+                rows, size = [], 0
         if rows:
             yield batch()
 
@@ -213,14 +218,14 @@ class _StreamReader(_Ranges, DataSourceStreamReader):
         pass
 
 
-class _Writer(DataSourceWriter):
+class _Writer(DataSourceArrowWriter):
     def __init__(self, path: str, keys: list[str]):
         self.path, self.keys, self.job = path, keys, f"job-{uuid.uuid4().hex}"
         # Made before any task runs and by none of them: once abort() has removed it, a task that still runs can open no file.
         folder = _Folder(path)
         folder.fs.create_dir(f"{folder.root}/{self.job}", recursive=True)
 
-    def write(self, iterator: Iterator[T.Row]) -> Written:
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         folder, done = _Folder(self.path), Written()
         out, size, values = None, 0, {}
 
@@ -230,7 +235,8 @@ class _Writer(DataSourceWriter):
             done.files.append({"file": name, "bytes": size, "values": {k: sorted(v) for k, v in values.items() if v is not None}})
             out = None
 
-        for row in iterator:
+        slices = (batch.slice(at, SLICE) for batch in iterator for at in range(0, batch.num_rows, SLICE))
+        for row in (row for part in slices for row in zip(*(c.to_pylist() for c in part.columns))):
             if out is None:
                 name = f"{self.job}/{uuid.uuid4().hex}.jsonl"
                 out, size, values = folder.fs.open_output_stream(f"{folder.root}/{name}", compression=None), 0, {k: set() for k in self.keys}

@@ -2,10 +2,13 @@
 
 import json
 import time
+import tracemalloc
 from pathlib import Path
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from findloom.sources import document_source as D
 
@@ -92,3 +95,28 @@ class TestDocuments:
         D.write(documents(spark, 5, 25), folder)
         assert run() == sorted(f"d{k}" for k in range(30))
         assert run() == sorted(f"d{k}" for k in range(30))
+
+
+def test_python_holds_little_of_long_documents(spark, tmp_path):
+    # Batches by rows alone would be 1,000 documents read and 10,000 written, as Python objects, however long they are.
+    rows = spark.range(400).selectExpr("cast(id as string) id", "repeat('x', 50000) data", "'{}' cmetadata").coalesce(1)
+    D.write(rows, str(tmp_path / "long"))
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == D.ARROW_BYTES
+    source = D.DocumentSource({"path": str(tmp_path / "long")})
+    reader = source.reader(source.schema())
+    batches = [b for part in reader.partitions() for b in reader.read(part)]
+    assert sum(b.num_rows for b in batches) == 400 and max(b.nbytes for b in batches) < 2 * D.BATCH_BYTES
+    held = []
+
+    def come():
+        for _ in range(5):
+            held.append(tracemalloc.get_traced_memory()[0])
+            yield pa.RecordBatch.from_arrays([pa.array([str(k) for k in range(400)]), pa.array(["x" * 50_000] * 400), pa.array(["{}"] * 400)], ["id", "data", "cmetadata"])
+
+    tracemalloc.start()
+    try:
+        done = D.DocumentSource({"path": str(tmp_path / "more")}).writer(T.StructType([T.StructField(n, T.StringType()) for n in D.FIXED]), False).write(come())
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(done.files) == 1 and peak - max(held) < 10_000_000
