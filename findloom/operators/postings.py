@@ -135,16 +135,21 @@ def of_terms(postings: DataFrame, terms: list[str], layout: Layout) -> DataFrame
     return postings.where(F.col("shelf").isin(sorted(shelves)) & F.col("term").isin(terms))
 
 
+def _alive(held: DataFrame, gone: DataFrame | None) -> DataFrame:
+    """Postings held(segment, doc_id, embed_id, more) of chunks that have not gone."""
+    if gone is None:
+        return held
+    later = gone.groupBy(*KEYS).agg(F.max("since").alias("since"))
+    return held.join(later, KEYS, "left").where(F.col("since").isNull() | (F.col("segment") >= F.col("since"))).drop("since")
+
+
 def _scored(blocks: DataFrame, asked: DataFrame, postings: DataFrame, gone: DataFrame | None, within: DataFrame | None = None) -> DataFrame:
     """blocks(qid, segment, doc_id, block) -> qid, doc_id, embed_id, n_terms, hits of the chunks in them that hold a term of the query."""
     rows = postings.join(F.broadcast(asked), ["shelf", "term"]).join(blocks, ["qid", *BLOCK])
     held = chunk_hits(rows, "qid", "segment")
     if within is not None:
         held = held.join(within.select("doc_id").distinct(), "doc_id", "left_semi")
-    if gone is not None:
-        later = gone.groupBy(*KEYS).agg(F.max("since").alias("since"))
-        held = held.join(later, KEYS, "left").where(F.col("since").isNull() | (F.col("segment") >= F.col("since")))
-    return held.groupBy("qid", *KEYS).agg(F.count("*").alias("n_terms"), F.sum("hits").alias("hits"))
+    return _alive(held, gone).groupBy("qid", *KEYS).agg(F.count("*").alias("n_terms"), F.sum("hits").alias("hits"))
 
 
 def _best(scored: DataFrame, k: int) -> DataFrame:
@@ -193,4 +198,7 @@ def open_blocks(postings: DataFrame, gone: DataFrame | None, queries: dict[int,
 def holding_any(postings: DataFrame, gone: DataFrame | None, terms: list[str], layout: Layout) -> DataFrame:
     """The full-text predicate: doc_id, embed_id, n_terms, hits of every chunk that holds any of the terms."""
     asked, rows = asked_terms(postings, {0: terms}, layout)
-    return _scored(rows.select(F.lit(0).cast("long").alias("qid"), *BLOCK).distinct(), asked, rows, gone).drop("qid")
+    # A chunk's postings are in one block of one segment, but for those that have gone: blocks are dealt as they are stored, arrays and all.
+    held = rows.join(F.broadcast(asked), ["shelf", "term"]).select(*BLOCK, "ats", "ns")
+    held = chunk_hits(held.repartition(*BLOCK), "segment", "block")
+    return _alive(held, gone).groupBy(*BLOCK, "embed_id").agg(F.count("*").alias("n_terms"), F.sum("hits").alias("hits")).select(*KEYS, "n_terms", "hits")

@@ -209,3 +209,15 @@ def test_salts_lose_nothing(spark, salts):
     hits = postings.chunk_hits(postings.indexed(chunks, 0, 4, salts), "term").collect()
     want = Counter((t, r.doc_id, r.embed_id) for r in chunks.collect() for t in re.split(r"[\W_]+", r.embed_data.lower()) if t)
     assert {(r.term, r.doc_id, r.embed_id): r.hits for r in hits} == want and len(hits) == len(want)
+
+
+def test_the_predicate_moves_blocks_once(spark, tmp_path, capsys):
+    chunks = spark.createDataFrame([(f"d{k % 5}", k, "a b" if k % 2 else "a a") for k in range(40)], "doc_id string, embed_id long, embed_data string")
+    index = TextIndex(spark, str(tmp_path / "index"), 4)
+    index.build(chunks)
+    found = index.holding_any(["a", "b"])
+    found.explain()
+    plan = capsys.readouterr().out
+    assert {(r.embed_id, r.n_terms, r.hits) for r in found.collect()} == {(k, 2, 2) if k % 2 else (k, 1, 2) for k in range(40)}
+    # The table of terms is all that is joined; the blocks were joined with themselves before.
+    assert plan.count("Join") == 1 and plan.count("Exchange hashpartitioning") == 1
