@@ -24,12 +24,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from findloom.operators.ranking import tokens, valid_terms
+from findloom.operators.ranking import spaced_tokens, valid_terms
 from findloom.sources.snapshots import Layout
 
 RUN, SEEDS = 64, 8
@@ -51,19 +52,26 @@ def layouts(shelves: int) -> dict[str, Layout]:
 
 
 def _posted(batch: pa.RecordBatch, shelves: int) -> tuple[pa.RecordBatch, np.ndarray]:
-    """batch(doc_id, embed_id, words) -> (its postings by shelf and term, where each shelf begins). Chunks of one document and run in one batch are a block."""
+    """batch(doc_id, embed_id, words) -> (its postings in the order they are stored in, where each shelf begins). Chunks of one document and run in one batch are a block."""
     doc, embed, words = batch.column(0).dictionary_encode(), batch.column(1).to_numpy(), batch.column(2)
-    _, group = np.unique(np.stack((doc.indices.to_numpy(), embed // RUN)), axis=1, return_inverse=True)
+    runs, run = np.unique(embed // RUN, return_inverse=True)
+    _, group = np.unique(_ranks(doc.dictionary)[doc.indices.to_numpy()] * len(runs) + run, return_inverse=True)
     first = np.full(group.max() + 1, np.iinfo(np.int64).max)
     np.minimum.at(first, group, embed)
+    chunks = np.lexsort((embed, group))
+    place = np.empty(len(embed), np.int64)
+    place[chunks] = np.arange(len(embed))
     terms = words.flatten().dictionary_encode()
-    known = max(1, len(terms.dictionary))
     # As Layout.shelf() has it.
     shelf = np.array([xxhash.xxh64_intdigest(t, 42) for t in terms.dictionary.to_pylist()], np.uint64).astype(np.int64) % shelves
-    in_chunk, hits = np.unique(np.repeat(np.arange(len(embed)), words.value_lengths().to_numpy()) * known + terms.indices.to_numpy(), return_counts=True)
-    chunk, term = in_chunk // known, in_chunk % known
-    order = np.lexsort((embed[chunk], group[chunk], term, shelf[term]))
-    chunk, term, hits = chunk[order], term[order], hits[order].astype(np.int32)
+    order = np.lexsort((_ranks(terms.dictionary), shelf))
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    # One number a token, so one plain sort; sorted tables of batches are runs to the sort that lays out a shelf.
+    tokens_at = np.sort(rank[terms.indices.to_numpy()] * len(embed) + np.repeat(place, words.value_lengths().to_numpy()))
+    begins = np.flatnonzero(np.diff(tokens_at, prepend=-1))
+    hits = np.diff(begins, append=len(tokens_at)).astype(np.int32)
+    term, chunk = order[tokens_at[begins] // len(embed)], chunks[tokens_at[begins] % len(embed)]
     starts = np.flatnonzero(np.diff(term, prepend=-1) | np.diff(group[chunk], prepend=-1)) if len(term) else np.zeros(0, np.int64)
     ats = (embed[chunk] - first[group[chunk]]).astype(np.int32)
     most = np.maximum.reduceat(hits, starts) if len(starts) else hits
@@ -73,6 +81,23 @@ def _posted(batch: pa.RecordBatch, shelves: int) -> tuple[pa.RecordBatch, np.nda
     return rows, np.searchsorted(shelf[term[starts]], np.arange(shelves + 1))
 
 
+def _split(spaced: pa.Array) -> pa.Array:
+    """The tokens of texts as spaced_tokens() gives them."""
+    lists = pc.split_pattern(spaced, " ")
+    # Only a text without tokens has an empty part, and that alone.
+    held = pc.not_equal(spaced, "").to_numpy(zero_copy_only=False)
+    lengths = np.where(held, lists.value_lengths().to_numpy(), 0)
+    flat = lists.flatten()
+    return pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), flat.filter(pc.not_equal(flat, "")))
+
+
+def _ranks(texts: pa.Array) -> np.ndarray:
+    """The place of each of some distinct texts in their order."""
+    out = np.empty(len(texts), np.int64)
+    out[pc.array_sort_indices(texts).to_numpy()] = np.arange(len(texts))
+    return out
+
+
 LISTS = ["term", "doc_id", "block", "most", "ats", "ns"]
 
 
@@ -94,7 +119,7 @@ def indexed(chunks: DataFrame, segment: int, shelves: int, salts: int = 1) -> Da
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows, bounds = _posted(batch, shelves)
+            rows, bounds = _posted(batch.set_column(2, "words", _split(batch.column(2))), shelves)
             held = np.flatnonzero(np.diff(bounds))
             salt = xxhash.xxh64_intdigest(f"{batch.column(0)[0]} {batch.column(1)[0]}") % salts
             blobs = [_packed(rows.slice(bounds[k], bounds[k + 1] - bounds[k])) for k in held.tolist()]
@@ -105,8 +130,8 @@ def indexed(chunks: DataFrame, segment: int, shelves: int, salts: int = 1) -> Da
             for blob in batch.column(2):
                 yield from pa.ipc.open_stream(blob.as_buffer())
 
-    words = chunks.where("doc_id is not null and embed_id is not null").select(*KEYS, tokens(F.coalesce("embed_data", F.lit(""))).alias("words"))
-    packed = words.mapInArrow(pack, "shelf int, salt int, lists binary").repartitionById(shelves * salts, F.col("shelf") * salts + F.col("salt"))
+    spaced = chunks.where("doc_id is not null and embed_id is not null").select(*KEYS, spaced_tokens(F.coalesce("embed_data", F.lit(""))).alias("words"))
+    packed = spaced.mapInArrow(pack, "shelf int, salt int, lists binary").repartitionById(shelves * salts, F.col("shelf") * salts + F.col("salt"))
     lists = packed.mapInArrow(unpack, "term string, doc_id string, block long, most int, ats array<int>, ns array<int>")
     return lists.select("term", F.lit(segment).cast("long").alias("segment"), "doc_id", "block", "most", "ats", "ns")
 

@@ -11,7 +11,12 @@ ORDER = ["distance", "doc_id", "embed_id"]
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
+
+
+def spaced_tokens(text: Column) -> Column:
+    """tokens() as one text with a space between each two: far less to make and to send than an array of texts."""
+    return F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " "))
 
 
 def valid_terms(terms: list[str]) -> list[str]:

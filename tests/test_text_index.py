@@ -8,7 +8,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from findloom.operators import postings
+from findloom.operators import postings, ranking
 from findloom.sources.shared import new_path
 from findloom.sources.snapshots import Change, Tables
 from findloom.streaming import index_upkeep
@@ -211,6 +211,19 @@ def test_salts_lose_nothing(spark, salts):
     assert {(r.term, r.doc_id, r.embed_id): r.hits for r in hits} == want and len(hits) == len(want)
 
 
+def test_tables_of_a_batch_come_in_the_order_they_are_stored_in(spark):
+    texts = ["b a b", "", None, "  ", "é-Z z,1", "İ ß a", "--x"]
+    docs = spark.createDataFrame([(f"d{k % 3}", k, t) for k, t in enumerate(texts)], "doc_id string, embed_id long, embed_data string")
+    spaced = docs.orderBy("embed_id").select("doc_id", "embed_id", ranking.spaced_tokens(F.coalesce("embed_data", F.lit(""))).alias("words")).toArrow().combine_chunks().to_batches()[0]
+    words = postings._split(spaced.column(2))
+    want = [r.w for r in docs.orderBy("embed_id").select(ranking.tokens(F.coalesce("embed_data", F.lit(""))).alias("w")).collect()]
+    assert words.to_pylist() == want
+    rows, bounds = postings._posted(spaced.set_column(2, "words", words), 4)
+    for a, b in zip(bounds, bounds[1:]):
+        keys = [(r["term"].encode(), r["doc_id"], r["block"]) for r in rows.slice(a, b - a).to_pylist()]
+        assert keys == sorted(keys)
+
+
 def test_the_predicate_moves_blocks_once(spark, tmp_path, capsys):
     chunks = spark.createDataFrame([(f"d{k % 5}", k, "a b" if k % 2 else "a a") for k in range(40)], "doc_id string, embed_id long, embed_data string")
     index = TextIndex(spark, str(tmp_path / "index"), 4)
