@@ -199,8 +199,9 @@ class Change:
         counts = {}
         if sizes:
             # A row a file; the footers hold the counts.
-            found = spark.read.schema(layout.stored).option("basePath", base).parquet(load).groupBy(_place().alias("file")).count()
-            counts = {r["file"]: r["count"] for r in found.collect()}
+            # Grouped by the path as it is: a place made of it would be made for each row.
+            found = spark.read.schema(layout.stored).option("basePath", base).parquet(load).groupBy(F.col("_metadata.file_path").alias("path")).count()
+            counts = {_short(r["path"]): r["count"] for r in found.collect()}
         qualified = Files(spark, load).fs.makeQualified(Files(spark, load).folder).toString()
         own_base = qualified.rsplit("/", 1)[0]
         self.added.setdefault(name, []).extend(

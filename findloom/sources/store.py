@@ -57,7 +57,7 @@ def chunks_of_views(spark: SparkSession, sf_dir: str) -> Tables:
 
 def index_of_views(spark: SparkSession, sf_dir: str) -> TextIndex:
     """The text index of the fixture views' chunks."""
-    folder = _once(spark, sf_dir, "index", lambda at: TextIndex(spark, at, TERM_SHELVES).build(views.chunk_texts(spark, sf_dir)))
+    folder = _once(spark, sf_dir, "index", lambda at: TextIndex(spark, at, TERM_SHELVES).build(views.chunk_texts(spark, sf_dir), views.chunk_count(spark, sf_dir)))
     return TextIndex(spark, folder, TERM_SHELVES)
 
 

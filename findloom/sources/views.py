@@ -42,6 +42,11 @@ def chunk_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cut(spark, sf_dir).select(doc_name(F.col("doc_id")).alias("doc_id"), (F.col("k").cast("long") + TEXT_BASE + 1).alias("embed_id"), "embed_data")
 
 
+def chunk_count(spark: SparkSession, sf_dir: str) -> int:
+    """Rows of chunk_texts(), by the lengths of the documents."""
+    return table(spark, sf_dir, "documents").select(F.sum(F.ceil(F.length("text") / F.lit(CHUNK)))).first()[0] or 0
+
+
 def embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunks of every document to its end; chunk k of a document borrows the vector numbered PER_DOC * doc_id + k, counted round the vectors there are."""
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("embed_vector"))

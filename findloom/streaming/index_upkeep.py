@@ -62,9 +62,9 @@ class TextIndex:
     def holding_any(self, terms: list[str]) -> DataFrame:
         return postings.holding_any(self.rows(), self.gone(), terms, self.layout)
 
-    def build(self, chunks: DataFrame) -> int:
-        """The first segment, of all chunks there are."""
-        n = chunks.count()
+    def build(self, chunks: DataFrame, n: int | None = None) -> int:
+        """The first segment, of all chunks there are; n of them, if the caller knows, for a count would cut all texts."""
+        n = chunks.count() if n is None else n
         return self.tables.change().append("postings", self._laid(chunks, 0, n), laid=True).note(segments={"0": n}, batch=-1).commit()
 
     def _whole_documents(self, changes: DataFrame) -> DataFrame:
