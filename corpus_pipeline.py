@@ -13,11 +13,8 @@ from findloom.llm.common import table, written
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality filter rejects go: ratios of the same hashed models as operator 7 draws by, with a fitted cut.
-
-    The draw itself takes a share of all documents, good ones among those it leaves; a stage has to keep clean documents.
-    """
-    return quality.selected(docs, table(spark, sf_dir, "labels"))
+    """Importance resampling (operator 7): the draw by both models' ratios and the filter's weights, of as many documents as the filter selects."""
+    return quality.drawn(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

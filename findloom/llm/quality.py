@@ -13,6 +13,9 @@ words, byte trigrams (which see case and symbols) and immediate repeats, target
 rejects, so that a text that merely has many copies in the corpus is not taken for junk. `filter_weight` is the sum of a
 document's ratios below -DELTA, and `selected` says that it reaches the weight that best separates held-out labelled rows.
 
+drawn() does both, for the pipeline: Gumbel top-k by the generative log weight and the filter's weight together, their sum
+being the log of a product of two likelihood ratios, with k the number of documents that the filter selects.
+
 Counts and weights cover all documents; only the labelled rows for fitting are a sample, of at most FIT_ROWS rows in
 hash order.
 
@@ -211,6 +214,20 @@ def importance(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS, sha
     return scored.select("doc_id", "log_weight", "key", (F.col("key") >= F.lit(least)).alias("drawn"), "filter_weight", (F.col("filter_weight") >= F.lit(fitted.cut)).alias("selected"))
 
 
+def drawn(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
+    """The documents that a Gumbel top-k by log_weight + filter_weight draws, as many as the filter selects; all columns of docs stay.
+
+    The keys are written beside the documents, so texts are weighed once and never move.
+    """
+    fitted = Fitted(docs, labels, fit_rows)
+    # A document's own columns lie in a struct, so that none of them clashes with those made here.
+    weighed = docs.select(F.struct(*docs.columns).alias("row"), fitted.weights().alias("w"))
+    key = gumbel_key(F.col("w.log_weight") + F.col("w.filter_weight"), F.col("row.doc_id"))
+    keyed = written(weighed.select("row", (F.col("w.filter_weight") >= F.lit(fitted.cut)).alias("fits"), key.alias("key")), "keyed")
+    least = float(kth_largest(keyed, "key", keyed.where("fits").count()))
+    return keyed.where(F.col("key") >= F.lit(least)).select("row.*")
+
+
 def selected(docs: DataFrame, labels: DataFrame, fit_rows: int = FIT_ROWS) -> DataFrame:
     """The documents that the filter selects; all columns of docs stay. Texts are weighed where they are read, so they never move."""
     fitted = Fitted(docs, labels, fit_rows)

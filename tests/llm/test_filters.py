@@ -204,6 +204,29 @@ class TestQuality:
         got = quality.importance(more, labels)
         assert got.where("doc_id >= 10000 and not selected").isEmpty()
 
+    def test_the_pipeline_draws_by_both_ratios(self, spark, tables, tmp_path, monkeypatch):
+        """The stage is a Gumbel top-k: of as many documents as the filter selects, those of the largest keys."""
+        docs, labels = tables
+        labels.write.parquet(f"{tmp_path}/labels.parquet")
+        # A cut at which the draw and the filter differ.
+        monkeypatch.setattr(quality, "separating_weight", lambda good, bad: 0.0)
+        rows = quality.importance(docs, labels).withColumn("both", quality.gumbel_key(F.col("log_weight") + F.col("filter_weight"), F.col("doc_id"))).collect()
+        fits = {r.doc_id for r in rows if r.selected}
+        want = {r.doc_id for r in sorted(rows, key=lambda r: -r.both)[: len(fits)]}
+        kept = corpus_pipeline.keep_quality(spark, docs, str(tmp_path))
+        got = {r.doc_id for r in kept.collect()}
+        assert kept.columns == docs.columns and got == want and got != fits
+
+    def test_the_pipeline_keeps_good_and_many_copies(self, spark, tables, tmp_path):
+        docs, labels = tables
+        labels.write.parquet(f"{tmp_path}/labels.parquet")
+        copy = prose(random.Random(99), 80)
+        more = docs.unionByName(spark.range(10_000, 10_600).select(F.col("id").alias("doc_id"), F.lit(copy).alias("text"), F.lit("").alias("key")))
+        got = {r.doc_id for r in corpus_pipeline.keep_quality(spark, more, str(tmp_path)).collect()}
+        good, bad, copies = [k in got for k in range(900) if k % 5], [k in got for k in range(900) if k % 5 == 0], got & set(range(10_000, 10_600))
+        # A draw may leave a few at its edge.
+        assert sum(good) / len(good) > 0.98 and sum(bad) / len(bad) < 0.1 and len(copies) > 594
+
     def test_kth_largest(self, spark):
         r = random.Random(4)
         values = [r.choice([0.0, r.gauss(0, 1), r.gauss(0, 1000)]) for _ in range(500)]
