@@ -22,8 +22,9 @@ from findloom.streaming.index_upkeep import TextIndex
 TERM_SHELVES = 32
 #: To be raised when what is stored, or the views that it is stored of, change: older stores are then left alone.
 FORMAT = 4
-#: Files that a first load may write without sorting over the cluster.
-FEW_FILES = 2048
+#: Files of a chunk table that its first load may write whatever their size, a file a task and shelf; beyond them a task takes
+#: TASK_BYTES of the stored documents, so that files of some MB follow the input and chunks with their vectors need not be sorted over the cluster.
+FEW_FILES, TASK_BYTES = 2048, 64 << 20
 #: Chunks with the norms of their vectors, which a search then need not make.
 CHUNKS = T.StructType(
     [T.StructField(n, k) for n, k in (("doc_id", T.StringType()), ("embed_id", T.LongType()), ("embed_data", T.StringType()), ("embed_vector", VECTOR), ("embed_norm", T.DoubleType()))]
@@ -41,17 +42,16 @@ def chunk_tables(spark: SparkSession, folder: str) -> Tables:
     return Tables(spark, folder, {"embedding": LAYOUTS["embedding"]})
 
 
-def filled_chunks(tables: Tables, embedding: DataFrame, tasks: int | None = None) -> Tables:
-    """The first rows of a chunk table. Rows that few tasks make (`tasks`) are written as they lie, a file a task and shelf; those of many
+def filled_chunks(tables: Tables, embedding: DataFrame, laid: bool = False) -> Tables:
+    """The first rows of a chunk table. laid: tasks are few or large, so rows are written as they lie, a file a task and shelf; else they
     are sorted over the cluster first, for files would be too many."""
-    laid = tasks is not None and tasks * CHUNK_SHELVES <= FEW_FILES
     tables.change().append("embedding", knn.with_norms(embedding), laid=laid).commit()
     return tables
 
 
 def chunks_of_views(spark: SparkSession, sf_dir: str) -> Tables:
     """The chunk table of the fixture views: doc_id, embed_id, embed_data, embed_vector, embed_norm, shelf."""
-    folder = _once(spark, sf_dir, "chunks", lambda at: filled_chunks(chunk_tables(spark, at), views.embedding(spark, sf_dir), _splits(spark, sf_dir)))
+    folder = _once(spark, sf_dir, "chunks", lambda at: filled_chunks(chunk_tables(spark, at), views.embedding(spark, sf_dir, _tasks(spark, sf_dir)), laid=True))
     return chunk_tables(spark, folder)
 
 
@@ -74,8 +74,11 @@ def collection_of_views(spark: SparkSession, sf_dir: str) -> Tables:
     return Tables(spark, _once(spark, sf_dir, "collection", make), LAYOUTS)
 
 
-def _splits(spark: SparkSession, sf_dir: str) -> int:
-    return views.table(spark, sf_dir, "documents").select("doc_id", "text").rdd.getNumPartitions()
+def _tasks(spark: SparkSession, sf_dir: str) -> int:
+    """Tasks that a chunk table is made in: a split each while their files are few, else by bytes of the documents."""
+    splits = views.table(spark, sf_dir, "documents").select("doc_id", "text").rdd.getNumPartitions()
+    size = sum(Files(spark, f"{sf_dir}/documents.parquet").sizes().values())
+    return max(1, min(splits, FEW_FILES // CHUNK_SHELVES), -(-size // TASK_BYTES))
 
 
 def _once(spark: SparkSession, sf_dir: str, kind: str, make: Callable[[str], object]) -> str:

@@ -30,8 +30,9 @@ def collection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select(name.alias("id"), F.col("text").alias("data"), json.alias("cmetadata"))
 
 
-def _cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _cut(spark: SparkSession, sf_dir: str, tasks: int | None = None) -> DataFrame:
     docs = table(spark, sf_dir, "documents").where("text <> ''").select("doc_id", "text")
+    docs = docs.coalesce(tasks) if tasks else docs
     # One pass over a text: substring() would count from its start again for each piece.
     pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{CHUNK}}}"), 0)
     return docs.select("doc_id", F.posexplode(pieces).alias("k", "embed_data"))
@@ -47,14 +48,25 @@ def chunk_count(spark: SparkSession, sf_dir: str) -> int:
     return table(spark, sf_dir, "documents").select(F.sum(F.ceil(F.length("text") / F.lit(CHUNK)))).first()[0] or 0
 
 
-def embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The chunks of every document to its end; chunk k of a document borrows the vector numbered PER_DOC * doc_id + k, counted round the vectors there are."""
+def embedding(spark: SparkSession, sf_dir: str, tasks: int | None = None) -> DataFrame:
+    """The chunks of every document to its end; chunk k of a document borrows the vector numbered PER_DOC * doc_id + k, counted round the vectors there are.
+
+    They are made in `tasks` tasks at most, if that is given: splits are put together, or chunks dealt to so many where they move.
+    """
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").alias("embed_vector"))
     count, numbers = vectors.agg(F.count("*"), F.sum(F.size("embed_vector"))).first()
     # Chunks need not move for a table of vectors that is known to be small.
-    few = F.broadcast(vectors) if 4 * (numbers or 0) <= BROADCAST_BYTES else vectors
+    few = 4 * (numbers or 0) <= BROADCAST_BYTES
     number = F.pmod(F.col("doc_id") * PER_DOC + F.col("k"), F.lit(max(1, count)))
-    return _cut(spark, sf_dir).withColumn("vec_id", number).join(few, "vec_id").select(
+    own = _cut(spark, sf_dir, tasks if few else None).withColumn("vec_id", number)
+    if few:
+        vectors = F.broadcast(vectors)
+    elif tasks:
+        own, vectors = (rows.repartition(tasks, "vec_id") for rows in (own, vectors))
+    joined = own.join(vectors, "vec_id")
+    # A join of fewer partitions than the session's own number is dealt to that many.
+    joined = joined.coalesce(tasks) if tasks and not few else joined
+    return joined.select(
         doc_name(F.col("doc_id")).alias("doc_id"), (F.col("k").cast("long") + TEXT_BASE + 1).alias("embed_id"), "embed_data", "embed_vector"
     )
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from findloom.operators import ingestion
-from findloom.sources import snapshots, store
+from findloom.sources import snapshots, store, views
 from findloom.sources.shared import Files, new_path
 from findloom.sources.snapshots import Change, Conflict, Layout, Tables
 
@@ -180,6 +180,45 @@ class Plain:
         return [[float(len(t)), 1.0] for t in texts]
 
 
+class TestChunkTable:
+    @pytest.mark.parametrize("few", [True, False])
+    def test_many_splits_are_not_sorted_over_the_cluster(self, spark, tmp_path, monkeypatch, few):
+        """However many splits and vectors there are, chunks with their vectors are written where they are made; files follow the bytes."""
+        spark.range(40).selectExpr("id doc_id", "repeat(concat('word ', id, ' '), 200) text").repartition(12).write.parquet(f"{tmp_path}/documents.parquet")
+        spark.range(30).selectExpr("id vec_id", "array(cast(id as float), 1f) embedding").write.parquet(f"{tmp_path}/embeddings.parquet")
+        spark.range(3).selectExpr("id page_id").write.parquet(f"{tmp_path}/pages.parquet")
+        want = sorted(map(tuple, views.embedding(spark, str(tmp_path)).collect()))
+        monkeypatch.setattr(store, "FEW_FILES", 3 * store.CHUNK_SHELVES)
+        if not few:
+            monkeypatch.setattr(views, "BROADCAST_BYTES", 0)
+
+        def never(*_):
+            raise AssertionError("sorted over the cluster")
+
+        monkeypatch.setattr(type(spark.range(1)), "repartitionByRange", never)
+        conf = {"spark.sql.files.openCostInBytes": "1m", "spark.sql.files.maxPartitionBytes": "1m"}
+        old = {k: spark.conf.get(k) for k in conf}
+        try:
+            for k, v in conf.items():
+                spark.conf.set(k, v)
+            tables = store.chunks_of_views(spark, str(tmp_path))
+            loads = {f["path"].rsplit("/", 1)[1].split("-")[1] for f in tables.state()["tables"]["embedding"]}
+        finally:
+            for k, v in old.items():
+                spark.conf.set(k, v)
+        got = sorted(map(tuple, tables.read("embedding").select("doc_id", "embed_id", "embed_data", "embed_vector").collect()))
+        assert got == want and 1 < len(loads) <= 3
+
+    def test_tasks_follow_the_bytes(self, spark, tmp_path, monkeypatch):
+        spark.range(40).selectExpr("id doc_id", "'a' text").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+        size = sum(Files(spark, f"{tmp_path}/documents.parquet").sizes().values())
+        monkeypatch.setattr(store, "TASK_BYTES", size // 100)
+        assert store._tasks(spark, str(tmp_path)) >= 100
+        monkeypatch.setattr(store, "TASK_BYTES", size)
+        monkeypatch.setattr(store, "FEW_FILES", 0)
+        assert store._tasks(spark, str(tmp_path)) == 1
+
+
 class TestBatches:
     def test_numbers_follow_the_order(self, spark):
         rows = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("k")).repartition(7)
